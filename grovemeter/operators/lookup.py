@@ -21,6 +21,8 @@ ROWS_PER_PIECE = 1_000_000
 # At most this many keys are split; any other key then holds under 1/10,000 of all rows.
 MAX_HOT_KEYS = 10_000
 
+UNKNOWN = object()
+
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True if ``df`` has at most ``max_rows`` rows; stops reading once it has seen more."""
@@ -75,28 +77,38 @@ def salted_join(
     return salted.join(repeated, keys + ["salt"], how).drop("salt")
 
 
+def find_hot_keys(
+    facts: DataFrame, keys: Sequence[str], rows_per_piece: int = ROWS_PER_PIECE
+) -> DataFrame | None:
+    """The hot keys of ``facts`` as a staged table, or None if there are none."""
+    if fits_broadcast(facts, rows_per_piece):
+        return None  # no key can hold more rows than there are
+    hot = stage(hot_keys(facts, keys, rows_per_piece), "hot")
+    return None if hot.isEmpty() else hot
+
+
 def join_lookup(
     facts: DataFrame,
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    hot: DataFrame | None = None,
+    hot: DataFrame | None | object = UNKNOWN,
     small: bool | None = None,
     max_rows: int = BROADCAST_ROWS,
     rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` on equal-named ``keys`` (``how``: inner or left).
 
-    ``hot`` names the hot keys where the caller already knows them, ``small`` an earlier
-    verdict of :func:`fits_broadcast`.
+    Callers that already know pass ``hot``, the hot keys or None for none, and ``small``,
+    whether the lookup may be broadcast; otherwise both are measured here.
     """
     keys = list(keys)
     if small is None:
         small = fits_broadcast(lookup, max_rows)
     if small:
         return facts.join(F.broadcast(lookup), keys, how)
+    if hot is UNKNOWN:
+        hot = find_hot_keys(facts, keys, rows_per_piece)
     if hot is None:
-        hot = stage(hot_keys(facts, keys, rows_per_piece), "hot")
-    if hot.isEmpty():
         return facts.join(lookup, keys, how)
     return salted_join(facts, lookup, keys, how, hot)

@@ -18,19 +18,21 @@ All later operators are plain joins and aggregates against that table.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grovemeter.functions.modes import is_directory
-from grovemeter.operators.filters import check_roots
+from grovemeter.operators.filters import NO_FILTER, EntryFilter, check_roots
 from grovemeter.operators.lookup import (
     BROADCAST_ROWS,
+    ROWS_PER_PIECE,
+    UNKNOWN,
+    find_hot_keys,
     fits_broadcast,
-    hot_keys,
     join_lookup,
     limit_hot,
 )
@@ -65,11 +67,14 @@ class DirectoryIndex:
     * ``preferred`` - the row of each (device, inode) that paths are built from, and its
       exact repeats.
 
-    ``single`` is true if no (device, inode) has a second row.
+    ``single`` is true if no (device, inode) has a second row. ``hot`` lists the directories
+    with so many entries that joins to them are split, keyed like entries; None if there are
+    none.
     """
 
     table: DataFrame
     single: bool
+    hot: DataFrame | None
 
     @property
     def directories(self) -> DataFrame:
@@ -78,11 +83,6 @@ class DirectoryIndex:
             return self.table
         return self.table.where("preferred").dropDuplicates(KEY)
 
-    def hot_parents(self) -> DataFrame:
-        """Directories with so many entries that joins to them must be split."""
-        hot = limit_hot(self.directories, KEY, "entries")
-        return hot.withColumnRenamed("inode", "parent_inode")
-
     def as_parents(self, *columns: str) -> DataFrame:
         """``columns`` of each directory, keyed the way its entries point at it."""
         return self.directories.select(
@@ -178,7 +178,10 @@ def build_directory_index(
         "preferred",
     )
     table = table.repartitionByRange("device", "path").sortWithinPartitions("device", "path")
-    return DirectoryIndex(stage(table, "directory-index"), single)
+    table = stage(table, "directory-index")
+    hot = limit_hot(table.where("preferred"), KEY, "entries")
+    hot = stage(hot.withColumnRenamed("inode", "parent_inode"), "hot-directories")
+    return DirectoryIndex(table, single, None if hot.isEmpty() else hot)
 
 
 def _joined_path(above, below):
@@ -231,8 +234,9 @@ def _solve_chains(nodes: DataFrame, max_depth: int) -> DataFrame:
     )
     done = [active.where(F.col("up").isNull())]
     active = active.where(F.col("up").isNotNull())
+    small = fits_broadcast(nodes)
     reach = 1
-    while not active.isEmpty():
+    while (remaining := active.count()) > 0:
         if reach > max_depth:
             raise ValueError(f"directory tree has a cycle or is deeper than {max_depth}")
         targets = reduce(DataFrame.unionByName, done, active).select(
@@ -242,7 +246,8 @@ def _solve_chains(nodes: DataFrame, max_depth: int) -> DataFrame:
             F.col("path").alias("up_path"),
             F.col("chain").alias("up_chain"),
         )
-        solved = join_lookup(active, targets, ["device", "up"], "left").select(
+        hot = None if remaining <= ROWS_PER_PIECE else UNKNOWN
+        solved = join_lookup(active, targets, ["device", "up"], "left", hot, small).select(
             *KEY,
             F.col("next_up").alias("up"),
             _joined_path("up_path", "path").alias("path"),
@@ -262,12 +267,21 @@ def _solve_chains(nodes: DataFrame, max_depth: int) -> DataFrame:
 class Roots:
     """Start points of a search: (root_id, device, inode), repeats kept.
 
-    ``pairs`` holds them on the driver when they came as an argument list.
+    ``pairs`` holds them on the driver when they came as an argument list; ``located`` then
+    holds (device, inode, path) of those that are directories, if the list is short.
     """
 
     table: DataFrame
-    pairs: tuple[tuple[int, int], ...] | None
     small: bool
+    pairs: tuple[tuple[int, int], ...] | None = None
+    located: tuple[tuple[int, int, str], ...] | None = None
+
+    @property
+    def all_directories(self) -> bool:
+        """True if every root is known to be a directory of the index."""
+        if self.located is None:
+            return False
+        return set(self.pairs) <= {(device, inode) for device, inode, _ in self.located}
 
     def key_filter(self, device: str = "device", inode: str = "inode"):
         """A filter any row on one of the roots passes, or None if the list is long."""
@@ -281,8 +295,27 @@ class Roots:
             ((F.col(device) == d) & F.col(inode).isin(sorted(s)) for d, s in inodes.items()),
         )
 
+    def path_filter(self):
+        """A filter on ``path`` that the subtrees of the roots pass, or None if unknown.
+
+        Everything below a directory sorts between its path + '/' and its path + '0', so a
+        scan of the path-sorted index skips the row groups outside.
+        """
+        if self.located is None:
+            return None
+        path = F.col("path")
+        return reduce(
+            lambda a, b: a | b,
+            (
+                (F.col("device") == device)
+                & ((path == top) | ((path >= top + "/") & (path < top + "0")))
+                for device, _, top in self.located
+            ),
+            F.lit(False),
+        )
+
 
-def as_roots(entries: DataFrame, roots: Iterable | DataFrame) -> Roots:
+def as_roots(spark: SparkSession, roots: Iterable | DataFrame, index: DirectoryIndex | None = None) -> Roots:
     """``roots`` is a list of (device, inode) pairs or a DataFrame with those columns.
 
     List entries are numbered in order; a DataFrame must bring its own ``root_id``.
@@ -291,21 +324,30 @@ def as_roots(entries: DataFrame, roots: Iterable | DataFrame) -> Roots:
         return roots
     if isinstance(roots, DataFrame):
         table = roots.select(*ROOTS_SCHEMA.fieldNames())
-        return Roots(table, None, fits_broadcast(table))
-    pairs = check_roots(roots)
-    table = entries.sparkSession.createDataFrame(
-        [(n, d, i) for n, (d, i) in enumerate(pairs)], ROOTS_SCHEMA
-    )
-    return Roots(table, tuple(pairs), len(pairs) <= BROADCAST_ROWS)
+        return Roots(table, fits_broadcast(table))
+    pairs = tuple(check_roots(roots))
+    if len(pairs) > MAX_LITERAL_ROOTS:
+        rows = [(n, d, i) for n, (d, i) in enumerate(pairs)]
+        return Roots(spark.createDataFrame(rows, ROOTS_SCHEMA), len(pairs) <= BROADCAST_ROWS, pairs)
+    values = ", ".join(f"({n}L, {d}L, {i}L)" for n, (d, i) in enumerate(pairs))
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS roots(root_id, device, inode)")
+    found = Roots(table, True, pairs)
+    if index is None:
+        return found
+    rows = index.table.where(found.key_filter()).select(*KEY, "path").distinct()
+    located = rows.take(MAX_LITERAL_ROOTS + 1)
+    if len(located) > MAX_LITERAL_ROOTS:
+        return found
+    return replace(found, located=tuple(tuple(row) for row in located))
 
 
 def select_roots(entries: DataFrame, roots: Iterable | DataFrame) -> DataFrame:
     """The rows each root names, once per repeat, with its ``root_id``.
 
-    A long root table shuffles on its key; a directory or file has few rows per key, but
-    hard links may not, so that join is split by hot key as well.
+    A long root table shuffles on its key. A key may hold very many rows (hard links), so
+    that join is split by hot key as well.
     """
-    roots = as_roots(entries, roots)
+    roots = as_roots(entries.sparkSession, roots)
     literal = roots.key_filter()
     if literal is not None:
         entries = entries.where(literal)
@@ -325,7 +367,7 @@ def with_path(entries: DataFrame, index: DirectoryIndex) -> DataFrame:
         wanted = entries.select(*PARENT_KEY).distinct()
         above = above.join(F.broadcast(wanted), PARENT_KEY, "left_semi")
     return (
-        join_lookup(entries, above, PARENT_KEY, "left", hot=index.hot_parents())
+        join_lookup(entries, above, PARENT_KEY, "left", hot=index.hot)
         .withColumn("path", _joined_path("up_path", "basename"))
         .drop("up_path")
     )
@@ -338,7 +380,7 @@ def with_parent(entries: DataFrame, index: DirectoryIndex) -> DataFrame:
         F.col("inode").alias("parent_inode"),
         *[F.col(c).alias(f"parent_{c}") for c in ("basename", "mode", "uid", "gid", "size")],
     )
-    return join_lookup(entries, parents, PARENT_KEY, "left", hot=index.hot_parents())
+    return join_lookup(entries, parents, PARENT_KEY, "left", hot=index.hot)
 
 
 def scan_roots(entries: DataFrame, index: DirectoryIndex) -> DataFrame:
@@ -410,7 +452,7 @@ def subtree_directories(index: DirectoryIndex, roots: Roots, max_depth: int = MA
     if not index.single:
         return _walk(index, roots, max_depth)
     dirs = index.table
-    ranges = _path_ranges(index, roots)
+    ranges = roots.path_filter()
     if ranges is not None:
         dirs = dirs.where(ranges)
     columns = ["path", "entries", "bytes"]
@@ -420,32 +462,6 @@ def subtree_directories(index: DirectoryIndex, roots: Roots, max_depth: int = MA
     return hit.select("root_id", *KEY, *columns, F.lit(1).cast("long").alias("times"))
 
 
-def _path_ranges(index: DirectoryIndex, roots: Roots):
-    """A filter on ``path`` that the subtrees of a short root list pass.
-
-    Everything below a directory sorts between its path + '/' and its path + '0', so the
-    filter lets a scan of the path-sorted index skip the row groups outside.
-    """
-    literal = roots.key_filter()
-    if literal is None:
-        return None
-    tops = index.table.where(literal).select("device", "path").distinct()
-    found = tops.take(MAX_LITERAL_ROOTS + 1)
-    if not found:
-        return F.lit(False)
-    if len(found) > MAX_LITERAL_ROOTS:
-        return None
-    path = F.col("path")
-    return reduce(
-        lambda a, b: a | b,
-        (
-            (F.col("device") == r["device"])
-            & ((path == r["path"]) | ((path >= r["path"] + "/") & (path < r["path"] + "0")))
-            for r in found
-        ),
-    )
-
-
 def _walk(index: DirectoryIndex, roots: Roots, max_depth: int) -> DataFrame:
     """Level-by-level descent, exact where directories have several rows.
 
@@ -459,7 +475,7 @@ def _walk(index: DirectoryIndex, roots: Roots, max_depth: int) -> DataFrame:
     group = ["root_id", *KEY, "path", "entries", "bytes"]
     start = join_lookup(rows, roots.table, KEY, small=roots.small)
     level = stage(start.groupBy(*group).agg(F.count(F.lit(1)).alias("times")), "walk")
-    hot_children = stage(hot_keys(children, PARENT_KEY), "hot")
+    hot_children = find_hot_keys(children, PARENT_KEY)
     levels = []
     while not level.isEmpty():
         if len(levels) > max_depth:
@@ -489,7 +505,7 @@ def descendants(
     entries: DataFrame,
     roots: Iterable | DataFrame,
     index: DirectoryIndex,
-    entry_filter=None,
+    entry_filter: EntryFilter = NO_FILTER,
 ) -> DataFrame:
     """The roots and everything below them, with ``root_id`` and ``path``.
 
@@ -497,9 +513,13 @@ def descendants(
     the entries before any join and can reach the scan. Rows reached by several roots, or
     through several rows of one directory, come out that many times.
     """
-    roots = as_roots(entries, roots)
-    wanted = entry_filter.apply(entries) if entry_filter is not None else entries
-    tops = with_path(stage(select_roots(wanted, roots), "tops"), index)
+    roots = as_roots(entries.sparkSession, roots, index)
+    wanted = entry_filter.apply(entries)
+    if roots.all_directories:
+        # The index has the rows of all directories, so the entries need not be searched.
+        tops = select_roots(entry_filter.apply(index.table), roots)
+    else:
+        tops = with_path(stage(select_roots(wanted, roots), "tops"), index)
     below = subtree_directories(index, roots).select(
         "root_id",
         "device",
@@ -511,7 +531,7 @@ def descendants(
         wanted.where(F.col("parent_inode").isNotNull()),
         below,
         PARENT_KEY,
-        hot=index.hot_parents(),
+        hot=index.hot,
     ).withColumn("path", F.concat("up_path", F.lit("/"), F.col("basename")))
     if not index.single:
         inner = inner.withColumn(
@@ -525,7 +545,7 @@ def find(
     entries: DataFrame,
     roots: Iterable | DataFrame,
     index: DirectoryIndex,
-    entry_filter=None,
+    entry_filter: EntryFilter = NO_FILTER,
 ) -> DataFrame:
     """Paths of the entries at or below ``roots`` that pass the filter."""
     return descendants(entries, roots, index, entry_filter).select("path")

@@ -51,58 +51,59 @@ def usage_by_root(
 
     A root without matching rows, or not in the snapshot at all, reports zeros.
     """
-    roots = as_roots(entries, roots)
-    if roots.small or not index.single:
-        return _usage_of_few(entries, roots, index, entry_filter)
-    return _usage_of_many(entries, roots, index, entry_filter)
+    roots = as_roots(entries.sparkSession, roots, index)
+    if not roots.small and index.single:
+        return _usage_of_many(entries, roots, index, entry_filter)
+    zeros = roots.table.select(
+        "root_id",
+        F.lit(None).cast("long").alias("size"),
+        F.lit(0).cast("long").alias("inodes"),
+        *KEY,
+    )
+    return (
+        _contributions(entries, roots, index, entry_filter)
+        .unionByName(zeros, allowMissingColumns=True)
+        .groupBy("root_id")
+        .agg(
+            F.max("device").alias("device"),
+            F.max("inode").alias("inode"),
+            _sum_or_zero("size"),
+            _sum_or_zero("inodes"),
+        )
+    )
+
 
+def _contributions(entries, roots: Roots, index, entry_filter) -> DataFrame:
+    """``root_id, size, inodes`` rows that add up to the totals of the roots.
 
-def _usage_of_few(entries, roots: Roots, index, entry_filter) -> DataFrame:
-    own = entry_filter.apply(_rows_holding(entries, roots, index))
-    own = select_roots(own, roots).groupBy("root_id").agg(
-        F.sum("size").alias("size"), F.count(F.lit(1)).alias("inodes")
+    If every root is a directory the index has all their own rows, and the entries, ten or
+    more times as many, need not be searched for them.
+    """
+    holding = index.table if roots.all_directories else entries
+    own = select_roots(entry_filter.apply(holding), roots).select(
+        "root_id", "size", F.lit(1).cast("long").alias("inodes")
     )
     below = subtree_directories(index, roots)
     if entry_filter.is_empty:
-        below = below.select(
-            "root_id",
-            (F.col("bytes") * F.col("times")).alias("size"),
-            (F.col("entries") * F.col("times")).alias("inodes"),
+        inside = below.select(
+            "root_id", "times", F.col("bytes").alias("size"), F.col("entries").alias("inodes")
         )
     else:
         tops = below.select("root_id", "device", F.col("inode").alias("parent_inode"), "times")
         wanted = entry_filter.apply(entries)
         if fits_broadcast(tops):
-            inside = wanted.select(*PARENT_KEY, "size", F.lit(1).cast("long").alias("inodes"))
-            inside = inside.join(F.broadcast(tops), PARENT_KEY)
+            wanted = wanted.select(*PARENT_KEY, "size", F.lit(1).cast("long").alias("inodes"))
+            inside = wanted.join(F.broadcast(tops), PARENT_KEY)
         else:
             # Sums per directory first: they are unique on the key, so no key is hot.
             inside = direct_totals(wanted).join(tops, PARENT_KEY)
-        below = inside.select(
+    return own.unionByName(
+        inside.select(
             "root_id",
             (F.col("size") * F.col("times")).alias("size"),
             (F.col("inodes") * F.col("times")).alias("inodes"),
         )
-    totals = (
-        own.unionByName(below.groupBy("root_id").agg(F.sum("size").alias("size"), F.sum("inodes").alias("inodes")))
-        .groupBy("root_id")
-        .agg(_sum_or_zero("size"), _sum_or_zero("inodes"))
     )
-    return _zero_filled(roots.table, totals, ["root_id"])
-
-
-def _rows_holding(entries: DataFrame, roots: Roots, index: DirectoryIndex) -> DataFrame:
-    """The table the roots' own rows are read from.
-
-    If every root is a directory the index has all their rows, and the entries, ten or more
-    times as many, need not be read.
-    """
-    literal = roots.key_filter()
-    if literal is None:
-        return entries
-    known = index.table.where(literal).select(*KEY).distinct()
-    missing = roots.table.select(*KEY).join(known, KEY, "left_anti")
-    return index.table if missing.isEmpty() else entries
 
 
 def _usage_of_many(entries, roots: Roots, index, entry_filter) -> DataFrame:
@@ -116,16 +117,8 @@ def _usage_of_many(entries, roots: Roots, index, entry_filter) -> DataFrame:
     )
     # The roots are the fact side: hard links may repeat one key very often.
     filled = join_lookup(roots.table, totals, KEY, "left", small=False)
-    return _with_zeros(filled)
-
-
-def _zero_filled(roots: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    return _with_zeros(roots.join(totals, keys, "left"))
-
-
-def _with_zeros(df: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
-    return df.select(
+    return filled.select(
         "root_id",
         *KEY,
         F.coalesce("size", zero).alias("size"),
@@ -186,9 +179,12 @@ def du(
     entry_filter: EntryFilter = NO_FILTER,
 ) -> DataFrame:
     """One row ``size, inodes`` over all roots together; repeated roots count again."""
-    return usage_by_root(entries, roots, index, entry_filter).agg(
-        _sum_or_zero("size"), _sum_or_zero("inodes")
-    )
+    roots = as_roots(entries.sparkSession, roots, index)
+    if not roots.small and index.single:
+        rows = _usage_of_many(entries, roots, index, entry_filter)
+    else:
+        rows = _contributions(entries, roots, index, entry_filter)
+    return rows.agg(_sum_or_zero("size"), _sum_or_zero("inodes"))
 
 
 def children_usage(
@@ -202,7 +198,7 @@ def children_usage(
     The listing is not filtered, only the totals are; a child without matching rows reports
     zeros.
     """
-    tops = as_roots(entries, directories)
+    tops = as_roots(entries.sparkSession, directories)
     literal = tops.key_filter("device", "parent_inode")
     listing = entries if literal is None else entries.where(literal)
     keys = tops.table.select("device", F.col("inode").alias("parent_inode")).distinct()
@@ -213,7 +209,7 @@ def children_usage(
         keys,
         PARENT_KEY,
         small=tops.small or None,
-        hot=index.hot_parents(),
+        hot=index.hot,
     )
     # Staged because the ids must stay the same for both uses.
     children = stage(

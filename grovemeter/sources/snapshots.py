@@ -20,7 +20,7 @@ def _commits(spark: SparkSession, base: str) -> DataFrame:
     try:
         return spark.read.schema(COMMIT_SCHEMA).json(f"{base}/commits")
     except AnalysisException:
-        return spark.createDataFrame([], COMMIT_SCHEMA)
+        return spark.sql("SELECT '' AS snapshot, current_timestamp() AS committed LIMIT 0")
 
 
 def _folder(base: str, snapshot: str) -> str:
