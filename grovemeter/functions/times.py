@@ -70,7 +70,7 @@ def time_epoch(text: Column, as_of: Column) -> Column:
         F.when(text.rlike(YEAR_PATTERN), F.to_timestamp(text, "yyyy"))
         .when(text.rlike(DAY_PATTERN), F.to_timestamp(text, "yyyyMMdd"))
         .when(text.rlike(SPAN_PATTERN) & (text != ""), span_start)
-        .otherwise(text.cast("timestamp"))
+        .otherwise(F.upper(text).cast("timestamp"))
     )
     return F.unix_micros(moment) / F.lit(1e6)
 

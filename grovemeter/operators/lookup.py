@@ -24,32 +24,25 @@ MAX_HOT_KEYS = 10_000
 UNKNOWN = object()
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
     """True if ``df`` has at most ``max_rows`` rows; stops reading once it has seen more."""
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     return df.select(F.lit(1)).offset(max_rows).isEmpty()
 
 
-def pieces_for(count_column, rows_per_piece: int = ROWS_PER_PIECE):
-    return F.ceil(count_column / F.lit(rows_per_piece)).cast("int")
-
-
-def hot_keys(
-    facts: DataFrame, keys: Sequence[str], rows_per_piece: int = ROWS_PER_PIECE
-) -> DataFrame:
+def hot_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The largest keys of ``facts`` with the number of ``pieces`` each is split into."""
     counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return limit_hot(counts, keys, "rows", rows_per_piece)
+    return limit_hot(counts, keys, "rows")
 
 
-def limit_hot(
-    counts: DataFrame, keys: Sequence[str], count: str, rows_per_piece: int = ROWS_PER_PIECE
-) -> DataFrame:
+def limit_hot(counts: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
     """Hot keys from a table that already knows the row count of each key."""
     return (
-        counts.where(F.col(count) > rows_per_piece)
+        counts.where(F.col(count) > ROWS_PER_PIECE)
         .orderBy(F.desc(count))
         .limit(MAX_HOT_KEYS)
-        .select(*keys, pieces_for(F.col(count), rows_per_piece).alias("pieces"))
+        .select(*keys, F.ceil(F.col(count) / ROWS_PER_PIECE).cast("int").alias("pieces"))
     )
 
 
@@ -77,13 +70,11 @@ def salted_join(
     return salted.join(repeated, keys + ["salt"], how).drop("salt")
 
 
-def find_hot_keys(
-    facts: DataFrame, keys: Sequence[str], rows_per_piece: int = ROWS_PER_PIECE
-) -> DataFrame | None:
+def find_hot_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """The hot keys of ``facts`` as a staged table, or None if there are none."""
-    if fits_broadcast(facts, rows_per_piece):
+    if fits_broadcast(facts, ROWS_PER_PIECE):
         return None  # no key can hold more rows than there are
-    hot = stage(hot_keys(facts, keys, rows_per_piece), "hot")
+    hot = stage(hot_keys(facts, keys), "hot")
     return None if hot.isEmpty() else hot
 
 
@@ -94,8 +85,6 @@ def join_lookup(
     how: str = "inner",
     hot: DataFrame | None | object = UNKNOWN,
     small: bool | None = None,
-    max_rows: int = BROADCAST_ROWS,
-    rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` on equal-named ``keys`` (``how``: inner or left).
 
@@ -104,11 +93,11 @@ def join_lookup(
     """
     keys = list(keys)
     if small is None:
-        small = fits_broadcast(lookup, max_rows)
+        small = fits_broadcast(lookup)
     if small:
         return facts.join(F.broadcast(lookup), keys, how)
     if hot is UNKNOWN:
-        hot = find_hot_keys(facts, keys, rows_per_piece)
+        hot = find_hot_keys(facts, keys)
     if hot is None:
         return facts.join(lookup, keys, how)
     return salted_join(facts, lookup, keys, how, hot)

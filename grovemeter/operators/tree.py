@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grovemeter.functions.modes import is_directory
+from grovemeter.operators import lookup
 from grovemeter.operators.filters import NO_FILTER, EntryFilter, check_roots
 from grovemeter.operators.lookup import (
-    BROADCAST_ROWS,
-    ROWS_PER_PIECE,
     UNKNOWN,
     find_hot_keys,
     fits_broadcast,
@@ -113,11 +112,13 @@ def directory_rows(entries: DataFrame, by: str = "mode") -> DataFrame:
 
 
 def build_directory_index(
-    entries: DataFrame, max_depth: int = MAX_DEPTH, by: str = "mode"
+    entries: DataFrame, max_depth: int = MAX_DEPTH, by: str = "mode", path: str | None = None
 ) -> DirectoryIndex:
     """Solve the directory tree of ``entries`` and stage it as a :class:`DirectoryIndex`.
 
-    Raises ``ValueError`` if a chain is deeper than ``max_depth``, as in a cycle.
+    With ``path`` the index is kept there, for :func:`open_directory_index` in later
+    applications. Raises ``ValueError`` if a chain is deeper than ``max_depth``, as in a
+    cycle.
     """
     rows = stage(directory_rows(entries, by).select(*ENTRY_COLUMNS), "dir-rows")
     inside = entries.where(F.col("parent_inode").isNotNull()).select(
@@ -143,7 +144,7 @@ def build_directory_index(
         )
         .where(F.col("copies") > 0)
     )
-    rows = stage(rows.join(totals, KEY), "dir-totals")
+    rows = stage(join_lookup(rows, totals, KEY, small=False), "dir-totals")
     single = rows.where(F.col("copies") > 1).isEmpty()
     rows = rows.withColumn("preferred", F.lit(True)) if single else _mark_preferred(rows)
 
@@ -152,7 +153,7 @@ def build_directory_index(
     if single:
         table = rows.join(chains, KEY)
     else:
-        kept = rows.where("preferred").join(chains, KEY)
+        kept = join_lookup(rows.where("preferred"), chains, KEY, small=False)
         above = chains.select(
             "device",
             F.col("inode").alias("parent_inode"),
@@ -160,8 +161,7 @@ def build_directory_index(
             F.col("chain").alias("up_chain"),
         )
         others = (
-            rows.where(~F.col("preferred"))
-            .join(above, PARENT_KEY, "left")
+            join_lookup(rows.where(~F.col("preferred")), above, PARENT_KEY, "left", small=False)
             .withColumn("path", _joined_path("up_path", "basename"))
             .withColumn("chain", _joined_chain("up_chain", F.array("inode")))
             .drop("up_path", "up_chain")
@@ -178,7 +178,19 @@ def build_directory_index(
         "preferred",
     )
     table = table.repartitionByRange("device", "path").sortWithinPartitions("device", "path")
-    table = stage(table, "directory-index")
+    if path is None:
+        return _index_of(stage(table, "directory-index"), single)
+    table.write.parquet(path)
+    return open_directory_index(entries.sparkSession, path)
+
+
+def open_directory_index(spark: SparkSession, path: str) -> DirectoryIndex:
+    """An index built earlier with ``path``."""
+    table = spark.read.parquet(path)
+    return _index_of(table, table.where(F.col("copies") > 1).isEmpty())
+
+
+def _index_of(table: DataFrame, single: bool) -> DirectoryIndex:
     hot = limit_hot(table.where("preferred"), KEY, "entries")
     hot = stage(hot.withColumnRenamed("inode", "parent_inode"), "hot-directories")
     return DirectoryIndex(table, single, None if hot.isEmpty() else hot)
@@ -246,7 +258,7 @@ def _solve_chains(nodes: DataFrame, max_depth: int) -> DataFrame:
             F.col("path").alias("up_path"),
             F.col("chain").alias("up_chain"),
         )
-        hot = None if remaining <= ROWS_PER_PIECE else UNKNOWN
+        hot = None if remaining <= lookup.ROWS_PER_PIECE else UNKNOWN
         solved = join_lookup(active, targets, ["device", "up"], "left", hot, small).select(
             *KEY,
             F.col("next_up").alias("up"),
@@ -328,7 +340,7 @@ def as_roots(spark: SparkSession, roots: Iterable | DataFrame, index: DirectoryI
     pairs = tuple(check_roots(roots))
     if len(pairs) > MAX_LITERAL_ROOTS:
         rows = [(n, d, i) for n, (d, i) in enumerate(pairs)]
-        return Roots(spark.createDataFrame(rows, ROOTS_SCHEMA), len(pairs) <= BROADCAST_ROWS, pairs)
+        return Roots(spark.createDataFrame(rows, ROOTS_SCHEMA), len(pairs) <= lookup.BROADCAST_ROWS, pairs)
     values = ", ".join(f"({n}L, {d}L, {i}L)" for n, (d, i) in enumerate(pairs))
     table = spark.sql(f"SELECT * FROM VALUES {values} AS roots(root_id, device, inode)")
     found = Roots(table, True, pairs)
@@ -341,6 +353,46 @@ def as_roots(spark: SparkSession, roots: Iterable | DataFrame, index: DirectoryI
     return replace(found, located=tuple(tuple(row) for row in located))
 
 
+def roots_at(
+    entries: DataFrame, index: DirectoryIndex, paths: str | Iterable[str]
+) -> list[tuple[int, int]]:
+    """(device, inode) of the entries at the given paths, in order.
+
+    Directories are looked up in the index; other paths through their parent directory.
+    Raises ``LookupError`` for a path the snapshot does not hold.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    names = [p.rstrip("/") or p for p in paths]
+    found = {
+        r["path"]: (r["device"], r["inode"])
+        for r in index.table.where(F.col("path").isin(names))
+        .groupBy("path")
+        .agg(F.min_by("device", "inode").alias("device"), F.min("inode").alias("inode"))
+        .collect()
+    }
+    rest = sorted(set(names) - set(found))
+    if rest:
+        places = [p.rpartition("/") for p in rest]
+        folders = index.as_parents(F.col("path").alias("folder")).where(
+            F.col("folder").isin([folder for folder, _, _ in places])
+        )
+        files = entries.where(
+            F.col("basename").isin([name for _, _, name in places]) & F.col("inode").isNotNull()
+        )
+        rows = (
+            join_lookup(files, stage(folders, "folders"), PARENT_KEY)
+            .withColumn("path", F.concat("folder", F.lit("/"), F.col("basename")))
+            .where(F.col("path").isin(rest))
+            .groupBy("path")
+            .agg(F.min_by("device", "inode").alias("device"), F.min("inode").alias("inode"))
+        )
+        found |= {r["path"]: (r["device"], r["inode"]) for r in rows.collect()}
+    missing = [p for p in names if p not in found]
+    if missing:
+        raise LookupError(f"not in the snapshot: {missing}")
+    return [found[p] for p in names]
+
+
 def select_roots(entries: DataFrame, roots: Iterable | DataFrame) -> DataFrame:
     """The rows each root names, once per repeat, with its ``root_id``.
 

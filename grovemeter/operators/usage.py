@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovemeter.functions.modes import is_directory
+from grovemeter.functions.sizes import usage_line
 from grovemeter.operators.filters import NO_FILTER, EntryFilter
 from grovemeter.operators.lookup import fits_broadcast, join_lookup
 from grovemeter.operators.tree import (
@@ -22,6 +23,7 @@ from grovemeter.operators.tree import (
     DirectoryIndex,
     Roots,
     as_roots,
+    roots_at,
     select_roots,
     subtree_directories,
 )
@@ -187,6 +189,19 @@ def du(
     return rows.agg(_sum_or_zero("size"), _sum_or_zero("inodes"))
 
 
+def usage_report(
+    entries: DataFrame,
+    paths: Iterable[str],
+    index: DirectoryIndex,
+    entry_filter: EntryFilter = NO_FILTER,
+) -> DataFrame:
+    """One ``line`` of text per path, as given: size, number of entries, path."""
+    paths = list(paths)
+    totals = usage_by_root(entries, roots_at(entries, index, paths), index, entry_filter)
+    name = F.element_at(F.array(*[F.lit(p) for p in paths]), F.col("root_id").cast("int") + 1)
+    return totals.select(usage_line(F.col("size"), F.col("inodes"), name).alias("line"))
+
+
 def children_usage(
     entries: DataFrame,
     directories: Iterable | DataFrame,

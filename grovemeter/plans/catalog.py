@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemeter.functions.sizes import pretty_size, size_bytes, usage_line
+from grovemeter.functions.sizes import pretty_size, size_bytes
 from grovemeter.functions.times import signed_time_epoch
 from grovemeter.operators import history, unreadable, usage
 from grovemeter.operators.filters import EntryFilter, non_root_rows, text_filter
@@ -210,11 +210,8 @@ def du_per_root(s: Sample) -> DataFrame:
 
 
 def du_report(s: Sample) -> DataFrame:
-    totals = usage.usage_by_root(s.entries, s.roots, s.index, FILTERS["filter_size_max"])
-    names = select_roots(s.entries, s.roots).select("root_id", "basename")
-    return totals.join(names, "root_id").select(
-        usage_line(F.col("size"), F.col("inodes"), F.col("basename")).alias("line")
-    )
+    paths = [f"/data/{name}/" for name in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")]
+    return usage.usage_report(s.entries, paths, s.index, FILTERS["filter_size_max"])
 
 
 def children_usage(s: Sample) -> DataFrame:

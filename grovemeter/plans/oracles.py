@@ -349,7 +349,7 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT device, CAST(2 AS BIGINT) AS inode, {total} FROM tree GROUP BY device"
         ),
         "du_report": tree_sql(
-            f"""SELECT {pretty('size')} || ', ' || printf('%8d', inodes) || ' files, ' || root AS line
+            f"""SELECT {pretty('size')} || ', ' || printf('%8d', inodes) || ' files, ' || root || '/' AS line
                 FROM (SELECT string_split(path, '/')[3] AS name, '/data/' || name AS root,
                              CAST(SUM(size) AS BIGINT) AS size, COUNT(*) AS inodes
                       FROM tree WHERE size <= 16777216 GROUP BY name)"""

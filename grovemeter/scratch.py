@@ -39,3 +39,10 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = new_scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every table this application has staged."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    root.getFileSystem(configuration).delete(root, True)

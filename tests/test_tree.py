@@ -1,0 +1,224 @@
+import pytest
+from pyspark.sql import functions as F
+
+from grovemeter.operators import tree, usage
+from grovemeter.operators.filters import EntryFilter
+from tests.trees import Account, directory, frame, random_forest, row, unreadable
+
+
+def index_of(spark, rows, **options):
+    entries = frame(spark, rows)
+    return entries, tree.build_directory_index(entries, **options)
+
+
+def paths(df):
+    return sorted(r["path"] for r in df.collect())
+
+
+SMALL = [
+    directory("/data/a", 1, None),
+    directory("sub", 2, 1),
+    row("one", 3, 2, size=5),
+    row("link", 3, 1, size=5),
+    unreadable("closed", 2),
+    directory("empty", 4, 1),
+    directory("lost", 50, 777),
+    row("inner", 51, 50, size=9),
+]
+
+
+def test_paths_of_every_entry(spark):
+    entries, index = index_of(spark, SMALL)
+    assert paths(tree.with_path(entries, index)) == [
+        "/data/a",
+        "/data/a/empty",
+        "/data/a/link",
+        "/data/a/sub",
+        "/data/a/sub/closed",
+        "/data/a/sub/one",
+        "lost",
+        "lost/inner",
+    ]
+
+
+def test_find_starts_at_directories_files_and_repeats(spark):
+    entries, index = index_of(spark, SMALL)
+    assert paths(tree.find(entries, [(1, 2)], index)) == [
+        "/data/a/sub", "/data/a/sub/closed", "/data/a/sub/one",
+    ]
+    # Both hard links of a file are rows of that root.
+    assert paths(tree.find(entries, [(1, 3)], index)) == ["/data/a/link", "/data/a/sub/one"]
+    # Overlapping roots count each time they reach a row.
+    assert paths(tree.find(entries, [(1, 2), (1, 2), (1, 3)], index)).count("/data/a/sub/one") == 3
+    assert paths(tree.find(entries, [(1, 999), (2, 1)], index)) == []
+
+
+def test_roots_by_path(spark, tmp_path):
+    entries, index = index_of(spark, SMALL, path=str(tmp_path / "index"))
+    assert tree.roots_at(entries, index, "/data/a/") == [(1, 1)]
+    assert tree.roots_at(entries, index, ["/data/a/sub/one", "/data/a/sub", "lost"]) == [
+        (1, 3), (1, 2), (1, 50),
+    ]
+    for missing in ("/data", "/data/a/one", "/data/a/sub/closed"):
+        with pytest.raises(LookupError):
+            tree.roots_at(entries, index, [missing])
+    report = usage.usage_report(entries, ["/data/a/sub", "/data/a/empty"], index)
+    assert sorted(r["line"] for r in report.collect()) == [
+        "  1.00B ,        1 files, /data/a/empty",
+        "  6.00B ,        3 files, /data/a/sub",
+    ]
+    again = tree.open_directory_index(spark, str(tmp_path / "index"))
+    assert again.single and paths(again.table) == paths(index.table)
+
+
+def test_filter_does_not_prune_the_search(spark):
+    rows = [
+        directory("/r", 1, None, uid=1),
+        directory("d", 2, 1, uid=2),
+        row("f", 3, 2, uid=1),
+    ]
+    entries, index = index_of(spark, rows)
+    assert paths(tree.find(entries, [(1, 1)], index, EntryFilter(uid=1))) == ["/r", "/r/d/f"]
+
+
+def test_equal_inodes_on_two_devices_stay_apart(spark):
+    rows = [
+        directory("/x", 2, None, device=1),
+        row("a", 3, 2, device=1),
+        directory("/y", 2, None, device=2),
+        row("b", 3, 2, device=2),
+    ]
+    entries, index = index_of(spark, rows)
+    assert paths(tree.find(entries, [(2, 2)], index)) == ["/y", "/y/b"]
+
+
+def test_names_around_the_separator(spark):
+    """Siblings that sort next to '/' do not leak into a subtree."""
+    names = ["d", "d!", "d.", "d0", "d00", "d/x".replace("/", "-"), "D", "dé"]
+    rows = [directory("/r", 1, None)]
+    for n, name in enumerate(names):
+        rows.append(directory(name, 10 + n, 1))
+        rows.append(row("f", 100 + n, 10 + n))
+    entries, index = index_of(spark, rows)
+    for n, name in enumerate(names):
+        assert paths(tree.find(entries, [(1, 10 + n)], index)) == [f"/r/{name}", f"/r/{name}/f"]
+
+
+def test_deep_tree(spark):
+    depth = 150
+    rows = [directory("/r", 1, None)] + [
+        directory(f"d{n}", n, n - 1) for n in range(2, depth + 1)
+    ]
+    entries, index = index_of(spark, rows)
+    deepest = index.table.orderBy(F.desc("depth")).head()
+    assert deepest["depth"] == depth - 1
+    assert deepest["path"] == "/r/" + "/".join(f"d{n}" for n in range(2, depth + 1))
+    assert usage.du(entries, [(1, 1)], index).head()["inodes"] == depth
+
+
+def test_cycle_and_excess_depth_are_refused(spark):
+    rows = [directory("/r", 1, None), directory("a", 5, 6), directory("b", 6, 5)]
+    with pytest.raises(ValueError, match="cycle"):
+        index_of(spark, rows)
+    chain = [directory("/r", 1, None)] + [directory(f"d{n}", n, n - 1) for n in range(2, 40)]
+    with pytest.raises(ValueError, match="deeper"):
+        index_of(spark, chain, max_depth=16)
+
+
+def test_parents_by_key_follow_any_mode(spark):
+    rows = [directory("/r", 1, None), row("odd", 2, 1), row("f", 3, 2)]
+    entries, index = index_of(spark, rows, by="key")
+    assert paths(tree.find(entries, [(1, 1)], index)) == ["/r", "/r/odd", "/r/odd/f"]
+    assert usage.du(entries, [(1, 2)], index).head().asDict() == {"size": 2, "inodes": 2}
+
+
+def test_parent_and_root_lookups(spark):
+    entries, index = index_of(spark, SMALL)
+    parents = {
+        r["basename"]: r["parent_basename"] for r in tree.with_parent(entries, index).collect()
+    }
+    assert parents["one"] == "sub" and parents["/data/a"] is None and parents["lost"] is None
+    roots = {r["basename"]: r["root_basename"] for r in tree.with_root(entries, index).collect()}
+    assert set(roots.values()) == {"/data/a"}
+
+
+def test_aggregated_paths_match_the_index(spark):
+    entries, index = index_of(spark, random_forest(3))
+    rebuilt = {tuple(r) for r in tree.path_by_aggregation(index).collect()}
+    solved = {tuple(r) for r in index.table.select("device", "inode", "path").collect()}
+    assert rebuilt == solved
+
+
+def overlapping_scans():
+    """/data/r scanned whole, and /data/r/sub scanned again on its own."""
+    first = [
+        directory("/data/r", 1, None, root=1),
+        directory("sub", 2, 1, root=1),
+        directory("deep", 3, 2, root=1),
+        row("f", 4, 3, size=7, root=1),
+    ]
+    second = [
+        directory("/data/r/sub", 2, None, root=2),
+        directory("deep", 3, 2, root=2),
+        row("f", 4, 3, size=7, root=2),
+    ]
+    return first + second
+
+
+@pytest.mark.parametrize("roots", [[(1, 1)], [(1, 2)], [(1, 3)], [(1, 4)], [(1, 1), (1, 2)]])
+def test_overlapping_scans_multiply_as_joins_do(spark, roots):
+    rows = overlapping_scans()
+    entries, index = index_of(spark, rows)
+    assert not index.single
+    account = Account(rows)
+    assert paths(tree.find(entries, roots, index)) == sorted(
+        path for _, _, path in account.search(roots)
+    )
+    size, inodes = map(sum, zip(*account.du(roots)))
+    assert usage.du(entries, roots, index).head().asDict() == {"size": size, "inodes": inodes}
+    duplicates = {r["inode"]: r["copies"] for r in tree.duplicate_directories(entries).collect()}
+    assert duplicates == {2: 2, 3: 2}
+
+
+def test_overlapping_scans_keep_one_path_per_directory(spark):
+    entries, index = index_of(spark, overlapping_scans() + [directory("deep", 3, 2, root=2)])
+    assert paths(index.directories) == ["/data/r", "/data/r/sub", "/data/r/sub/deep"]
+    assert set(paths(tree.with_path(entries, index))) == {
+        "/data/r", "/data/r/sub", "/data/r/sub/deep", "/data/r/sub/deep/f",
+    }
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_forests(spark, seed):
+    check_forest(spark, seed)
+
+
+def test_random_forest_at_scale(spark, at_scale):
+    """The same results by shuffle and with hot keys split."""
+    check_forest(spark, 5)
+
+
+def check_forest(spark, seed):
+    rows = random_forest(seed)
+    account = Account(rows)
+    entries, index = index_of(spark, rows)
+    assert paths(tree.with_path(entries, index)) == sorted(account.path(r) for r in rows)
+    roots = sorted({(r["device"], r["inode"]) for r in rows if r["inode"] is not None})[::5]
+    got = tree.descendants(entries, roots, index).select("root_id", "basename", "path").collect()
+    want = [(n, r["basename"], path) for n, r, path in account.search(roots)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_roots_from_a_table(spark, at_scale):
+    rows = random_forest(6, devices=4)
+    account = Account(rows)
+    entries, index = index_of(spark, rows)
+    roots = sorted({(r["device"], r["inode"]) for r in rows if r["inode"] is not None})
+    table = spark.createDataFrame(
+        [(n, d, i) for n, (d, i) in enumerate(roots)], tree.ROOTS_SCHEMA
+    )
+    got = {
+        r["root_id"]: (r["size"], r["inodes"])
+        for r in usage.usage_by_root(entries, table, index).collect()
+    }
+    assert [got[n] for n in range(len(roots))] == account.du(roots)
