@@ -44,6 +44,7 @@ def age_bins(spark: SparkSession, bins: Sequence[AgeBin], as_of: Column) -> Data
     """The bins as a table: ``bin_ord, bin_label, months, days, lo, hi``; ``lo`` NULL = open.
 
     One row per listed bin, so its single-partition window stays as small as the list.
+    Summaries join it on ``bin_ord``.
     """
     rows = F.array(
         *[
@@ -71,15 +72,8 @@ def age_bins(spark: SparkSession, bins: Sequence[AgeBin], as_of: Column) -> Data
     )
 
 
-def join_bins(entries: DataFrame, bins: DataFrame, time_column: str) -> DataFrame:
-    """Range-containment join to a table of disjoint bins made by :func:`age_bins`."""
-    moment = epoch_timestamp(F.col(time_column))
-    inside = (F.col("lo").isNull() | (moment >= F.col("lo"))) & (moment < F.col("hi"))
-    return entries.join(F.broadcast(bins), inside)
-
-
 def bin_ordinal(moment: Column, bins: Sequence[AgeBin], as_of: Column) -> Column:
-    """The bin a time falls in, as one expression: bounds fold to constants, no join."""
+    """The bin a time falls in, as one expression: bounds fold to constants, no range join."""
     ordinal = F.lit(None).cast("int")
     for n, b in enumerate(bins):
         ordinal = F.when(moment < before(as_of, b.months, b.days), F.lit(n)).otherwise(ordinal)

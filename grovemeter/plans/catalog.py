@@ -27,7 +27,7 @@ from grovemeter.plans.sample import Sample, sample
 from grovemeter.scratch import new_scratch_path
 from grovemeter.sources import reports
 from grovemeter.sources.listings import entries_from_listing, url_names, url_root
-from grovemeter.sources.scan_csv import read_scan_csv, write_scan_csv
+from grovemeter.sources.scan_csv import load_scan, write_scan_csv
 from grovemeter.sources.snapshots import append_summary, publish_snapshot, read_snapshot
 
 AS_OF = datetime(2001, 10, 31, 12)
@@ -50,9 +50,9 @@ def without_zone(df: DataFrame, *names: str) -> DataFrame:
 
 
 def ingest_scan_csv(s: Sample) -> DataFrame:
-    path = new_scratch_path(s.spark, "scan")
+    path = new_scratch_path(s.spark, "scan-files")
     write_scan_csv(s.entries, path)
-    return read_scan_csv(s.spark, path)
+    return load_scan(s.spark, path, new_scratch_path(s.spark, "loaded"), "1")
 
 
 def snapshot_refresh(s: Sample) -> DataFrame:
@@ -268,12 +268,13 @@ def access_history(s: Sample) -> DataFrame:
 
 
 def age_bins(s: Sample) -> DataFrame:
-    bins = history.age_bins(s.spark, history.CHANGE_BINS, as_of())
-    binned = history.join_bins(s.entries, bins, "mtime")
-    totals = binned.groupBy("bin_ord", "bin_label", "months", "days", "lo", "hi").agg(
-        F.count(F.lit(1)).alias("inodes"), F.sum("size").alias("size")
+    totals = (
+        history.age_history(s.entries, as_of())
+        .groupBy("bin_ord")
+        .agg(F.sum("inodes").alias("inodes"), F.sum("size").alias("size"))
     )
-    return without_zone(totals, "lo", "hi")
+    bins = history.age_bins(s.spark, history.CHANGE_BINS, as_of())
+    return without_zone(bins.join(totals, "bin_ord"), "lo", "hi")
 
 
 # --- unreadable report ---

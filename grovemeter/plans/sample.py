@@ -41,7 +41,7 @@ class Sample:
     @cached_property
     def entries(self) -> DataFrame:
         base = new_scratch_path(self.spark, "sample")
-        publish_snapshot(self.mapped_entries(), base, "1")
+        publish_snapshot(stage(self.mapped_entries(), "mapped"), base, "1")
         return read_snapshot(self.spark, base)
 
     @cached_property

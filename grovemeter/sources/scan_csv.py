@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovemeter.schemas import ENTRY_COLUMNS, SCAN_COLUMNS, SCAN_SCHEMA
+from grovemeter.scratch import stage
+from grovemeter.sources.snapshots import publish_snapshot, read_snapshot
 
 # The wire format.
 RECORD_SEPARATOR = "\r\n"
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+SCAN_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCAN_SCHEMA)
 
 
 def read_scan_csv(
@@ -35,7 +38,7 @@ def read_scan_csv(
         whole = lines.where(~F.col("file").isin(broken)).select("value")
         pieces = lines.where(F.col("file").isin(broken))
         lines = whole.unionByName(_rejoined(pieces, separator))
-    record = F.from_csv("value", SCAN_SCHEMA.simpleString()[7:-1].replace(":", " "), CSV_OPTIONS)
+    record = F.from_csv("value", SCAN_DDL, CSV_OPTIONS)
     return (
         lines.where(F.col("value") != "")
         .select(record.alias("record"))
@@ -44,6 +47,18 @@ def read_scan_csv(
     )
 
 
+def load_scan(
+    spark: SparkSession, paths: str | Sequence[str], base: str, snapshot: str
+) -> DataFrame:
+    """Read scan files and publish them as the current snapshot of ``base``.
+
+    The parsed records are staged, because laying out a snapshot reads its input twice and
+    parsing is the dearer part.
+    """
+    publish_snapshot(stage(read_scan_csv(spark, paths), "scan"), base, snapshot)
+    return read_snapshot(spark, base, snapshot)
+
+
 def _lines(spark: SparkSession, paths, separator: str) -> DataFrame:
     return spark.read.option("lineSep", separator).text(paths).select(
         "value",

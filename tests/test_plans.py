@@ -15,12 +15,6 @@ FOLDER = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="sample tables not present")
 
-SKIPPED = {
-    # its point is the range join to a table of five bins
-    "age_bins",
-}
-
-
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -31,7 +25,7 @@ def loaded(spark):
     return sample(spark, FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in SKIPPED])
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_no_query_needs_python_or_a_cross_join(loaded, name):
     text = plan(catalog.QUERIES[name](loaded))
     for word in ("Python", "Pandas", "NestedLoop", "Cartesian", "ExistingRDD"):

@@ -8,7 +8,7 @@ from grovemeter.operators.tree import duplicate_directories
 from grovemeter.schemas import ENTRY_COLUMNS, SCAN_COLUMNS
 from grovemeter.scratch import scratch_root
 from grovemeter.sources.listings import entries_from_listing, url_names, url_root
-from grovemeter.sources.scan_csv import read_scan_csv, write_scan_csv
+from grovemeter.sources.scan_csv import load_scan, read_scan_csv, write_scan_csv
 from grovemeter.sources.snapshots import publish_snapshot, read_snapshot
 from tests.trees import directory, frame, row, unreadable
 
@@ -55,6 +55,8 @@ def test_scan_csv_from_another_writer(spark, tmp_path):
         write_like_a_scanner(tmp_path / f"scan.{n}.csv", rows)
         written += rows
     want = as_set(frame(spark, written))
+    loaded = load_scan(spark, str(tmp_path / "scan.*.csv"), str(tmp_path / "base"), "1")
+    assert as_set(loaded) == want
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         for size in (before, "4096", "97"):
