@@ -20,17 +20,17 @@ inode AS MATERIALIZED (
          n_regionkey + 1, 16877, 0, n_nationkey, 4096, 0, 0, 0, 2, 2
   FROM nation
   UNION ALL
-  SELECT c_name, 1000000 + c_custkey, n_regionkey + 1, 16877, c_custkey, c_nationkey,
+  SELECT c_name, 1000000 + c_custkey, n_regionkey + 1, 16877, CAST(c_custkey AS INTEGER), c_nationkey,
          4096, 0, 0, 0, 2, 1000 + c_nationkey
   FROM customer JOIN nation ON n_nationkey = c_nationkey
   UNION ALL
-  SELECT 'order_' || o_orderkey, 1000000000 + o_orderkey, n_regionkey + 1, 16877, c_custkey,
+  SELECT 'order_' || o_orderkey, 1000000000 + o_orderkey, n_regionkey + 1, 16877, CAST(c_custkey AS INTEGER),
          c_nationkey, 4096, epoch(o_orderdate), epoch(o_orderdate), 0, 2, 1000000 + o_custkey
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
   UNION ALL
   SELECT 'item_' || l_linenumber || '_' || l_partkey,
          CASE WHEN ok THEN 1000000000000 + l_orderkey * 16 + l_linenumber END, n_regionkey + 1,
-         CASE WHEN ok THEN 33188 END, CASE WHEN ok THEN c_custkey END,
+         CASE WHEN ok THEN 33188 END, CASE WHEN ok THEN CAST(c_custkey AS INTEGER) END,
          CASE WHEN ok THEN c_nationkey END,
          CASE WHEN ok THEN CAST(l_quantity * 1048576 AS BIGINT) END,
          CASE WHEN ok THEN epoch(l_shipdate) END,
