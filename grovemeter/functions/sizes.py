@@ -33,27 +33,40 @@ def size_bytes(text: Column) -> Column:
     return number * scale
 
 
+def _hundredths(size: Column, bits: int) -> Column:
+    """``size * 100 / 2**bits`` rounded half to even, in whole numbers below 2**63.
+
+    One decimal at a time: ten times a rest below 2**n is five times it below 2**(n - 1).
+    """
+    if bits == 0:
+        return size * 100
+
+    def below(value, n):
+        return value.bitwiseAND(F.lit(2**n - 1))
+
+    fives = below(size, bits) * 5
+    tenth = F.shiftright(fives, bits - 1)
+    fives = below(fives, bits - 1) * 5
+    hundredth = F.shiftright(fives, bits - 2)
+    rest, half = below(fives, bits - 2), F.lit(2 ** (bits - 3))
+    up = (rest > half) | ((rest == half) & (hundredth % 2 == 1))
+    return F.shiftright(size, bits) * 100 + tenth * 10 + hundredth + up.cast("long")
+
+
 def pretty_size(size: Column) -> Column:
     """A byte count in the largest fitting unit, two decimals in a field of six.
 
-    The decimals are rounded half to even on whole numbers, so no floating-point formatting
-    rule of the JVM shows in the text.
+    The decimals come from whole-number arithmetic, so no floating-point formatting rule of
+    the JVM shows in the text.
     """
     size = size.cast("long")
     text = F.lit(None).cast("string")
     for power, label in enumerate(UNIT_LABELS):
-        unit = F.lit(1024**power).cast("decimal(20,0)")
-        scaled = size.cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
-        floor = F.floor(scaled / unit) if power else scaled
-        floor = floor.cast("long")
-        twice_left = (scaled - floor.cast("decimal(20,0)") * unit) * F.lit(2).cast("decimal(1,0)")
-        up = (twice_left > unit) | ((twice_left == unit) & (floor % 2 == 1))
-        hundredths = floor + up.cast("long")
+        hundredths = _hundredths(size, 10 * power)
         shown = F.format_string(
-            "%3d.%02d%s",
+            f"%3d.%02d{label}",
             F.floor(hundredths / 100).cast("long"),
             F.pmod(hundredths, F.lit(100)).cast("long"),
-            F.lit(label),
         )
         text = F.when(size >= F.lit(1024**power), shown).otherwise(text)
     return F.when(size == 0, F.lit(ZERO_TEXT)).otherwise(text)

@@ -3,7 +3,8 @@
 The lookup is broadcast only after a check of its row count. Beyond that bound the join
 shuffles, and every key that holds more rows than one task should see is split into as many
 pieces as it needs; the matching lookup rows are repeated once per piece. Salts are hashes
-of the row, not random numbers, so a re-run task sends each row to the same place.
+of the row and its input partition, not random numbers: a re-run task sends each row to the
+same place, and equal rows from different partitions still spread out.
 """
 
 from __future__ import annotations
@@ -54,12 +55,10 @@ def salted_join(
     ``hot`` has at most MAX_HOT_KEYS narrow rows, which is what bounds its broadcasts.
     """
     keys = list(keys)
-    row_hash = F.xxhash64(*facts.columns)
+    piece = F.pmod(F.xxhash64(*facts.columns, F.spark_partition_id()), F.col("pieces"))
     salted = (
         facts.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "salt", F.coalesce(F.pmod(row_hash, F.col("pieces")), F.lit(0)).cast("int")
-        )
+        .withColumn("salt", F.when(F.col("pieces").isNotNull(), piece).otherwise(F.lit(0)).cast("int"))
         .drop("pieces")
     )
     repeated = (
