@@ -109,20 +109,27 @@ def _contributions(entries, roots: Roots, index, entry_filter) -> DataFrame:
 
 
 def _usage_of_many(entries, roots: Roots, index, entry_filter) -> DataFrame:
+    # The roots are the fact side: hard links may repeat one key very often.
+    totals = _totals_by_key(entries, index, entry_filter)
+    return _zero_filled(join_lookup(roots.table, totals, KEY, "left", small=False), "root_id", *KEY)
+
+
+def _totals_by_key(entries, index: DirectoryIndex, entry_filter) -> DataFrame:
+    """``device, inode, size, inodes`` of every inode: its own rows and all below them."""
     own = entry_filter.apply(entries).where(F.col("inode").isNotNull()).select(
         *KEY, "size", F.lit(1).cast("long").alias("inodes")
     )
-    totals = (
+    return (
         own.unionByName(_climbing_totals(entries, index, entry_filter))
         .groupBy(*KEY)
         .agg(_sum_or_zero("size"), _sum_or_zero("inodes"))
     )
-    # The roots are the fact side: hard links may repeat one key very often.
-    filled = join_lookup(roots.table, totals, KEY, "left", small=False)
+
+
+def _zero_filled(df: DataFrame, *columns) -> DataFrame:
     zero = F.lit(0).cast("long")
-    return filled.select(
-        "root_id",
-        *KEY,
+    return df.select(
+        *columns,
         F.coalesce("size", zero).alias("size"),
         F.coalesce("inodes", zero).alias("inodes"),
     )
@@ -226,20 +233,26 @@ def children_usage(
         small=tops.small or None,
         hot=index.hot,
     )
-    # Staged because the ids must stay the same for both uses.
-    children = stage(
-        children.withColumn("root_id", F.monotonically_increasing_id()), "children"
-    )
-    usage = usage_by_root(
-        entries, children.where(F.col("inode").isNotNull()), index, entry_filter
-    ).select("root_id", "size", "inodes")
-    zero = F.lit(0).cast("long")
-    return children.join(usage, "root_id", "left").select(
+    if index.single and not fits_broadcast(children):
+        # Entries without an inode have no totals; as NULL keys they would share one task.
+        totals = _totals_by_key(entries, index, entry_filter)
+        known = children.where(F.col("inode").isNotNull())
+        listed = join_lookup(known, totals, KEY, "left", small=False).unionByName(
+            children.where(F.col("inode").isNull()), allowMissingColumns=True
+        )
+    else:
+        # Staged because the ids must stay the same for both uses.
+        children = stage(
+            children.withColumn("root_id", F.monotonically_increasing_id()), "children"
+        )
+        roots = children.where(F.col("inode").isNotNull())
+        totals = usage_by_root(entries, roots, index, entry_filter)
+        listed = children.join(totals.drop(*KEY), "root_id", "left")
+    return _zero_filled(
+        listed,
         *PARENT_KEY,
         "inode",
         "basename",
-        F.coalesce("size", zero).alias("size"),
-        F.coalesce("inodes", zero).alias("inodes"),
         F.coalesce(is_directory("mode"), F.lit(False)).alias("is_directory"),
     )
 
