@@ -41,6 +41,15 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(staged: DataFrame) -> None:
+    """Delete the table behind a scan that ``stage`` returned."""
+    spark = staged.sparkSession
+    files = staged.inputFiles()
+    if files:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete every table this application has staged."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
