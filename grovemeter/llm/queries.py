@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grovemeter.llm import bpe, exact_dedup, merkle
+from grovemeter.llm import bpe, exact_dedup, merkle, near_dedup
 from grovemeter.llm.common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), width=2)
+
+
 def bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest_codes(table(spark, folder, "documents"), BPE_FILE)
 
@@ -27,12 +31,42 @@ def merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_duplicates": near_duplicates,
         "op5_bpe_codes": bpe_codes,
         "op9_exact_duplicates": exact_duplicates,
         "op10_merkle_fingerprints": merkle_fingerprints,
     }
 
 
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM tokens
+), texts AS (
+  SELECT s, list_sort(s) AS k, min(doc_id) AS node FROM (SELECT doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s
+), grams AS MATERIALIZED (
+  SELECT node, len(s) AS n, unnest(s) AS g FROM texts
+), pairs AS (
+  SELECT a.node AS x, b.node AS y FROM grams a JOIN grams b ON a.g = b.g AND a.node < b.node
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), links AS MATERIALIZED (
+  SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs
+), reach AS (
+  SELECT node AS x, node AS y FROM texts UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), classes AS (
+  SELECT x AS node, min(y) AS component FROM reach GROUP BY x
+)
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id,
+       d.doc_id = coalesce(c.component, d.doc_id) AS kept
+FROM sets d LEFT JOIN texts t ON list_sort(d.s) = t.s LEFT JOIN classes c ON t.node = c.node
+"""
+
 EXACT_DUPLICATES = r"""
 WITH normal AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -74,6 +108,7 @@ FROM trees
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_duplicates": NEAR_DUPLICATES,
         "op9_exact_duplicates": EXACT_DUPLICATES,
         "op10_merkle_fingerprints": MERKLE_FINGERPRINTS,
     }
