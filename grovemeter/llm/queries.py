@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grovemeter.llm import bpe, exact_dedup, merkle, near_dedup
+from grovemeter.llm import bpe, exact_dedup, merkle, mixing, near_dedup
 from grovemeter.llm.common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,11 @@ def bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest_codes(table(spark, folder, "documents"), BPE_FILE)
 
 
+def source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, folder, "documents")).select(*columns)
+
+
 def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -33,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": near_duplicates,
         "op5_bpe_codes": bpe_codes,
+        "op7_source_mix": source_mix,
         "op9_exact_duplicates": exact_duplicates,
         "op10_merkle_fingerprints": merkle_fingerprints,
     }
@@ -67,6 +73,48 @@ SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(c.component, d.doc_id) AS comp
 FROM sets d LEFT JOIN texts t ON list_sort(d.s) = t.s LEFT JOIN classes c ON t.node = c.node
 """
 
+SOURCE_MIX = r"""
+WITH sizes AS (
+  SELECT doc_id, source, text,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS size
+  FROM documents
+), keyed AS (
+  SELECT doc_id, source, size,
+    -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+    / (0.5 + coalesce(length(regexp_replace(text, '[^\p{L} ]', '', 'g')) / nullif(length(text), 0), 0)) AS key
+  FROM sizes
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM keyed GROUP BY source
+), levels AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - coalesce(2 * sum(source_size) OVER below, 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0)) AS level
+  FROM sources
+  WINDOW below AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT source, source_size,
+    least(2.0 * source_size, weight * (SELECT max(level) FROM levels))::DOUBLE AS goal
+  FROM sources
+), budgets AS (
+  SELECT source, source_size, round(goal, 6) AS target, CASE WHEN source_size > 0 THEN floor(goal / source_size) ELSE 0 END AS epochs
+  FROM targets
+), summed AS (
+  SELECT k.*, b.source_size, b.target, b.epochs, b.target - b.epochs * b.source_size AS rest,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) AS total
+  FROM keyed k JOIN budgets b ON k.source IS NOT DISTINCT FROM b.source
+), gaps AS (
+  SELECT *, rest - coalesce(max(CASE WHEN total <= rest AND size > 0 THEN total END) OVER (PARTITION BY source), 0) AS gap FROM summed
+), extra AS (
+  SELECT source, arg_min(total, {'off': abs(gap - size), 'total': total}) AS total
+  FROM gaps WHERE total > rest AND size > 0 AND abs(gap - size) < gap GROUP BY source
+)
+SELECT g.doc_id, g.size, g.source_size, g.target,
+  CASE WHEN g.size = 0 THEN 0
+       ELSE g.size * (g.epochs + (g.total <= g.rest)::INT + coalesce((g.total = e.total)::INT, 0)) END::BIGINT AS taken
+FROM gaps g LEFT JOIN extra e ON g.source IS NOT DISTINCT FROM e.source
+"""
+
 EXACT_DUPLICATES = r"""
 WITH normal AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -109,6 +157,7 @@ FROM trees
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_duplicates": NEAR_DUPLICATES,
+        "op7_source_mix": SOURCE_MIX,
         "op9_exact_duplicates": EXACT_DUPLICATES,
         "op10_merkle_fingerprints": MERKLE_FINGERPRINTS,
     }
