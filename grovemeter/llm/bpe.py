@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from grovemeter.llm.common import let_workers_import
+
 SHORT = 256
 CACHE_WORDS = 200_000
 NEVER = 1 << 40
@@ -167,6 +169,7 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text", into: st
     docs = docs.drop(into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))])
     position = docs.columns.index(text_column)
+    let_workers_import(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary)
@@ -185,6 +188,7 @@ def decode(coded: DataFrame, vocabulary: str, ids_column: str = "ids", into: str
     coded = coded if into == ids_column else coded.drop(into)
     schema = T.StructType([*coded.schema.fields, T.StructField(into, T.StringType())])
     position = coded.columns.index(ids_column)
+    let_workers_import(coded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary)
@@ -203,6 +207,7 @@ def digest_codes(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", te
     """
     narrow = docs.select(id_column, text_column)
     kind = dict(narrow.dtypes)[id_column]
+    let_workers_import(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import string
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Have Python workers look for this package where the driver found it.
+
+    Where executors have it elsewhere (installed, or sent with the application) this changes
+    nothing.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    known = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def whole(column: str | Column) -> Column:
     """A text column with NULL read as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

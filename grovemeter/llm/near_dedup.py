@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovemeter.llm.common import lower_ascii, words
+from grovemeter.llm.common import let_workers_import, lower_ascii, words
 from grovemeter.scratch import stage, unstage
 
 CIRCLE = 1 << 20
@@ -163,6 +163,7 @@ def near_duplicates(
     NULL, and it is kept exactly in the second case. Other columns are not read; an empty
     table gives an empty result.
     """
+    let_workers_import(docs.sparkSession)
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     hashed = narrow.select("id", shingle_sets(F.col("text"), width).alias("set")).select(
         "id", F.xxhash64("set").alias("h1"), F.xxhash64(F.lit(1), "set", F.lit(2)).alias("h2"), "set"

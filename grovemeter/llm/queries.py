@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from grovemeter.llm import bpe, exact_dedup, merkle, mixing, near_dedup
+from grovemeter.llm import bpe, exact_dedup, hmm, language_id, merkle, mixing, near_dedup
 from grovemeter.llm.common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
+
+
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), width=2)
 
@@ -21,11 +24,19 @@ def bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest_codes(table(spark, folder, "documents"), BPE_FILE)
 
 
+def language(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"), PIECES_FILE)
+
+
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     columns = ("doc_id", "size", "source_size", "target", "taken")
     return mixing.mix(table(spark, folder, "documents")).select(*columns)
 
 
+def hmm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.score(table(spark, folder, "documents"))
+
+
 def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -38,7 +49,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": near_duplicates,
         "op5_bpe_codes": bpe_codes,
+        "op6_language": language,
         "op7_source_mix": source_mix,
+        "op8_hmm_scores": hmm_scores,
         "op9_exact_duplicates": exact_duplicates,
         "op10_merkle_fingerprints": merkle_fingerprints,
     }
