@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grovemeter.llm import bpe, exact_dedup, hmm, language_id, merkle, mixing, near_dedup
+from grovemeter.llm import bpe, exact_dedup, hmm, language_id, line_dedup, merkle, mixing, near_dedup
 from grovemeter.llm.common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +21,12 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), width=2)
 
 
+def clean_lines(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.clean_lines(table(spark, folder, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return cleaned.select("doc_id", "n_deleted", F.char_length(text).cast("long").alias("n_left"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest_codes(table(spark, folder, "documents"), BPE_FILE)
 
@@ -48,6 +55,7 @@ def merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": near_duplicates,
+        "op2_clean_lines": clean_lines,
         "op5_bpe_codes": bpe_codes,
         "op6_language": language,
         "op7_source_mix": source_mix,
@@ -86,6 +94,43 @@ SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(c.component, d.doc_id) AS comp
 FROM sets d LEFT JOIN texts t ON list_sort(d.s) = t.s LEFT JOIN classes c ON t.node = c.node
 """
 
+#: U+E000 marks the cuts here, a character for private use that the texts do not hold.
+CLEAN_LINES = r"""
+WITH whole AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT doc_id, text, string_split(replace(regexp_replace(regexp_replace(text, '([.!?][ \t])', '\1' || chr(57344), 'g'),
+    chr(57344) || '([ \t\n]|$)', '\1', 'g'), chr(10), chr(10) || chr(57344)), chr(57344)) AS pieces
+  FROM whole
+), bare AS (
+  SELECT *, list_transform(pieces, lambda p: regexp_replace(p, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS trimmed FROM cut
+), placed AS (
+  SELECT doc_id, unnest(range(1, greatest(len(pieces) - 1, 1) + 1)) AS place, trimmed FROM bare
+), later AS (
+  SELECT doc_id, place FROM (
+    SELECT doc_id, place, row_number() OVER (PARTITION BY list_slice(trimmed, place, place + 1) ORDER BY doc_id, place) AS turn FROM placed
+  ) WHERE turn > 1
+), opened AS (
+  SELECT *, coalesce((place > lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 2)::INT, 1) AS opens FROM later
+), numbered AS (
+  SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM opened
+), runs AS (
+  SELECT doc_id, min(place) AS first, max(place) + 1 AS last FROM numbered GROUP BY doc_id, run
+), long_runs AS (
+  SELECT r.doc_id, range(r.first, least(r.last, len(b.pieces)) + 1) AS gone
+  FROM runs r JOIN bare b USING (doc_id)
+  WHERE len(list_filter(string_split_regex(array_to_string(list_slice(b.pieces, r.first, r.last), ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 20
+), deleted AS (
+  SELECT doc_id, flatten(list(gone)) AS gone FROM long_runs GROUP BY doc_id
+), cleaned AS (
+  SELECT b.doc_id, coalesce(len(gone), 0) AS n_deleted,
+    CASE WHEN gone IS NULL THEN text ELSE
+      array_to_string(list_transform(list_filter(range(1, len(pieces) + 1), lambda i: NOT list_contains(gone, i)), lambda i: pieces[i]), '') END AS left_text
+  FROM bare b LEFT JOIN deleted d USING (doc_id)
+)
+SELECT doc_id, n_deleted, length(left_text) AS n_left, sha256(left_text) AS text_sha256 FROM cleaned
+"""
+
 SOURCE_MIX = r"""
 WITH sizes AS (
   SELECT doc_id, source, text,
@@ -170,6 +215,7 @@ FROM trees
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_duplicates": NEAR_DUPLICATES,
+        "op2_clean_lines": CLEAN_LINES,
         "op7_source_mix": SOURCE_MIX,
         "op9_exact_duplicates": EXACT_DUPLICATES,
         "op10_merkle_fingerprints": MERKLE_FINGERPRINTS,
