@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemeter.llm import bpe, exact_dedup, hmm, language_id, line_dedup, merkle, mixing, near_dedup
+from grovemeter.llm import bpe, exact_dedup, hmm, html_text, language_id, line_dedup, merkle, mixing, near_dedup, url_filter
 from grovemeter.llm.common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,14 @@ def clean_lines(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "n_deleted", F.char_length(text).cast("long").alias("n_left"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, folder, "pages"))
+
+
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))
+
+
 def bpe_codes(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest_codes(table(spark, folder, "documents"), BPE_FILE)
 
@@ -56,6 +64,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": near_duplicates,
         "op2_clean_lines": clean_lines,
+        "op3_url_verdicts": url_verdicts,
+        "op4_page_texts": page_texts,
         "op5_bpe_codes": bpe_codes,
         "op6_language": language,
         "op7_source_mix": source_mix,
