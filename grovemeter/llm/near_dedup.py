@@ -91,9 +91,9 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, h1, h2, set) to (id, h1, h2, size, keys); an empty set has no keys."""
+    """(id, digest, h1, h2, set) to (id, digest, h1, h2, size, keys); an empty set has no keys."""
     for batch in batches:
-        sets = batch.column(3)
+        sets = batch.column(4)
         values = sets.flatten().to_numpy(zero_copy_only=False)
         sizes = sets.value_lengths().to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
@@ -105,11 +105,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(offsets) - 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(i).slice(low, n) for i in range(3)),
+                    *(batch.column(i).slice(low, n) for i in range(4)),
                     pa.array(sizes[part].astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)),
                 ],
-                ["id", "h1", "h2", "size", "keys"],
+                ["id", "digest", "h1", "h2", "size", "keys"],
             )
 
 
@@ -163,12 +163,19 @@ def near_duplicates(
     NULL, and it is kept exactly in the second case. Other columns are not read; an empty
     table gives an empty result.
     """
+    return _classified(docs, id_column, text_column, width, percent).select(
+        F.col("id").alias(id_column), "n_shingles", "component_id", "kept"
+    )
+
+
+def _classified(docs: DataFrame, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
+    """(id, digest of the text, n_shingles, component_id, kept) of every row."""
     let_workers_import(docs.sparkSession)
     narrow = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    hashed = narrow.select("id", shingle_sets(F.col("text"), width).alias("set")).select(
-        "id", F.xxhash64("set").alias("h1"), F.xxhash64(F.lit(1), "set", F.lit(2)).alias("h2"), "set"
+    hashed = narrow.select("id", F.xxhash64("text").alias("digest"), shingle_sets(F.col("text"), width).alias("set")).select(
+        "id", "digest", F.xxhash64("set").alias("h1"), F.xxhash64(F.lit(1), "set", F.lit(2)).alias("h2"), "set"
     )
-    texts = stage(hashed.mapInArrow(_sign, "id bigint, h1 bigint, h2 bigint, size int, keys array<bigint>"), "near-texts")
+    texts = stage(hashed.mapInArrow(_sign, "id bigint, digest bigint, h1 bigint, h2 bigint, size int, keys array<bigint>"), "near-texts")
 
     # Equal sets are one node, named by its smallest id; without ids by a negative hash.
     groups = stage(
@@ -204,10 +211,11 @@ def near_duplicates(
     )
     own = F.coalesce("component", "id")
     return (
-        texts.select("id", "size", "h1", "h2")
+        texts.select("id", "digest", "size", "h1", "h2")
         .join(of_text, ["size", "h1", "h2"], "left")
         .select(
-            F.col("id").alias(id_column),
+            "id",
+            "digest",
             F.col("size").cast("long").alias("n_shingles"),
             own.alias("component_id"),
             F.col("id").eqNullSafe(own).alias("kept"),
@@ -297,5 +305,7 @@ def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: st
     Rows that share an id stay or go together; rows without an id stay unless they are linked
     with one that has an id.
     """
-    found = near_duplicates(docs, id_column, text_column, width)
-    return docs.join(found.where("kept").select(F.col(id_column).alias("_kept")).distinct(), F.col(id_column).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = _classified(docs, id_column, text_column, width, 80).where("kept")
+    chosen = kept.select(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
+    same = F.col(id_column).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text_column) == F.col("_kept_digest"))
+    return docs.join(chosen, same, "left_semi")
