@@ -179,7 +179,8 @@ def test_clean_lines_equal_the_plain_version(spark):
 
 
 def test_lines_put_together_are_the_text(spark):
-    for row in documents(spark).where("text is not null").select("text", line_dedup.lines(documents(spark).text).alias("l")).collect():
+    docs = documents(spark).where("text is not null")
+    for row in docs.select("text", line_dedup.lines(docs.text).alias("l")).collect():
         assert "".join(row.l) == row.text
 
 
