@@ -29,7 +29,7 @@ from grovemeter.scratch import stage
 
 LONG = 8
 SHELF = 200
-COVERED = 0.8
+COVERED = 0.9
 
 PLAIN, ARTICLE, REPEATED, HIDDEN = range(4)
 
@@ -120,9 +120,13 @@ class Blocks(HTMLParser):
             self.pieces.append(data)
 
 
+#: A tag that the end of the page cuts off.
+CUT_TAG = re.compile(r"</?[a-zA-Z][^<>]*\Z")
+
+
 def blocks_of(html: str) -> list[tuple[int, str]]:
     parser = Blocks()
-    parser.feed(html)
+    parser.feed(CUT_TAG.sub("", html))
     parser.close()
     parser.flush()
     return parser.found

@@ -20,8 +20,8 @@ from grovemeter.llm.common import lower_ascii
 from grovemeter.scratch import stage, unstage
 
 DAMPING = 0.85
-MAX_ROUNDS = 40
-TOLERANCE = 1e-6
+MAX_ROUNDS = 100
+TOLERANCE = 1e-5
 
 
 @dataclass(frozen=True)
