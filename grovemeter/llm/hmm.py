@@ -141,55 +141,65 @@ def _runs(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begins[order], lengths[order], opens[order]
 
 
+def _by_step(begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in the order of their place in a run, and where each place begins in that order.
+
+    Runs come longest first, so the runs that go on are the first ones of the step before.
+    """
+    longest = int(lengths[0]) if len(lengths) else 0
+    live = np.searchsorted(-lengths, -np.arange(longest), side="left")
+    order = [begins[:n] + at for at, n in enumerate(live)]
+    return np.concatenate(order) if order else np.empty(0, np.int64), np.concatenate([[0], np.cumsum(live)])
+
+
 def expect(classes: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of classes by state, of moves, and of states at the start of texts."""
     begins, lengths, opens = _runs(classes, sizes)
     states = len(model.start)
+    order, steps = _by_step(begins, lengths)
+    classes = classes[order]
     emitted = model.ratio[classes]
     ahead = np.empty_like(emitted)
-    scale = np.ones(len(classes))
-    longest = int(lengths[0]) if len(lengths) else 0
+    scale = np.empty((len(classes), 1))
     now = np.tile(model.start, (len(begins), 1))
-    for at in range(longest):
-        live = int(np.searchsorted(-lengths, -at, side="left"))
-        where = begins[:live] + at
-        now = (now[:live] if at == 0 else now[:live] @ model.moves) * emitted[where]
-        total = now.sum(axis=1)
-        scale[where] = total
-        now = now / total[:, None]
-        ahead[where] = now
+    for at, (low, high) in enumerate(zip(steps, steps[1:])):
+        now = (now[: high - low] @ model.moves if at else now) * emitted[low:high]
+        total = now.sum(axis=1, keepdims=True)
+        now /= total
+        scale[low:high], ahead[low:high] = total, now
     moved = np.zeros((states, states))
     behind = np.ones((len(begins), states))
-    for at in reversed(range(longest)):
-        live = int(np.searchsorted(-lengths, -at, side="left"))
-        where = begins[:live] + at
-        shared = ahead[where] * behind[:live]
+    back = model.moves.T.copy()
+    emitted /= scale
+    for at in reversed(range(len(steps) - 1)):
+        low, high = steps[at], steps[at + 1]
+        live = high - low
+        weighted = emitted[low:high]
+        weighted *= behind[:live]
+        ahead[low:high] *= behind[:live]  # the posterior of the state
         if at:
-            weighted = emitted[where] * behind[:live] / scale[where][:, None]
-            moved += ahead[where - 1].T @ weighted
-            behind[:live] = weighted @ model.moves.T
-        ahead[where] = shared  # from here on the posterior of the state
+            before = steps[at - 1]
+            moved += ahead[before : before + live].T @ weighted
+            behind[:live] = weighted @ back
     counts = np.stack([np.bincount(classes, ahead[:, s], minlength=len(model.ratio)) for s in range(states)], axis=1)
-    return counts, moved * model.moves, ahead[begins[opens]].sum(axis=0)
+    return counts, moved * model.moves, ahead[: len(begins)][opens].sum(axis=0)
 
 
 def log_ratio(classes: np.ndarray, sizes: np.ndarray, model: Model, known: np.ndarray) -> np.ndarray:
     """log10 of the sum over state paths for each text, by the scaled forward recursion."""
-    ends = np.cumsum(sizes)
-    order = np.argsort(-sizes, kind="stable")
-    begins, lengths = (ends - sizes)[order], sizes[order]
-    emitted = model.ratio[classes]
-    emitted[~known] = 1.0
+    longest_first = np.argsort(-sizes, kind="stable")
+    order, steps = _by_step((np.cumsum(sizes) - sizes)[longest_first], sizes[longest_first])
+    emitted = model.ratio[classes[order]]
+    emitted[~known[order]] = 1.0
     out = np.zeros(len(sizes))
     now = np.tile(model.start, (len(sizes), 1))
-    for at in range(int(lengths[0]) if len(lengths) else 0):
-        live = int(np.searchsorted(-lengths, -at, side="left"))
-        now = (now[:live] if at == 0 else now[:live] @ model.moves) * emitted[begins[:live] + at]
-        total = now.sum(axis=1)
-        out[:live] += np.log10(total)
-        now = now / total[:, None]
+    for at, (low, high) in enumerate(zip(steps, steps[1:])):
+        now = (now[: high - low] @ model.moves if at else now) * emitted[low:high]
+        total = now.sum(axis=1, keepdims=True)
+        now /= total
+        out[: high - low] += np.log10(total[:, 0])
     result = np.empty_like(out)
-    result[order] = out
+    result[longest_first] = out
     return result
 
 
@@ -240,7 +250,7 @@ def train(blocks: DataFrame, base: np.ndarray) -> Model:
         model = Model(
             opened / opened.sum(),
             moved / moved.sum(axis=1, keepdims=True),
-            np.where(base[:, None] > 0, emitted * base.sum() / emitted.sum(axis=0) / seen[:, None], 1.0),
+            np.where(base[:, None] > 0, emitted * base.sum() / np.maximum(emitted.sum(axis=0), 1e-300) / seen[:, None], 1.0),
         )
     return model
 
