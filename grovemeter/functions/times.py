@@ -1,22 +1,40 @@
 """Time text, calendar arithmetic and epoch conversions.
 
-A time argument is a year (``2018``), a date (``20180623`` or any ISO form) or a span before
-the reference time (``1y6m``). Spans are calendar spans: parts of a year, a month, a week, a
-day, an hour or a minute in that order, months clamp at the end of the month, and a bare
-``m`` means months.
+A time argument is a year (``2018``), a month (``2018-06``, ``June 2018``), a date
+(``20180623``, ``23 June 2018`` or any ISO form) or a span before the reference time
+(``1y6m``, ``10 days``, ``1.5h``). Spans are calendar spans: years, months, weeks, days, hours,
+minutes and seconds in that order, months clamp at the end of the month, a bare ``m`` means
+months, and weeks and what is shorter may have fractions.
 """
 
 from __future__ import annotations
 
 import re
 from datetime import datetime, timedelta, timezone
+from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The span grammar, largest unit first.
-SPAN_PATTERN = r"^(?:(\d+)y)?(?:(\d+)(?:mo|m(?!in)))?(?:(\d+)w)?(?:(\d+)d)?(?:(\d+)h)?(?:(\d+)min)?$"
+SPAN_PATTERN = (
+    r"^(?:(\d+) ?y(?:rs?|ears?)?)?"
+    r" ?(?:(\d+) ?(?:mo(?:nths?)?|m(?!in|o)))?"
+    r" ?(?:(\d+(?:\.\d+)?) ?w(?:eeks?)?)?"
+    r" ?(?:(\d+(?:\.\d+)?) ?d(?:ays?)?)?"
+    r" ?(?:(\d+(?:\.\d+)?) ?h(?:ours?)?)?"
+    r" ?(?:(\d+(?:\.\d+)?) ?min(?:utes?)?)?"
+    r" ?(?:(\d+(?:\.\d+)?) ?s(?:ec(?:onds?)?)?)?$"
+)
+UNIT_SECONDS = (604800, 86400, 3600, 60, 1)
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MONTH_PATTERN = (
+    r"^(?:(\d{1,2}) )?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+    r"(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)? (\d{4})$"
+)
 YEAR_PATTERN = r"^\d{4}$"
+YEAR_MONTH_PATTERN = r"^\d{4}-\d{2}$"
 DAY_PATTERN = r"^\d{8}$"
 
 
@@ -32,17 +50,23 @@ def months_before(moment: datetime, months: int) -> datetime:
 def parse_time(text: str, as_of: datetime | None = None) -> float:
     """Epoch seconds (UTC) of a time argument without its sign."""
     text = text.strip().lower()
+    month = re.match(MONTH_PATTERN, text)
     if re.match(YEAR_PATTERN, text):
         moment = datetime(int(text), 1, 1)
     elif re.match(DAY_PATTERN, text):
         moment = datetime.strptime(text, "%Y%m%d")
+    elif re.match(YEAR_MONTH_PATTERN, text):
+        moment = datetime.strptime(text, "%Y-%m")
+    elif month:
+        moment = datetime(int(month[3]), MONTHS.index(month[2]) + 1, int(month[1] or 1))
     else:
         span = re.match(SPAN_PATTERN, text)
         if span and text:
-            years, months, weeks, days, hours, minutes = (int(g or 0) for g in span.groups())
+            years, months = (int(g or 0) for g in span.groups()[:2])
+            shorter = (Decimal(g or 0) for g in span.groups()[2:])
             start = as_of or datetime.now(timezone.utc)
             moment = months_before(start, 12 * years + months) - timedelta(
-                weeks=weeks, days=days, hours=hours, minutes=minutes
+                microseconds=int(1_000_000 * sum(n * unit for n, unit in zip(shorter, UNIT_SECONDS)))
             )
         else:
             moment = datetime.fromisoformat(text)
@@ -57,18 +81,26 @@ def time_epoch(text: Column, as_of: Column) -> Column:
     Runs in the session time zone, which the entry point pins to UTC.
     """
     text = F.lower(F.trim(text))
-    part = [
-        F.coalesce(F.nullif(F.regexp_extract(text, SPAN_PATTERN, i), F.lit("")).cast("int"), F.lit(0))
-        for i in range(1, 7)
-    ]
+
+    def number(pattern: str, group: int, kind: str, missing: int = 0) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast(kind), F.lit(missing).cast(kind))
+
+    shorter = [number(SPAN_PATTERN, 3 + i, "decimal(18,6)") * unit for i, unit in enumerate(UNIT_SECONDS)]
+    seconds = reduce(lambda a, b: a + b, shorter).cast("decimal(18,6)")
     span_start = (
         as_of
-        - F.make_ym_interval(part[0], part[1])
-        - F.make_dt_interval(part[2] * 7 + part[3], part[4], part[5], F.lit(0))
+        - F.make_ym_interval(number(SPAN_PATTERN, 1, "int"), number(SPAN_PATTERN, 2, "int"))
+        - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    )
+    name = F.regexp_extract(text, MONTH_PATTERN, 2)
+    by_name = F.make_timestamp(
+        number(MONTH_PATTERN, 3, "int"), F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("int"),
+        number(MONTH_PATTERN, 1, "int", 1), F.lit(0), F.lit(0), F.lit(0),
     )
     moment = (
         F.when(text.rlike(YEAR_PATTERN), F.to_timestamp(text, "yyyy"))
         .when(text.rlike(DAY_PATTERN), F.to_timestamp(text, "yyyyMMdd"))
+        .when(text.rlike(MONTH_PATTERN), by_name)
         .when(text.rlike(SPAN_PATTERN) & (text != ""), span_start)
         .otherwise(F.upper(text).cast("timestamp"))
     )
@@ -76,9 +108,13 @@ def time_epoch(text: Column, as_of: Column) -> Column:
 
 
 def signed_time_epoch(text: Column, as_of: Column) -> Column:
-    """As :func:`time_epoch`, with a leading ``-`` giving the negative ("older than") form."""
+    """As :func:`time_epoch`, with a leading ``-`` giving the negative ("older than") form.
+
+    A leading ``+`` changes nothing.
+    """
     older = text.startswith("-")
-    epoch = time_epoch(F.when(older, F.substr(text, F.lit(2))).otherwise(text), as_of)
+    signed = older | text.startswith("+")
+    epoch = time_epoch(F.when(signed, F.substr(text, F.lit(2))).otherwise(text), as_of)
     return F.when(older, -epoch).otherwise(epoch)
 
 

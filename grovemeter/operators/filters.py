@@ -108,7 +108,7 @@ def text_filter(
         values["not_gid" if negated else "gid"] = resolve_name(groups, "group", "gid", name)
     if mtime is not None:
         older = mtime.startswith("-")
-        epoch = parse_time(mtime[1:] if older else mtime, as_of)
+        epoch = parse_time(mtime[1:] if mtime[:1] in ("-", "+") else mtime, as_of)
         values["mtime"] = -epoch if older else epoch
     if size is not None:
         values["size"] = parse_size(size)

@@ -1,10 +1,11 @@
 """Joins of a large fact side to a lookup side, safe for hot keys.
 
-The lookup is broadcast only after a check of its row count. Beyond that bound the join
-shuffles, and every key that holds more rows than one task should see is split into as many
-pieces as it needs; the matching lookup rows are repeated once per piece. Salts are hashes
-of the row and its input partition, not random numbers: a re-run task sends each row to the
-same place, and equal rows from different partitions still spread out.
+Whether the lookup is broadcast is decided by the planner's estimate of its size, which for
+staged and other parquet tables comes from their files; nothing is read or counted for it.
+Beyond the bound the join shuffles, and every key that holds more rows than one task should
+see is split into as many pieces as it needs; the matching lookup rows are repeated once per
+piece. Salts are hashes of the row and its input partition, not random numbers: a re-run task
+sends each row to the same place, and equal rows from different partitions still spread out.
 """
 
 from __future__ import annotations
@@ -16,35 +17,41 @@ from pyspark.sql import functions as F
 
 from grovemeter.scratch import stage
 
-# A directory row is at most about 6 kB (4 kB path, 256 ancestors), typically 300 bytes.
-BROADCAST_ROWS = 50_000
+# Estimated bytes. Parquet files grow about threefold in memory.
+BROADCAST_BYTES = 32 * 1024**2
 ROWS_PER_PIECE = 1_000_000
-# At most this many keys are split; any other key then holds under 1/10,000 of all rows.
-MAX_HOT_KEYS = 10_000
+# No row takes less in a table on disk, so a table below a bound of bytes has no hot key.
+LEAST_ROW_BYTES = 1
 
 UNKNOWN = object()
 
 
-def fits_broadcast(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; stops reading once it has seen more."""
-    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
-    return df.select(F.lit(1)).offset(max_rows).isEmpty()
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate; joins and the like over unstaged tables count as huge."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size))
+
+
+def is_small(df: DataFrame) -> bool:
+    """True if ``df`` is certain to fit a broadcast, judged without running anything."""
+    return estimated_bytes(df) <= BROADCAST_BYTES
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it is small, else left to the planner."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def hot_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The largest keys of ``facts`` with the number of ``pieces`` each is split into."""
+    """The keys of ``facts`` to split, with the number of ``pieces`` of each."""
     counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     return limit_hot(counts, keys, "rows")
 
 
 def limit_hot(counts: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
     """Hot keys from a table that already knows the row count of each key."""
-    return (
-        counts.where(F.col(count) > ROWS_PER_PIECE)
-        .orderBy(F.desc(count))
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col(count) / ROWS_PER_PIECE).cast("int").alias("pieces"))
-    )
+    pieces = F.ceil(F.col(count) / ROWS_PER_PIECE).cast("int").alias("pieces")
+    return counts.where(F.col(count) > ROWS_PER_PIECE).select(*keys, pieces)
 
 
 def salted_join(
@@ -52,17 +59,19 @@ def salted_join(
 ) -> DataFrame:
     """Shuffle join on ``keys`` with each hot key spread over its ``pieces``.
 
-    ``hot`` has at most MAX_HOT_KEYS narrow rows, which is what bounds its broadcasts.
+    ``hot`` has one narrow row for each ROWS_PER_PIECE facts at most; it is broadcast if that
+    is small, else shuffled, where adaptive execution splits what is uneven.
     """
     keys = list(keys)
+    hot = sized(hot)
     piece = F.pmod(F.xxhash64(*facts.columns, F.spark_partition_id()), F.col("pieces"))
     salted = (
-        facts.join(F.broadcast(hot), keys, "left")
+        facts.join(hot, keys, "left")
         .withColumn("salt", F.when(F.col("pieces").isNotNull(), piece).otherwise(F.lit(0)).cast("int"))
         .drop("pieces")
     )
     repeated = (
-        lookup.join(F.broadcast(hot), keys, "left")
+        lookup.join(hot, keys, "left")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
         .drop("pieces")
     )
@@ -71,7 +80,7 @@ def salted_join(
 
 def find_hot_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """The hot keys of ``facts`` as a staged table, or None if there are none."""
-    if fits_broadcast(facts, ROWS_PER_PIECE):
+    if estimated_bytes(facts) <= ROWS_PER_PIECE * LEAST_ROW_BYTES:
         return None  # no key can hold more rows than there are
     hot = stage(hot_keys(facts, keys), "hot")
     return None if hot.isEmpty() else hot
@@ -92,7 +101,7 @@ def join_lookup(
     """
     keys = list(keys)
     if small is None:
-        small = fits_broadcast(lookup)
+        small = is_small(lookup)
     if small:
         return facts.join(F.broadcast(lookup), keys, how)
     if hot is UNKNOWN:

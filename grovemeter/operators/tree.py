@@ -17,11 +17,12 @@ All later operators are plain joins and aggregates against that table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,16 +32,16 @@ from grovemeter.operators.filters import NO_FILTER, EntryFilter, check_roots
 from grovemeter.operators.lookup import (
     UNKNOWN,
     find_hot_keys,
-    fits_broadcast,
+    is_small,
     join_lookup,
     limit_hot,
+    sized,
 )
 from grovemeter.schemas import ENTRY_COLUMNS
-from grovemeter.scratch import stage
+from grovemeter.scratch import stage, unstage
 
 KEY = ["device", "inode"]
 PARENT_KEY = ["device", "parent_inode"]
-MAX_DEPTH = 256
 # Root lists up to this length reach the scans as literal filters.
 MAX_LITERAL_ROOTS = 64
 
@@ -55,14 +56,16 @@ ROOTS_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class DirectoryIndex:
-    """One row per directory row of a snapshot.
+    """One row per row on the key of a directory of a snapshot.
 
     ``table`` has the entry columns and
 
     * ``path``, ``depth``, ``chain`` - names and inodes from the topmost known ancestor down
       to the directory itself; a missing ancestor makes the path partial;
     * ``entries``, ``bytes`` - number and total size of the rows directly inside;
-    * ``copies`` - directory rows sharing this (device, inode), from overlapping scans;
+    * ``copies`` - rows sharing this (device, inode), from overlapping scans or mounts;
+    * ``tainted`` - whether the directory or one above it has copies, so that several ways
+      may lead to it;
     * ``preferred`` - the row of each (device, inode) that paths are built from, and its
       exact repeats.
 
@@ -89,36 +92,38 @@ class DirectoryIndex:
         )
 
 
-def directory_rows(entries: DataFrame, by: str = "mode") -> DataFrame:
-    """The rows that can have entries below them.
+def directory_rows(entries: DataFrame, by: str = "key") -> DataFrame:
+    """The rows that can have entries below them, and all rows that share their keys.
 
-    ``by="mode"`` reads the directory bit, without any shuffle. ``by="key"`` keeps every row
-    another row points at, whatever its mode says, at the price of shuffling all rows.
-    Rows without a mode are kept either way.
+    ``by="key"`` is exact whatever modes say: rows with a directory's mode or none, rows
+    another row points at, and other rows on the same (device, inode), as a mount point has.
+    To find them the keys of all rows are compared with the keys of directories, two numbers a
+    row. ``by="mode"`` trusts the directory bit and reads nothing else.
     """
     known = entries.where(F.col("inode").isNotNull())
+    marked = known.where(is_directory("mode") | F.col("mode").isNull())
     if by == "mode":
-        return known.where(is_directory("mode") | F.col("mode").isNull())
+        return marked
     if by != "key":
         raise ValueError(f"by must be 'mode' or 'key', not {by!r}")
-    parents = (
-        entries.where(F.col("parent_inode").isNotNull())
-        .select("device", F.col("parent_inode").alias("inode"))
-        .distinct()
-    )
-    return directory_rows(entries, "mode").unionByName(
-        known.where(~is_directory("mode")).join(parents, KEY, "left_semi")
+    pointed_at = entries.where(F.col("parent_inode").isNotNull()).select(
+        "device", F.col("parent_inode").alias("inode")
     )
+    keys = pointed_at.distinct().unionByName(marked.select(*KEY)).distinct()
+    others = known.where(~is_directory("mode"))
+    shared = stage(others.select(*KEY).join(keys, KEY, "left_semi").distinct(), "dir-shared")
+    if shared.isEmpty():
+        return marked
+    return marked.unionByName(others.join(sized(shared), KEY, "left_semi"))
 
 
 def build_directory_index(
-    entries: DataFrame, max_depth: int = MAX_DEPTH, by: str = "mode", path: str | None = None
+    entries: DataFrame, by: str = "key", path: str | None = None
 ) -> DirectoryIndex:
     """Solve the directory tree of ``entries`` and stage it as a :class:`DirectoryIndex`.
 
     With ``path`` the index is kept there, for :func:`open_directory_index` in later
-    applications. Raises ``ValueError`` if a chain is deeper than ``max_depth``, as in a
-    cycle.
+    applications. Trees may be of any depth; raises ``ValueError`` for a cycle.
     """
     rows = stage(directory_rows(entries, by).select(*ENTRY_COLUMNS), "dir-rows")
     inside = entries.where(F.col("parent_inode").isNotNull()).select(
@@ -149,7 +154,7 @@ def build_directory_index(
     rows = rows.withColumn("preferred", F.lit(True)) if single else _mark_preferred(rows)
 
     nodes = rows.where("preferred").select(*KEY, "parent_inode", "basename")
-    chains = _solve_chains(nodes if single else nodes.dropDuplicates(KEY), max_depth)
+    chains = _solve_chains(nodes if single else nodes.dropDuplicates(KEY))
     if single:
         table = rows.join(chains, KEY)
     else:
@@ -166,7 +171,9 @@ def build_directory_index(
             .withColumn("chain", _joined_chain("up_chain", F.array("inode")))
             .drop("up_path", "up_chain")
         )
-        table = kept.unionByName(others)
+        table = _mark_tainted(stage(kept.unionByName(others), "dir-chains"))
+    if single:
+        table = table.withColumn("tainted", F.lit(False))
     table = table.select(
         *ENTRY_COLUMNS,
         "path",
@@ -175,6 +182,7 @@ def build_directory_index(
         "entries",
         "bytes",
         "copies",
+        "tainted",
         "preferred",
     )
     table = table.repartitionByRange("device", "path").sortWithinPartitions("device", "path")
@@ -232,11 +240,23 @@ def _mark_preferred(rows: DataFrame) -> DataFrame:
     return stage(singles.unionByName(marked), "dir-preferred")
 
 
-def _solve_chains(nodes: DataFrame, max_depth: int) -> DataFrame:
+def _mark_tainted(rows: DataFrame) -> DataFrame:
+    """Add ``tainted``. Up to the first one with copies a chain is the only way there."""
+    copied = rows.where(F.col("copies") > 1).select("device", F.col("inode").alias("ancestor")).distinct()
+    steps = rows.select(*KEY, F.explode("chain").alias("ancestor"))
+    below = steps.join(sized(stage(copied, "dir-copied")), ["device", "ancestor"], "left_semi")
+    marks = stage(below.select(*KEY).distinct().withColumn("hit", F.lit(True)), "dir-tainted")
+    marked = join_lookup(rows, marks, KEY, "left")
+    return marked.withColumn("tainted", F.coalesce("hit", F.lit(False))).drop("hit")
+
+
+def _solve_chains(nodes: DataFrame) -> DataFrame:
     """(device, inode, path, chain) of each directory, by pointer doubling.
 
     ``up`` is the inode of the next ancestor not yet in ``chain``; NULL means the chain is
-    complete. Completed rows are set aside and only serve as targets from then on.
+    complete. Completed rows are set aside and only serve as targets from then on. A directory
+    that meets its own inode in a chain it takes over is on a cycle; as the chains of a round
+    are twice those of the round before, a cycle shows as soon as chains are as long as it.
     """
     active = nodes.select(
         *KEY,
@@ -246,11 +266,8 @@ def _solve_chains(nodes: DataFrame, max_depth: int) -> DataFrame:
     )
     done = [active.where(F.col("up").isNull())]
     active = active.where(F.col("up").isNotNull())
-    small = fits_broadcast(nodes)
-    reach = 1
+    small = is_small(nodes)
     while (remaining := active.count()) > 0:
-        if reach > max_depth:
-            raise ValueError(f"directory tree has a cycle or is deeper than {max_depth}")
         targets = reduce(DataFrame.unionByName, done, active).select(
             "device",
             F.col("inode").alias("up"),
@@ -264,11 +281,14 @@ def _solve_chains(nodes: DataFrame, max_depth: int) -> DataFrame:
             F.col("next_up").alias("up"),
             _joined_path("up_path", "path").alias("path"),
             _joined_chain("up_chain", F.col("chain")).alias("chain"),
+            F.coalesce(F.array_contains("up_chain", F.col("inode")), F.lit(False)).alias("loop"),
         )
         solved = stage(solved, "chains")
+        if (loop := solved.where("loop").select(*KEY).first()) is not None:
+            raise ValueError(f"directory {tuple(loop)} is inside itself")
+        solved = solved.drop("loop")
         done.append(solved.where(F.col("up").isNull()))
         active = solved.where(F.col("up").isNotNull())
-        reach *= 2
     return reduce(DataFrame.unionByName, done).drop("up")
 
 
@@ -336,11 +356,12 @@ def as_roots(spark: SparkSession, roots: Iterable | DataFrame, index: DirectoryI
         return roots
     if isinstance(roots, DataFrame):
         table = roots.select(*ROOTS_SCHEMA.fieldNames())
-        return Roots(table, fits_broadcast(table))
+        return Roots(table, is_small(table))
     pairs = tuple(check_roots(roots))
     if len(pairs) > MAX_LITERAL_ROOTS:
         rows = [(n, d, i) for n, (d, i) in enumerate(pairs)]
-        return Roots(spark.createDataFrame(rows, ROOTS_SCHEMA), len(pairs) <= lookup.BROADCAST_ROWS, pairs)
+        table = spark.createDataFrame(rows, ROOTS_SCHEMA)
+        return Roots(table, is_small(table), pairs)
     values = ", ".join(f"({n}L, {d}L, {i}L)" for n, (d, i) in enumerate(pairs))
     table = spark.sql(f"SELECT * FROM VALUES {values} AS roots(root_id, device, inode)")
     found = Roots(table, True, pairs)
@@ -353,44 +374,66 @@ def as_roots(spark: SparkSession, roots: Iterable | DataFrame, index: DirectoryI
     return replace(found, located=tuple(tuple(row) for row in located))
 
 
+def _plain_path(path: Column) -> Column:
+    """A path without repeated and trailing separators."""
+    return F.regexp_replace(F.regexp_replace(path, "/+", "/"), "(?<=.)/$", "")
+
+
 def roots_at(
     entries: DataFrame, index: DirectoryIndex, paths: str | Iterable[str]
 ) -> list[tuple[int, int]]:
     """(device, inode) of the entries at the given paths, in order.
 
-    Directories are looked up in the index; other paths through their parent directory.
-    Raises ``LookupError`` for a path the snapshot does not hold.
+    Separators may be repeated or trail, in arguments and in recorded scan roots. Where a path
+    has several rows, a scan root there (a mount seen from inside) comes before a directory,
+    and that before other entries. Raises ``LookupError`` for a path the snapshot does not
+    hold, or that still names several entries.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    names = [p.rstrip("/") or p for p in paths]
-    found = {
-        r["path"]: (r["device"], r["inode"])
-        for r in index.table.where(F.col("path").isin(names))
-        .groupBy("path")
-        .agg(F.min_by("device", "inode").alias("device"), F.min("inode").alias("inode"))
-        .collect()
-    }
-    rest = sorted(set(names) - set(found))
+    names = [re.sub("(?<=.)/$", "", re.sub("/+", "/", p)) for p in paths]
+    wanted = sorted(set(names))
+    spark = entries.sparkSession
+    asked = spark.createDataFrame([(name,) for name in wanted], "path string")
+    kind = F.when(F.col("parent_inode").isNull(), 0).when(F.coalesce(is_directory("mode"), F.lit(True)), 1).otherwise(2)
+
+    # Recorded paths are as asked for, unless a scan root was recorded with a separator too many.
+    listed = index.table.select("path", *KEY, kind.alias("kind"))
+    rough = index.table.where(F.col("parent_inode").isNull() & F.col("path").rlike("//|/$"))
+    if not rough.isEmpty():
+        listed = listed.withColumn("path", _plain_path(F.col("path")))
+    elif len(wanted) <= MAX_LITERAL_ROOTS:
+        listed = listed.where(F.col("path").isin(wanted))  # reaches the scan of the sorted index
+    found = _best_at(listed.join(sized(asked), "path"))
+
+    rest = [name for name in wanted if name not in found]
     if rest:
-        places = [p.rpartition("/") for p in rest]
-        folders = index.as_parents(F.col("path").alias("folder")).where(
-            F.col("folder").isin([folder for folder, _, _ in places])
-        )
-        files = entries.where(
-            F.col("basename").isin([name for _, _, name in places]) & F.col("inode").isNotNull()
-        )
-        rows = (
-            join_lookup(files, stage(folders, "folders"), PARENT_KEY)
-            .withColumn("path", F.concat("folder", F.lit("/"), F.col("basename")))
-            .where(F.col("path").isin(rest))
-            .groupBy("path")
-            .agg(F.min_by("device", "inode").alias("device"), F.min("inode").alias("inode"))
-        )
-        found |= {r["path"]: (r["device"], r["inode"]) for r in rows.collect()}
-    missing = [p for p in names if p not in found]
+        places = [(name, *name.rpartition("/")[::2]) for name in rest]
+        asked = spark.createDataFrame([(n, f or "/", b) for n, f, b in places], "path string, folder string, basename string")
+        folders = index.as_parents(_plain_path(F.col("path")).alias("folder"))
+        inside = stage(folders.join(sized(asked), "folder"), "folders")
+        files = entries.where(F.col("inode").isNotNull())
+        if len(rest) <= MAX_LITERAL_ROOTS:
+            files = files.where(F.col("basename").isin([name for _, _, name in places]))
+        files = files.select(*PARENT_KEY, "basename", "inode", F.lit(2).alias("kind"))
+        found |= _best_at(join_lookup(files, inside, [*PARENT_KEY, "basename"]))
+    missing = [p for p, name in zip(paths, names) if name not in found]
     if missing:
         raise LookupError(f"not in the snapshot: {missing}")
-    return [found[p] for p in names]
+    return [found[name] for name in names]
+
+
+def _best_at(rows: DataFrame) -> dict[str, tuple[int, int]]:
+    """The key at each path from (path, device, inode, kind): the one key of the least kind."""
+    kinds = rows.groupBy("path", "kind").agg(
+        F.min(F.struct(*KEY)).alias("low"), F.max(F.struct(*KEY)).alias("high")
+    )
+    best = {}
+    for r in kinds.groupBy("path").agg(F.min(F.struct("kind", "low", "high")).alias("best")).collect():
+        low, high = tuple(r["best"]["low"]), tuple(r["best"]["high"])
+        if low != high:
+            raise LookupError(f"{r['path']} names several entries, among them {low} and {high}")
+        best[r["path"]] = low
+    return best
 
 
 def select_roots(entries: DataFrame, roots: Iterable | DataFrame) -> DataFrame:
@@ -414,7 +457,7 @@ def select_roots(entries: DataFrame, roots: Iterable | DataFrame) -> DataFrame:
 def with_path(entries: DataFrame, index: DirectoryIndex) -> DataFrame:
     """Add ``path``: names from the topmost known ancestor down, joined with ``/``."""
     above = index.as_parents(F.col("path").alias("up_path"))
-    if fits_broadcast(entries):
+    if is_small(entries):
         # A few entries need a few paths: cut the index down without shuffling it.
         wanted = entries.select(*PARENT_KEY).distinct()
         above = above.join(F.broadcast(wanted), PARENT_KEY, "left_semi")
@@ -443,9 +486,7 @@ def scan_roots(entries: DataFrame, index: DirectoryIndex) -> DataFrame:
         .distinct(),
         "root-keys",
     )
-    if fits_broadcast(named):
-        named = F.broadcast(named)
-    return index.table.join(named, KEY, "left_semi")
+    return index.table.join(sized(named), KEY, "left_semi")
 
 
 def with_root(entries: DataFrame, index: DirectoryIndex) -> DataFrame:
@@ -464,7 +505,7 @@ def with_root(entries: DataFrame, index: DirectoryIndex) -> DataFrame:
 def path_by_aggregation(index: DirectoryIndex) -> DataFrame:
     """Each directory's path rebuilt by ordered string aggregation over its ancestors.
 
-    A group is one directory's chain, so it never holds more than ``max_depth`` names.
+    A group is one directory's chain, so it holds as many names as the directory is deep.
     """
     steps = index.directories.select(*KEY, F.posexplode("chain").alias("step", "ancestor"))
     names = index.directories.select(
@@ -484,7 +525,7 @@ def path_by_aggregation(index: DirectoryIndex) -> DataFrame:
 def duplicate_directories(entries: DataFrame) -> DataFrame:
     """Data-quality check: (device, inode) with more than one directory row."""
     return (
-        directory_rows(entries)
+        directory_rows(entries, by="mode")
         .groupBy(*KEY)
         .agg(F.count(F.lit(1)).alias("copies"))
         .where(F.col("copies") > 1)
@@ -494,63 +535,79 @@ def duplicate_directories(entries: DataFrame) -> DataFrame:
 # --- subtrees --------------------------------------------------------------------------
 
 
-def subtree_directories(index: DirectoryIndex, roots: Roots, max_depth: int = MAX_DEPTH) -> DataFrame:
+def subtree_directories(index: DirectoryIndex, roots: Roots, with_path: bool = True) -> DataFrame:
     """The directories at or below each root.
 
-    Columns ``root_id, device, inode, path, entries, bytes, times``; ``times`` is how often
+    Columns ``root_id, device, inode[, path], entries, bytes, times``; ``times`` is how often
     the search passes through the directory, more than one only where overlapping scans left
     several rows for a directory on the way. Repeated and overlapping roots each count.
     """
-    if not index.single:
-        return _walk(index, roots, max_depth)
+    columns = [*(["path"] if with_path else []), "entries", "bytes"]
     dirs = index.table
-    ranges = roots.path_filter()
+    ranges = roots.path_filter() if index.single else None
     if ranges is not None:
         dirs = dirs.where(ranges)
-    columns = ["path", "entries", "bytes"]
-    spread = dirs.select(*KEY, *columns, F.explode("chain").alias("ancestor"))
+    spread = dirs.where(~F.col("tainted")).select(*KEY, *columns, F.explode("chain").alias("ancestor"))
     tops = roots.table.withColumnRenamed("inode", "ancestor")
     hit = join_lookup(spread, tops, ["device", "ancestor"], small=roots.small)
-    return hit.select("root_id", *KEY, *columns, F.lit(1).cast("long").alias("times"))
+    clean = hit.select("root_id", *KEY, *columns, F.lit(1).cast("long").alias("times"))
+    if index.single:
+        return clean
+    return clean.unionByName(_walk(index, roots, clean, columns))
 
 
-def _walk(index: DirectoryIndex, roots: Roots, max_depth: int) -> DataFrame:
-    """Level-by-level descent, exact where directories have several rows.
+def _walk(index: DirectoryIndex, roots: Roots, clean: DataFrame, columns: list[str]) -> DataFrame:
+    """Level-by-level descent through the tainted directories only.
 
-    Equal arrivals at a level are merged into one row with their number, so twins multiply
-    ``times`` instead of the rows.
+    It begins at tainted roots, and at the rows of tainted directories whose parent a search
+    reaches through clean ones, which it does once. Equal arrivals at a level are merged into
+    one row with their number, so copies multiply ``times`` instead of the rows. ``way`` holds
+    the inodes passed since the start and shows a cycle.
     """
-    rows = index.table
-    children = rows.select(
-        "device", "parent_inode", F.col("inode").alias("child"), "basename", "entries", "bytes"
-    ).where(F.col("parent_inode").isNotNull())
-    group = ["root_id", *KEY, "path", "entries", "bytes"]
-    start = join_lookup(rows, roots.table, KEY, small=roots.small)
-    level = stage(start.groupBy(*group).agg(F.count(F.lit(1)).alias("times")), "walk")
-    hot_children = find_hot_keys(children, PARENT_KEY)
-    levels = []
+    tainted = index.table.where("tainted")
+    named = F.col("basename") if "path" in columns else None
+    group = ["root_id", *KEY, *columns, "way"]
+    one = F.lit(1).cast("long").alias("times")
+    way = F.array("inode").alias("way")
+    at_roots = join_lookup(tainted, roots.table, KEY, small=roots.small).select("root_id", *KEY, *columns, way, one)
+    doors = tainted.where(F.col("parent_inode").isNotNull()).select(*PARENT_KEY, F.col("inode").alias("child"), "basename", "entries", "bytes")
+    reached = clean.select(
+        "root_id", "device", F.col("inode").alias("parent_inode"), *([F.col("path").alias("up_path")] if "path" in columns else [])
+    )
+    below = [F.concat("up_path", F.lit("/"), named).alias("path")] if named is not None else []
+    entered = join_lookup(reached, doors, PARENT_KEY).select(
+        "root_id", "device", F.col("child").alias("inode"), *below, "entries", "bytes", F.array("child").alias("way"), one
+    )
+    start = at_roots.unionByName(entered)
+    level = stage(start.groupBy(*group).agg(F.sum("times").alias("times")), "walk")
+    hot_doors = find_hot_keys(doors, PARENT_KEY)
+    levels = [level]
     while not level.isEmpty():
-        if len(levels) > max_depth:
-            raise ValueError(f"directory tree has a cycle or is deeper than {max_depth}")
-        levels.append(level)
         frontier = level.select(
             "root_id",
             "device",
             F.col("inode").alias("parent_inode"),
-            F.col("path").alias("up_path"),
+            *([F.col("path").alias("up_path")] if "path" in columns else []),
+            F.col("way").alias("up_way"),
             "times",
         )
-        arrived = join_lookup(children, frontier, PARENT_KEY, hot=hot_children).select(
+        arrived = join_lookup(doors, frontier, PARENT_KEY, hot=hot_doors).select(
             "root_id",
             "device",
             F.col("child").alias("inode"),
-            F.concat("up_path", F.lit("/"), F.col("basename")).alias("path"),
+            *below,
             "entries",
             "bytes",
+            F.concat("up_way", F.array("child")).alias("way"),
+            F.array_contains("up_way", F.col("child")).alias("loop"),
             "times",
         )
-        level = stage(arrived.groupBy(*group).agg(F.sum("times").alias("times")), "walk")
-    return reduce(DataFrame.unionByName, levels) if levels else level
+        level = stage(arrived.groupBy(*group, "loop").agg(F.sum("times").alias("times")), "walk")
+        if (loop := level.where("loop").select(*KEY).first()) is not None:
+            raise ValueError(f"directory {tuple(loop)} is inside itself")
+        level = level.drop("loop")
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels).drop("way")
 
 
 def descendants(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovemeter.operators import filters
-from grovemeter.operators.lookup import fits_broadcast, join_lookup
+from grovemeter.operators.lookup import is_small, join_lookup
 from grovemeter.operators.tree import (
     PARENT_KEY,
     DirectoryIndex,
@@ -47,7 +47,7 @@ def unreadable_directories(entries: DataFrame, index: DirectoryIndex) -> DataFra
         "path",
         "preferred",
     )
-    if fits_broadcast(spots):
+    if is_small(spots):
         # Few spots: keep only their directories, without shuffling the index.
         keys = F.broadcast(spots.select(*PARENT_KEY).distinct())
         owners = owners.join(keys, PARENT_KEY, "left_semi")
@@ -133,6 +133,7 @@ def unreadable_notices(
     people = with_user_names(counts_by_user(unreadable).join(inline, "uid"), users)
     list_file = F.format_string("%s/%s.txt", F.lit(text.list_folder), F.col("username"))
     noun = F.when(F.col("count") > 1, F.lit("directories")).otherwise(F.lit("directory"))
+    # The two commands.
     commands = F.array_join(
         F.transform("paths", lambda p: F.format_string('    chmod -R g+rX "%s"', p)), "\n"
     )

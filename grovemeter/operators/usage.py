@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from grovemeter.functions.modes import is_directory
 from grovemeter.functions.sizes import usage_line
 from grovemeter.operators.filters import NO_FILTER, EntryFilter
-from grovemeter.operators.lookup import fits_broadcast, join_lookup
+from grovemeter.operators.lookup import is_small, join_lookup
 from grovemeter.operators.tree import (
     KEY,
     PARENT_KEY,
@@ -78,14 +78,14 @@ def usage_by_root(
 def _contributions(entries, roots: Roots, index, entry_filter) -> DataFrame:
     """``root_id, size, inodes`` rows that add up to the totals of the roots.
 
-    If every root is a directory the index has all their own rows, and the entries, ten or
-    more times as many, need not be searched for them.
+    The index holds every row on the key of a directory, so if every root is a directory the
+    entries, ten or more times as many, need not be searched for their own rows.
     """
     holding = index.table if roots.all_directories else entries
     own = select_roots(entry_filter.apply(holding), roots).select(
         "root_id", "size", F.lit(1).cast("long").alias("inodes")
     )
-    below = subtree_directories(index, roots)
+    below = subtree_directories(index, roots, with_path=False)
     if entry_filter.is_empty:
         inside = below.select(
             "root_id", "times", F.col("bytes").alias("size"), F.col("entries").alias("inodes")
@@ -93,7 +93,8 @@ def _contributions(entries, roots: Roots, index, entry_filter) -> DataFrame:
     else:
         tops = below.select("root_id", "device", F.col("inode").alias("parent_inode"), "times")
         wanted = entry_filter.apply(entries)
-        if fits_broadcast(tops):
+        tops = stage(tops, "tops")
+        if is_small(tops):
             wanted = wanted.select(*PARENT_KEY, "size", F.lit(1).cast("long").alias("inodes"))
             inside = wanted.join(F.broadcast(tops), PARENT_KEY)
         else:
@@ -110,17 +111,18 @@ def _contributions(entries, roots: Roots, index, entry_filter) -> DataFrame:
 
 def _usage_of_many(entries, roots: Roots, index, entry_filter) -> DataFrame:
     # The roots are the fact side: hard links may repeat one key very often.
-    totals = _totals_by_key(entries, index, entry_filter)
+    totals = _totals_by_key(entries, index, entry_filter, roots.table.select(*KEY).distinct())
     return _zero_filled(join_lookup(roots.table, totals, KEY, "left", small=False), "root_id", *KEY)
 
 
-def _totals_by_key(entries, index: DirectoryIndex, entry_filter) -> DataFrame:
-    """``device, inode, size, inodes`` of every inode: its own rows and all below them."""
+def _totals_by_key(entries, index: DirectoryIndex, entry_filter, keys: DataFrame) -> DataFrame:
+    """``device, inode, size, inodes`` of each of ``keys``: its own rows and all below them."""
     own = entry_filter.apply(entries).where(F.col("inode").isNotNull()).select(
         *KEY, "size", F.lit(1).cast("long").alias("inodes")
     )
     return (
         own.unionByName(_climbing_totals(entries, index, entry_filter))
+        .join(keys, KEY, "left_semi")
         .groupBy(*KEY)
         .agg(_sum_or_zero("size"), _sum_or_zero("inodes"))
     )
@@ -205,8 +207,9 @@ def usage_report(
     """One ``line`` of text per path, as given: size, number of entries, path."""
     paths = list(paths)
     totals = usage_by_root(entries, roots_at(entries, index, paths), index, entry_filter)
-    name = F.element_at(F.array(*[F.lit(p) for p in paths]), F.col("root_id").cast("int") + 1)
-    return totals.select(usage_line(F.col("size"), F.col("inodes"), name).alias("line"))
+    names = entries.sparkSession.createDataFrame(list(enumerate(paths)), "root_id long, name string")
+    named = join_lookup(totals, names, ["root_id"])
+    return named.select(usage_line(F.col("size"), F.col("inodes"), F.col("name")).alias("line"))
 
 
 def children_usage(
@@ -233,18 +236,16 @@ def children_usage(
         small=tops.small or None,
         hot=index.hot,
     )
-    if index.single and not fits_broadcast(children):
+    # Staged because the ids must stay the same for every use, and for its size.
+    children = stage(children.withColumn("root_id", F.monotonically_increasing_id()), "children")
+    if index.single and not is_small(children):
         # Entries without an inode have no totals; as NULL keys they would share one task.
-        totals = _totals_by_key(entries, index, entry_filter)
         known = children.where(F.col("inode").isNotNull())
+        totals = _totals_by_key(entries, index, entry_filter, known.select(*KEY).distinct())
         listed = join_lookup(known, totals, KEY, "left", small=False).unionByName(
             children.where(F.col("inode").isNull()), allowMissingColumns=True
         )
     else:
-        # Staged because the ids must stay the same for both uses.
-        children = stage(
-            children.withColumn("root_id", F.monotonically_increasing_id()), "children"
-        )
         roots = children.where(F.col("inode").isNotNull())
         totals = usage_by_root(entries, roots, index, entry_filter)
         listed = children.join(totals.drop(*KEY), "root_id", "left")

@@ -1,18 +1,17 @@
 """Accounting views over grants and usage of compute and storage.
 
-Facts are joined to their dimensions one key at a time. A dimension is broadcast after its
-row count was checked once; a larger one is joined by shuffle, with hot fact keys split.
+Facts are joined to their dimensions one key at a time. A dimension is broadcast where its
+estimated size allows; a larger one is joined by shuffle, with hot fact keys split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovemeter.operators.lookup import fits_broadcast, join_lookup
-from grovemeter.scratch import stage
+from grovemeter.operators.lookup import join_lookup
 
 # Base tables of the accounting model.
 TABLES = (
@@ -40,7 +39,6 @@ class Accounting:
 
     def __init__(self, tables: Mapping[str, DataFrame | Callable[[], DataFrame]]):
         self._sources = dict(tables)
-        self._small: dict[str, bool] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in TABLES:
@@ -53,10 +51,8 @@ class Accounting:
     def _with(self, facts: DataFrame, name: str, key: str, *columns: str) -> DataFrame:
         """Inner join ``facts.key`` to ``name.id``, keeping ``columns`` and not the key."""
         dimension = self.table(name)
-        if name not in self._small:
-            self._small[name] = fits_broadcast(dimension)
         chosen = dimension.select(F.col("id").alias(key), *columns)
-        return join_lookup(facts, chosen, [key], small=self._small[name]).drop(key)
+        return join_lookup(facts, chosen, [key]).drop(key)
 
     def project_usage(self) -> DataFrame:
         """Compute usage with project, queue and system; zero and unknown usage left out."""
@@ -97,9 +93,7 @@ class Accounting:
         The year is not part of the key.
         """
         keys = ["project", "system", "storagepoint", "scheme", "quarter"]
-        latest = _latest_ids(self.storage_grants(), keys)
-        kept = join_lookup(self.table("storage_grants"), latest, ["id"])
-        return self._storage_grants(kept).drop("id")
+        return _latest(self.storage_grants(), keys)
 
     def system_queues(self) -> DataFrame:
         """Queues with their system and charge weight."""
@@ -116,12 +110,14 @@ class Accounting:
         )
 
     def total_user_storage(self) -> DataFrame:
-        """Storage use per user, summed over folders."""
-        return (
-            self.user_storage()
-            .groupBy("project", "user", "fullname", "storagepoint", "scandate")
-            .agg(F.sum("inodes").alias("inodes"), F.sum("size").alias("size"))
-        )
+        """Storage use per user, summed over folders: by ids first, then by names."""
+        ids = ["project_id", "user_id", "storagepoint_id", "scandate"]
+        sums = [F.sum("inodes").alias("inodes"), F.sum("size").alias("size")]
+        facts = self.table("user_storage").groupBy(*ids).agg(*sums)
+        facts = self._with(facts, "projects", "project_id", "project")
+        facts = self._with(facts, "users", "user_id", "user", "fullname")
+        facts = self._with(facts, "storage_points", "storagepoint_id", "storagepoint")
+        return facts.groupBy("project", "user", "fullname", "storagepoint", "scandate").agg(*sums)
 
     def _usage_grants(self, grants: DataFrame) -> DataFrame:
         grants = self._with(grants, "projects", "project_id", "project")
@@ -138,10 +134,7 @@ class Accounting:
 
     def usage_grants_latest(self) -> DataFrame:
         """The grant with the largest id per project, system, scheme and quarter."""
-        keys = ["project", "system", "scheme", "quarter"]
-        latest = _latest_ids(self.usage_grants(), keys)
-        kept = join_lookup(self.table("usage_grants"), latest, ["id"])
-        return self._usage_grants(kept).drop("id")
+        return _latest(self.usage_grants(), ["project", "system", "scheme", "quarter"])
 
     def user_usage(self) -> DataFrame:
         """Compute usage and efficiency per user."""
@@ -178,10 +171,10 @@ VIEWS = (
 )
 
 
-def _latest_ids(grants: DataFrame, keys: list[str]) -> DataFrame:
-    """The largest id of each group.
+def _latest(grants: DataFrame, keys: list[str]) -> DataFrame:
+    """The row with the largest id of each group, without the id.
 
-    A maximum of one long is a hash aggregate reduced before its shuffle; keeping the whole
-    row in the aggregate would sort every grant first.
+    The limit of one row a group runs before the shuffle as well as after it.
     """
-    return stage(grants.groupBy(*keys).agg(F.max("id").alias("id")).select("id"), "latest-ids")
+    newest = Window.partitionBy(*keys).orderBy(F.desc("id"))
+    return grants.withColumn("nth", F.row_number().over(newest)).where("nth = 1").drop("nth", "id")

@@ -29,5 +29,5 @@ def at_scale(monkeypatch):
     """Make every table count as large and every busy key as hot."""
     from grovemeter.operators import lookup
 
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(lookup, "ROWS_PER_PIECE", 3)

@@ -46,13 +46,30 @@ def test_equal_rows_of_a_hot_key_are_spread(spark, at_scale):
     assert len(spread) > 1
 
 
-def test_size_checks(spark, monkeypatch):
-    assert lookup.fits_broadcast(spark.range(10), 10)
-    assert not lookup.fits_broadcast(spark.range(11), 10)
+def test_size_checks(spark, monkeypatch, tmp_path):
     facts, names = tables(spark)
-    assert lookup.find_hot_keys(facts, ["k"]) is None
+    assert lookup.find_hot_keys(facts.limit(50).coalesce(1), ["k"]) is None
+    names.write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names"))
     assert "BroadcastHashJoin" in lookup.join_lookup(facts, names, ["k"])._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 5)
+    assert not lookup.is_small(names)
     joined = lookup.join_lookup(facts, names, ["k"])
     assert "salt" not in joined._jdf.queryExecution().optimizedPlan().toString()
     assert rows(joined) == rows(facts.join(names, ["k"]))
+
+
+def test_size_checks_run_no_job(spark, tmp_path):
+    """200 partitions: the size is known from the files, and nothing is read for it."""
+    path = str(tmp_path / "wide")
+    spark.range(0, 4000, 1, 200).write.parquet(path)
+    wide = spark.read.parquet(path)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("size", "size")
+    try:
+        assert lookup.is_small(wide)
+        assert lookup.estimated_bytes(wide.where("id > 5").select("id")) > 0
+        assert not lookup.is_small(wide.join(wide.withColumnRenamed("id", "j"), F.col("id") > F.col("j")))
+        assert not tracker.getJobIdsForGroup("size")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -104,25 +104,91 @@ def test_names_around_the_separator(spark):
         assert paths(tree.find(entries, [(1, 10 + n)], index)) == [f"/r/{name}", f"/r/{name}/f"]
 
 
-def test_deep_tree(spark):
-    depth = 150
-    rows = [directory("/r", 1, None)] + [
-        directory(f"d{n}", n, n - 1) for n in range(2, depth + 1)
-    ]
+@pytest.mark.parametrize("depth", [600, 2000])
+@pytest.mark.parametrize("twin", [False, True])
+def test_deep_trees(spark, depth, twin):
+    rows = [directory("/r", 1, None)] + [directory(f"d{n}", n, n - 1) for n in range(2, depth + 1)]
+    if twin:  # three levels above the bottom
+        rows.append(directory("again", depth - 3, None))
     entries, index = index_of(spark, rows)
+    assert index.single is not twin
     deepest = index.table.orderBy(F.desc("depth")).head()
     assert deepest["depth"] == depth - 1
     assert deepest["path"] == "/r/" + "/".join(f"d{n}" for n in range(2, depth + 1))
+    # what is below the directory with a copy is met once for each of its rows met, here one
     assert usage.du(entries, [(1, 1)], index).head()["inodes"] == depth
+    if twin:  # at the directory itself both rows are roots
+        assert usage.du(entries, [(1, depth - 3)], index).head()["inodes"] == 8
+
+
+def test_cycles_are_refused(spark):
+    for rows in (
+        [directory("/r", 1, None), directory("a", 5, 6), directory("b", 6, 5)],
+        [directory("own", 5, 5)],
+        [directory(f"d{n}", n, n % 7 + 1) for n in range(1, 8)] + [directory("tail", 20, 3)],
+    ):
+        with pytest.raises(ValueError, match="inside itself"):
+            index_of(spark, rows)
+
+
+def test_a_cycle_through_a_copy_is_refused(spark):
+    rows = [directory("/r", 1, None), directory("a", 2, 1), directory("b", 3, 2), directory("a", 2, 3)]
+    entries, index = index_of(spark, rows)
+    with pytest.raises(ValueError, match="inside itself"):
+        usage.du(entries, [(1, 1)], index)
+
+
+def test_rows_others_point_at_are_directories_whatever_their_mode(spark):
+    rows = [directory("/r", 1, None), row("odd", 2, 1), row("f", 3, 2)]
+    entries, index = index_of(spark, rows)
+    assert usage.du(entries, [(1, 1)], index).head()["inodes"] == 3
+    assert set(paths(tree.with_path(entries, index))) == {"/r", "/r/odd", "/r/odd/f"}
+    entries, index = index_of(spark, rows, by="mode")
+    assert usage.du(entries, [(1, 1)], index).head()["inodes"] == 2
+
+
+@pytest.mark.parametrize("many", [1, 71])
+def test_files_on_the_key_of_a_directory_count(spark, many):
+    """A mount point's number may be a file's; the same root counts alike in short and long lists."""
+    rows = [directory("/r", 1, None), directory("mnt", 7, 1, size=1), row("f", 7, 1, size=100), row("x", 8, 1)]
+    entries, index = index_of(spark, rows)
+    roots = [(1, 7)] + [(1, 1000 + n) for n in range(many - 1)]
+    assert usage.du(entries, roots, index).head().asDict() == {"size": 101, "inodes": 2}
+    assert paths(tree.find(entries, roots, index)) == ["/r/f", "/r/mnt"]
+    assert {r["inode"]: r["size"] for r in usage.all_directory_usage(entries, index).collect()}[7] == 101
+    inside = {r["basename"]: r["size"] for r in usage.children_usage(entries, [(1, 1)], index).collect()}
+    assert inside == {"mnt": 101, "f": 101, "x": 1}
+
+
+@pytest.mark.parametrize("devices", [(5, 2), (1, 2), (2, 1)])
+def test_a_mount_is_found_by_its_path_from_inside(spark, devices):
+    outer, inner = devices
+    rows = [
+        directory("/r", 1, None, device=outer), directory("mnt", 2, 1, device=outer, size=1),
+        directory("/r/mnt", 2, None, device=inner, size=1), row("f", 3, 2, device=inner, size=100),
+    ]
+    entries, index = index_of(spark, rows)
+    assert tree.roots_at(entries, index, ["/r/mnt", "/r/mnt/f"]) == [(inner, 2), (inner, 3)]
+    report = usage.usage_report(entries, ["/r/mnt"], index).collect()
+    assert [r["line"] for r in report] == ["101.00B ,        2 files, /r/mnt"]
 
 
-def test_cycle_and_excess_depth_are_refused(spark):
-    rows = [directory("/r", 1, None), directory("a", 5, 6), directory("b", 6, 5)]
-    with pytest.raises(ValueError, match="cycle"):
-        index_of(spark, rows)
-    chain = [directory("/r", 1, None)] + [directory(f"d{n}", n, n - 1) for n in range(2, 40)]
-    with pytest.raises(ValueError, match="deeper"):
-        index_of(spark, chain, max_depth=16)
+def test_separators_of_recorded_roots_do_not_matter(spark):
+    rows = [
+        directory("/data/", 1, None), directory("sub", 2, 1), row("f", 3, 2),
+        directory("/", 1, None, device=2), directory("x", 2, 1, device=2),
+    ]
+    entries, index = index_of(spark, rows)
+    asked = ["/data", "/data/", "/data/sub", "/data//sub/f", "/", "/x"]
+    assert tree.roots_at(entries, index, asked) == [(1, 1), (1, 1), (1, 2), (1, 3), (2, 1), (2, 2)]
+
+
+def test_a_path_of_several_entries_is_refused(spark):
+    rows = [directory("/r", 1, None), directory("/r", 1, None, device=2), row("f", 5, 1), row("f", 6, 1)]
+    entries, index = index_of(spark, rows)
+    for path in ("/r", "/r/f"):
+        with pytest.raises(LookupError, match="several"):
+            tree.roots_at(entries, index, [path])
 
 
 def test_parents_by_key_follow_any_mode(spark):
