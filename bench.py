@@ -25,6 +25,8 @@ HEADLINE = (
     "find_filtered",
     "du",
     "du_filtered",
+    "find_overlapping_scans",
+    "all_dir_usage_overlapping",
     "du_per_root",
     "children_usage",
     "all_dir_usage",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from grovemeter.operators.tree import (
     with_root,
 )
 from grovemeter.plans.accounting import VIEWS
-from grovemeter.plans.sample import Sample, sample
+from grovemeter.plans.sample import ROOT_INODE, Sample, sample
 from grovemeter.scratch import new_scratch_path
 from grovemeter.sources import reports
 from grovemeter.sources.listings import entries_from_listing, url_names, url_root
@@ -173,15 +174,25 @@ def size_text_to_bytes(s: Sample) -> DataFrame:
 def mtime_text(s: Sample) -> DataFrame:
     key = F.col("o_custkey").cast("string")
     forms = [
-        ("1-URGENT", F.date_format("o_orderdate", "yyyy")),
-        ("2-HIGH", F.date_format("o_orderdate", "yyyyMMdd")),
-        ("3-MEDIUM", F.date_format("o_orderdate", "yyyy-MM-dd")),
-        ("4-NOT SPECIFIED", F.concat(F.lit("1y"), (F.col("o_custkey") % 30).cast("string"), F.lit("m"))),
+        F.date_format("o_orderdate", "yyyy"),
+        F.date_format("o_orderdate", "yyyyMMdd"),
+        F.date_format("o_orderdate", "yyyy-MM-dd"),
+        F.concat(F.lit("1y"), (F.col("o_custkey") % 30).cast("string"), F.lit("m")),
+        F.concat(key, F.lit("d12h")),
+        F.date_format("o_orderdate", "yyyy-MM"),
+        F.date_format("o_orderdate", "MMMM yyyy"),
+        F.date_format("o_orderdate", "d MMM yyyy"),
+        F.concat(F.lit("+"), key, F.lit(" days")),
+        F.concat(key, F.lit(".5d")),
+        F.concat(key, F.lit("s")),
+        F.concat(key, F.lit(" hours 30 minutes")),
     ]
-    text = F.concat(key, F.lit("d12h"))
-    for priority, form in forms:
-        text = F.when(F.col("o_orderpriority") == priority, form).otherwise(text)
-    text = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("-"), text)).otherwise(text)
+    text = reduce(
+        lambda rest, numbered: F.when(F.col("o_orderkey") % len(forms) == numbered[0], numbered[1]).otherwise(rest),
+        enumerate(forms),
+        F.lit(None).cast("string"),
+    )
+    text = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("-"), F.ltrim(text, F.lit("+")))).otherwise(text)
     texts = s.table("orders").select("o_orderkey", text.alias("time_text"))
     return texts.withColumn("epoch", signed_time_epoch(F.col("time_text"), as_of()))
 
@@ -205,6 +216,31 @@ def du_overlapping_scans(s: Sample) -> DataFrame:
     return usage.du(s.overlapping, s.roots, s.overlapping_index)
 
 
+def find_overlapping_scans(s: Sample) -> DataFrame:
+    return find(s.overlapping, s.roots, s.overlapping_index)
+
+
+def all_dir_usage_overlapping(s: Sample) -> DataFrame:
+    return usage.all_directory_usage(s.overlapping, s.overlapping_index, with_path=False)
+
+
+def du_shared_keys(s: Sample) -> DataFrame:
+    """Totals of every nation directory, each of whose numbers a file has too."""
+    nations = s.index.table.where(F.col("parent_inode") == ROOT_INODE)
+    roots = nations.select(F.col("inode").alias("root_id"), "device", "inode")
+    return usage.usage_by_root(s.shared_keys, roots, s.shared_keys_index).drop("root_id")
+
+
+def all_dir_usage_shared_keys(s: Sample) -> DataFrame:
+    return usage.all_directory_usage(s.shared_keys, s.shared_keys_index, with_path=False)
+
+
+def du_report_mounts(s: Sample) -> DataFrame:
+    """The regions as mounts below a scan of their parent; reported from inside."""
+    paths = [f"/data/{name}/" for name in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")]
+    return usage.usage_report(s.mounted, paths, s.mounted_index)
+
+
 def du_per_root(s: Sample) -> DataFrame:
     return usage.usage_by_root(s.entries, s.roots, s.index).drop("root_id")
 
@@ -328,6 +364,11 @@ QUERIES: dict[str, Callable[[Sample], DataFrame]] = {
     "du": du,
     "du_filtered": du_filtered,
     "du_overlapping_scans": du_overlapping_scans,
+    "find_overlapping_scans": find_overlapping_scans,
+    "all_dir_usage_overlapping": all_dir_usage_overlapping,
+    "du_shared_keys": du_shared_keys,
+    "all_dir_usage_shared_keys": all_dir_usage_shared_keys,
+    "du_report_mounts": du_report_mounts,
     "du_per_root": du_per_root,
     "du_report": du_report,
     "children_usage": children_usage,

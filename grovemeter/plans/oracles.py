@@ -43,6 +43,9 @@ inode AS MATERIALIZED (
   JOIN nation ON n_nationkey = c_nationkey
 )"""
 
+# The directories alone, few and narrow, so that no estimate makes a join build on all entries.
+DIRS = """, dirs AS MATERIALIZED (SELECT device, inode, basename, uid, gid FROM inode WHERE mode = 16877) """
+
 # Every entry below the five roots, with its path.
 TREE = (
     INODE
@@ -81,6 +84,30 @@ overlapping AS MATERIALIZED (
 )"""
 )
 
+SHARED_KEYS = (
+    INODE
+    + """,
+shared_keys AS MATERIALIZED (
+  SELECT basename, inode, device, mode, size, parent_inode FROM inode
+  UNION ALL
+  SELECT basename || '.lnk', inode, device, 33188, 100, parent_inode FROM inode WHERE parent_inode = 2 AND mode = 16877
+)"""
+)
+
+
+def totals_sql(relation: str, name: str, start: str) -> str:
+    """Totals of all keys that pass ``start``, each by a walk of its own."""
+    return f"""WITH RECURSIVE {relation},
+        walk AS (
+          SELECT device, inode AS top, inode, size FROM {name} WHERE (device, inode) IN
+            (SELECT (device, inode) FROM {name} WHERE mode = 16877 AND {start})
+          UNION ALL
+          SELECT c.device, w.top, c.inode, c.size FROM {name} c JOIN walk w ON c.parent_inode = w.inode AND c.device = w.device
+        )
+        SELECT device, top AS inode, CAST(coalesce(SUM(size), 0) AS BIGINT) AS size, COUNT(*) AS inodes
+        FROM walk GROUP BY device, top"""
+
+
 UNREADABLE = (
     TREE
     + """,
@@ -180,25 +207,33 @@ FROM (
   FROM lineitem)"""
 
 TIME_TEXT = """
-SELECT o_orderkey,
-       CASE WHEN o_orderstatus = 'F' THEN '-' || text ELSE text END AS time_text,
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '-' || ltrim(text, '+') ELSE text END AS time_text,
        CASE WHEN o_orderstatus = 'F' THEN -epoch(moment) ELSE epoch(moment) END AS epoch
 FROM (
   SELECT *,
-    CASE o_orderpriority
-      WHEN '1-URGENT' THEN strftime(o_orderdate, '%Y')
-      WHEN '2-HIGH' THEN strftime(o_orderdate, '%Y%m%d')
-      WHEN '3-MEDIUM' THEN strftime(o_orderdate, '%Y-%m-%d')
-      WHEN '4-NOT SPECIFIED' THEN '1y' || (o_custkey % 30) || 'm'
-      ELSE o_custkey || 'd12h' END AS text,
-    CASE o_orderpriority
-      WHEN '1-URGENT' THEN CAST(date_trunc('year', o_orderdate) AS TIMESTAMP)
-      WHEN '2-HIGH' THEN CAST(date_trunc('day', o_orderdate) AS TIMESTAMP)
-      WHEN '3-MEDIUM' THEN CAST(date_trunc('day', o_orderdate) AS TIMESTAMP)
-      WHEN '4-NOT SPECIFIED' THEN
-        TIMESTAMP '2001-10-31 12:00:00' - to_months(CAST(12 + o_custkey % 30 AS INTEGER))
-      ELSE TIMESTAMP '2001-10-31 12:00:00' - to_days(CAST(o_custkey AS INTEGER))
-           - INTERVAL '12 hours' END AS moment
+    CASE o_orderkey % 12
+      WHEN 0 THEN strftime(o_orderdate, '%Y')
+      WHEN 1 THEN strftime(o_orderdate, '%Y%m%d')
+      WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d')
+      WHEN 3 THEN '1y' || (o_custkey % 30) || 'm'
+      WHEN 4 THEN o_custkey || 'd12h'
+      WHEN 5 THEN strftime(o_orderdate, '%Y-%m')
+      WHEN 6 THEN strftime(o_orderdate, '%B %Y')
+      WHEN 7 THEN strftime(o_orderdate, '%-d %b %Y')
+      WHEN 8 THEN '+' || o_custkey || ' days'
+      WHEN 9 THEN o_custkey || '.5d'
+      WHEN 10 THEN o_custkey || 's'
+      ELSE o_custkey || ' hours 30 minutes' END AS text,
+    CASE
+      WHEN o_orderkey % 12 = 0 THEN CAST(date_trunc('year', o_orderdate) AS TIMESTAMP)
+      WHEN o_orderkey % 12 IN (1, 2, 7) THEN CAST(date_trunc('day', o_orderdate) AS TIMESTAMP)
+      WHEN o_orderkey % 12 IN (5, 6) THEN CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)
+      ELSE TIMESTAMP '2001-10-31 12:00:00' - CASE o_orderkey % 12
+        WHEN 3 THEN to_months(CAST(12 + o_custkey % 30 AS INTEGER))
+        WHEN 8 THEN to_days(CAST(o_custkey AS INTEGER))
+        WHEN 10 THEN to_seconds(o_custkey)
+        WHEN 11 THEN to_minutes(60 * o_custkey + 30)
+        ELSE to_hours(24 * o_custkey + 12) END END AS moment
   FROM orders)"""
 
 LISTING = r"""
@@ -305,14 +340,16 @@ def oracle_sql() -> dict[str, str]:
                WHERE t.basename NOT LIKE '/%' LIMIT 1"""
         ),
         "inode_parent": inode_sql(
-            """SELECT i.device, i.parent_inode, i.basename, p.basename AS parent_basename,
+            DIRS
+            + """SELECT i.device, i.parent_inode, i.basename, p.basename AS parent_basename,
                       p.uid AS parent_uid, p.gid AS parent_gid
-               FROM inode i LEFT JOIN inode p ON p.inode = i.parent_inode AND p.device = i.device"""
+               FROM inode i LEFT JOIN dirs p ON p.inode = i.parent_inode AND p.device = i.device"""
         ),
         "inode_root": inode_sql(
-            """SELECT i.device, i.parent_inode, i.basename, r.basename AS root_basename,
+            DIRS
+            + """SELECT i.device, i.parent_inode, i.basename, r.basename AS root_basename,
                       r.gid AS root_gid
-               FROM inode i LEFT JOIN inode r ON r.inode = i.root_inode AND r.device = i.device"""
+               FROM inode i LEFT JOIN dirs r ON r.inode = i.root_inode AND r.device = i.device"""
         ),
         "duplicate_dirs": f"""WITH {OVERLAPPING}
             SELECT device, inode, COUNT(*) AS copies FROM overlapping
@@ -345,6 +382,23 @@ def oracle_sql() -> dict[str, str]:
               JOIN walk w ON c.parent_inode = w.inode AND c.device = w.device
             )
             SELECT {total} FROM walk""",
+        "find_overlapping_scans": f"""WITH RECURSIVE {OVERLAPPING},
+            walk AS (
+              SELECT *, basename AS path FROM overlapping WHERE inode = 2
+              UNION ALL
+              SELECT c.*, w.path || '/' || c.basename FROM overlapping c
+              JOIN walk w ON c.parent_inode = w.inode AND c.device = w.device
+            )
+            SELECT path FROM walk""",
+        "all_dir_usage_overlapping": totals_sql(OVERLAPPING, "overlapping", "TRUE"),
+        "du_shared_keys": totals_sql(SHARED_KEYS, "shared_keys", "parent_inode = 2"),
+        "all_dir_usage_shared_keys": totals_sql(SHARED_KEYS, "shared_keys", "TRUE"),
+        "du_report_mounts": tree_sql(
+            f"""SELECT {pretty('size')} || ', ' || printf('%8d', inodes) || ' files, ' || root || '/' AS line
+                FROM (SELECT string_split(path, '/')[3] AS name, '/data/' || name AS root,
+                             CAST(SUM(size) AS BIGINT) AS size, COUNT(*) AS inodes
+                      FROM tree GROUP BY name)"""
+        ),
         "du_per_root": tree_sql(
             f"SELECT device, CAST(2 AS BIGINT) AS inode, {total} FROM tree GROUP BY device"
         ),

@@ -70,6 +70,36 @@ class Sample:
     def overlapping_index(self) -> DirectoryIndex:
         return build_directory_index(self.overlapping)
 
+    @cached_property
+    def shared_keys(self) -> DataFrame:
+        """The snapshot with a file beside every nation directory that has the same number."""
+        files = self.index.table.where(F.col("parent_inode") == ROOT_INODE).select(*ENTRY_COLUMNS)
+        files = files.withColumns(
+            {"basename": F.concat("basename", F.lit(".lnk")), "mode": F.lit(33188), "size": F.lit(100).cast("long")}
+        )
+        return stage(self.entries.unionByName(files), "shared-keys")
+
+    @cached_property
+    def shared_keys_index(self) -> DirectoryIndex:
+        return build_directory_index(self.shared_keys)
+
+    @cached_property
+    def mounted(self) -> DataFrame:
+        """The snapshot with a scan of /data, where each region is seen as a mount point."""
+        roots = self.index.table.where(F.col("inode") == ROOT_INODE).select(*ENTRY_COLUMNS)
+        outer = roots.withColumns(
+            {"device": F.lit(900).cast("long"), "size": F.lit(10).cast("long"), "root_inode": F.lit(1).cast("long")}
+        )
+        points = outer.withColumns(
+            {"basename": F.element_at(F.split("basename", "/"), -1), "parent_inode": F.lit(1).cast("long")}
+        )
+        top = outer.limit(1).withColumns({"basename": F.lit("/data"), "inode": F.lit(1).cast("long")})
+        return stage(self.entries.unionByName(points).unionByName(top), "mounted")
+
+    @cached_property
+    def mounted_index(self) -> DirectoryIndex:
+        return build_directory_index(self.mounted)
+
     def mapped_entries(self) -> DataFrame:
         region = self.table("region")
         nation = self.table("nation")
