@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovemeter.scratch import stage
@@ -42,6 +43,12 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def argument_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A table of an argument's values (whole numbers or texts), of known size to the planner."""
+    kinds = {name: pa.string() if values and isinstance(values[0], str) else pa.int64() for name, values in columns.items()}
+    return spark.createDataFrame(pa.table({name: pa.array(values, kinds[name]) for name, values in columns.items()}))
+
+
 def hot_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The keys of ``facts`` to split, with the number of ``pieces`` of each."""
     counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))

@@ -31,6 +31,7 @@ from grovemeter.operators import lookup
 from grovemeter.operators.filters import NO_FILTER, EntryFilter, check_roots
 from grovemeter.operators.lookup import (
     UNKNOWN,
+    argument_table,
     find_hot_keys,
     is_small,
     join_lookup,
@@ -359,8 +360,8 @@ def as_roots(spark: SparkSession, roots: Iterable | DataFrame, index: DirectoryI
         return Roots(table, is_small(table))
     pairs = tuple(check_roots(roots))
     if len(pairs) > MAX_LITERAL_ROOTS:
-        rows = [(n, d, i) for n, (d, i) in enumerate(pairs)]
-        table = spark.createDataFrame(rows, ROOTS_SCHEMA)
+        devices, inodes = zip(*pairs)
+        table = argument_table(spark, root_id=list(range(len(pairs))), device=list(devices), inode=list(inodes))
         return Roots(table, is_small(table), pairs)
     values = ", ".join(f"({n}L, {d}L, {i}L)" for n, (d, i) in enumerate(pairs))
     table = spark.sql(f"SELECT * FROM VALUES {values} AS roots(root_id, device, inode)")
@@ -393,7 +394,7 @@ def roots_at(
     names = [re.sub("(?<=.)/$", "", re.sub("/+", "/", p)) for p in paths]
     wanted = sorted(set(names))
     spark = entries.sparkSession
-    asked = spark.createDataFrame([(name,) for name in wanted], "path string")
+    asked = argument_table(spark, path=wanted)
     kind = F.when(F.col("parent_inode").isNull(), 0).when(F.coalesce(is_directory("mode"), F.lit(True)), 1).otherwise(2)
 
     # Recorded paths are as asked for, unless a scan root was recorded with a separator too many.
@@ -408,7 +409,9 @@ def roots_at(
     rest = [name for name in wanted if name not in found]
     if rest:
         places = [(name, *name.rpartition("/")[::2]) for name in rest]
-        asked = spark.createDataFrame([(n, f or "/", b) for n, f, b in places], "path string, folder string, basename string")
+        asked = argument_table(
+            spark, path=rest, folder=[folder or "/" for _, folder, _ in places], basename=[base for _, _, base in places]
+        )
         folders = index.as_parents(_plain_path(F.col("path")).alias("folder"))
         inside = stage(folders.join(sized(asked), "folder"), "folders")
         files = entries.where(F.col("inode").isNotNull())

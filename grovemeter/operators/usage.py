@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from grovemeter.functions.modes import is_directory
 from grovemeter.functions.sizes import usage_line
 from grovemeter.operators.filters import NO_FILTER, EntryFilter
-from grovemeter.operators.lookup import is_small, join_lookup
+from grovemeter.operators.lookup import argument_table, is_small, join_lookup
 from grovemeter.operators.tree import (
     KEY,
     PARENT_KEY,
@@ -207,7 +207,7 @@ def usage_report(
     """One ``line`` of text per path, as given: size, number of entries, path."""
     paths = list(paths)
     totals = usage_by_root(entries, roots_at(entries, index, paths), index, entry_filter)
-    names = entries.sparkSession.createDataFrame(list(enumerate(paths)), "root_id long, name string")
+    names = argument_table(entries.sparkSession, root_id=list(range(len(paths))), name=paths)
     named = join_lookup(totals, names, ["root_id"])
     return named.select(usage_line(F.col("size"), F.col("inodes"), F.col("name")).alias("line"))
 

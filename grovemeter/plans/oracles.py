@@ -144,6 +144,7 @@ def found_sql(condition: str) -> str:
     return tree_sql(f"SELECT path FROM tree WHERE {condition}")
 
 
+# The unit labels and the text of an empty total.
 def pretty(size: str) -> str:
     cases = "".join(
         f" WHEN {size} >= {1024**n} THEN printf('%6.2f', {size} / {float(1024**n)!r}) || '{label}'"
@@ -171,6 +172,7 @@ binned AS (
 )"""
 
 
+# The age bins.
 CHANGE_BINS = [
     ("0 days", 0, 0),
     ("1 month", 1, 0),

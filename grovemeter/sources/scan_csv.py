@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovemeter.schemas import ENTRY_COLUMNS, SCAN_COLUMNS, SCAN_SCHEMA
-from grovemeter.scratch import stage
-from grovemeter.sources.snapshots import publish_snapshot, read_snapshot
+from grovemeter.scratch import stage, unstage
+from grovemeter.sources.snapshots import layout_files, publish_snapshot, read_snapshot
 
 # The wire format.
 RECORD_SEPARATOR = "\r\n"
@@ -55,7 +55,9 @@ def load_scan(
     The parsed records are staged, because laying out a snapshot reads its input twice and
     parsing is the dearer part.
     """
-    publish_snapshot(stage(read_scan_csv(spark, paths), "scan"), base, snapshot)
+    staged = stage(read_scan_csv(spark, paths), "scan")
+    publish_snapshot(staged, base, snapshot, max(layout_files(staged), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    unstage(staged)
     return read_snapshot(spark, base, snapshot)
 
 

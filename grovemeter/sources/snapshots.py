@@ -11,15 +11,22 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grovemeter.operators.lookup import estimated_bytes
 from grovemeter.schemas import ENTRY_COLUMNS, ENTRY_SCHEMA
 
+# Bytes on disk that one file of a laid-out table takes; the bound is what one driver can list.
+LAYOUT_BYTES = 128 * 1024**2
+MAX_LAYOUT_FILES = 1_000_000
+
 COMMIT_SCHEMA = "snapshot string, committed timestamp"
 
 
 def _commits(spark: SparkSession, base: str) -> DataFrame:
     try:
         return spark.read.schema(COMMIT_SCHEMA).json(f"{base}/commits")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.sql("SELECT '' AS snapshot, current_timestamp() AS committed LIMIT 0")
 
 
@@ -27,19 +34,27 @@ def _folder(base: str, snapshot: str) -> str:
     return f"{base}/data/snapshot={snapshot}"
 
 
-def publish_snapshot(entries: DataFrame, base: str, snapshot: str) -> None:
+def layout_files(df: DataFrame) -> int:
+    """Files for a range layout of a staged table: one for each LAYOUT_BYTES."""
+    return max(1, min(MAX_LAYOUT_FILES, -(-estimated_bytes(df) // LAYOUT_BYTES)))
+
+
+def publish_snapshot(
+    entries: DataFrame, base: str, snapshot: str, files: int | None = None
+) -> None:
     """Write ``entries`` as ``snapshot`` and make it the current one.
 
     Rows are laid out by parent directory and name. The name is part of the range key, so
     even a directory holding a third of all rows is spread over many files, and a search for
-    a directory's entries skips most row groups.
+    a directory's entries skips most row groups. ``files`` is their number, by default that of
+    the shuffle partitions; ``layout_files`` works it out for a staged table.
     """
     spark = entries.sparkSession
     if not _commits(spark, base).where(F.col("snapshot") == snapshot).isEmpty():
         raise ValueError(f"snapshot {snapshot!r} is already published")
     (
         entries.select(*ENTRY_COLUMNS)
-        .repartitionByRange("device", "parent_inode", "basename")
+        .repartitionByRange(*([files] if files else []), "device", "parent_inode", "basename")
         .sortWithinPartitions("device", "parent_inode", "basename")
         .write.mode("overwrite")
         .parquet(_folder(base, snapshot))
@@ -54,10 +69,10 @@ def publish_snapshot(entries: DataFrame, base: str, snapshot: str) -> None:
 
 
 def current_snapshot(spark: SparkSession, base: str) -> str:
-    latest = _commits(spark, base).agg(F.max_by("snapshot", "committed").alias("snapshot")).head()
-    if latest["snapshot"] is None:
+    latest = _commits(spark, base).agg(F.max(F.struct("committed", "snapshot")).alias("last")).head()
+    if latest["last"] is None:
         raise LookupError(f"no snapshot published in {base}")
-    return latest["snapshot"]
+    return latest["last"]["snapshot"]
 
 
 def read_snapshot(spark: SparkSession, base: str, snapshot: str | None = None) -> DataFrame:
