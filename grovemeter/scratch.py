@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +31,13 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/grovemeter/{sc.applicationId}"
 
 
+_made: list[str] = []
+
+
 def new_scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A folder for one table; ``temporary_tables`` knows about it from now on."""
+    _made.append(f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -46,12 +53,26 @@ def unstage(staged: DataFrame) -> None:
     spark = staged.sparkSession
     files = staged.inputFiles()
     if files:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, files[0].rpartition("/")[0])
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is staged inside the block; results must be used before."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            _delete(spark, _made.pop())
 
 
 def release_scratch(spark: SparkSession) -> None:
     """Delete every table this application has staged."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    configuration = spark.sparkContext._jsc.hadoopConfiguration()
-    root.getFileSystem(configuration).delete(root, True)
+    _delete(spark, scratch_root(spark))
+    _made.clear()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,6 +20,8 @@ from grovemeter.sources.snapshots import layout_files, publish_snapshot, read_sn
 # The wire format.
 RECORD_SEPARATOR = "\r\n"
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+# A name has at most 255 bytes, so this many separators cannot be inside one.
+MAX_PIECES = 256
 SCAN_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCAN_SCHEMA)
 
 
@@ -80,7 +82,9 @@ def _rejoined(pieces: DataFrame, separator: str) -> DataFrame:
 
     The state at a piece (inside or outside a quoted name) depends on all quotes before it
     in the file. It is summed in two steps, over the pieces of each input split and over the
-    splits of each file, so no group is larger than a split.
+    splits of each file, so no group is larger than a split. A quote that is never closed would
+    make one record of all that follows; that is found by counting pieces and raises
+    ``ValueError`` before any record is put together.
     """
     numbered = pieces.select(
         "*",
@@ -137,9 +141,13 @@ def _rejoined(pieces: DataFrame, separator: str) -> DataFrame:
         "line",
         "value",
     )
+    record = ["file", "record_block", "record"]
+    sizes = owned.groupBy(*record).agg(F.count(F.lit(1)).alias("pieces"))
+    if (endless := sizes.where(F.col("pieces") > MAX_PIECES).first()) is not None:
+        raise ValueError(f"{endless['file']}: a quote is opened and not closed")
     parts = F.sort_array(F.collect_list(F.struct("block", "line", "value")))
     return (
-        owned.groupBy("file", "record_block", "record")
+        owned.groupBy(*record)
         .agg(parts.alias("parts"))
         .select(F.array_join(F.transform("parts", lambda p: p["value"]), separator).alias("value"))
     )

@@ -122,6 +122,26 @@ def test_snapshot_spreads_a_hot_directory(spark, tmp_path):
     assert len(sizes) == 4 and max(r[0] for r in sizes) < 10000
 
 
+def test_an_unclosed_quote_is_refused(spark, tmp_path):
+    lines = [f'f{n},{n},1,33188,1,1,1,0.0,0.0,0.0,1,1' for n in range(1000)]
+    lines[1] = 'f"' + lines[1][1:]
+    (tmp_path / "scan.csv").write_bytes("\r\n".join(lines).encode() + b"\r\n")
+    with pytest.raises(ValueError, match="not closed"):
+        read_scan_csv(spark, str(tmp_path / "scan.csv"))
+
+
+def test_staged_tables_can_be_temporary(spark):
+    from grovemeter.scratch import stage, temporary_tables
+
+    kept = stage(spark.range(3))
+    with temporary_tables(spark):
+        gone = stage(spark.range(5))
+        assert gone.count() == 5
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        gone.count()
+
+
 def test_listing(spark):
     urls = [
         ("https://h.org/a/b/c?x=1",), ("http://h.org/a/b/",), ("https://h.org/a/d#top",),

@@ -104,8 +104,7 @@ def test_names_around_the_separator(spark):
         assert paths(tree.find(entries, [(1, 10 + n)], index)) == [f"/r/{name}", f"/r/{name}/f"]
 
 
-@pytest.mark.parametrize("depth", [600, 2000])
-@pytest.mark.parametrize("twin", [False, True])
+@pytest.mark.parametrize(("depth", "twin"), [(600, True), (2000, False)])
 def test_deep_trees(spark, depth, twin):
     rows = [directory("/r", 1, None)] + [directory(f"d{n}", n, n - 1) for n in range(2, depth + 1)]
     if twin:  # three levels above the bottom
