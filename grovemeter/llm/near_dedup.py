@@ -7,11 +7,13 @@ K values of the second permutation from p on. Signatures are cut into BANDS band
 coordinates; texts that share a band are candidates, and every link is confirmed on full
 shingle sets. At a similarity of 0.8 a pair shares no band with probability 1e-7.
 
-Links are only needed as far as they join classes, so no bucket is expanded into pairs: each
-bucket checks one leader against the members of other classes, classes are merged, the leader leaves, and
-this goes on with two, four, eight leaders until what is left of all buckets together is
-small enough to be checked pair by pair. Nothing is capped: a bucket ends when all its members
-are in one class or every pair of different classes in it was checked.
+Links are only needed as far as they join classes, so no bucket is expanded into pairs. Twice
+each bucket checks its most central member (the one that shares most buckets, which of near
+copies is the least edited) against the members of other classes, and classes are merged. Then
+whoever is still outside the main class of a bucket is checked against all members of the
+bucket's classes, in blocks of BLOCK by BLOCK texts of which only the links that merge classes
+come out. Nothing is capped: at the end every pair of texts that share a band is in one class
+or was checked.
 """
 
 from __future__ import annotations
@@ -30,9 +32,10 @@ CIRCLE = 1 << 20
 BANDS = 40
 ROWS = 5
 SEED = 20_240_601
-#: The pairs left are checked one by one once they are at most this many for each row of the
-#: bucket table; until then leaders are checked.
-PAIRS_PER_ROW = 4
+#: Rounds in which one member of each bucket is checked against the others.
+STARS = 2
+#: Texts on each side of a block.
+BLOCK = 400
 
 
 def shingle_sets(text: Column, width: int) -> Column:
@@ -190,8 +193,11 @@ def _classified(docs: DataFrame, id_column: str, text_column: str, width: int, p
         .join(groups.select("node").distinct(), "node", "left_semi")
         .select("node", "size", F.explode("keys").alias("key"))
     )
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
-    buckets = stage(members.join(shared, "key", "left_semi"), "near-buckets")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    met = stage(members.join(shared, "key"), "near-met")
+    central = met.groupBy("node").agg(F.sum("many").alias("central"))
+    buckets = stage(met.drop("many").join(central, "node"), "near-buckets")
+    unstage(met)
 
     # Full sets of the nodes that have a candidate; texts are shuffled, which are smaller.
     involved = buckets.select("node").distinct()
@@ -231,72 +237,115 @@ def _nameless(digest: str | Column) -> Column:
 def _classes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, label) of every node of ``buckets``; equal labels are one class."""
     labels = stage(buckets.select("node").distinct().withColumn("label", F.col("node")), "near-classes")
-    live, turn = buckets, 0
-    while True:
-        marked = live.join(labels, "node")
-        per_label = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        open_keys = per_label.groupBy("key").agg(
-            F.count(F.lit(1)).alias("classes"),
-            F.sum("n").alias("rows"),
-            F.max(F.struct("n", "label")).alias("main"),
-        ).where("classes > 1").select("key", "rows", F.col("main.n").alias("main_rows"), F.col("main.label").alias("main_label"))
-        opened = stage(open_keys, "near-open")
+    live = buckets
+    for _ in range(STARS):
+        opened = _open_buckets(live, labels)
         if opened.isEmpty():
-            unstage(opened)
             return labels
-        live_now = stage(marked.join(opened.select("key", "main_label"), "key"), "near-live")
-        work = opened.agg(F.sum("rows"), F.sum((F.col("rows") - F.col("main_rows")) * F.col("rows"))).first()
-        last = work[1] <= PAIRS_PER_ROW * work[0]
-        if last:
-            # whoever is outside the largest class of the bucket, against all other classes
-            outside = live_now.where("label != main_label").select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"))
-            other = live_now.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), F.col("size").alias("sy"))
-            pairs = outside.join(other, "key").where("lx != ly")
-        else:
-            leader = stage(_leaders(live_now, opened, turn), "near-leaders")
-            pairs = live_now.withColumnsRenamed({"node": "y", "label": "ly", "size": "sy"}).join(leader, "key").where("lx != ly")
-        similar = (F.least("sx", "sy") * 100 >= F.greatest("sx", "sy") * percent)
-        pairs = pairs.where(similar).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = stage(_confirmed(pairs, sets, percent), "near-links")
-        named = links.join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(
-            labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b"
-        )
-        merged = _smallest_labels(named.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a != b"))
-        after = stage(
-            labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select(
-                "node", F.coalesce("top", "label").alias("label")
+        order = F.struct("central", "node", "label", "size")
+        leader = stage(
+            opened.groupBy("key").agg(F.max(order).alias("lead")).select(
+                "key", F.col("lead.node").alias("x"), F.col("lead.label").alias("lx"), F.col("lead.size").alias("sx")
             ),
-            "near-classes",
-        )
-        for done in (labels, merged, links, opened):
-            unstage(done)
-        labels = after
-        if last:
-            unstage(live_now)
-            return labels
-        # a leader has met every member of other classes, so its bucket is done with it
-        rest = stage(
-            live_now.select("key", "node", "size").join(leader.select("key", F.col("x").alias("node")), ["key", "node"], "left_anti"),
-            "near-rest",
+            "near-leaders",
         )
-        for done in (live_now, leader):
-            unstage(done)
-        if turn:
-            unstage(live)
-        live, turn = rest, turn + 1
+        near_size = F.least("sx", "size") * 100 >= F.greatest("sx", "size") * percent
+        pairs = opened.join(leader, "key").where((F.col("lx") != F.col("label")) & near_size)
+        pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        labels = _merged(labels, stage(_confirmed(pairs, sets, percent), "near-links"))
+        # the leader has met every member of other classes, so its bucket is done with it
+        led = leader.select("key", F.col("x").alias("node"))
+        live = stage(opened.select("key", "node", "size", "central").join(led, ["key", "node"], "left_anti"), "near-rest")
+        unstage(opened)
+        unstage(leader)
+    opened = _open_buckets(live, labels)
+    return labels if opened.isEmpty() else _merged(labels, stage(_block_links(opened, sets, percent), "near-links"))
+
+
+def _open_buckets(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets with several classes, with their label and the bucket's largest class."""
+    marked = live.join(labels, "node")
+    per_label = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per_label.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label")).alias("main"))
+    mixed = mixed.where("classes > 1").select("key", F.col("main.label").alias("main_label"))
+    return stage(marked.join(mixed, "key"), "near-open")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` with the classes that ``links`` (a, b) join made one. Both are used up."""
+    named = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(
+        labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b"
+    )
+    joined = _smallest_labels(named.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a != b"))
+    new = joined.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    after = stage(labels.join(new, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "near-classes")
+    for done in (labels, links, joined):
+        unstage(done)
+    return after
 
 
-def _leaders(live: DataFrame, opened: DataFrame, turn: int) -> DataFrame:
-    """The smallest node of each bucket, then about 2 ** turn nodes of it by a hash.
+def _block_links(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that merge classes, among texts of open buckets with the same main class.
 
-    Where a bucket has fewer rows all of them lead, which ends it.
+    Texts outside the main class are dealt into rows of blocks, all texts into columns; each
+    block is one group of at most about BLOCK texts a side, so no group grows with a class.
     """
-    if not turn:
-        first = live.groupBy("key").agg(F.min(F.struct("node", "label", "size")).alias("lead")).select("key", "lead.*")
-    else:
-        drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-        first = live.join(opened.select("key", "rows"), "key").where(drawn < F.lit(2.0**turn) / F.col("rows"))
-    return first.select("key", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"))
+    texts = opened.select("main_label", "node", "label").distinct()
+    texts = stage(texts.withColumn("outside", F.col("label") != F.col("main_label")), "near-texts-left")
+    counts = texts.groupBy("main_label").agg(F.count(F.lit(1)).alias("all"), F.count_if("outside").alias("out"))
+    placed = texts.join(counts, "main_label").select(
+        "main_label", "node", "label", "outside",
+        F.ceil(F.col("out") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"),
+    )
+    side = lambda of, other, left: placed.select(
+        "main_label", "node", "label", F.lit(left).alias("left"),
+        F.pmod(F.xxhash64("node"), F.col(of)).cast("int").alias(of[:-1]),
+        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[:-1]),
+        "outside",
+    )
+    rows = side("rows", "columns", True).where("outside").drop("outside")
+    columns = side("columns", "rows", False).drop("outside")
+    full = rows.unionByName(columns).join(sets, "node").select("main_label", "row", "column", "left", "node", "label", "set")
+
+    def link(table: pa.Table) -> pa.Table:
+        return _link_block(table, percent)
+
+    return full.groupBy("main_label", "row", "column").applyInArrow(link, "a bigint, b bigint")
+
+
+def _link_block(table: pa.Table, percent: int) -> pa.Table:
+    """Exact comparison of each left text with all right texts; one link per merge of classes."""
+    left = table.column("left").to_numpy()
+    nodes, labels = table.column("node").to_numpy(), table.column("label").to_pylist()
+    sets = table.column("set").combine_chunks()
+    sizes = sets.value_lengths().to_numpy(zero_copy_only=False)
+    values = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    parts = np.split(values, np.cumsum(sizes)[:-1])
+    right = np.flatnonzero(~left)
+    links: list[tuple[int, int]] = []
+    if len(right):
+        joined = np.concatenate([parts[i] for i in right])
+        starts = np.cumsum(sizes[right]) - sizes[right]
+        has = np.zeros(int(values.max()) + 1, np.int32)
+        parent = {label: label for label in labels}
+
+        def top(label: int) -> int:
+            while parent[label] != label:
+                parent[label] = label = parent[parent[label]]
+            return label
+
+        for i in np.flatnonzero(left):
+            has[parts[i]] = 1
+            common = np.add.reduceat(has[joined], starts)
+            has[parts[i]] = 0
+            alike = common * 100 >= (sizes[i] + sizes[right] - common) * percent
+            for j in right[alike]:
+                mine, other = top(labels[i]), top(labels[j])
+                if mine != other:
+                    parent[mine] = other
+                    links.append((int(nodes[i]), int(nodes[j])))
+    a, b = zip(*links) if links else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5) -> DataFrame:

@@ -102,10 +102,11 @@ def variants(seed, count, edits):
 
 
 @pytest.mark.parametrize("width", [2, 5])
-@pytest.mark.parametrize("pairs", [0, 4])
-def test_near_duplicates_equal_the_plain_version(spark, monkeypatch, width, pairs):
-    """With and without the short cut for few pairs; groups whose members are linked in chains."""
-    monkeypatch.setattr(near_dedup, "PAIRS_PER_ROW", pairs)
+@pytest.mark.parametrize("stars", [0, 2])
+def test_near_duplicates_equal_the_plain_version(spark, monkeypatch, width, stars):
+    """With and without leaders first; groups whose members are linked in chains; small blocks."""
+    monkeypatch.setattr(near_dedup, "STARS", stars)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
     rows = texts() + variants(2, 25, 12) + variants(3, 25, 30)
     found = near_dedup.near_duplicates(documents(spark, rows), width=width).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == plain_components(rows, width)
