@@ -13,7 +13,6 @@ from grovemeter.operators.tree import (
     PARENT_KEY,
     DirectoryIndex,
     scan_roots,
-    with_path,
 )
 from grovemeter.scratch import stage
 
