@@ -62,10 +62,14 @@ def repeated_runs(
         line_hashes(lines(whole(text_column))).alias("hashes"),
     )
     placed = cut.select("rank_id", "digest", F.explode(windows(F.col("hashes"), width)).alias("w")).select("rank_id", "digest", "w.*")
-    shared = placed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    # What is counted is staged before it is joined: a join to a table, unlike one to an
+    # aggregate, lets adaptive execution split a very common line over many tasks.
+    counts = placed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    shared = stage(counts.where("n > 1").select("fingerprint"), "line-shared")
     candidates = stage(placed.join(shared, "fingerprint", "left_semi").drop("fingerprint"), "line-windows")
     where = F.struct("rank_id", "digest", "place")
-    first = candidates.groupBy("window").agg(F.min(where).alias("first"))
+    met = candidates.groupBy("window").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = stage(met.where("n > 1").drop("n"), "line-first")
     later = candidates.join(first, "window").where(where > F.col("first")).select("rank_id", "digest", "place").distinct()
 
     text = Window.partitionBy("rank_id", "digest").orderBy("place")
