@@ -193,7 +193,7 @@ def _classified(docs: DataFrame, id_column: str, text_column: str, width: int, p
         .join(groups.select("node").distinct(), "node", "left_semi")
         .select("node", "size", F.explode("keys").alias("key"))
     )
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    shared = stage(members.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "near-shared")
     met = stage(members.join(shared, "key"), "near-met")
     central = met.groupBy("node").agg(F.sum("many").alias("central"))
     buckets = stage(met.drop("many").join(central, "node"), "near-buckets")
