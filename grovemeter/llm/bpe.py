@@ -159,6 +159,13 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, as codes take ten times their room as Python numbers."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def encode(docs: DataFrame, vocabulary: str, text_column: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the column ``into``: the codes of the whole text, array<int>.
 
@@ -173,7 +180,7 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text", into: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             codes = [tool.encode(text or "") for text in batch.column(position).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int32()))], [*batch.schema.names, into])
 
@@ -192,7 +199,7 @@ def decode(coded: DataFrame, vocabulary: str, ids_column: str = "ids", into: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if ids is None else tool.decode(ids) for ids in batch.column(position).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
@@ -211,7 +218,7 @@ def digest_codes(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             counts, coded, back = [], [], []
             for text in batch.column(1).to_pylist():
                 ids, joined = tool.encode_joined(text or "")

@@ -123,6 +123,7 @@ def clean_lines(
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with cleaned texts; rows of whose text nothing is left are dropped."""
-    cleaned = clean_lines(docs, id_column, text_column)
+    # staged, or each use of the text would build it again
+    cleaned = stage(clean_lines(docs, id_column, text_column), "line-cleaned")
     emptied = (F.col("n_deleted") > 0) & (F.size(words(F.col(text_column))) == 0)
     return cleaned.where(~emptied).select(*docs.columns)
