@@ -1,35 +1,46 @@
-"""Main text of web pages by structure and by the suffix array of a host's pages.
+"""Main text of web pages by structure and by what a host's pages repeat.
 
 A page is cut into blocks of text; a block knows whether it stands in the article, in a part
 that pages repeat (menus, headers, footers, sidebars, notices, adverts, forms, comments), or
-in neither. The blocks of one host's pages are put end to end as one stream of tokens whose
-suffixes are sorted by prefix doubling, to a depth of LONG tokens: suffixes that tie are
-substrings of LONG tokens that occur more than once, and the union of those that occur on
-distinct pages is what all longer repeats cover too. Covered blocks are boilerplate unless
-they stand in the article; so are the marked parts, on hosts too small to repeat anything.
-
-A host's pages are dealt into shelves of about SHELF pages by a hash, because a boilerplate
-that all pages share is found on any shelf; no task holds a whole host.
+in neither. The blocks of a page are one stream of tokens. Its tokens are covered that lie in
+a run of LONG tokens which stands on distinct pages of the host too; that is what all longer
+repeats cover. Covered blocks are boilerplate unless they stand in the article; so are the
+marked parts, on hosts too small to repeat anything. Pages of equal main text are copies and
+count as one page, so that none of them covers another.
+
+Hosts of up to SHELF pages are worked on one by one: the suffixes of the host's stream are
+sorted by prefix doubling, to a depth of LONG tokens, and suffixes that tie are repeats. Larger
+hosts find the same runs over all tasks: each batch of pages sends its distinct runs, hashed
+with the host, to buckets of even size by hash, which send back those that came from distinct
+pages. However common a run is, a batch sends it once. Runs are told apart by 64-bit hashes,
+the pages of a run by 32-bit ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovemeter.llm.common import let_workers_import, whole
+from grovemeter.llm.common import let_workers_import, partitions, whole
 from grovemeter.llm.url_filter import host_of
 from grovemeter.scratch import stage
 
 LONG = 8
+#: Pages of a host up to which one task works on the whole host.
 SHELF = 200
 COVERED = 0.9
+#: Pages and tokens of a batch at which the next one begins, and runs of a bucket.
+BATCH_PAGES = 1000
+BATCH_TOKENS = 500_000
+BUCKET_RUNS = 2_000_000
 
 PLAIN, ARTICLE, REPEATED, HIDDEN = range(4)
 
@@ -132,11 +143,20 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
     return parser.found
 
 
-def repeated_tokens(tokens: np.ndarray, pages: np.ndarray, long: int = LONG) -> np.ndarray:
+def cover(size: int, starts: np.ndarray, long: int) -> np.ndarray:
+    """Which of ``size`` tokens lie in a run of ``long`` that begins at one of ``starts``."""
+    steps = np.zeros(size + 1, np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, starts + long, -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def repeated_tokens(tokens: np.ndarray, pages: np.ndarray, long: int = LONG, copies: np.ndarray | None = None) -> np.ndarray:
     """Which tokens lie in a substring of at least ``long`` tokens found on distinct pages.
 
-    ``pages`` numbers the page of each token, ascending; substrings do not cross pages. Ranks
-    of suffixes are doubled until they tell suffixes by their first ``long`` tokens.
+    ``pages`` numbers the page of each token, ascending; substrings do not cross pages. Pages
+    with the same number in ``copies`` are one page. Ranks of suffixes are doubled until they
+    tell suffixes by their first ``long`` tokens.
     """
     size = len(tokens)
     covered = np.zeros(size, bool)
@@ -150,43 +170,89 @@ def repeated_tokens(tokens: np.ndarray, pages: np.ndarray, long: int = LONG) ->
         ranks = np.unique(ranks * (size + 1) + ahead, return_inverse=True)[1].astype(np.int64) + 1
         depth += step
     inside = np.flatnonzero(pages[: size - long + 1] == pages[long - 1 :])
-    met = np.unique(ranks[inside] * (pages[-1] + 1) + pages[inside])
+    owners = pages[inside] if copies is None else copies[pages[inside]]
+    met = np.unique(ranks[inside] * (pages[-1] + 1) + owners)
     many = np.bincount(met // (pages[-1] + 1), minlength=size + 2) > 1
-    starts = inside[many[ranks[inside]]]
-    steps = np.zeros(size + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + long, -1)
-    return np.cumsum(steps[:-1]) > 0
-
-
-def choose(pages: list[tuple[list[int], list[str]]]) -> list[str]:
-    """The main text of each page of one shelf of a host, from its zones and block texts."""
-    numbers: dict[str, int] = {}
-    tokens: list[int] = []
-    owners, block_sizes = [], []
-    for page, (_, blocks) in enumerate(pages):
-        for block in blocks:
-            words = block.split(" ")
-            tokens += [numbers.setdefault(w, len(numbers)) for w in words]
-            block_sizes.append(len(words))
-            owners.append(page)
-    sizes = np.array(block_sizes, np.int64)
-    covered = repeated_tokens(np.array(tokens, np.int64), np.repeat(np.array(owners, np.int64), sizes))
-    ends = np.concatenate([[0], np.cumsum(covered)])
-    last = np.cumsum(sizes)
-    share = (ends[last] - ends[last - sizes]) / np.maximum(sizes, 1)
-    texts, at = [], 0
-    for zones, blocks in pages:
-        repeated = share[at : at + len(blocks)] >= COVERED
-        at += len(blocks)
-        has_article = ARTICLE in zones
-        kept = [
-            block
-            for zone, block, boilerplate in zip(zones, blocks, repeated)
-            if zone == ARTICLE or (zone == PLAIN and not has_article and not boilerplate)
-        ]
-        texts.append("\n".join(kept))
-    return texts
+    return cover(size, inside[many[ranks[inside]]], long)
+
+
+Page = tuple[list[int], list[str]]
+
+
+def main_of(page: Page) -> str:
+    """What a page is a copy by: its text without the marked parts."""
+    return "\n".join(block for zone, block in zip(*page) if zone != REPEATED)
+
+
+class Stream:
+    """The tokens of some pages end to end, numbered in the order of their first use."""
+
+    def __init__(self, pages: list[Page]) -> None:
+        self.pages = pages
+        self.numbers: dict[str, int] = {}
+        tokens: list[int] = []
+        owners, sizes = [], []
+        for page, (_, blocks) in enumerate(pages):
+            for block in blocks:
+                words = block.split(" ")
+                tokens += [self.numbers.setdefault(w, len(self.numbers)) for w in words]
+                sizes.append(len(words))
+                owners.append(page)
+        self.tokens = np.array(tokens, np.int64)
+        self.sizes = np.array(sizes, np.int64)
+        self.owners = np.repeat(np.array(owners, np.int64), self.sizes)
+
+    def texts(self, covered: np.ndarray) -> list[str]:
+        """The main text of each page, given which tokens repeats cover."""
+        ends = np.concatenate([[0], np.cumsum(covered)])
+        last = np.cumsum(self.sizes)
+        share = (ends[last] - ends[last - self.sizes]) / np.maximum(self.sizes, 1)
+        texts, at = [], 0
+        for zones, blocks in self.pages:
+            repeated = share[at : at + len(blocks)] >= COVERED
+            at += len(blocks)
+            has_article = ARTICLE in zones
+            kept = [
+                block
+                for zone, block, boilerplate in zip(zones, blocks, repeated)
+                if zone == ARTICLE or (zone == PLAIN and not has_article and not boilerplate)
+            ]
+            texts.append("\n".join(kept))
+        return texts
+
+
+def choose(pages: list[Page]) -> list[str]:
+    """The main text of each page of one whole host, from its zones and block texts."""
+    stream = Stream(pages)
+    known: dict[str, int] = {}
+    copies = np.array([known.setdefault(main_of(page), len(known)) for page in pages], np.int64)
+    return stream.texts(repeated_tokens(stream.tokens, stream.owners, copies=copies))
+
+
+def _number(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little")
+
+
+def hashed_runs(stream: Stream, hosts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of all runs of LONG tokens within a page; a hash is of run and host."""
+    starts = np.flatnonzero(stream.owners[: max(len(stream.tokens) - LONG + 1, 0)] == stream.owners[LONG - 1 :])
+    words = np.array([_number(w) for w in stream.numbers], np.uint64)[stream.tokens] if len(stream.tokens) else np.empty(0, np.uint64)
+    hashes = np.array([_number(h) for h in hosts], np.uint64)[stream.owners[starts]]
+    for ahead in range(LONG):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + words[starts + ahead]
+        hashes ^= hashes >> np.uint64(29)
+    return starts, hashes * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def met_on(runs: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs, ascending, and for each the one page it is on, or 0 for several."""
+    if not len(runs):
+        return runs, copies
+    order = np.argsort(runs)
+    runs, copies = runs[order], copies[order]
+    first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+    least, most = np.minimum.reduceat(copies, first), np.maximum.reduceat(copies, first)
+    return runs[first], np.where(least == most, least, np.uint32(0))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +269,82 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _shelf(table: pa.Table) -> pa.Table:
-    texts = choose(list(zip(table.column("zones").to_pylist(), table.column("blocks").to_pylist())))
-    return pa.table([table.column("id"), table.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
+def _number_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parses as ``_parse`` and numbers batches of pages; ``runs`` counts the tokens at most."""
+    first = TaskContext.get().partitionId() << 32
+    number, pages, tokens = first, 0, 0
+    for batch in _parse(batches):
+        numbers, sizes = [], []
+        for blocks in batch.column(1).to_pylist():
+            size = sum(block.count(" ") + 1 for block in blocks)
+            if pages and (pages == BATCH_PAGES or tokens + size > BATCH_TOKENS):
+                number, pages, tokens = number + 1, 0, 0
+            pages, tokens = pages + 1, tokens + size
+            numbers.append(number)
+            sizes.append(size)
+        columns = [*batch.columns, pa.array(numbers, pa.int64()), pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "batch", "runs"])
+
+
+def _sender(buckets: int):
+    """(batch, host, zones, blocks) to (batch, bucket, runs, copies), each run of a batch once."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            numbers = rows.column("batch").to_numpy()
+            edges = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for low, high in zip(edges, edges[1:]):
+                part = rows.slice(low, high - low)
+                hosts = part.column("host").to_pylist()
+                stream = Stream(list(zip(part.column("zones").to_pylist(), part.column("blocks").to_pylist())))
+                starts, hashes = hashed_runs(stream, hosts)
+                copies = np.array([_number(main_of(page)) % (2**32 - 1) + 1 for page in stream.pages], np.uint32)
+                runs, pages = met_on(hashes, copies[stream.owners[starts]] if len(starts) else np.empty(0, np.uint32))
+                if not len(runs):
+                    continue
+                into = ((runs >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(into, kind="stable")
+                runs, pages, into = runs[order], pages[order], into[order]
+                cuts = [0, *(np.flatnonzero(into[1:] != into[:-1]) + 1).tolist(), len(into)]
+                sent = list(zip(cuts, cuts[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(numbers[low])] * len(sent), pa.int64()),
+                        pa.array([int(into[a]) for a, _ in sent], pa.int32()),
+                        pa.array([runs[a:b].tobytes() for a, b in sent], pa.binary()),
+                        pa.array([pages[a:b].tobytes() for a, b in sent], pa.binary()),
+                    ],
+                    ["batch", "bucket", "runs", "copies"],
+                )
+
+    return send
+
+
+def _send_back(table: pa.Table) -> pa.Table:
+    """Of one bucket, to each batch those of its runs that are on several pages."""
+    sent = [np.frombuffer(cell, np.uint64) for cell in table.column("runs").to_pylist()]
+    copies = np.concatenate([np.frombuffer(cell, np.uint32) for cell in table.column("copies").to_pylist()])
+    runs, pages = met_on(np.concatenate(sent), copies)
+    shared = runs[pages == 0]
+    found = [part[np.isin(part, shared, assume_unique=True)].tobytes() for part in sent]
+    back = pa.table([table.column("batch"), pa.array(found, pa.binary())], ["batch", "shared"])
+    return back.filter(pa.array([bool(cell) for cell in found], pa.bool_()))
+
+
+def _batch(pages: pa.Table, back: pa.Table) -> pa.Table:
+    stream = Stream(list(zip(pages.column("zones").to_pylist(), pages.column("blocks").to_pylist())))
+    starts, hashes = hashed_runs(stream, pages.column("host").to_pylist())
+    shared = [np.frombuffer(cell, np.uint64) for cell in back.column("shared").to_pylist()]
+    repeated = starts[np.isin(hashes, np.concatenate(shared))] if shared else starts[:0]
+    return _with_texts(pages, stream.texts(cover(len(stream.tokens), repeated, LONG)))
+
+
+def _host(pages: pa.Table) -> pa.Table:
+    return _with_texts(pages, choose(list(zip(pages.column("zones").to_pylist(), pages.column("blocks").to_pylist()))))
+
+
+def _with_texts(pages: pa.Table, texts: list[str]) -> pa.Table:
+    return pa.table([pages.column("id"), pages.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
 
 def extract_text(
@@ -214,23 +353,31 @@ def extract_text(
     """One row per row of ``pages``: id, url, text, n_chars.
 
     NULL html counts as empty, and a page without main text has the empty text. Pages without a
-    host are treated as one host. Rows repeat as they come: a page that repeats with its id and
-    url stands on one shelf, where its copies count as distinct pages. Other columns are not
-    read; an empty table gives an empty result.
+    host are treated as one host. Rows repeat as they come; pages of a host that are equal
+    outside their marked parts count as one page. Other columns are not read; an empty table
+    gives an empty result.
     """
-    let_workers_import(pages.sparkSession)
+    spark = pages.sparkSession
+    let_workers_import(spark)
     host = host_of(F.col(url_column))
-    counts = stage(pages.select(host.alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "html-hosts")
+    counts = pages.select(host.alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    large = stage(counts.where(F.col("pages") > SHELF).select("host"), "html-hosts")
     rows = pages.select(
         whole(html_column).alias("html"), F.col(id_column).alias("id"), F.col(url_column).cast("string").alias("url"), host.alias("host")
     )
     kind = dict(rows.dtypes)["id"]
-    parsed = rows.mapInArrow(_parse, f"zones array<int>, blocks array<string>, id {kind}, url string, host string")
-    shelves = F.ceil(F.col("pages") / SHELF)
-    dealt = parsed.join(counts, "host").withColumn("shelf", F.pmod(F.xxhash64("id", "url"), shelves).cast("int"))
-    found = dealt.select("host", "shelf", "id", "url", "zones", "blocks").groupBy("host", "shelf").applyInArrow(
-        _shelf, f"id {kind}, url string, text string"
-    )
+    parsed = f"zones array<int>, blocks array<string>, id {kind}, url string, host string"
+    result = f"id {kind}, url string, text string"
+    found = rows.join(large, "host", "left_anti").select(*rows.columns).mapInArrow(_parse, parsed).groupBy("host").applyInArrow(_host, result)
+    if not large.isEmpty():
+        numbered = rows.join(large, "host", "left_semi").select(*rows.columns).mapInArrow(_number_batches, parsed + ", batch long, runs long")
+        numbered = stage(numbered, "html-blocks")
+        runs = numbered.agg(F.sum("runs")).first()[0] or 0
+        sender = _sender(max(-(-runs // BUCKET_RUNS), partitions(spark)))
+        sent = numbered.select("batch", "host", "zones", "blocks").mapInArrow(sender, "batch long, bucket int, runs binary, copies binary")
+        back = sent.groupBy("bucket").applyInArrow(_send_back, "batch long, shared binary")
+        texts = numbered.drop("runs").groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(_batch, result)
+        found = found.union(texts)
     return found.select(
         F.col("id").alias(id_column), F.col("url").alias(url_column), "text", F.char_length("text").cast("long").alias("n_chars")
     )

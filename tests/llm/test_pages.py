@@ -142,3 +142,31 @@ def test_articles_are_kept_however_often_they_repeat(spark):
     text = "An article that stands on two pages of the same host word for word"
     rows = [(i, f"http://h.net/{i}", f"<article><p>{text}</p></article>") for i in range(3)]
     assert {r.text for r in html_text.extract_text(pages(spark, rows)).collect()} == {text}
+
+
+@pytest.mark.parametrize("shelf", [5, 200])
+def test_a_repeat_on_two_pages_of_a_large_host_goes(spark, monkeypatch, shelf):
+    monkeypatch.setattr(html_text, "SHELF", shelf)
+    same = "Read all our other stories about gardens and garden tools every single week"
+    copied = "This whole text stands word for word on two pages of the host"
+    rows = [(i, f"http://h.net/{i}", f"<div>Story number {i} is short</div>") for i in range(60)]
+    for i in range(0, 60, 2):
+        rows[i] = (i, rows[i][1], rows[i][2] + f"<div>{same} {i // 4}</div>")
+    rows += [(i, f"http://h.net/{i}", f"<nav>page {i}</nav><div>{copied}</div>") for i in (70, 71)]
+    rows += [(80, "http://lone.net/1", f"<div>{same} 1</div>")]
+    texts = {r.page_id: r.text for r in html_text.extract_text(pages(spark, rows)).collect()}
+    assert texts == {i: f"Story number {i} is short" for i in range(60)} | {70: copied, 71: copied, 80: f"{same} 1"}
+
+
+def test_runs_over_buckets_equal_the_suffix_array(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(html_text, "BATCH_PAGES", 3)
+    rows = []
+    for i in range(40):
+        blocks = [" ".join(f"w{n}" for n in rng.integers(0, 3, rng.integers(1, 30))) for _ in range(4)]
+        rows.append((i, f"http://h{i % 2}.net/{i}", "".join(f"<{t}>{b}</{t}>" for t, b in zip(rng.choice(["div", "nav", "p"], 4), blocks))))
+    texts = []
+    for shelf in (200, 5):
+        monkeypatch.setattr(html_text, "SHELF", shelf)
+        texts.append({r.page_id: r.text for r in html_text.extract_text(pages(spark, rows)).collect()})
+    assert texts[0] == texts[1] and len(set(texts[0].values())) > 5
