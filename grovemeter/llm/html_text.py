@@ -4,9 +4,10 @@ A page is cut into blocks of text; a block knows whether it stands in the articl
 that pages repeat (menus, headers, footers, sidebars, notices, adverts, forms, comments), or
 in neither. The blocks of a page are one stream of tokens. Its tokens are covered that lie in
 a run of LONG tokens which stands on distinct pages of the host too; that is what all longer
-repeats cover. Covered blocks are boilerplate unless they stand in the article; so are the
-marked parts, on hosts too small to repeat anything. Pages of equal main text are copies and
-count as one page, so that none of them covers another.
+repeats cover. Covered blocks are boilerplate in the article and beside it; so are the marked
+parts, on hosts too small to repeat anything. Pages of equal main text are copies and count as
+one page, so that none of them covers another. An article at least half of whose tokens are in
+covered blocks is an edited copy of another one and stays whole.
 
 Hosts of up to SHELF pages are worked on one by one: the suffixes of the host's stream are
 sorted by prefix doubling, to a depth of LONG tokens, and suffixes that tie are repeats. Larger
@@ -209,13 +210,14 @@ class Stream:
         share = (ends[last] - ends[last - self.sizes]) / np.maximum(self.sizes, 1)
         texts, at = [], 0
         for zones, blocks in self.pages:
-            repeated = share[at : at + len(blocks)] >= COVERED
+            repeated, sizes = share[at : at + len(blocks)] >= COVERED, self.sizes[at : at + len(blocks)]
             at += len(blocks)
-            has_article = ARTICLE in zones
+            inside = np.array(zones) == ARTICLE
+            copied = 2 * sizes[inside & repeated].sum() >= sizes[inside].sum()
             kept = [
                 block
                 for zone, block, boilerplate in zip(zones, blocks, repeated)
-                if zone == ARTICLE or (zone == PLAIN and not has_article and not boilerplate)
+                if zone in (PLAIN, ARTICLE) and (not boilerplate or (zone == ARTICLE and copied))
             ]
             texts.append("\n".join(kept))
         return texts

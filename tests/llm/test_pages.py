@@ -170,3 +170,20 @@ def test_runs_over_buckets_equal_the_suffix_array(spark, monkeypatch):
         monkeypatch.setattr(html_text, "SHELF", shelf)
         texts.append({r.page_id: r.text for r in html_text.extract_text(pages(spark, rows)).collect()})
     assert texts[0] == texts[1] and len(set(texts[0].values())) > 5
+
+
+@pytest.mark.parametrize("shelf", [2, 200])
+def test_repeats_decide_in_the_article_and_beside_it(spark, monkeypatch, shelf):
+    monkeypatch.setattr(html_text, "SHELF", shelf)
+    notice = "Please note that our garden shops are closed on all public holidays"
+    rows, want = [], {}
+    for i in range(6):
+        story = " ".join(f"word{i}x{n}" for n in range(40))
+        rows.append((i, f"http://h.net/{i}", f"<div>Headline {i}</div><article><p>{story}</p><p>{notice}</p></article><p>Second part {i}</p><div>{notice}</div>"))
+        want[i] = f"Headline {i}\n{story}\nSecond part {i}"
+    edited = want[0].split("\n")[1]
+    rows.append((9, "http://h.net/9", f"<article><p>{edited}</p><p>And one new line</p></article>"))
+    texts = {r.page_id: r.text for r in html_text.extract_text(pages(spark, rows)).collect()}
+    # the story of page 0 is on page 9 too: both articles are copies and stay whole
+    want[0] = f"Headline 0\n{edited}\n{notice}\nSecond part 0"
+    assert texts == want | {9: f"{edited}\nAnd one new line"}
