@@ -4,13 +4,17 @@ A rule names a host and the start of a path and holds for subdomains too; the lo
 that fits a page decides it. Every other page is judged by its host. Pages that rules allow
 make their hosts trusted, pages that rules block make them blocked, each by their number.
 Trust flows along links (personalised PageRank from the trusted hosts), distrust against them
-(from the blocked hosts to whoever links there). A host is blocked where its distrust exceeds
-its trust by more than ``threshold`` for each of its pages.
+(from the blocked hosts to whoever links there). Both grow with the pages that rules decide, so
+verdicts use shares, which no number of pages or of other linkers changes: the bad share of a
+host is that of its pages that rules block and, for each undecided page, ``damping`` of the mean
+bad share of the hosts it links to; the good share is that of its allowed pages and, for the
+undecided, ``damping`` of how good the pages are that link to the host. A host is blocked where
+its bad share exceeds its good share by more than ``threshold``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,21 +68,32 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> C
     return fitting
 
 
-def host_edges(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """(src, dst, links): the number of pages of one host that link to another.
+def host_edges(
+    pages: DataFrame, url_column: str = "url", html_column: str = "html", rules: Sequence[Rule] = RULES
+) -> DataFrame:
+    """(src, dst, links, open, allowed, parts): the number of pages of one host that link to another.
 
-    Links within a host say nothing about others and are left out, as are links from pages
-    without a host. Each page counts a target once.
+    ``open`` of them no rule decides, ``allowed`` a rule allows. An open page is one part, split
+    evenly over its targets. Links within a host say nothing
+    about others and are left out, as are links from pages without a host. Each page counts a
+    target once.
     """
+    host = host_of(F.col(url_column))
+    verdict = longest_rule(host, path_of(F.col(url_column)), rules)["verdict"]
     targets = F.array_distinct(
         F.transform(
             F.regexp_extract_all(F.col(html_column), F.lit(LINK), F.lit(1)),
             lambda link: host_of(F.when(link.startswith("//"), F.concat(F.lit("http:"), link)).otherwise(link)),
         )
     )
-    found = pages.select(host_of(F.col(url_column)).alias("src"), F.explode(targets).alias("dst"))
-    return found.where((F.col("dst") != "") & (F.col("src") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(
-        F.count(F.lit(1)).alias("links")
+    found = pages.select(host.alias("src"), verdict.alias("verdict"), F.array_remove(targets, "").alias("all")).where("src <> ''")
+    found = found.withColumn("all", F.array_remove("all", F.col("src")))
+    is_open = F.col("verdict").isNull()
+    return found.select("src", "verdict", F.size("all").alias("degree"), F.explode("all").alias("dst")).groupBy("src", "dst").agg(
+        F.count(F.lit(1)).alias("links"),
+        F.count_if(is_open).alias("open"),
+        F.sum(F.when(is_open, 1 / F.col("degree")).otherwise(0.0)).alias("parts"),
+        F.count_if(F.col("verdict") == "allow").alias("allowed"),
     )
 
 
@@ -95,6 +110,15 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> Data
     mass = start.agg(F.sum("seed")).first()[0]
     out = edges.groupBy("src").agg(F.sum("links").alias("all_links"))
     weighted = stage(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("all_links")).alias("share")), "url-shares")
+    return _settle(start, weighted, damping, F.sum, TOLERANCE * mass)
+
+
+def _settle(start: DataFrame, weighted: DataFrame, damping: float, gather: Callable[[Column], Column], tolerance: float) -> DataFrame:
+    """(host, score) with score = seed + damping * sum of share * score over edges (src, dst, share).
+
+    Ends when the changes of all scores, put together by ``gather``, are below ``tolerance``.
+    Deletes ``weighted``.
+    """
     scores = stage(start.select("host", F.col("seed").alias("score")), "url-scores")
     for _ in range(MAX_ROUNDS):
         sent = weighted.join(scores.withColumnRenamed("host", "src"), "src").select(
@@ -107,12 +131,44 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> Data
         )
         unstage(scores)
         scores = following.select("host", "score")
-        if following.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < TOLERANCE * mass:
+        if following.agg(gather(F.abs(F.col("score") - F.col("old")))).first()[0] < tolerance:
             break
     unstage(weighted)
     return scores
 
 
+def shares(judged: DataFrame, edges: DataFrame, damping: float = DAMPING) -> tuple[DataFrame, DataFrame]:
+    """The bad and the good shares, each (host, score) from 0 to 1; missing hosts have 0.
+
+    ``judged`` is (host, pages, allowed, blocked), ``edges`` what ``host_edges`` returns. Links
+    of decided pages say nothing bad of their host. Hosts without pages are neither bad nor good
+    and pass nothing on.
+    """
+    is_open = judged.select("host", (1 - (F.col("allowed") + F.col("blocked")) / F.col("pages")).alias("undecided"))
+    bad = stage(judged.where("blocked > 0").select("host", (F.col("blocked") / F.col("pages")).alias("seed")), "url-seeds")
+    against = edges.where("open > 0").withColumnRenamed("src", "host").join(judged, "host").select(
+        F.col("dst").alias("src"), F.col("host").alias("dst"), (F.col("parts") / F.col("pages")).alias("share")
+    )
+    # Pages that rules allow are good in full, so their links count at once.
+    into = edges.groupBy(F.col("dst").alias("host")).agg(F.sum("links").alias("all_links"), F.sum("allowed").alias("allowed_links"))
+    into = is_open.join(into, "host", "left").select("host", "undecided", "all_links", F.coalesce(F.col("allowed_links") / F.col("all_links"), F.lit(0.0)).alias("at_once"))
+    into = stage(into, "url-into")
+    good = judged.join(into, "host").select(
+        "host", (F.col("allowed") / F.col("pages") + damping * F.col("undecided") * F.col("at_once")).alias("seed")
+    )
+    good = stage(good.where("seed > 0"), "url-seeds")
+    along = edges.where("open > 0").withColumnRenamed("dst", "host").join(into, "host").select(
+        "src", F.col("host").alias("dst"), (F.col("undecided") * F.col("open") / F.col("all_links")).alias("share")
+    )
+    found = []
+    for start, weighted in ((bad, against), (good, along)):
+        if edges.isEmpty() or start.isEmpty():
+            found.append(start.select("host", F.col("seed").alias("score")))
+        else:
+            found.append(_settle(start, stage(weighted, "url-shares"), damping, F.max, TOLERANCE))
+    return found[0], found[1]
+
+
 def judge_urls(
     pages: DataFrame,
     id_column: str = "page_id",
@@ -136,17 +192,23 @@ def judge_urls(
         F.count_if(F.col("fit.verdict") == "block").cast("double").alias("blocked"),
     )
     judged = stage(judged, "url-judged")
-    edges = stage(host_edges(pages, url_column, html_column), "url-edges")
+    edges = stage(host_edges(pages, url_column, html_column, rules), "url-edges")
     trust = spread(judged.select("host", F.col("allowed").alias("seed")), edges)
     distrust = spread(
         judged.select("host", F.col("blocked").alias("seed")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     )
-    scores = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).union(
-        distrust.select("host", F.lit(0.0), F.col("score"))
+    bad, good = shares(judged, edges)
+    none = F.lit(0.0)
+    scores = (
+        trust.select("host", F.col("score").alias("trust"), none.alias("distrust"), none.alias("excess"))
+        .union(distrust.select("host", none, F.col("score"), none))
+        .union(bad.select("host", none, none, F.col("score")))
+        .union(good.select("host", none, none, -F.col("score")))
     )
-    scores = stage(scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "url-hosts")
-    by_host = F.when(F.col("distrust") - F.col("trust") > threshold * F.col("pages"), "block").otherwise("allow")
-    return parts.join(judged.select("host", "pages").join(scores, "host"), "host", "left").select(
+    scores = scores.groupBy("host").agg(*[F.sum(name).alias(name) for name in ("trust", "distrust", "excess")])
+    scores = stage(scores, "url-hosts")
+    by_host = F.when(F.col("excess") > threshold, "block").otherwise("allow")
+    return parts.join(judged.select("host").join(scores, "host"), "host", "left").select(
         F.col("id").alias(id_column),
         "host",
         "path",

@@ -187,3 +187,53 @@ def test_repeats_decide_in_the_article_and_beside_it(spark, monkeypatch, shelf):
     # the story of page 0 is on page 9 too: both articles are copies and stay whole
     want[0] = f"Headline 0\n{edited}\n{notice}\nSecond part 0"
     assert texts == want | {9: f"{edited}\nAnd one new line"}
+
+
+def test_verdicts_do_not_depend_on_the_number_of_pages(spark):
+    """Farms outnumber the blocked page 100 to 1, share it, or reach it through a large host; good hosts stay."""
+    rows = [(1, "http://spam.com/de/1", ""), (2, "http://good.org/1", links("liked.net"))]
+    rows += [(0, f"http://farm{f}.net/{i}", links("spam.com")) for f in range(3) for i in range(100)]
+    rows += [(0, f"http://far.net/{i}", links("farm0.net")) for i in range(40)]
+    rows += [(0, f"http://once.net/{i}", links("spam.com") if i == 0 else "") for i in range(100)]
+    rows += [(0, "http://single.net/1", links("spam.com")), (0, "http://liked.net/1", links("spam.com"))]
+    rows += [(0, f"http://half.net/{i}", links("spam.com", "other.net")) for i in range(4)]
+    found = {(r.host, r.verdict) for r in url_filter.judge_urls(pages(spark, rows)).collect() if not r.rule}
+    blocked = {(h, "block") for h in ("farm0.net", "farm1.net", "farm2.net", "far.net", "single.net")}
+    assert found == blocked | {(h, "allow") for h in ("once.net", "liked.net", "half.net")}
+
+
+def test_shares_equal_the_fixed_point(spark):
+    rng = np.random.default_rng(3)
+    names = ["a.org", "b.com", "c.net", "d.net", "e.net", "f.com"]
+    rows, kinds = [], []
+    for i in range(40):
+        host = names[rng.integers(6)]
+        path = ["/de/", "/fr/", "/x/"][rng.integers(3)]
+        to = sorted({names[n] for n in rng.integers(0, 6, rng.integers(0, 4))} - {host})
+        rows.append((i, f"http://{host}{path}{i}", links(*to)))
+        rule = plain_rule(host, path)
+        kinds.append((names.index(host), rule.verdict if rule else None, [names.index(t) for t in to]))
+    count = np.bincount([h for h, _, _ in kinds], minlength=6)
+    bad, good, into = np.zeros(6), np.zeros(6), np.zeros(6)
+    against, along = np.zeros((6, 6)), np.zeros((6, 6))
+    for h, verdict, to in kinds:
+        bad[h] += (verdict == "block") / count[h]
+        good[h] += (verdict == "allow") / count[h]
+        into[to] += 1
+        if verdict is None:
+            against[h, to] += 1 / len(to) / count[h] if to else 0
+    undecided = 1 - bad - good
+    start = good.copy()
+    for h, verdict, to in kinds:
+        for t in to:
+            start[t] += 0.85 * undecided[t] * (verdict == "allow") / into[t]
+            along[t, h] += undecided[t] * (verdict is None) / into[t]
+    want = np.linalg.solve(np.eye(6) - 0.85 * against, bad) , np.linalg.solve(np.eye(6) - 0.85 * along, start)
+    frame = pages(spark, rows)
+    judged = spark.createDataFrame(
+        [(n, int(count[k]), float(good[k] * count[k]), float(bad[k] * count[k])) for k, n in enumerate(names)],
+        "host string, pages long, allowed double, blocked double",
+    )
+    for got, values in zip(url_filter.shares(judged, url_filter.host_edges(frame)), want):
+        scores = {r.host: r.score for r in got.collect()}
+        assert all(abs(scores.get(n, 0) - v) < 1e-3 for n, v in zip(names, values))
