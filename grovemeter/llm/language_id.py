@@ -6,8 +6,8 @@ pieces, and a text by the product over its words times the share of the language
 labelled rows. The probabilities come from expectation-maximisation: a forward and a backward
 recursion give the expected count of every piece in every training word.
 
-Words are runs of letters in lower case with a mark for their beginning. Pieces are at most
-LONGEST characters; a character outside the vocabulary is the piece UNKNOWN. Recursions run
+Words are runs of letters in lower case with a mark for their beginning. Pieces of every length
+count (a vocabulary with one above LONGEST characters is refused); a character outside the vocabulary is the piece UNKNOWN. Recursions run
 over many words at once, position by position, so long words cost time, not memory.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from grovemeter.llm.common import let_workers_import
 from grovemeter.scratch import stage, unstage
 
-LONGEST = 6
+LONGEST = 64
 UNKNOWN = 0
 ROUNDS = 3
 SMOOTHING = 0.1
@@ -43,13 +43,16 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str) -> list[str]:
-    """Pieces of letters and the mark, at most LONGEST characters, of a sentencepiece model."""
+    """All pieces of letters and the mark of a sentencepiece model, in lower case."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     wanted = regex.compile(rf"{MARK}?\p{{L}}*")
     pieces = {model.id_to_piece(code).lower() for code in range(model.get_piece_size())}
-    return sorted(p for p in pieces if 0 < len(p) <= LONGEST and wanted.fullmatch(p))
+    found = sorted(p for p in pieces if p and wanted.fullmatch(p))
+    if any(len(p) > LONGEST for p in found):
+        raise ValueError(f"{path} has pieces of more than {LONGEST} characters")
+    return found
 
 
 def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +72,7 @@ class Pieces:
     @classmethod
     def of(cls, pieces: list[str]) -> Pieces:
         hashes, numbers = [], []
-        for length in range(1, LONGEST + 1):
+        for length in range(1, max(map(len, pieces), default=1) + 1):
             own = [(i + 1, p) for i, p in enumerate(pieces) if len(p) == length]
             points, _ = code_points([p for _, p in own])
             value = np.zeros(len(own), np.uint64)
@@ -99,10 +102,10 @@ def lattice(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray, n
     points, lengths = code_points(words)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     inside = np.arange(len(points)) - np.repeat(offsets[:-1], lengths)
-    numbers = np.full((len(points), LONGEST), -1, np.int32)
+    numbers = np.full((len(points), len(pieces.hashes)), -1, np.int32)
     value = np.zeros(len(points), np.uint64)
     with np.errstate(over="ignore"):
-        for back in range(LONGEST):
+        for back in range(min(len(pieces.hashes), len(points))):
             able = inside >= back
             value[back:] += (points[: len(points) - back] + np.uint64(1)) * BASE ** np.uint64(back + 1)
             found = pieces.ending_at(points, back + 1, value)
@@ -114,21 +117,21 @@ def lattice(words: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray, n
 def forward(numbers: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     """Log probabilities (words, languages) summed over all segmentations.
 
-    The last LONGEST sums of a word are kept relative to its latest one, whose logarithm is
+    As many sums of a word as the longest piece has characters are kept relative to its latest one, whose logarithm is
     carried apart, so words of any length neither vanish nor overflow.
     """
     count, languages = len(lengths), probabilities.shape[1]
     order = np.argsort(-lengths, kind="stable")
     starts, ends = offsets[:-1][order], lengths[order]
     padded = np.vstack([probabilities, np.zeros(languages)])  # number -1 is the last row
-    recent = np.zeros((LONGEST, count, languages))  # recent[l]: sum up to l + 1 characters back
+    recent = np.zeros((numbers.shape[1], count, languages))  # recent[l]: sum up to l + 1 characters back
     recent[0] = 1.0
     logs = np.zeros((count, languages))
     for at in range(int(ends[0]) if count else 0):
         live = int(np.searchsorted(-ends, -at, side="left"))  # words longer than ``at``
         here = numbers[starts[:live] + at]
         total = np.zeros((live, languages))
-        for back in range(min(LONGEST, at + 1)):
+        for back in range(min(numbers.shape[1], at + 1)):
             total += recent[back, :live] * padded[here[:, back]]
         logs[:live] += np.log(total)
         recent[1:, :live] = recent[:-1, :live] / total
@@ -155,7 +158,7 @@ def expected_counts(
         ahead[0] = 1.0
         scale = np.ones((length + 1, len(chosen), languages))
         for at in range(length):
-            for back in range(min(LONGEST, at + 1)):
+            for back in range(min(numbers.shape[1], at + 1)):
                 since = np.prod(scale[at - back + 1 : at + 1], axis=0) if back else 1.0
                 ahead[at + 1] += ahead[at - back] * padded[here[:, at, back]] / since
             scale[at + 1] = ahead[at + 1]
@@ -163,7 +166,7 @@ def expected_counts(
         behind = np.zeros((length + 1, len(chosen), languages))
         behind[length] = 1.0
         for at in reversed(range(length)):
-            for more in range(min(LONGEST, length - at)):
+            for more in range(min(numbers.shape[1], length - at)):
                 end = at + more
                 since = np.prod(scale[at + 1 : end + 2], axis=0)
                 share = padded[here[:, end, more]] * behind[end + 1] / since

@@ -112,6 +112,16 @@ def test_expected_counts_equal_sums_over_segmentations():
         assert abs(counts[at, 0] - want[piece]) < 1e-9
 
 
+def test_pieces_of_every_length_count():
+    import public_tokenizers
+
+    pieces = language_id.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert max(map(len, pieces)) > 6
+    table = language_id.Pieces.of(["n", "a", "nananana", "nananananana"])
+    got = language_id.forward(*language_id.lattice(["nananananana"], table), np.array([[0.0], [0.1], [0.1], [0.0], [0.8]]))
+    assert abs(got[0, 0] - math.log(0.8 + 0.1**12)) < 1e-9
+
+
 def test_very_long_words_stay_finite():
     table = language_id.Pieces.of(["a", "aa"])
     got = language_id.forward(*language_id.lattice(["a" * 20000], table), np.array([[0.2], [0.5], [0.3]]))
