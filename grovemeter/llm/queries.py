@@ -8,12 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemeter.llm import bpe, exact_dedup, hmm, html_text, language_id, line_dedup, merkle, mixing, near_dedup, url_filter
+from grovemeter.llm import (
+    bpe,
+    exact_dedup,
+    filter_audit,
+    hmm,
+    html_text,
+    language_id,
+    line_dedup,
+    merkle,
+    mixing,
+    near_dedup,
+    packing,
+    token_align,
+    url_filter,
+)
 from grovemeter.llm.common import table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
-
-
+RANKS_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS_FILE = public_tokenizers.path("word_bpe_49k.json")
 PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -60,6 +74,19 @@ def merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.compare_with_edits(table(spark, folder, "documents"))
 
 
+def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), WORDS_FILE, with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_align.token_alignment(table(spark, folder, "documents"), RANKS_FILE, PIECES_FILE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": near_duplicates,
@@ -72,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hmm_scores": hmm_scores,
         "op9_exact_duplicates": exact_duplicates,
         "op10_merkle_fingerprints": merkle_fingerprints,
+        "op11_packed_sequences": packed_sequences,
+        "op12_filter_interactions": filter_interactions,
+        "op13_token_alignment": token_alignment,
     }
 
 
@@ -221,6 +251,51 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
 FROM trees
 """
 
+FILTER_INTERACTIONS = r"""
+WITH RECURSIVE whole AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), failing AS (
+  SELECT doc_id, part,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+     100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+     coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM whole
+), labelled AS (
+  SELECT f.*, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic
+  FROM failing f LEFT JOIN (
+    SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id
+  ) l USING (doc_id)
+), orders AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || f FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS letters(f) WHERE NOT contains(filter_order, f)
+), steps AS (
+  SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS filter,
+    list_transform(string_split(left(filter_order, step - 1), ''), lambda c: ascii(c) - 64) AS before
+  FROM orders, range(1, 6) AS numbers(step) WHERE length(filter_order) = 5
+), patterns AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM labelled GROUP BY part, fails
+), judged AS (
+  SELECT p.part, filter_order, step, filter, n, good, toxic, fails[ascii(filter) - 64] AS failed,
+    step > 1 AND len(list_filter(before, lambda b: b > 0 AND fails[b])) > 0 AS gone,
+    len(list_filter(fails, lambda x: x)) = 1 AS alone
+  FROM patterns p, steps
+), counted AS (
+  SELECT part, filter_order, step, filter,
+    coalesce(sum(n) FILTER (NOT gone AND NOT failed), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND failed), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND failed), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (failed AND alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND failed), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (NOT gone AND failed), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM counted
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -229,4 +304,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_source_mix": SOURCE_MIX,
         "op9_exact_duplicates": EXACT_DUPLICATES,
         "op10_merkle_fingerprints": MERKLE_FINGERPRINTS,
+        "op12_filter_interactions": FILTER_INTERACTIONS,
     }
