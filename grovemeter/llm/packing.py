@@ -10,6 +10,7 @@ emptiest bins are taken apart and poured into the room of the others, cutting pi
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovemeter.llm.common import let_workers_import
+from grovemeter.llm.common import BLANK, let_workers_import
 from grovemeter.scratch import stage
 
 CAPACITY = 2048
@@ -31,82 +32,95 @@ GROUP_PIECES = 4096
 MAX_PADDING = 0.005
 SEED = 5
 
-#: Chunks and words a Python worker remembers, and the longest that it remembers.
-CACHE_CHUNKS = 400_000
+#: Words, and chunks that are not simple, a Python worker remembers, and the longest of them.
 CACHE_WORDS = 500_000
-CACHED_BYTES = 64
-#: Bytes of a text that are split into chunks at a time, and ids in a batch of results.
+CACHED_CHARS = 64
+#: Characters of a text that are encoded at a time, and ids in a batch of results.
 SECTION = 1 << 20
 BATCH_IDS = 1 << 21
 
-BLANK = re.compile(rb"[\x20\x09-\x0D]")
-#: A word of Latin or Cyrillic letters that compose with nothing, and marks after it.
-WORD_AND_MARKS = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏЀ-ҁҊ-ӿ]+)([.,;:!?]*)")
+BLANKS = re.compile(BLANK + "+")
+#: Latin and Cyrillic letters that normal forms leave as they are, with capitals of one letter.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſЀ-ҁҊ-ӿ"
+#: Texts of these, of ASCII digits and marks. Added tokens begin with "<|".
+SIMPLE = re.compile(rf"[\x20-~\x09-\x0D{LETTERS}]*")
+ADDED = "<|"
 
 
-class ChunkCodes(dict):
-    """The ids of chunks of UTF-8 text without white space, as little-endian 32-bit numbers.
+def is_simple(text: str) -> bool:
+    return ADDED not in text and SIMPLE.fullmatch(text) is not None
 
-    A chunk that is a word and marks has the ids of the lower-case word and of the marks, if
-    the tokenizer ignores case and splits there; those are asked for once. Other chunks are
-    left to the tokenizer as a whole.
-    """
 
-    def __init__(self, vocabulary: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+class WordCodes(dict):
+    """The ids of words, as little-endian 32-bit numbers; each is asked for once."""
 
-        self.tool = Tokenizer.from_file(vocabulary)
-        self.tool.no_truncation()
-        self.tool.no_padding()
-        self.words: dict[str, bytes] = {}
-        self.splits = self._ids("Word,") == self._ids("word") + self._ids(",")
+    def __init__(self, tool):
+        self.tool = tool
 
-    def _ids(self, text: str) -> bytes:
+    def ids(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        codes = self.words.get(word)
-        if codes is None:
-            codes = self._ids(word)
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = codes
+    def __missing__(self, word: str) -> bytes:
+        codes = self.ids(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = codes
         return codes
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if len(chunk) > CACHED_BYTES:
-            return self._ids(text)
-        found = WORD_AND_MARKS.fullmatch(text) if self.splits else None
-        codes = self._word(found[1].lower()) + (self._word(found[2]) if found[2] else b"") if found else self._ids(text)
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
-        self[chunk] = codes
-        return codes
+
+class TextCodes:
+    """The ids of whole texts under a tokenizer that drops white space.
+
+    No token may hold white space, so that a text's ids are those of its chunks in order. If
+    the tokenizer's file says that it lowers letters and encodes what a pattern finds, simple
+    texts are lowered and cut here, and the tokenizer is asked for their words. All else is
+    left to it, a chunk at a time.
+    """
+
+    def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        tool = Tokenizer.from_file(vocabulary)
+        tool.no_truncation()
+        tool.no_padding()
+        self.words, self.chunks = WordCodes(tool), WordCodes(tool)
+        described = json.loads(tool.to_str())
+        cutting, letters = (described.get(key) or {} for key in ("pre_tokenizer", "normalizer"))
+        split, *rest = cutting.get("pretokenizers") or [{}]
+        steps = [step["type"] for step in [*(letters.get("normalizers") or []), split, *rest] if step]
+        known = steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+        known = known and split["invert"] and split["behavior"] == "Removed" and not (rest[0]["add_prefix_space"] or rest[0]["use_regex"])
+        # in simple texts these are all letters and numbers
+        pattern = split["pattern"]["Regex"].replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9") if known else ""
+        self.cut = re.compile(pattern) if known else None
+
+    def _section(self, text: str) -> bytes:
+        if self.cut and is_simple(text):
+            return b"".join(map(self.words.__getitem__, self.cut.findall(text.lower())))
+        chunks = BLANKS.split(text)
+        if self.cut:
+            return b"".join([self._section(c) if is_simple(c) else self.chunks[c] for c in chunks if c])
+        return b"".join([self.chunks[c] for c in chunks if c])
 
     def encode(self, text: str) -> bytes:
-        """The ids of a whole text.
-
-        The tokenizer must drop white space and no token of it may hold any, so that a text's
-        ids are those of its chunks in order.
-        """
-        data = text.encode()
-        if len(data) <= SECTION:
-            return b"".join(map(self.__getitem__, data.split()))
+        """The ids of a whole text, in sections cut at white space."""
+        if len(text) <= SECTION:
+            return self._section(text)
         parts, low = [], 0
-        while low < len(data):
-            found = BLANK.search(data, low + SECTION)
-            high = found.start() if found else len(data)
-            parts.append(b"".join(map(self.__getitem__, data[low:high].split())))
+        while low < len(text):
+            found = BLANKS.search(text, low + SECTION)
+            high = found.start() if found else len(text)
+            parts.append(self._section(text[low:high]))
             low = high
         return b"".join(parts)
 
 
 @lru_cache(maxsize=2)
-def chunk_codes(vocabulary: str) -> ChunkCodes:
+def text_codes(vocabulary: str) -> TextCodes:
     """One per Python worker and file."""
-    return ChunkCodes(vocabulary)
+    return TextCodes(vocabulary)
 
 
 def _id_lists(parts: Sequence[bytes]) -> pa.Array:
@@ -150,7 +164,7 @@ def cut_documents(
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = chunk_codes(vocabulary)
+        codes = text_codes(vocabulary)
         for batch in batches:
             rows, held = [], 0
             for number in range(batch.num_rows):

@@ -123,21 +123,25 @@ def test_sequences_are_padded_except_at_powers_of_two(spark):
 
 
 def test_chunks_have_the_ids_of_the_tokenizer(tool):
-    codes = packing.ChunkCodes(WORDS)
-    assert codes.splits
+    codes = packing.TextCodes(WORDS)
+    assert codes.cut
     rng = random.Random(6)
     letters = [chr(n) for n in range(0x21, 0x250)] + [chr(n) for n in range(0x400, 0x500)] + list("\u0301\u0308Σςσΐﬁǅ日ſẞ１²")
+    letters += ["<|", "|>", "<|endoftext|>", "'S", "'ll", "-"]
     chunks = [c + mark for c in letters for mark in ("", ",", "x", "\u0301", "'s")]
     chunks += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", "?!", ",x"]) for _ in range(20000)]
+    chunks += [" ".join(rng.choice(chunks) for _ in range(9)) for _ in range(2000)]
     for chunk in chunks:
         assert codes.encode(chunk) == np.array(tool.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes(), repr(chunk)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="sample tables not present")
 def test_sample_with_sections_and_a_full_cache(spark, tool, monkeypatch):
-    codes = packing.ChunkCodes(WORDS)
+    codes = packing.TextCodes(WORDS)
     monkeypatch.setattr(packing, "SECTION", 100)
-    monkeypatch.setattr(packing, "CACHE_CHUNKS", 50)
     monkeypatch.setattr(packing, "CACHE_WORDS", 20)
-    for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect():
+    for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect():
+        other = packing.TextCodes(WORDS)
+        other.cut = None
+        assert codes.encode(row.text) == other.encode(row.text)
         assert np.frombuffer(codes.encode(row.text), "<u4").tolist() == tool.encode(row.text, add_special_tokens=False).ids
