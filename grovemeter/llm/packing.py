@@ -14,7 +14,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovemeter.llm.bpe import byte_letters
 from grovemeter.llm.common import BLANK, let_workers_import
 from grovemeter.scratch import stage
 
@@ -54,14 +55,11 @@ def is_simple(text: str) -> bool:
 class WordCodes(dict):
     """The ids of words, as little-endian 32-bit numbers; each is asked for once."""
 
-    def __init__(self, tool):
-        self.tool = tool
-
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def __init__(self, ids_of: Callable[[str], list[int]]):
+        self.ids_of = ids_of
 
     def __missing__(self, word: str) -> bytes:
-        codes = self.ids(word)
+        codes = np.array(self.ids_of(word), "<u4").tobytes()
         if len(word) <= CACHED_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -74,8 +72,8 @@ class TextCodes:
 
     No token may hold white space, so that a text's ids are those of its chunks in order. If
     the tokenizer's file says that it lowers letters and encodes what a pattern finds, simple
-    texts are lowered and cut here, and the tokenizer is asked for their words. All else is
-    left to it, a chunk at a time.
+    texts are lowered and cut here, and the tokenizer's model is asked for their words. All
+    else is left to the tokenizer, a chunk at a time.
     """
 
     def __init__(self, vocabulary: str):
@@ -85,11 +83,18 @@ class TextCodes:
         tool = Tokenizer.from_file(vocabulary)
         tool.no_truncation()
         tool.no_padding()
-        self.words, self.chunks = WordCodes(tool), WordCodes(tool)
+        letters = byte_letters()
+
+        def word_ids(word: str) -> list[int]:
+            spelt = word if word.isascii() else "".join(map(letters.__getitem__, word.encode()))
+            return [token.id for token in tool.model.tokenize(spelt)]
+
+        self.words = WordCodes(word_ids)
+        self.chunks = WordCodes(lambda chunk: tool.encode(chunk, add_special_tokens=False).ids)
         described = json.loads(tool.to_str())
-        cutting, letters = (described.get(key) or {} for key in ("pre_tokenizer", "normalizer"))
+        cutting, normal = (described.get(key) or {} for key in ("pre_tokenizer", "normalizer"))
         split, *rest = cutting.get("pretokenizers") or [{}]
-        steps = [step["type"] for step in [*(letters.get("normalizers") or []), split, *rest] if step]
+        steps = [step["type"] for step in [*(normal.get("normalizers") or []), split, *rest] if step]
         known = steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
         known = known and split["invert"] and split["behavior"] == "Removed" and not (rest[0]["add_prefix_space"] or rest[0]["use_regex"])
         # in simple texts these are all letters and numbers
