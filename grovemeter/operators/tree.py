@@ -7,12 +7,15 @@ once over directories only and kept as a staged table, the *directory index*:
 * every directory learns its path and its whole chain of ancestors by pointer doubling: in
   each round a directory takes over the chain of the ancestor it points at, so a tree of
   depth d needs log2(d) rounds rather than d;
-* each row also carries the number and size of its direct entries, so totals without a
-  filter never go back to the entries, and the hot directories are known in advance;
-* the index is sorted by path, so a subtree is a contiguous range of row groups and most
-  ancestors of a partition are shared, which partial aggregation then collapses.
-
-All later operators are plain joins and aggregates against that table.
+* directories are ranked in preorder, siblings by name, so a subtree is an interval of ranks;
+  prefix sums over the ranks give every directory the totals of all that is below it;
+* the index is sorted by rank, which is nearly the order of paths, so a subtree is a contiguous
+  range of row groups;
+* entries can be laid out by the rank of their directory, so that a search below some
+  directories is a scan of ranges and joins nothing.
+
+Where overlapping scans left a second row for some directory there are no ranks, and searches
+climb the chains. All later operators are plain scans, joins and aggregates of these tables.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +46,7 @@ from grovemeter.scratch import stage
 
 KEY = ["device", "inode"]
 PARENT_KEY = ["device", "parent_inode"]
+RANK_COLUMNS = ["rank", "last", "all_entries", "all_bytes"]
 # Root lists up to this length reach the scans as literal filters.
 MAX_LITERAL_ROOTS = 64
 
@@ -68,9 +72,14 @@ class DirectoryIndex:
     * ``tainted`` - whether the directory or one above it has copies, so that several ways
       may lead to it;
     * ``preferred`` - the row of each (device, inode) that paths are built from, and its
-      exact repeats.
-
-    ``single`` is true if no (device, inode) has a second row. ``hot`` lists the directories
+      exact repeats;
+    * ``rank``, ``last`` - the directory's place in preorder, with gaps, and the last place
+      below it; NULL unless ``single``;
+    * ``all_entries``, ``all_bytes`` - number and total size of all rows below it, not of
+      itself; NULL unless ``single``.
+
+    ``single`` is true if no (device, inode) has a second row. ``laid_out``, if there, holds the
+    entries inside known directories, sorted by ``dir_rank``, with ``dir_path``. ``hot`` lists the directories
     with so many entries that joins to them are split, keyed like entries; None if there are
     none.
     """
@@ -78,6 +87,7 @@ class DirectoryIndex:
     table: DataFrame
     single: bool
     hot: DataFrame | None
+    laid_out: DataFrame | None = None
 
     @property
     def directories(self) -> DataFrame:
@@ -159,6 +169,7 @@ def build_directory_index(
     if single:
         table = rows.join(chains, KEY)
     else:
+        chains = chains.drop("names")
         kept = join_lookup(rows.where("preferred"), chains, KEY, small=False)
         above = chains.select(
             "device",
@@ -174,7 +185,11 @@ def build_directory_index(
         )
         table = _mark_tainted(stage(kept.unionByName(others), "dir-chains"))
     if single:
-        table = table.withColumn("tainted", F.lit(False))
+        table = _ranked(table.withColumn("tainted", F.lit(False)))
+        order = ["rank"]
+    else:
+        table = table.withColumns({name: F.lit(None).cast("long") for name in RANK_COLUMNS})
+        order = ["device", "path"]
     table = table.select(
         *ENTRY_COLUMNS,
         "path",
@@ -185,8 +200,9 @@ def build_directory_index(
         "copies",
         "tainted",
         "preferred",
+        *RANK_COLUMNS,
     )
-    table = table.repartitionByRange("device", "path").sortWithinPartitions("device", "path")
+    table = table.repartitionByRange(*order).sortWithinPartitions(*order)
     if path is None:
         return _index_of(stage(table, "directory-index"), single)
     table.write.parquet(path)
@@ -205,6 +221,107 @@ def _index_of(table: DataFrame, single: bool) -> DirectoryIndex:
     return DirectoryIndex(table, single, None if hot.isEmpty() else hot)
 
 
+def rank_range(rank: str | Column = "rank") -> Column:
+    """The number of the range of ranks a rank lies in; ranges follow one another."""
+    return F.shiftrightunsigned(F.col(rank) if isinstance(rank, str) else rank, 33)
+
+
+def range_starts(rows: DataFrame, **totals: Column) -> DataFrame:
+    """For each ``range`` of ranks in ``rows``, the sums over all ranges before it.
+
+    One row a range; there are as many as the ranking had partitions.
+    """
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("range").agg(*[F.sum(value).alias(name) for name, value in totals.items()])
+    return sums.select("range", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in totals])
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Add RANK_COLUMNS to directories that have one row each; drops ``names``.
+
+    In preorder a directory is followed by all below it. The rows above the last of them that
+    do not lead to its successor end there, so a row closes as many directories as its chain
+    reaches beyond the successor's parent: each directory is closed once, however deep.
+    """
+    order = ["device", F.arrays_zip("names", "chain")]
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("names")
+    # numbered as sorted: by partition, then by row
+    placed = stage(placed.withColumn("rank", F.monotonically_increasing_id()), "dir-ranks")
+    narrow = placed.select(
+        *KEY, "chain", "rank", rank_range().alias("range"), "entries", F.coalesce("bytes", F.lit(0)).alias("bytes")
+    )
+    inside = Window.partitionBy("range").orderBy("rank")
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.struct("device", F.size("chain").alias("size"))
+    first = narrow.groupBy("range").agg(F.min_by(place, "rank").alias("opening"))
+    following = first.select("range", F.lead("opening").over(Window.orderBy("range")).alias("opening"))
+    starts = range_starts(narrow, start_entries=F.col("entries"), start_bytes=F.col("bytes"))
+    summed = (
+        narrow.withColumns(
+            {
+                "next": F.lead(place).over(inside),
+                "sum_entries": F.sum("entries").over(running),
+                "sum_bytes": F.sum("bytes").over(running),
+            }
+        )
+        .join(F.broadcast(starts), "range")
+        .join(F.broadcast(following), "range", "left")
+        .withColumn("next", F.coalesce("next", "opening"))
+        .withColumns(
+            {
+                "sum_entries": F.col("sum_entries") + F.col("start_entries"),
+                "sum_bytes": F.col("sum_bytes") + F.col("start_bytes"),
+            }
+        )
+    )
+    summed = stage(summed.drop("opening", "start_entries", "start_bytes"), "dir-sums")
+    open_still = F.when(F.col("next.device") == F.col("device"), F.col("next.size") - 1).otherwise(0)
+    closed = F.slice("chain", open_still + 1, F.size("chain") - open_still)
+    ends = summed.select(
+        "device",
+        F.explode(closed).alias("inode"),
+        F.col("rank").alias("last"),
+        F.col("sum_entries").alias("end_entries"),
+        F.col("sum_bytes").alias("end_bytes"),
+    )
+    begins = summed.select(
+        *KEY, (F.col("sum_entries") - F.col("entries")).alias("up_to"), (F.col("sum_bytes") - F.col("bytes")).alias("bytes_up_to")
+    )
+    totals = begins.join(ends, KEY).select(
+        *KEY,
+        "last",
+        (F.col("end_entries") - F.col("up_to")).alias("all_entries"),
+        (F.col("end_bytes") - F.col("bytes_up_to")).alias("all_bytes"),
+    )
+    return placed.join(totals, KEY)
+
+
+def lay_out_entries(entries: DataFrame, index: DirectoryIndex, path: str | None = None) -> DirectoryIndex:
+    """``index`` with the entries inside its directories laid out by the directories' ranks.
+
+    Each entry gets ``dir_rank`` and ``dir_path`` of its directory; a directory with very many
+    entries spreads over several files by their names. Entries whose parent is not in the
+    snapshot lie below nothing and are left out. With ``path`` the layout is kept there. An index
+    without ranks is returned as it is.
+    """
+    if not index.single:
+        return index
+    above = index.as_parents(F.col("rank").alias("dir_rank"), F.col("path").alias("dir_path"))
+    inside = entries.where(F.col("parent_inode").isNotNull())
+    laid = join_lookup(inside.select(*ENTRY_COLUMNS), above, PARENT_KEY, hot=index.hot)
+    order = ["dir_rank", "basename"]
+    laid = laid.repartitionByRange(*order).sortWithinPartitions(*order)
+    if path is None:
+        return replace(index, laid_out=stage(laid, "laid-out"))
+    laid.write.parquet(path)
+    return open_layout(index, path)
+
+
+def open_layout(index: DirectoryIndex, path: str) -> DirectoryIndex:
+    """``index`` with a layout written earlier with ``path``."""
+    return replace(index, laid_out=index.table.sparkSession.read.parquet(path))
+
+
 def _joined_path(above, below):
     above, below = F.col(above), F.col(below) if isinstance(below, str) else below
     return F.coalesce(F.concat(above, F.lit("/"), below), below)
@@ -252,7 +369,7 @@ def _mark_tainted(rows: DataFrame) -> DataFrame:
 
 
 def _solve_chains(nodes: DataFrame) -> DataFrame:
-    """(device, inode, path, chain) of each directory, by pointer doubling.
+    """(device, inode, path, names, chain) of each directory, by pointer doubling.
 
     ``up`` is the inode of the next ancestor not yet in ``chain``; NULL means the chain is
     complete. Completed rows are set aside and only serve as targets from then on. A directory
@@ -262,7 +379,7 @@ def _solve_chains(nodes: DataFrame) -> DataFrame:
     active = nodes.select(
         *KEY,
         F.col("parent_inode").alias("up"),
-        F.col("basename").alias("path"),
+        F.array("basename").alias("names"),
         F.array("inode").alias("chain"),
     )
     done = [active.where(F.col("up").isNull())]
@@ -273,14 +390,14 @@ def _solve_chains(nodes: DataFrame) -> DataFrame:
             "device",
             F.col("inode").alias("up"),
             F.col("up").alias("next_up"),
-            F.col("path").alias("up_path"),
+            F.col("names").alias("up_names"),
             F.col("chain").alias("up_chain"),
         )
         hot = None if remaining <= lookup.ROWS_PER_PIECE else UNKNOWN
         solved = join_lookup(active, targets, ["device", "up"], "left", hot, small).select(
             *KEY,
             F.col("next_up").alias("up"),
-            _joined_path("up_path", "path").alias("path"),
+            _joined_chain("up_names", F.col("names")).alias("names"),
             _joined_chain("up_chain", F.col("chain")).alias("chain"),
             F.coalesce(F.array_contains("up_chain", F.col("inode")), F.lit(False)).alias("loop"),
         )
@@ -290,7 +407,7 @@ def _solve_chains(nodes: DataFrame) -> DataFrame:
         solved = solved.drop("loop")
         done.append(solved.where(F.col("up").isNull()))
         active = solved.where(F.col("up").isNotNull())
-    return reduce(DataFrame.unionByName, done).drop("up")
+    return reduce(DataFrame.unionByName, done).drop("up").withColumn("path", F.array_join("names", "/"))
 
 
 # --- roots -----------------------------------------------------------------------------
@@ -301,20 +418,20 @@ class Roots:
     """Start points of a search: (root_id, device, inode), repeats kept.
 
     ``pairs`` holds them on the driver when they came as an argument list; ``located`` then
-    holds (device, inode, path) of those that are directories, if the list is short.
+    holds (device, inode, path, rank, last) of those that are directories, if the list is short.
     """
 
     table: DataFrame
     small: bool
     pairs: tuple[tuple[int, int], ...] | None = None
-    located: tuple[tuple[int, int, str], ...] | None = None
+    located: tuple[tuple[int, int, str, int | None, int | None], ...] | None = None
 
     @property
     def all_directories(self) -> bool:
         """True if every root is known to be a directory of the index."""
         if self.located is None:
             return False
-        return set(self.pairs) <= {(device, inode) for device, inode, _ in self.located}
+        return set(self.pairs) <= {found[:2] for found in self.located}
 
     def key_filter(self, device: str = "device", inode: str = "inode"):
         """A filter any row on one of the roots passes, or None if the list is long."""
@@ -328,24 +445,32 @@ class Roots:
             ((F.col(device) == d) & F.col(inode).isin(sorted(s)) for d, s in inodes.items()),
         )
 
-    def path_filter(self):
-        """A filter on ``path`` that the subtrees of the roots pass, or None if unknown.
+    @property
+    def ranges(self) -> list[tuple[int, int, int]]:
+        """(root_id, rank, last) of each root that is a directory; repeats and overlaps stay.
 
-        Everything below a directory sorts between its path + '/' and its path + '0', so a
-        scan of the path-sorted index skips the row groups outside.
+        Only for located roots of an index with ranks.
         """
-        if self.located is None:
-            return None
-        path = F.col("path")
-        return reduce(
-            lambda a, b: a | b,
-            (
-                (F.col("device") == device)
-                & ((path == top) | ((path >= top + "/") & (path < top + "0")))
-                for device, _, top in self.located
-            ),
-            F.lit(False),
-        )
+        places = {found[:2]: found[3:] for found in self.located}
+        return [(number, *places[pair]) for number, pair in enumerate(self.pairs) if pair in places]
+
+    def below(self, rank: str) -> Column:
+        """A filter on ranks that the subtrees of the roots pass: a few ranges, for a scan."""
+        merged: list[list[int]] = []
+        for _, low, last in sorted(self.ranges, key=lambda r: r[1:]):
+            if merged and low <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], last)  # subtrees nest or are apart
+            else:
+                merged.append([low, last])
+        return reduce(lambda a, b: a | b, (F.col(rank).between(*ends) for ends in merged), F.lit(False))
+
+    def holding(self, rank: str) -> Column:
+        """The numbers of the roots whose subtree a rank lies in, as an array."""
+        if not self.ranges:
+            return F.array().cast("array<bigint>")
+        ranges = F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(("root_id", "low", "high"), r)]) for r in self.ranges])
+        held = F.filter(ranges, lambda r: F.col(rank).between(r["low"], r["high"]))
+        return F.transform(held, lambda r: r["root_id"])
 
 
 def as_roots(spark: SparkSession, roots: Iterable | DataFrame, index: DirectoryIndex | None = None) -> Roots:
@@ -368,7 +493,7 @@ def as_roots(spark: SparkSession, roots: Iterable | DataFrame, index: DirectoryI
     found = Roots(table, True, pairs)
     if index is None:
         return found
-    rows = index.table.where(found.key_filter()).select(*KEY, "path").distinct()
+    rows = index.table.where(found.key_filter()).select(*KEY, "path", "rank", "last").distinct()
     located = rows.take(MAX_LITERAL_ROOTS + 1)
     if len(located) > MAX_LITERAL_ROOTS:
         return found
@@ -547,9 +672,9 @@ def subtree_directories(index: DirectoryIndex, roots: Roots, with_path: bool = T
     """
     columns = [*(["path"] if with_path else []), "entries", "bytes"]
     dirs = index.table
-    ranges = roots.path_filter() if index.single else None
-    if ranges is not None:
-        dirs = dirs.where(ranges)
+    if index.single and roots.located is not None:
+        inside = dirs.where(roots.below("rank"))
+        return inside.select(F.explode(roots.holding("rank")).alias("root_id"), *KEY, *columns, F.lit(1).cast("long").alias("times"))
     spread = dirs.where(~F.col("tainted")).select(*KEY, *columns, F.explode("chain").alias("ancestor"))
     tops = roots.table.withColumnRenamed("inode", "ancestor")
     hit = join_lookup(spread, tops, ["device", "ancestor"], small=roots.small)
@@ -632,6 +757,15 @@ def descendants(
         tops = select_roots(entry_filter.apply(index.table), roots)
     else:
         tops = with_path(stage(select_roots(wanted, roots), "tops"), index)
+    columns = ["root_id", *ENTRY_COLUMNS, "path"]
+    if index.laid_out is not None and roots.located is not None:
+        inner = entry_filter.apply(index.laid_out.where(roots.below("dir_rank"))).withColumns(
+            {
+                "root_id": F.explode(roots.holding("dir_rank")),
+                "path": F.concat("dir_path", F.lit("/"), F.col("basename")),
+            }
+        )
+        return tops.select(*columns).unionByName(inner.select(*columns))
     below = subtree_directories(index, roots).select(
         "root_id",
         "device",
@@ -649,7 +783,6 @@ def descendants(
         inner = inner.withColumn(
             "nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
         )
-    columns = ["root_id", *ENTRY_COLUMNS, "path"]
     return tops.select(*columns).unionByName(inner.select(*columns))
 
 

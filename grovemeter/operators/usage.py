@@ -1,8 +1,9 @@
 """Total size and number of entries per subtree.
 
 Sizes are summed per directory before anything is joined, so a directory with very many
-entries is reduced on the map side, and the sums then climb the ancestor chains held in the
-directory index. Rows count once per row: hard links are not merged, and an unreadable row
+entries is reduced on the map side. A subtree is an interval of the index's ranks, so its total
+is the difference of two prefix sums over the ranks: without a filter the index holds it, with
+one the sums are taken range by range and every directory asked for reads two of them. Rows count once per row: hard links are not merged, and an unreadable row
 counts as an entry of unknown size.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grovemeter.functions.modes import is_directory
@@ -23,6 +24,8 @@ from grovemeter.operators.tree import (
     DirectoryIndex,
     Roots,
     as_roots,
+    range_starts,
+    rank_range,
     roots_at,
     select_roots,
     subtree_directories,
@@ -54,7 +57,7 @@ def usage_by_root(
     A root without matching rows, or not in the snapshot at all, reports zeros.
     """
     roots = as_roots(entries.sparkSession, roots, index)
-    if not roots.small and index.single:
+    if index.single and roots.located is None:
         return _usage_of_many(entries, roots, index, entry_filter)
     zeros = roots.table.select(
         "root_id",
@@ -85,6 +88,16 @@ def _contributions(entries, roots: Roots, index, entry_filter) -> DataFrame:
     own = select_roots(entry_filter.apply(holding), roots).select(
         "root_id", "size", F.lit(1).cast("long").alias("inodes")
     )
+    if index.single and entry_filter.is_empty:
+        ranks = sorted({rank for _, rank, _ in roots.ranges})
+        tops = index.table.where(F.col("rank").isin(ranks)).select(*KEY, "all_bytes", "all_entries")
+        below = roots.table.join(F.broadcast(tops), KEY)  # as many as located roots
+        return own.unionByName(below.select("root_id", F.col("all_bytes").alias("size"), F.col("all_entries").alias("inodes")))
+    if index.laid_out is not None and roots.located is not None:
+        wanted = entry_filter.apply(index.laid_out.where(roots.below("dir_rank")))
+        return own.unionByName(
+            wanted.select(F.explode(roots.holding("dir_rank")).alias("root_id"), "size", F.lit(1).cast("long").alias("inodes"))
+        )
     below = subtree_directories(index, roots, with_path=False)
     if entry_filter.is_empty:
         inside = below.select(
@@ -120,9 +133,10 @@ def _totals_by_key(entries, index: DirectoryIndex, entry_filter, keys: DataFrame
     own = entry_filter.apply(entries).where(F.col("inode").isNotNull()).select(
         *KEY, "size", F.lit(1).cast("long").alias("inodes")
     )
+    below = _totals_below(entries, index, entry_filter, index.table.join(keys, KEY, "left_semi"))
     return (
-        own.unionByName(_climbing_totals(entries, index, entry_filter))
-        .join(keys, KEY, "left_semi")
+        own.join(keys, KEY, "left_semi")
+        .unionByName(below)
         .groupBy(*KEY)
         .agg(_sum_or_zero("size"), _sum_or_zero("inodes"))
     )
@@ -137,18 +151,46 @@ def _zero_filled(df: DataFrame, *columns) -> DataFrame:
     )
 
 
-def _climbing_totals(entries, index: DirectoryIndex, entry_filter) -> DataFrame:
-    """Direct totals of each directory, once for itself and once for each ancestor."""
-    dirs = index.directories
+def _totals_below(entries, index: DirectoryIndex, entry_filter, dirs: DataFrame) -> DataFrame:
+    """``device, inode, size, inodes`` rows that add up to what is below each of ``dirs``."""
     if entry_filter.is_empty:
-        dirs = dirs.select(*KEY, "chain", F.col("bytes").alias("size"), F.col("entries").alias("inodes"))
-        dirs = dirs.where(F.col("inodes") > 0)
+        return dirs.select(*KEY, F.col("all_bytes").alias("size"), F.col("all_entries").alias("inodes"))
+    if index.laid_out is not None:
+        rank = F.col("dir_rank").alias("rank")
+        direct = entry_filter.apply(index.laid_out).groupBy(rank).agg(F.count(F.lit(1)).alias("inodes"), F.sum("size").alias("size"))
     else:
-        direct = direct_totals(entry_filter.apply(entries))
-        dirs = dirs.select(*KEY, "chain").join(
-            direct.withColumnRenamed("parent_inode", "inode"), KEY
-        )
-    return dirs.select("device", F.explode("chain").alias("inode"), "size", "inodes")
+        direct = index.as_parents("rank").join(direct_totals(entry_filter.apply(entries)), PARENT_KEY).drop(*PARENT_KEY)
+    direct = direct.withColumn("size", F.coalesce("size", F.lit(0).cast("long")))
+    return interval_totals(stage(direct, "direct"), dirs.select(*KEY, "rank", "last"))
+
+
+def interval_totals(values: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Rows that add up, by (device, inode), to the sums of ``values`` within each interval.
+
+    ``values`` is a staged table of rank, size, inodes; ``intervals`` has device, inode, rank,
+    last. Beginnings and ends of intervals are put among the values, each reads the running
+    sum at its place, and an interval's total is what its end reads less what its beginning
+    reads. Sums run within ranges of ranks and are carried over by one row a range.
+    """
+    nobody = F.lit(None).cast("long")
+    zero = F.lit(0).cast("long")
+    found = values.select(
+        "rank", F.lit(1).alias("turn"), nobody.alias("device"), nobody.alias("inode"), "size", "inodes"
+    )
+    begins = intervals.select("rank", F.lit(0).alias("turn"), *KEY, zero.alias("size"), zero.alias("inodes"))
+    ends = intervals.select(F.col("last").alias("rank"), F.lit(2).alias("turn"), *KEY, zero.alias("size"), zero.alias("inodes"))
+    events = found.unionByName(begins).unionByName(ends).withColumn("range", rank_range())
+    # ranges without values take the start of the next one before them from the events' own ranges
+    marks = intervals.select(F.explode(F.array(rank_range("rank"), rank_range("last"))).alias("range")).distinct()
+    known = values.select(rank_range().alias("range"), "size", "inodes").unionByName(
+        marks.select("range", zero.alias("size"), zero.alias("inodes"))
+    )
+    starts = range_starts(known, start_size=F.col("size"), start_inodes=F.col("inodes"))
+    running = Window.partitionBy("range").orderBy("rank", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = events.withColumns({name: F.sum(name).over(running) for name in ("size", "inodes")})
+    read = summed.where(F.col("turn") != 1).join(F.broadcast(starts), "range")
+    sign = F.col("turn") - 1
+    return read.select(*KEY, *[(sign * (F.col(n) + F.col(f"start_{n}"))).alias(n) for n in ("size", "inodes")])
 
 
 def all_directory_usage(
@@ -158,17 +200,15 @@ def all_directory_usage(
     with_path: bool = True,
 ) -> DataFrame:
     """``device, inode, size, inodes[, path]`` of every directory's subtree, in one pass."""
+    if index.single and entry_filter.is_empty:
+        size = F.coalesce("size", F.lit(0).cast("long")) + F.col("all_bytes")
+        columns = [*KEY, size.alias("size"), (F.col("all_entries") + 1).alias("inodes")]
+        return index.table.select(*columns, *(["path"] if with_path else []))
     if index.single:
-        passes = F.lit(True)
-        for condition in entry_filter.conditions():
-            passes = passes & F.coalesce(condition, F.lit(False))
-        own = index.table.select(
-            *KEY,
-            F.when(passes, F.col("size")).alias("size"),
-            passes.cast("long").alias("inodes"),
-        )
+        own = entry_filter.apply(index.table).select(*KEY, "size", F.lit(1).cast("long").alias("inodes"))
         totals = (
-            own.unionByName(_climbing_totals(entries, index, entry_filter))
+            _totals_below(entries, index, entry_filter, index.table)
+            .unionByName(own)
             .groupBy(*KEY)
             .agg(_sum_or_zero("size"), _sum_or_zero("inodes"))
         )
@@ -191,7 +231,7 @@ def du(
 ) -> DataFrame:
     """One row ``size, inodes`` over all roots together; repeated roots count again."""
     roots = as_roots(entries.sparkSession, roots, index)
-    if not roots.small and index.single:
+    if index.single and roots.located is None:
         rows = _usage_of_many(entries, roots, index, entry_filter)
     else:
         rows = _contributions(entries, roots, index, entry_filter)
@@ -238,7 +278,7 @@ def children_usage(
     )
     # Staged because the ids must stay the same for every use, and for its size.
     children = stage(children.withColumn("root_id", F.monotonically_increasing_id()), "children")
-    if index.single and not is_small(children):
+    if index.single:
         # Entries without an inode have no totals; as NULL keys they would share one task.
         known = children.where(F.col("inode").isNotNull())
         totals = _totals_by_key(entries, index, entry_filter, known.select(*KEY).distinct())

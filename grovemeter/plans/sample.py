@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovemeter.operators.tree import DirectoryIndex, build_directory_index
+from grovemeter.operators.tree import DirectoryIndex, build_directory_index, lay_out_entries
 from grovemeter.plans.accounting import Accounting
 from grovemeter.schemas import ENTRY_COLUMNS, ENTRY_SCHEMA
 from grovemeter.scratch import new_scratch_path, stage
@@ -45,9 +45,14 @@ class Sample:
         return read_snapshot(self.spark, base)
 
     @cached_property
-    def index(self) -> DirectoryIndex:
+    def bare_index(self) -> DirectoryIndex:
         return build_directory_index(self.entries)
 
+    @cached_property
+    def index(self) -> DirectoryIndex:
+        """The index with the entries laid out by it."""
+        return lay_out_entries(self.entries, self.bare_index)
+
     @property
     def roots(self) -> list[tuple[int, int]]:
         return [(device, ROOT_INODE) for device in range(1, 6)]

@@ -54,9 +54,46 @@ def test_unfiltered_totals_never_read_the_entries(loaded):
     assert "snapshot=" not in text
 
 
-def test_subtree_search_prunes_the_index_by_path(loaded):
-    text = plan(usage.du(loaded.entries, [(1, 2)], loaded.index))
-    assert "GreaterThanOrEqual(path,/data/" in text and "LessThan(path,/data/" in text
+ONE_REGION = [(1, 2)]
+
+
+def scans(text, table):
+    """(pushed filters, columns read) of the scans of a staged table."""
+    found = re.findall(r"FileScan parquet [^\n]*Location: [^\n]*?/([a-z-]+)-[0-9a-f]{32}[^\n]*PushedFilters: \[(.*?)\], ReadSchema: struct<([^\n]*)>", text)
+    return [(pushed, {c.split(":")[0] for c in columns.split(",")}) for name, pushed, columns in found if name == table]
+
+
+def test_totals_of_a_root_read_only_its_own_rows(loaded):
+    text = plan(usage.du(loaded.entries, ONE_REGION, loaded.index))
+    assert "EqualTo(rank," in text and "chain" not in text and "laid-out" not in text
+
+
+@pytest.mark.parametrize("search", [tree.find, usage.du, usage.usage_by_root])
+def test_a_filtered_search_below_a_root_is_a_scan_of_its_range(loaded, search):
+    wanted = catalog.FILTERS["find_filtered"]
+    text = plan(search(loaded.entries, ONE_REGION, loaded.index, wanted))
+    ((pushed, columns),) = scans(text, "laid-out")
+    assert "GreaterThanOrEqual(dir_rank," in pushed and "LessThanOrEqual(dir_rank," in pushed
+    assert "LessThanOrEqual(mtime," in pushed and "EqualTo(gid,3)" in pushed
+    # no entry is shuffled: what is summed has been reduced, what is found goes nowhere
+    assert "SortMergeJoin" not in text and "ShuffledHashJoin" not in text and "snapshot=" not in text
+    if search is tree.find:
+        assert "Exchange hashpartitioning" not in text
+    else:
+        assert "basename" not in columns and "dir_path" not in columns
+        assert all("root_id" in keys or keys == "" for keys in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text))
+
+
+@pytest.mark.parametrize(
+    "name", ["all_dir_usage", "all_dir_usage_filtered", "children_usage", "children_usage_sorted", "du_per_root", "du_filtered"]
+)
+def test_totals_explode_no_chains(loaded, name):
+    assert "explode(chain" not in plan(catalog.QUERIES[name](loaded))
+
+
+def test_totals_of_all_directories_are_a_scan(loaded):
+    text = plan(usage.all_directory_usage(loaded.entries, loaded.index))
+    assert "Exchange" not in text and "Join" not in text
 
 
 def test_du_builds_no_paths_from_entries(loaded):

@@ -129,3 +129,56 @@ def test_empty_result_is_zero(spark):
     assert usage.du(entries, [(1, 1)], index, EntryFilter(uid=77)).head().asDict() == {
         "size": 0, "inodes": 0,
     }
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_laid_out_entries_change_no_result(spark, seed):
+    rows = random_forest(seed, devices=6, size=60)
+    entries, account = frame(spark, rows), Account(rows)
+    index = tree.lay_out_entries(entries, tree.build_directory_index(entries))
+    assert index.laid_out is not None
+    keys = sorted({(r["device"], r["inode"]) for r in rows if r["inode"] is not None})
+    roots = (keys[:: max(1, len(keys) // 12)] * 2)[:20] + [(99, 1)]
+    for wanted, passes in (
+        (EntryFilter(), lambda r: True),
+        (EntryFilter(uid=2), lambda r: r["uid"] == 2),
+        (EntryFilter(size=2000), lambda r: r["size"] is not None and r["size"] >= 2000),
+    ):
+        totals = account.du(roots, passes)
+        found = usage.usage_by_root(entries, roots, index, wanted).orderBy("root_id").collect()
+        assert [(r.size, r.inodes) for r in found] == totals
+        (whole,) = usage.du(entries, roots, index, wanted).collect()
+        assert tuple(whole) == (sum(s for s, _ in totals), sum(n for _, n in totals))
+        paths = sorted(p for _, r, p in account.search(roots) if passes(r))
+        assert sorted(r.path for r in tree.find(entries, roots, index, wanted).collect()) == paths
+        dirs = sorted(tuple(r) for r in index.directories.select("device", "inode").collect())
+        every = dict(zip(dirs, account.du(dirs, passes)))
+        found = usage.all_directory_usage(entries, index, wanted, with_path=False).collect()
+        assert {(r.device, r.inode): (r.size, r.inodes) for r in found} == every
+
+
+def test_ranks_are_intervals_of_subtrees(spark):
+    rows = random_forest(7, devices=5, size=80)
+    # names that sort before a separator, and two directories at one path
+    top = next(r for r in rows if r["parent_inode"] is None and r["device"] == 1 and r["inode"])["inode"]
+    rows += [
+        directory("a", 9001, top), directory("a!b", 9002, top), directory("x", 9003, 9001), directory("a", 9004, top),
+        directory("x", 9005, 9004), directory("x", 9006, 9001), row("f", 9007, 9005, size=7), directory("a-", 9008, top),
+    ]
+    entries, account = frame(spark, rows), Account(rows)
+    found = tree.build_directory_index(entries).table.collect()
+    assert len({r.rank for r in found}) == len(found)
+    for r in found:
+        below = {o.rank for o in found if o.device == r.device and r.inode in o.chain}
+        assert below == {o.rank for o in found if r.rank <= o.rank <= r["last"]}
+        size, inodes = account.du([(r.device, r.inode)])[0]
+        assert (r.all_bytes + (r.size or 0), r.all_entries + 1) == (size, inodes)
+
+
+def test_a_kept_layout_is_opened_again(spark, tmp_path):
+    rows = random_forest(3, devices=2)
+    entries = frame(spark, rows)
+    index = tree.build_directory_index(entries, path=str(tmp_path / "index"))
+    laid = tree.lay_out_entries(entries, index, path=str(tmp_path / "entries"))
+    again = tree.open_layout(tree.open_directory_index(spark, str(tmp_path / "index")), str(tmp_path / "entries"))
+    assert again.laid_out.count() == laid.laid_out.count() == sum(1 for r in rows if (r["device"], r["parent_inode"]) in {(d["device"], d["inode"]) for d in rows if d["inode"]})
