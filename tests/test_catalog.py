@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as spark_entry
+from grovemeter.plans import catalog, oracles
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -23,14 +24,19 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(catalog.queries()) == set(oracles.oracle_sql())
+
+
+def test_all_queries_are_registered():
+    assert set(catalog.queries()) <= set(spark_entry.queries())
+    assert set(oracles.oracle_sql()) <= set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
 
 
 def test_flagship(spark):
     assert spark_entry.entry(spark).head().asDict() == {"size": 159543525376, "inodes": 7680}
 
 
-@pytest.mark.parametrize("name", list(spark_entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query_matches_sql(spark, duck, name):
     from check import rows_of
 
