@@ -164,12 +164,12 @@ def build_directory_index(
     single = rows.where(F.col("copies") > 1).isEmpty()
     rows = rows.withColumn("preferred", F.lit(True)) if single else _mark_preferred(rows)
 
-    nodes = rows.where("preferred").select(*KEY, "parent_inode", "basename")
+    nodes = rows.where("preferred").select(*KEY, "parent_inode", "basename", "entries", "bytes")
     chains = _solve_chains(nodes if single else nodes.dropDuplicates(KEY))
     if single:
-        table = rows.join(chains, KEY)
+        table = rows.join(chains.select(*KEY, "path", "chain"), KEY).join(_ranks(chains), KEY)
     else:
-        chains = chains.drop("names")
+        chains = chains.select(*KEY, "path", "chain")
         kept = join_lookup(rows.where("preferred"), chains, KEY, small=False)
         above = chains.select(
             "device",
@@ -185,11 +185,9 @@ def build_directory_index(
         )
         table = _mark_tainted(stage(kept.unionByName(others), "dir-chains"))
     if single:
-        table = _ranked(table.withColumn("tainted", F.lit(False)))
-        order = ["rank"]
+        table = table.withColumn("tainted", F.lit(False))
     else:
         table = table.withColumns({name: F.lit(None).cast("long") for name in RANK_COLUMNS})
-        order = ["device", "path"]
     table = table.select(
         *ENTRY_COLUMNS,
         "path",
@@ -202,7 +200,12 @@ def build_directory_index(
         "preferred",
         *RANK_COLUMNS,
     )
-    table = table.repartitionByRange(*order).sortWithinPartitions(*order)
+    if single:
+        # the ranges of ranks are known to be even, so nothing need be sampled again
+        ranges = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        table = table.repartitionById(ranges, rank_range().cast("int")).sortWithinPartitions("rank")
+    else:
+        table = table.repartitionByRange("device", "path").sortWithinPartitions("device", "path")
     if path is None:
         return _index_of(stage(table, "directory-index"), single)
     table.write.parquet(path)
@@ -236,17 +239,19 @@ def range_starts(rows: DataFrame, **totals: Column) -> DataFrame:
     return sums.select("range", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in totals])
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """Add RANK_COLUMNS to directories that have one row each; drops ``names``.
+def _ranks(chains: DataFrame) -> DataFrame:
+    """KEY and RANK_COLUMNS of directories that have one row each.
 
     In preorder a directory is followed by all below it. The rows above the last of them that
     do not lead to its successor end there, so a row closes as many directories as its chain
     reaches beyond the successor's parent: each directory is closed once, however deep.
     """
-    order = ["device", F.arrays_zip("names", "chain")]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("names")
+    order = ["device", "sort_key"]
+    ranges = int(chains.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = chains.select(*KEY, "sort_key", "chain", "entries", "bytes").repartitionByRange(ranges, *order)
     # numbered as sorted: by partition, then by row
-    placed = stage(placed.withColumn("rank", F.monotonically_increasing_id()), "dir-ranks")
+    placed = placed.sortWithinPartitions(*order).drop("sort_key").withColumn("rank", F.monotonically_increasing_id())
+    placed = stage(placed, "dir-ranks")
     narrow = placed.select(
         *KEY, "chain", "rank", rank_range().alias("range"), "entries", F.coalesce("bytes", F.lit(0)).alias("bytes")
     )
@@ -285,15 +290,15 @@ def _ranked(rows: DataFrame) -> DataFrame:
         F.col("sum_bytes").alias("end_bytes"),
     )
     begins = summed.select(
-        *KEY, (F.col("sum_entries") - F.col("entries")).alias("up_to"), (F.col("sum_bytes") - F.col("bytes")).alias("bytes_up_to")
+        *KEY, "rank", (F.col("sum_entries") - F.col("entries")).alias("up_to"), (F.col("sum_bytes") - F.col("bytes")).alias("bytes_up_to")
     )
-    totals = begins.join(ends, KEY).select(
+    return begins.join(ends, KEY).select(
         *KEY,
+        "rank",
         "last",
         (F.col("end_entries") - F.col("up_to")).alias("all_entries"),
         (F.col("end_bytes") - F.col("bytes_up_to")).alias("all_bytes"),
     )
-    return placed.join(totals, KEY)
 
 
 def lay_out_entries(entries: DataFrame, index: DirectoryIndex, path: str | None = None) -> DirectoryIndex:
@@ -369,7 +374,7 @@ def _mark_tainted(rows: DataFrame) -> DataFrame:
 
 
 def _solve_chains(nodes: DataFrame) -> DataFrame:
-    """(device, inode, path, names, chain) of each directory, by pointer doubling.
+    """(device, inode, path, sort_key, chain, entries, bytes) of each directory, by pointer doubling.
 
     ``up`` is the inode of the next ancestor not yet in ``chain``; NULL means the chain is
     complete. Completed rows are set aside and only serve as targets from then on. A directory
@@ -379,8 +384,11 @@ def _solve_chains(nodes: DataFrame) -> DataFrame:
     active = nodes.select(
         *KEY,
         F.col("parent_inode").alias("up"),
-        F.array("basename").alias("names"),
+        F.col("basename").alias("path"),
+        _sort_key().alias("sort_key"),
         F.array("inode").alias("chain"),
+        "entries",
+        "bytes",
     )
     done = [active.where(F.col("up").isNull())]
     active = active.where(F.col("up").isNotNull())
@@ -390,15 +398,19 @@ def _solve_chains(nodes: DataFrame) -> DataFrame:
             "device",
             F.col("inode").alias("up"),
             F.col("up").alias("next_up"),
-            F.col("names").alias("up_names"),
+            F.col("path").alias("up_path"),
+            F.col("sort_key").alias("up_key"),
             F.col("chain").alias("up_chain"),
         )
         hot = None if remaining <= lookup.ROWS_PER_PIECE else UNKNOWN
         solved = join_lookup(active, targets, ["device", "up"], "left", hot, small).select(
             *KEY,
             F.col("next_up").alias("up"),
-            _joined_chain("up_names", F.col("names")).alias("names"),
+            _joined_path("up_path", "path").alias("path"),
+            _joined_chain("up_key", F.col("sort_key")).alias("sort_key"),
             _joined_chain("up_chain", F.col("chain")).alias("chain"),
+            "entries",
+            "bytes",
             F.coalesce(F.array_contains("up_chain", F.col("inode")), F.lit(False)).alias("loop"),
         )
         solved = stage(solved, "chains")
@@ -407,7 +419,17 @@ def _solve_chains(nodes: DataFrame) -> DataFrame:
         solved = solved.drop("loop")
         done.append(solved.where(F.col("up").isNull()))
         active = solved.where(F.col("up").isNotNull())
-    return reduce(DataFrame.unionByName, done).drop("up").withColumn("path", F.array_join("names", "/"))
+    return reduce(DataFrame.unionByName, done).drop("up")
+
+
+def _sort_key() -> Column:
+    """A directory's name and inode as text that no other such text begins with.
+
+    One after another along a chain they sort in preorder, siblings by name: whatever begins
+    with a directory's is below it. Negative inodes are but numbers that sort last.
+    """
+    name = F.translate("basename", "\0", "\1")  # the end mark, that no file system allows in names
+    return F.concat(name, F.lit("\0"), F.lpad(F.hex("inode"), 16, "0"))
 
 
 # --- roots -----------------------------------------------------------------------------

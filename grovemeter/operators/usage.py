@@ -10,6 +10,7 @@ counts as an entry of unknown size.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from grovemeter.functions.modes import is_directory
 from grovemeter.functions.sizes import usage_line
 from grovemeter.operators.filters import NO_FILTER, EntryFilter
-from grovemeter.operators.lookup import argument_table, is_small, join_lookup
+from grovemeter.operators.lookup import argument_table, is_small, join_lookup, sized
 from grovemeter.operators.tree import (
     KEY,
     PARENT_KEY,
@@ -57,7 +58,7 @@ def usage_by_root(
     A root without matching rows, or not in the snapshot at all, reports zeros.
     """
     roots = as_roots(entries.sparkSession, roots, index)
-    if index.single and roots.located is None:
+    if roots.located is None:
         return _usage_of_many(entries, roots, index, entry_filter)
     zeros = roots.table.select(
         "root_id",
@@ -133,7 +134,10 @@ def _totals_by_key(entries, index: DirectoryIndex, entry_filter, keys: DataFrame
     own = entry_filter.apply(entries).where(F.col("inode").isNotNull()).select(
         *KEY, "size", F.lit(1).cast("long").alias("inodes")
     )
-    below = _totals_below(entries, index, entry_filter, index.table.join(keys, KEY, "left_semi"))
+    if index.single:
+        below = _totals_below(entries, index, entry_filter, index.table.join(keys, KEY, "left_semi"))
+    else:
+        below = _totals_by_level(entries, index, entry_filter).join(keys, KEY, "left_semi")
     return (
         own.join(keys, KEY, "left_semi")
         .unionByName(below)
@@ -164,6 +168,39 @@ def _totals_below(entries, index: DirectoryIndex, entry_filter, dirs: DataFrame)
     return interval_totals(stage(direct, "direct"), dirs.select(*KEY, "rank", "last"))
 
 
+def _totals_by_level(entries, index: DirectoryIndex, entry_filter) -> DataFrame:
+    """``device, inode, size, inodes`` rows that add up to what searches find below every directory.
+
+    For indexes in which a directory may have several rows. What is directly inside a
+    directory goes up to its parents, once for each of its rows there, and from there on, all
+    directories at once and a level a round; a round keeps one row for each directory that many
+    levels above another, with the paths multiplied into its totals. Without a cycle some
+    directory is the top of no longer path in each round, so fewer go on.
+    """
+    dirs = index.directories
+    zero = F.lit(0).cast("long")
+    if entry_filter.is_empty:
+        level = dirs.select(*KEY, F.coalesce("bytes", zero).alias("size"), F.col("entries").alias("inodes"))
+    else:
+        direct = direct_totals(entry_filter.apply(entries)).withColumnRenamed("parent_inode", "inode")
+        level = dirs.select(*KEY).join(direct, KEY, "left").fillna(0, ["size", "inodes"])
+    parents = dirs.select("device", F.col("inode").alias("parent_inode"))
+    steps = index.table.groupBy(*KEY, "parent_inode").agg(F.count(F.lit(1)).alias("times"))
+    steps = stage(steps.join(parents, PARENT_KEY, "left_semi"), "steps")
+    level = stage(level.select(*KEY, "size", "inodes"), "level")
+    levels, active = [level], level.count()
+    while active:
+        up = steps.join(sized(level), KEY).groupBy(*PARENT_KEY)
+        up = up.agg(F.sum(F.col("size") * F.col("times")).alias("size"), F.sum(F.col("inodes") * F.col("times")).alias("inodes"))
+        level = stage(up.withColumnRenamed("parent_inode", "inode"), "level")
+        before, active = active, level.count()
+        if active == before:
+            raise ValueError(f"directory {tuple(level.select(*KEY).first())}, or one below it, is inside itself")
+        levels.append(level)
+    rows = reduce(DataFrame.unionByName, levels).join(dirs.select(*KEY, "copies"), KEY)
+    return rows.select(*KEY, *[(F.col(n) * F.col("copies")).alias(n) for n in ("size", "inodes")])
+
+
 def interval_totals(values: DataFrame, intervals: DataFrame) -> DataFrame:
     """Rows that add up, by (device, inode), to the sums of ``values`` within each interval.
 
@@ -204,20 +241,9 @@ def all_directory_usage(
         size = F.coalesce("size", F.lit(0).cast("long")) + F.col("all_bytes")
         columns = [*KEY, size.alias("size"), (F.col("all_entries") + 1).alias("inodes")]
         return index.table.select(*columns, *(["path"] if with_path else []))
-    if index.single:
-        own = entry_filter.apply(index.table).select(*KEY, "size", F.lit(1).cast("long").alias("inodes"))
-        totals = (
-            _totals_below(entries, index, entry_filter, index.table)
-            .unionByName(own)
-            .groupBy(*KEY)
-            .agg(_sum_or_zero("size"), _sum_or_zero("inodes"))
-        )
-    else:
-        roots = stage(
-            index.directories.select(F.monotonically_increasing_id().alias("root_id"), *KEY),
-            "dir-roots",
-        )
-        totals = usage_by_root(entries, roots, index, entry_filter).drop("root_id")
+    below = _totals_below(entries, index, entry_filter, index.table) if index.single else _totals_by_level(entries, index, entry_filter)
+    own = entry_filter.apply(index.table).select(*KEY, "size", F.lit(1).cast("long").alias("inodes"))
+    totals = below.unionByName(own).groupBy(*KEY).agg(_sum_or_zero("size"), _sum_or_zero("inodes"))
     if with_path:
         totals = totals.join(index.directories.select(*KEY, "path"), KEY)
     return totals
@@ -231,7 +257,7 @@ def du(
 ) -> DataFrame:
     """One row ``size, inodes`` over all roots together; repeated roots count again."""
     roots = as_roots(entries.sparkSession, roots, index)
-    if index.single and roots.located is None:
+    if roots.located is None:
         rows = _usage_of_many(entries, roots, index, entry_filter)
     else:
         rows = _contributions(entries, roots, index, entry_filter)
@@ -276,19 +302,13 @@ def children_usage(
         small=tops.small or None,
         hot=index.hot,
     )
-    # Staged because the ids must stay the same for every use, and for its size.
-    children = stage(children.withColumn("root_id", F.monotonically_increasing_id()), "children")
-    if index.single:
-        # Entries without an inode have no totals; as NULL keys they would share one task.
-        known = children.where(F.col("inode").isNotNull())
-        totals = _totals_by_key(entries, index, entry_filter, known.select(*KEY).distinct())
-        listed = join_lookup(known, totals, KEY, "left", small=False).unionByName(
-            children.where(F.col("inode").isNull()), allowMissingColumns=True
-        )
-    else:
-        roots = children.where(F.col("inode").isNotNull())
-        totals = usage_by_root(entries, roots, index, entry_filter)
-        listed = children.join(totals.drop(*KEY), "root_id", "left")
+    children = stage(children, "children")  # for its size
+    # Entries without an inode have no totals; as NULL keys they would share one task.
+    known = children.where(F.col("inode").isNotNull())
+    totals = _totals_by_key(entries, index, entry_filter, known.select(*KEY).distinct())
+    listed = join_lookup(known, totals, KEY, "left", small=False).unionByName(
+        children.where(F.col("inode").isNull()), allowMissingColumns=True
+    )
     return _zero_filled(
         listed,
         *PARENT_KEY,

@@ -182,3 +182,38 @@ def test_a_kept_layout_is_opened_again(spark, tmp_path):
     laid = tree.lay_out_entries(entries, index, path=str(tmp_path / "entries"))
     again = tree.open_layout(tree.open_directory_index(spark, str(tmp_path / "index")), str(tmp_path / "entries"))
     assert again.laid_out.count() == laid.laid_out.count() == sum(1 for r in rows if (r["device"], r["parent_inode"]) in {(d["device"], d["inode"]) for d in rows if d["inode"]})
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_totals_by_level_count_every_way(spark, seed):
+    rows = random_forest(seed, devices=4, size=40)
+    dirs = [r for r in rows if r["inode"] is not None and r["mode"] != 0o100644]
+    # second and third rows of directories: as scan roots, repeated, and below another directory
+    tops = {r["device"]: r["inode"] for r in dirs if r["parent_inode"] is None}
+    rows += [{**r, "parent_inode": None, "basename": f"/again/{r['inode']}"} for r in dirs[::5]]
+    rows += [dict(r) for r in dirs[1::7]]
+    rows += [{**r, "parent_inode": tops[r["device"]], "basename": "moved"} for r in dirs[2::9] if r["parent_inode"] not in (None, tops[r["device"]])]
+    entries, account = frame(spark, rows), Account(rows)
+    index = tree.build_directory_index(entries)
+    assert not index.single
+    keys = sorted({(r["device"], r["inode"]) for r in rows if r["inode"] is not None})
+    roots = spark.createDataFrame([(n, *key) for n, key in enumerate(keys * 2)], "root_id long, device long, inode long")
+    for wanted, check in ((EntryFilter(), lambda r: True), (FILTER, passes)):
+        totals = account.du(keys, check)
+        found = usage.usage_by_root(entries, roots, index, wanted).orderBy("root_id").collect()
+        assert [(r.size, r.inodes) for r in found] == totals * 2
+        every = dict(zip(keys, totals))
+        found = usage.all_directory_usage(entries, index, wanted, with_path=False).collect()
+        assert found and all((r.size, r.inodes) == every[r.device, r.inode] for r in found)
+
+
+def test_totals_by_level_notice_a_cycle(spark):
+    rows = [
+        directory("/data", 1, None), directory("a", 2, 1), directory("b", 3, 2), directory("c", 4, 3),
+        directory("a", 2, 4),  # the second row closes a cycle
+        row("f", 9, 4),
+    ]
+    entries = frame(spark, rows)
+    index = tree.build_directory_index(entries)
+    with pytest.raises(ValueError, match="inside itself"):
+        usage.all_directory_usage(entries, index).collect()
