@@ -29,7 +29,7 @@ from grovemeter.scratch import new_scratch_path
 from grovemeter.sources import reports
 from grovemeter.sources.listings import entries_from_listing, url_names, url_root
 from grovemeter.sources.scan_csv import load_scan, write_scan_csv
-from grovemeter.sources.snapshots import append_summary, publish_snapshot, read_snapshot
+from grovemeter.sources.snapshots import append_summary, publish_snapshot, read_snapshot, read_summary
 
 AS_OF = datetime(2001, 10, 31, 12)
 MIB = 1024.0**2
@@ -292,7 +292,7 @@ def pretty_sizes(s: Sample) -> DataFrame:
 def appended(s: Sample, summary: DataFrame) -> DataFrame:
     path = new_scratch_path(s.spark, "summary")
     append_summary(summary, path)
-    return without_zone(s.spark.read.schema(summary.schema).parquet(path), "time")
+    return without_zone(read_summary(s.spark, path), "time")
 
 
 def age_history(s: Sample) -> DataFrame:

@@ -1,12 +1,20 @@
 """Snapshot tables: full refresh that readers see all at once, and appended summaries.
 
-A snapshot is written to its own folder and only then named in the list of commits, by one
-small appended file. Readers follow the list, so a load that fails half-way is never seen
-and can be run again.
+Every attempt to load a snapshot writes to a folder of its own and then commits: it creates
+the snapshot's commit file, which names the folder, and which the file system lets only one
+attempt create. Readers follow the commit files, so a load that fails half-way is never seen
+and can be run again, and of several loads of one name exactly one counts.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import datetime, timezone
+from pathlib import Path
+from urllib.parse import quote
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +26,7 @@ from grovemeter.schemas import ENTRY_COLUMNS, ENTRY_SCHEMA
 LAYOUT_BYTES = 128 * 1024**2
 MAX_LAYOUT_FILES = 1_000_000
 
-COMMIT_SCHEMA = "snapshot string, committed timestamp"
+COMMIT_SCHEMA = "snapshot string, committed timestamp, folder string"
 
 
 def _commits(spark: SparkSession, base: str) -> DataFrame:
@@ -27,11 +35,40 @@ def _commits(spark: SparkSession, base: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.sql("SELECT '' AS snapshot, current_timestamp() AS committed LIMIT 0")
+        return spark.sql("SELECT '' AS snapshot, current_timestamp() AS committed, '' AS folder LIMIT 0")
+
+
+def _put_if_absent(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a file, or find that another has: exclusive wherever the file system's create is."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getScheme() == "file":
+        # Hadoop looks first and creates then; the operating system does both at once.
+        local = Path(place.toUri().getPath())
+        local.parent.mkdir(parents=True, exist_ok=True)
+        try:
+            with local.open("x", encoding="utf-8") as file:
+                file.write(content)
+        except FileExistsError:
+            return False
+        return True
+    try:
+        out = files.create(place, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    return True
 
 
-def _folder(base: str, snapshot: str) -> str:
-    return f"{base}/data/snapshot={snapshot}"
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def layout_files(df: DataFrame) -> int:
@@ -48,27 +85,31 @@ def publish_snapshot(
     even a directory holding a third of all rows is spread over many files, and a search for
     a directory's entries skips most row groups. ``files`` is their number, by default that of
     the shuffle partitions; ``layout_files`` works it out for a staged table.
+
+    Raises ``ValueError`` if a snapshot of that name is committed, by then or meanwhile; what
+    this load wrote is then deleted. A commit file without content is of a load that died while
+    it committed: it is never read, and must be deleted before the name can be used.
     """
     spark = entries.sparkSession
+    taken = ValueError(f"snapshot {snapshot!r} is already published")
     if not _commits(spark, base).where(F.col("snapshot") == snapshot).isEmpty():
-        raise ValueError(f"snapshot {snapshot!r} is already published")
+        raise taken
+    name = quote(snapshot, safe="")
+    folder = f"data/snapshot={name}/attempt-{uuid.uuid4().hex}"
     (
         entries.select(*ENTRY_COLUMNS)
         .repartitionByRange(*([files] if files else []), "device", "parent_inode", "basename")
         .sortWithinPartitions("device", "parent_inode", "basename")
-        .write.mode("overwrite")
-        .parquet(_folder(base, snapshot))
-    )
-    (
-        spark.range(1)
-        .select(F.lit(snapshot).alias("snapshot"), F.current_timestamp().alias("committed"))
-        .coalesce(1)
-        .write.mode("append")
-        .json(f"{base}/commits")
+        .write.parquet(f"{base}/{folder}")
     )
+    commit = {"snapshot": snapshot, "committed": datetime.now(timezone.utc).isoformat(), "folder": folder}
+    if not _put_if_absent(spark, f"{base}/commits/snapshot-{name}.json", json.dumps(commit)):
+        _delete(spark, f"{base}/{folder}")
+        raise taken
 
 
 def current_snapshot(spark: SparkSession, base: str) -> str:
+    """The name of the snapshot committed last; of two at one moment the later name."""
     latest = _commits(spark, base).agg(F.max(F.struct("committed", "snapshot")).alias("last")).head()
     if latest["last"] is None:
         raise LookupError(f"no snapshot published in {base}")
@@ -78,9 +119,29 @@ def current_snapshot(spark: SparkSession, base: str) -> str:
 def read_snapshot(spark: SparkSession, base: str, snapshot: str | None = None) -> DataFrame:
     """The named snapshot, by default the one published last."""
     snapshot = snapshot or current_snapshot(spark, base)
-    return spark.read.schema(ENTRY_SCHEMA).parquet(_folder(base, snapshot))
+    commit = _commits(spark, base).where(F.col("snapshot") == snapshot).head()
+    if commit is None:
+        raise LookupError(f"snapshot {snapshot!r} is not published in {base}")
+    return spark.read.schema(ENTRY_SCHEMA).parquet(f"{base}/{commit['folder']}")
+
+
+def append_summary(summary: DataFrame, path: str, run: str | None = None) -> None:
+    """Add the rows of one summary run to a history table, in place of those of the same run.
+
+    A run is known by its name, such as that of the snapshot, or else by the times its rows
+    are stamped with. So a run that is repeated, because it failed or by mistake, leaves the
+    history as it was; give names where several runs have one stamp.
+    """
+    name = F.unix_micros("time").cast("string") if run is None else F.lit(run)
+    (
+        summary.withColumn("run", name)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run")
+        .parquet(path)
+    )
 
 
-def append_summary(summary: DataFrame, path: str) -> None:
-    """Add the rows of one summary run to a history table."""
-    summary.write.mode("append").parquet(path)
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all runs of a history table."""
+    return spark.read.parquet(path).drop("run")

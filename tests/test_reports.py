@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from grovemeter.operators import history, unreadable
 from grovemeter.operators.tree import build_directory_index
 from grovemeter.sources import reports
-from grovemeter.sources.snapshots import append_summary
+from grovemeter.sources.snapshots import append_summary, read_summary
 from tests.trees import directory, frame, row, unreadable as closed
 
 
@@ -58,16 +58,28 @@ def test_bin_table_agrees_with_the_expression(spark):
 
 def test_history_merges_devices_and_appends(spark, tmp_path):
     rows = [row("a", 1, 9, device=1, size=3), row("b", 1, 9, device=2, size=4), row("c", 2, 9, uid=None, size=None)]
-    as_of = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
     path = str(tmp_path / "history")
-    for _ in range(2):
-        append_summary(history.age_history(frame(spark, rows), as_of), path)
-    got = spark.read.parquet(path).select("uid", "inodes", "size", "bin_label", "months")
+    # two runs; each of them is repeated and leaves the history as it was
+    for moment in ("2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-01 00:00:00", "2024-01-02 00:00:00"):
+        append_summary(history.age_history(frame(spark, rows), F.to_timestamp(F.lit(moment))), path)
+    got = read_summary(spark, path).select("uid", "inodes", "size", "bin_label", "months")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(
         [(10, 2, 7, "3 years", 36), (None, 1, None, "3 years", 36)] * 2, key=str
     )
 
 
+def test_named_runs_share_a_stamp_and_are_replaced(spark, tmp_path):
+    as_of = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    path = str(tmp_path / "history")
+    summary = lambda *names: history.age_history(frame(spark, [row(n, 1, 9) for n in names]), as_of)
+    append_summary(summary("a"), path, run="scan 1")
+    append_summary(summary("a", "b"), path, run="scan/2")
+    append_summary(summary("a", "b", "c"), path, run="scan 1")
+    found = read_summary(spark, path)
+    assert found.columns == summary("a").columns
+    assert sorted(r.inodes for r in found.collect()) == [2, 3]
+
+
 REPORT = [
     directory("/data/r", 1, None, gid=500),
     directory("home", 2, 1, uid=5, gid=50),

@@ -97,6 +97,50 @@ def test_snapshots_appear_whole(spark, tmp_path):
         publish_snapshot(first, base, "2024-02")
 
 
+def test_of_two_loads_of_one_name_one_wins(spark, tmp_path, monkeypatch):
+    import threading
+
+    from grovemeter.sources import snapshots
+
+    base = str(tmp_path / "raced")
+    loads = [frame(spark, [row(f"load{n}-{i}", i, None) for i in range(20)]) for n in range(3)]
+    ready, put = threading.Barrier(3), snapshots._put_if_absent
+    # all have found the name free and written their data before any commits
+    monkeypatch.setattr(snapshots, "_put_if_absent", lambda *a: (ready.wait(60), put(*a))[1])
+    outcome = {}
+
+    def load(n):
+        try:
+            publish_snapshot(loads[n], base, "2024/01 a")
+            outcome[n] = "won"
+        except ValueError:
+            outcome[n] = "lost"
+
+    threads = [threading.Thread(target=load, args=(n,)) for n in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(outcome.values()) == ["lost", "lost", "won"]
+    (winner,) = [n for n, o in outcome.items() if o == "won"]
+    assert as_set(read_snapshot(spark, base)) == as_set(loads[winner])
+    assert len(list((tmp_path / "raced" / "data").glob("*/attempt-*"))) == 1
+    with pytest.raises(ValueError, match="already"):
+        publish_snapshot(loads[0], base, "2024/01 a")
+    with pytest.raises(LookupError):
+        read_snapshot(spark, base, "other")
+
+
+def test_a_load_that_died_while_committing_is_not_read(spark, tmp_path):
+    base = tmp_path / "died"
+    first = frame(spark, [row("a", 1, None)])
+    publish_snapshot(first, str(base), "1")
+    (base / "commits" / "snapshot-2.json").touch()
+    assert as_set(read_snapshot(spark, str(base))) == as_set(first)
+    with pytest.raises(ValueError, match="already"):
+        publish_snapshot(first, str(base), "2")
+
+
 def test_snapshot_spreads_a_hot_directory(spark, tmp_path):
     many = spark.range(20000).select(
         *[
