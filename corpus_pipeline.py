@@ -41,11 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and the SHA-256 of what the ids decode to."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), BPE_FILE).drop("text")
-    decoded = bpe.decode(coded, BPE_FILE)
-    return decoded.select(
-        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256")
-    )
+    coded = bpe.encode_with_check(docs.select("doc_id", "lang", "source", "text"), BPE_FILE)
+    return coded.select("doc_id", "lang", "source", "ids", "n_tokens", "decoded_sha256")
 
 
 STAGES = [

@@ -15,6 +15,7 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ from grovemeter.llm.common import let_workers_import
 SHORT = 256
 CACHE_WORDS = 200_000
 NEVER = 1 << 40
+#: Characters of a batch of texts that are coded together.
+BATCH_CHARS = 500_000
 
 #: Fixed: how the published byte-level vocabularies cut a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,6 +63,7 @@ class Codec:
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
         self.cut = regex.compile(WORDS)
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.packed: dict[str, bytes] = {}
 
     def _ranks(self, parts: list[int]) -> list[int]:
         merges = self.merges
@@ -148,6 +152,26 @@ class Codec:
             joined.append(decimal)
         return ids, ",".join(joined)
 
+    def _packed_word(self, word: str) -> bytes:
+        found = self.packed.get(word)
+        if found is None:
+            found = np.array(self.merge_word(word.encode()), "<i4").tobytes()
+            if len(word) <= SHORT:
+                if len(self.packed) >= CACHE_WORDS:
+                    self.packed.clear()
+                self.packed[word] = found
+        return found
+
+    def encode_packed(self, text: str) -> bytes:
+        """The codes as little-endian 32-bit numbers."""
+        parts = []
+        for piece in self.special_at.split(text) if self.special_at else [text]:
+            if piece in self.special:
+                parts.append(np.array([self.special[piece]], "<i4").tobytes())
+            else:
+                parts += map(self._packed_word, self.cut.findall(piece))
+        return b"".join(parts)
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -206,6 +230,41 @@ def decode(coded: DataFrame, vocabulary: str, ids_column: str = "ids", into: str
     return coded.mapInArrow(run, schema)
 
 
+def encode_with_check(docs: DataFrame, vocabulary: str, text_column: str = "text") -> DataFrame:
+    """``docs`` with ids (array<int>), n_tokens and decoded_sha256 in place of the text.
+
+    Encodes and decodes in one pass, a batch of at most BATCH_CHARS characters, or one text, at a
+    time; the digest is of the decoded text in UTF-8. NULL and empty texts have no codes. Columns of
+    these names in ``docs`` are replaced.
+    """
+    added = ["ids", "n_tokens", "decoded_sha256"]
+    given = [c for c in docs.columns if c not in (*added, text_column)]
+    docs = docs.select(*given, text_column)
+    kinds = [T.ArrayType(T.IntegerType()), T.LongType(), T.StringType()]
+    schema = T.StructType([*docs.schema.fields[:-1], *[T.StructField(name, kind) for name, kind in zip(added, kinds)]])
+    let_workers_import(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = codec(vocabulary)
+        for batch in batches:
+            low, rows = 0, batch.num_rows
+            while low < rows:
+                codes, shas, size, high = [], [], 0, low
+                while high < rows and (high == low or size < BATCH_CHARS):
+                    text = batch.column(len(given))[high].as_py() or ""
+                    codes.append(tool.encode_packed(text))
+                    shas.append(hashlib.sha256(tool.decode(np.frombuffer(codes[-1], "<i4").tolist()).encode()).hexdigest())
+                    size, high = size + len(text), high + 1
+                counts = np.array([len(c) // 4 for c in codes], np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(codes), "<i4")))
+                kept = [batch.column(n).slice(low, high - low) for n in range(len(given))]
+                yield pa.RecordBatch.from_arrays([*kept, ids, pa.array(counts), pa.array(shas)], [*given, *added])
+                low = high
+
+    return docs.mapInArrow(run, schema)
+
+
 def digest_codes(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Encode and decode every text: id, n_tokens, ids_sha256, decoded_sha256.
 

@@ -238,3 +238,16 @@ def test_state_distributions_sum_to_one():
     base[[1, 5, 9, hmm.END]] = [0.5, 0.2, 0.1, 0.1]
     model = hmm.first_model(base)
     assert np.allclose((model.ratio * base[:, None]).sum(axis=0), base.sum())
+
+
+def test_codes_with_check_equal_codes(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 100)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    docs = documents(spark, texts()).drop("ids", "n")
+    found = bpe.encode_with_check(docs, FILE)
+    assert found.columns == [c for c in docs.columns if c != "text"] + ["ids", "n_tokens", "decoded_sha256"]
+    plain = bpe.codec(FILE)
+    wanted = [[str(r.doc_id), (ids := plain.encode(r.text or "")), len(ids), hashlib.sha256(plain.decode(ids).encode()).hexdigest()] for r in docs.collect()]
+    got = [[str(r.doc_id), r.ids, r.n_tokens, r.decoded_sha256] for r in found.collect()]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+    assert bpe.encode_with_check(empty(spark), FILE).count() == 0
