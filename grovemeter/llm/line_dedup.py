@@ -1,129 +1,274 @@
-"""Line dedup by winnowing over line hashes.
-
-A text is cut into lines: at line feeds, and inside long paragraphs after a full stop,
-exclamation or question mark that white space follows, so that a passage pasted into a
-paragraph has lines of its own. Of every window of WINDOW successive line hashes the smallest
-(the last of equals) is a fingerprint: two texts that share WINDOW lines in a row share the
-fingerprint of that window, so windows whose fingerprint occurs in one place only are out.
-The positions of the others are joined on the whole window; each window that was met before,
-in the order of identifiers and positions, marks its lines, and overlapping marks join into
-runs that reach as far both ways as lines go on repeating. A run of at least MIN_WORDS words
-is deleted from all places but its first.
+"""Line dedup by winnowing over hashes of short lines.
+
+Repeated passages rarely begin and end where lines do, so the lines hashed here are all runs of
+LINE words, wherever line feeds are. Of every window of WINDOW successive line hashes the
+smallest (the last of equals) is a fingerprint: two texts that share LINE + WINDOW - 1 words in
+a row share one, at the same place of the passage. Every place of a fingerprint is matched
+with its first one, in the order of identifiers and places. Matches of one text that overlap or
+touch join into runs, and both ends of a run are extended word by word as far as the words
+around the first place agree, at most WINDOW - 1 words: what lies beyond holds a fingerprint of
+its own. Runs of at least MIN_WORDS words are deleted, so only their first place stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovemeter.llm.common import id_order, whole, words
+from grovemeter.llm.common import id_order, let_workers_import, whole, words
 from grovemeter.scratch import stage
 
-WINDOW = 2
-MIN_WORDS = 20
+LINE = 25
+WINDOW = 24
+MIN_WORDS = 30
+#: Words compared beyond each end of a run.
+REACH = WINDOW - 1
 
-#: Where a text is cut: after a line feed, or after the white space behind an end mark.
-CUT = r"(?<=\n)|(?<=[.!?][\x20\x09])(?=[^\x20\x09\n])"
+#: Fixed values of the order of line hashes: a multiplier and a prime modulus.
+SPREAD, MODULUS = 1_000_003, 2_147_483_647
+WEIGHTS = np.cumprod(np.full(LINE, 0x9E3779B97F4A7C15, np.uint64))
+LAST = np.uint64(2**32 - 1)
+KNOWN_WORDS, KNOWN_BYTES = 200_000, 64
 
 
-def lines(text: Column) -> Column:
-    """The lines of a text with what ends them; put together they are the text."""
-    return F.split(text, CUT)
+def word_value(word: bytes) -> int:
+    """The first 8 bytes of a word's MD5, as a number."""
+    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big")
 
 
-def line_hashes(pieces: Column) -> Column:
-    """A hash of each line without the white space around it."""
-    return F.transform(pieces, lambda line: F.xxhash64(F.btrim(line, F.lit(" \t\n\v\f\r"))))
+class WordValues(dict):
+    """Values of words; at most KNOWN_WORDS words of at most KNOWN_BYTES bytes are remembered."""
 
+    def __missing__(self, word: bytes) -> int:
+        value = word_value(word)
+        if len(word) <= KNOWN_BYTES:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = value
+        return value
 
-def windows(hashes: Column, width: int) -> Column:
-    """(place, fingerprint, window) of every window of ``width`` lines; shorter texts have one."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - width + 1, F.lit(1)))
 
-    def window(at: Column) -> Column:
-        part = F.slice(hashes, at, width)
-        return F.struct(at.alias("place"), F.array_min(part).alias("fingerprint"), F.xxhash64(part).alias("window"))
+def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every ``width`` successive values; of all where there are fewer."""
+    width = min(width, len(values))
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = np.minimum(values[:-step], values[step:])
+        done += step
+    return values
 
-    return F.transform(starts, window)
 
+def winnow(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the fingerprints among the lines of a text's word values."""
+    n = len(values) - LINE + 1
+    if n < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    high = values >> np.uint64(32)
+    at = np.arange(len(values), dtype=np.uint64)
+    zero = np.zeros(1, np.uint64)
+    plain, placed = (np.concatenate([zero, np.cumsum(x)]) for x in (high, high * at))
+    plain, placed = plain[LINE:] - plain[:-LINE], placed[LINE:] - placed[:-LINE]
+    order = (np.uint64(2) * (placed - at[:n] * plain) + plain) * np.uint64(SPREAD) % np.uint64(MODULUS)
+    least = sliding_minimum(order << np.uint64(32) | (LAST - at[:n]), WINDOW)
+    places = np.unique(LAST - (least & LAST)).astype(np.int64)
+    hashes = (values[places[:, None] + np.arange(LINE)] * WEIGHTS).sum(1, dtype=np.uint64)
+    return places, hashes.view(np.int64)
+
+
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(line, rank_id, digest, place) of every fingerprint; places are words before it."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordValues()
+        for batch in batches:
+            places, lines, counts = [], [], []
+            for text in batch.column(2):
+                found = text.as_buffer().to_pybytes().split()
+                place, line = winnow(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+                places.append(place)
+                lines.append(line)
+                counts.append(len(place))
+            rows = np.repeat(np.arange(len(counts)), counts)
+            if len(rows):
+                columns = [np.concatenate(lines), *(batch.column(i).to_numpy()[rows] for i in (0, 1)), np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["line", "rank_id", "digest", "place"])
+
+    let_workers_import(docs.sparkSession)
+    text = whole(text_column)
+    keyed = docs.select(id_order(id_column).alias("rank_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    return keyed.mapInArrow(find, "line long, rank_id long, digest long, place long")
+
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text in UTF-8 start and end."""
+    codes = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
+    edges = np.diff(inside)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
-def repeated_runs(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WINDOW
-) -> DataFrame:
-    """(rank_id, digest, runs): the runs (first, last line) of each text that were met before.
 
-    Lines count from 1. Before means a smaller identifier, then a smaller hash of the text,
-    then a smaller position; a NULL identifier comes last. Rows that repeat with their id and
-    text are one document.
+def words_around(data: bytes, bounds: tuple[np.ndarray, np.ndarray], spot: int, after: bool) -> list[int]:
+    """Values of the REACH words from ``spot`` on, or before it, nearest first."""
+    starts, ends = bounds
+    near = range(spot, min(spot + REACH, len(starts))) if after else range(spot - 1, max(spot - REACH, 0) - 1, -1)
+    return [word_value(data[starts[i] : ends[i]]) for i in near]
+
+
+def surroundings(docs: DataFrame, asked: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(first_id, first_digest, spot, after, around): the words next to the places asked for."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, spots, sides, around = [], [], [], []
+            for row, (text, asks) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
+                data = text.as_buffer().to_pybytes()
+                bounds = word_bounds(data)
+                for ask in asks:
+                    rows.append(row)
+                    spots.append(ask["spot"])
+                    sides.append(ask["after"])
+                    around.append(np.array(words_around(data, bounds, ask["spot"], ask["after"]), np.uint64).tobytes())
+            keys = [pa.array(batch.column(i).to_numpy()[rows]) for i in (0, 1)] if rows else [pa.array([], pa.int64())] * 2
+            arrays = [*keys, pa.array(spots, pa.int64()), pa.array(sides, pa.bool_()), pa.array(around, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["first_id", "first_digest", "spot", "after", "around"])
+
+    let_workers_import(docs.sparkSession)
+    text = whole(text_column)
+    keyed = docs.select(id_order(id_column).alias("first_id"), F.xxhash64(text).alias("first_digest"), text.alias("text"))
+    spots = asked.groupBy("first_id", "first_digest").agg(F.collect_set(F.struct("spot", "after")).alias("asks"))
+    found = keyed.join(spots, ["first_id", "first_digest"]).select("first_id", "first_digest", "text", "asks")
+    schema = "first_id long, first_digest long, spot long, after boolean, around binary"
+    return found.mapInArrow(read, schema).distinct()
+
+
+def matched_ends(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(rank_id, digest, ends): for each text with matches both ends of its runs.
+
+    An end has its place among the text's words, whether it is the right one (``after``), and
+    the values of the words next to it at the first place. First means a smaller identifier,
+    then a smaller hash of the text, then a smaller place; a NULL identifier comes last. Rows
+    that repeat with their id and text are one document.
     """
-    cut = docs.select(
-        id_order(id_column).alias("rank_id"),
-        F.xxhash64(whole(text_column)).alias("digest"),
-        line_hashes(lines(whole(text_column))).alias("hashes"),
-    )
-    placed = cut.select("rank_id", "digest", F.explode(windows(F.col("hashes"), width)).alias("w")).select("rank_id", "digest", "w.*")
-    # What is counted is staged before it is joined: a join to a table, unlike one to an
-    # aggregate, lets adaptive execution split a very common line over many tasks.
-    counts = placed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
-    shared = stage(counts.where("n > 1").select("fingerprint"), "line-shared")
-    candidates = stage(placed.join(shared, "fingerprint", "left_semi").drop("fingerprint"), "line-windows")
+    placed = stage(fingerprints(docs, id_column, text_column), "line-prints")
     where = F.struct("rank_id", "digest", "place")
-    met = candidates.groupBy("window").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n"))
+    met = placed.groupBy("line").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n"))
+    # Staged before it is joined: a join to a table, unlike one to an aggregate, lets adaptive
+    # execution split a very common line over many tasks.
     first = stage(met.where("n > 1").drop("n"), "line-first")
-    later = candidates.join(first, "window").where(where > F.col("first")).select("rank_id", "digest", "place").distinct()
+    later = placed.join(first, "line").where(where > F.col("first")).select("rank_id", "digest", "place", "first")
 
     text = Window.partitionBy("rank_id", "digest").orderBy("place")
-    opens = F.coalesce(F.col("place") > F.lag("place").over(text) + width, F.lit(True))
-    return (
+    opens = F.coalesce(F.col("place") > F.lag("place").over(text) + LINE, F.lit(True))
+    match = F.struct("place", "first")
+    runs = (
         later.withColumn("opens", opens.cast("int"))
         .withColumn("run", F.sum("opens").over(text))
         .groupBy("rank_id", "digest", "run")
-        .agg(F.min("place").alias("first"), (F.max("place") + width - 1).alias("last"))
+        .agg(F.min(match).alias("head"), F.max(match).alias("tail"))
+    )
+
+    def end(of: str, ahead: int):
+        return F.struct(
+            (F.col(of)["place"] + ahead).alias("at"),
+            (F.col(of)["first"]["place"] + ahead).alias("spot"),
+            F.lit(ahead > 0).alias("after"),
+            F.col(of)["first"]["rank_id"].alias("first_id"),
+            F.col(of)["first"]["digest"].alias("first_digest"),
+        )
+
+    ends = runs.select("rank_id", "digest", F.explode(F.array(end("head", 0), end("tail", LINE))).alias("end"))
+    ends = stage(ends.select("rank_id", "digest", "end.*"), "line-ends")
+    spot = ["first_id", "first_digest", "spot", "after"]
+    around = stage(surroundings(docs, ends.select(*spot).distinct(), id_column, text_column), "line-around")
+    return (
+        ends.join(around, spot)
         .groupBy("rank_id", "digest")
-        .agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", "after", "around"))).alias("ends"))
     )
 
 
+def repeated_runs(data: bytes, bounds: tuple[np.ndarray, np.ndarray], ends: list[dict]) -> list[tuple[int, int]]:
+    """Runs (first word, word behind the last) to delete, from the ends of a text's matches."""
+
+    def agreeing(end: dict) -> int:
+        own = words_around(data, bounds, end["at"], end["after"])
+        theirs = np.frombuffer(end["around"], np.uint64).tolist()
+        return next((i for i, (a, b) in enumerate(zip(own, theirs)) if a != b), min(len(own), len(theirs)))
+
+    heads = [end["at"] - agreeing(end) for end in ends if not end["after"]]
+    tails = [end["at"] + agreeing(end) for end in ends if end["after"]]
+    runs: list[list[int]] = []
+    for head, tail in zip(heads, tails):
+        if runs and head <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], tail)
+        else:
+            runs.append([head, tail])
+    return [(head, tail) for head, tail in runs if tail - head >= MIN_WORDS]
+
+
+def without_runs(text: str, ends: list[dict]) -> tuple[str, int]:
+    """A text without its repeated runs and the white space before each of their words."""
+    data = text.encode()
+    bounds = word_bounds(data)
+    left, done, gone = [], 0, 0
+    for head, tail in repeated_runs(data, bounds, ends):
+        left.append(data[done : bounds[1][head - 1] if head else 0])
+        done = int(bounds[1][tail - 1])
+        gone += tail - head
+    return (b"".join([*left, data[done:]]).decode(), gone) if gone else (text, 0)
+
+
 def clean_lines(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    width: int = WINDOW,
-    least: int = MIN_WORDS,
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", count_column: str = "n_deleted"
 ) -> DataFrame:
-    """All rows and columns of ``docs``, the text without later repeated runs, and n_deleted.
+    """All rows and columns of ``docs``, the text without later repeated runs, and their words.
 
-    ``n_deleted`` counts the deleted lines; a column of that name is replaced. A NULL text stays
-    NULL, a text all of whose lines go becomes empty. A text shorter than a window is one
-    window. Rows that repeat with their id and text are treated alike: none of them is the
-    other's repetition. An empty table gives an empty result.
+    ``count_column`` counts the deleted words; a column of that name is replaced, others keep
+    their names and values. A deleted word takes the white space before it along. A NULL text
+    stays NULL, a text all of whose words go keeps white space at its end. A text of fewer than
+    LINE words has no fingerprint and stays. Rows that repeat with their id and text are
+    treated alike: none of them is the other's repetition. An empty table gives an empty result.
     """
-    docs = docs.drop("n_deleted")
-    found = repeated_runs(docs, id_column, text_column, width).select(
-        F.col("rank_id").alias("_rank"), F.col("digest").alias("_digest"), F.col("runs").alias("_runs")
-    )
-    keyed = docs.withColumns({"_rank": id_order(id_column), "_digest": F.xxhash64(whole(text_column))})
-    pieces, runs = F.col("_pieces"), F.col("_runs")
-    in_run = lambda r: F.array_join(F.slice(pieces, r["first"], r["last"] - r["first"] + 1), "")
-    long_runs = F.filter(runs, lambda r: F.size(words(in_run(r))) >= least)
-    gone = F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], F.least(r["last"], F.size(pieces)))))
-    stay = F.array_except(F.sequence(F.lit(1), F.size(pieces)), F.col("_gone"))
-    left = F.array_join(F.transform(stay, lambda at: F.element_at(pieces, at)), "")
-    return (
-        keyed.join(found, ["_rank", "_digest"], "left")
-        .withColumn("_pieces", F.when(runs.isNotNull(), lines(F.col(text_column))))
-        .withColumn("_runs", F.when(runs.isNotNull(), long_runs))
-        .withColumn("_gone", F.when(F.size(runs) > 0, gone))
-        .withColumn(text_column, F.when(F.col("_gone").isNotNull(), left).otherwise(F.col(text_column)))
-        .withColumn("n_deleted", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn("n_deleted", F.greatest("n_deleted", F.lit(0)))
-        .select(*docs.columns, "n_deleted")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = [], []
+            for text, ends in zip(batch.column(1), batch.column(2)):
+                left, gone = without_runs(text.as_py(), ends.as_py()) if ends.is_valid else (text, 0)
+                texts.append(left if isinstance(left, str) else text.as_py())
+                counts.append(gone)
+            arrays = [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "text", "gone"])
+
+    docs = docs.drop(count_column)
+    others = [name for name in docs.columns if name != text_column]
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in others]).alias("row"),
+        F.col(text_column).alias("text"),
+        id_order(id_column).alias("rank_id"),
+        F.xxhash64(whole(text_column)).alias("digest"),
     )
+    found = matched_ends(docs, id_column, text_column)
+    joined = keyed.join(found, ["rank_id", "digest"], "left").select("row", "text", "ends")
+    row = joined.schema["row"].dataType.simpleString()
+    cleaned = joined.mapInArrow(cut, f"row {row}, text string, gone long")
+    back = [F.col("text").alias(name) if name == text_column else F.col("row")[name].alias(name) for name in docs.columns]
+    return cleaned.select(*back, F.col("gone").alias(count_column))
 
 
 def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with cleaned texts; rows of whose text nothing is left are dropped."""
+    """``docs`` with cleaned texts; rows of whose text no word is left are dropped."""
+    count = "n_deleted"
+    while count in docs.columns:
+        count += "_"
     # staged, or each use of the text would build it again
-    cleaned = stage(clean_lines(docs, id_column, text_column), "line-cleaned")
-    emptied = (F.col("n_deleted") > 0) & (F.size(words(F.col(text_column))) == 0)
+    cleaned = stage(clean_lines(docs, id_column, text_column, count), "line-cleaned")
+    emptied = (F.col(count) > 0) & (F.size(words(F.col(text_column))) == 0)
     return cleaned.where(~emptied).select(*docs.columns)

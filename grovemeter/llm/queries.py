@@ -134,39 +134,70 @@ SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(c.component, d.doc_id) AS comp
 FROM sets d LEFT JOIN texts t ON list_sort(d.s) = t.s LEFT JOIN classes c ON t.node = c.node
 """
 
-#: U+E000 marks the cuts here, a character for private use that the texts do not hold.
+#: Lines of 25 words, windows of 24 lines, 23 words beyond each end, runs of 30 words.
 CLEAN_LINES = r"""
 WITH whole AS (
-  SELECT doc_id, coalesce(text, '') AS text FROM documents
-), cut AS (
-  SELECT doc_id, text, string_split(replace(regexp_replace(regexp_replace(text, '([.!?][ \t])', '\1' || chr(57344), 'g'),
-    chr(57344) || '([ \t\n]|$)', '\1', 'g'), chr(10), chr(10) || chr(57344)), chr(57344)) AS pieces
-  FROM whole
-), bare AS (
-  SELECT *, list_transform(pieces, lambda p: regexp_replace(p, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS trimmed FROM cut
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS pieces
+  FROM documents
+), word AS MATERIALIZED (
+  SELECT doc_id, pos, word, ('0x' || substr(md5(word), 1, 8))::BIGINT AS v FROM (
+    SELECT doc_id, generate_subscripts(pieces, 1) - 1 AS pos,
+      regexp_replace(unnest(pieces), '^[\x20\x09-\x0D]+', '') AS word FROM whole)
+), line AS (
+  SELECT doc_id, pos, list(word) OVER ahead AS line,
+    (2 * (sum(v * pos) OVER ahead - pos * sum(v) OVER ahead) + sum(v) OVER ahead) * 1000003 % 2147483647 AS h,
+    count(*) OVER ahead AS n
+  FROM word WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING)
+), ordered AS (
+  SELECT doc_id, pos, h * 4294967296 + 4294967295 - pos AS h, max(pos) OVER (PARTITION BY doc_id) AS last
+  FROM line WHERE n = 25
+), picked AS (
+  SELECT DISTINCT doc_id, (4294967295 - least_h % 4294967296)::BIGINT AS pos FROM (
+    SELECT doc_id, pos, last, min(h) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS least_h
+    FROM ordered)
+  WHERE pos + 23 <= last OR pos = 0
 ), placed AS (
-  SELECT doc_id, unnest(range(1, greatest(len(pieces) - 1, 1) + 1)) AS place, trimmed FROM bare
+  SELECT doc_id, pos, first_value(doc_id) OVER same AS first_doc, first_value(pos) OVER same AS first_at
+  FROM picked JOIN line USING (doc_id, pos) WINDOW same AS (PARTITION BY line ORDER BY doc_id, pos)
 ), later AS (
-  SELECT doc_id, place FROM (
-    SELECT doc_id, place, row_number() OVER (PARTITION BY list_slice(trimmed, place, place + 1) ORDER BY doc_id, place) AS turn FROM placed
-  ) WHERE turn > 1
-), opened AS (
-  SELECT *, coalesce((place > lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 2)::INT, 1) AS opens FROM later
+  SELECT *, coalesce((pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 25)::INT, 1) AS opens
+  FROM placed WHERE (doc_id, pos) <> (first_doc, first_at)
 ), numbered AS (
-  SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM opened
+  SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM later
 ), runs AS (
-  SELECT doc_id, min(place) AS first, max(place) + 1 AS last FROM numbered GROUP BY doc_id, run
-), long_runs AS (
-  SELECT r.doc_id, range(r.first, least(r.last, len(b.pieces)) + 1) AS gone
-  FROM runs r JOIN bare b USING (doc_id)
-  WHERE len(list_filter(string_split_regex(array_to_string(list_slice(b.pieces, r.first, r.last), ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) >= 20
+  SELECT doc_id, run, min(pos) AS head, max(pos) + 25 AS tail,
+    arg_min(first_doc, pos) AS head_doc, arg_min(first_at, pos) AS head_at,
+    arg_max(first_doc, pos) AS tail_doc, arg_max(first_at, pos) + 25 AS tail_at
+  FROM numbered GROUP BY doc_id, run
+), step AS (
+  SELECT unnest(range(1, 24)) AS t
+), lefts AS (
+  SELECT r.doc_id, r.run, min(t) - 1 AS n FROM runs r CROSS JOIN step
+  LEFT JOIN word a ON a.doc_id = r.doc_id AND a.pos = r.head - t
+  LEFT JOIN word b ON b.doc_id = r.head_doc AND b.pos = r.head_at - t
+  WHERE (a.word = b.word) IS NOT TRUE GROUP BY r.doc_id, r.run
+), rights AS (
+  SELECT r.doc_id, r.run, min(t) - 1 AS n FROM runs r CROSS JOIN step
+  LEFT JOIN word a ON a.doc_id = r.doc_id AND a.pos = r.tail + t - 1
+  LEFT JOIN word b ON b.doc_id = r.tail_doc AND b.pos = r.tail_at + t - 1
+  WHERE (a.word = b.word) IS NOT TRUE GROUP BY r.doc_id, r.run
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(head - coalesce(l.n, 23), tail + coalesce(x.n, 23))) AS pos
+  FROM runs r LEFT JOIN lefts l USING (doc_id, run) LEFT JOIN rights x USING (doc_id, run)
+), gone AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, run) AS n FROM (
+      SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM covered))
+  WHERE n >= 30
 ), deleted AS (
-  SELECT doc_id, flatten(list(gone)) AS gone FROM long_runs GROUP BY doc_id
+  SELECT doc_id, list(pos + 1) AS gone FROM gone GROUP BY doc_id
 ), cleaned AS (
-  SELECT b.doc_id, coalesce(len(gone), 0) AS n_deleted,
+  SELECT w.doc_id, coalesce(len(gone), 0) AS n_deleted,
     CASE WHEN gone IS NULL THEN text ELSE
-      array_to_string(list_transform(list_filter(range(1, len(pieces) + 1), lambda i: NOT list_contains(gone, i)), lambda i: pieces[i]), '') END AS left_text
-  FROM bare b LEFT JOIN deleted d USING (doc_id)
+      array_to_string(list_transform(list_filter(range(1, len(pieces) + 1), lambda i: NOT list_contains(gone, i)), lambda i: pieces[i]), '')
+      || regexp_extract(text, '[\x20\x09-\x0D]*$') END AS left_text
+  FROM whole w LEFT JOIN deleted d USING (doc_id)
 )
 SELECT doc_id, n_deleted, length(left_text) AS n_left, sha256(left_text) AS text_sha256 FROM cleaned
 """

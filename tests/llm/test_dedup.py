@@ -6,6 +6,7 @@ import re
 
 import pytest
 from odd import documents, empty, sentences, texts
+from pyspark.sql import functions as F
 
 from grovemeter.llm import exact_dedup, line_dedup, near_dedup
 
@@ -133,56 +134,118 @@ def test_keep_one_of_each(spark):
     assert 1 in ids and 2 not in ids and ids.count(4) == 2 and ids.count(None) == 1
 
 
-CUT = re.compile(line_dedup.CUT)
+PIECE = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 
 
-def plain_lines(rows, width=2, least=20):
-    """Every window in order of identifier and place; later ones delete."""
+def plain_prints(found, line=25, window=24):
+    """Places of fingerprints: every window of lines, one after the other."""
+    value = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in found]
+    order = [
+        sum((2 * j + 1) * value[i + j] for j in range(line)) * 1000003 % 2147483647 for i in range(len(found) - line + 1)
+    ]
+    picked = set()
+    for start in range(max(1, len(order) - window + 1) if order else 0):
+        part = range(start, min(start + window, len(order)))
+        picked.add(max(i for i in part if order[i] == min(order[j] for j in part)))
+    return sorted(picked)
+
+
+def plain_lines(rows):
+    """(text, deleted words) of each row: matches with first places, joined, extended, cut out."""
+    found = [words(row[1]) for row in rows]
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1] or ""))
-    seen, out, done = set(), {}, set()
+    first, out, done = {}, {}, {}
     for i in order:
-        doc_id, text = rows[i][0], rows[i][1] or ""
-        if (doc_id, text) in done:
-            out[i] = next(out[j] for j in out if rows[j][:2] == rows[i][:2])
+        if rows[i][:2] in done:
+            out[i] = done[rows[i][:2]]
             continue
-        done.add((doc_id, text))
-        pieces = CUT.split(text)
-        bare = [p.strip(" \t\n\v\f\r") for p in pieces]
-        hit = [False] * len(pieces)
-        for at in range(max(1, len(pieces) - width + 1)):
-            window = tuple(bare[at : at + width])
-            if window in seen:
-                hit[at : at + width] = [True] * len(window)
-            seen.add(window)
+        runs = []
+        for at in plain_prints(found[i]):
+            where = first.setdefault(tuple(found[i][at : at + 25]), (i, at))
+            if where != (i, at):
+                if runs and at <= runs[-1][1][0] + 25:
+                    runs[-1][1] = (at, where)
+                else:
+                    runs.append([(at, where), (at, where)])
+        covered = set()
+        for (head, (d, p)), (tail, (e, q)) in runs:
+            start, end = head, tail + 25
+            while head - start < 23 and start > 0 and p > head - start and found[i][start - 1] == found[d][p - (head - start) - 1]:
+                start -= 1
+            q, at = q + 25, end
+            while end - at < 23 and end < len(found[i]) and q + end - at < len(found[e]) and found[i][end] == found[e][q + end - at]:
+                end += 1
+            covered |= set(range(start, end))
         gone, at = set(), 0
-        while at < len(pieces):
+        while at < len(found[i]):
             end = at
-            while end < len(pieces) and hit[end]:
+            while end in covered:
                 end += 1
-            if len(words("".join(pieces[at:end]))) >= least:
+            if end - at >= 30:
                 gone |= set(range(at, end))
             at = max(end, at + 1)
-        out[i] = (rows[i][1] if not gone else "".join(p for k, p in enumerate(pieces) if k not in gone), len(gone))
+        text = rows[i][1]
+        if gone:
+            pieces = PIECE.findall(text)
+            text = "".join(p for k, p in enumerate(pieces) if k not in gone) + text[len("".join(pieces)) :]
+        out[i] = done[rows[i][:2]] = (text, len(gone))
     return [out[i] for i in range(len(rows))]
 
 
+def fresh(seed, count):
+    """Words that no other seed gives."""
+    return " ".join(f"w{seed}x{i}" for i in range(count))
+
+
 def test_clean_lines_equal_the_plain_version(spark):
-    shared = sentences(50, 6)
+    shared = sentences(50, 20)
     rows = texts()[:12] + [(20 + i, f"Intro {i} here. {sentences(60 + i, 2)} {shared} More {i}.\n{shared}", "en", "a") for i in range(8)]
     rows += [(40, shared, "en", "a"), (41, "Short. Line.", "en", "a"), (42, "Short. Line.", "en", "a"), (None, shared + " End.", "en", "a")]
+    rng = random.Random(4)
+    pool = fresh(1, 300).split()
+    for i in range(30):  # pieces of one pool, put together at random
+        cuts = [rng.randrange(260) for _ in range(4)]
+        rows.append((100 + i, " ".join(" ".join(pool[c : c + rng.randint(5, 90)]) for c in cuts), "en", "a"))
     docs = documents(spark, rows)
     found = line_dedup.clean_lines(docs)
     assert found.columns == [c for c in docs.columns if c != "n_deleted"] + ["n_deleted"]
     got = sorted(((r.doc_id, r.text, r.n_deleted) for r in found.collect()), key=str)
     want = sorted(((row[0], text, n) for row, (text, n) in zip(rows, plain_lines(rows))), key=str)
     assert got == want
-    assert all(shared not in (r[1] or "") for r in got if r[0] not in (20, 1))
-
-
-def test_lines_put_together_are_the_text(spark):
-    docs = documents(spark).where("text is not null")
-    for row in docs.select("text", line_dedup.lines(docs.text).alias("l")).collect():
-        assert "".join(row.l) == row.text
+    assert all(shared not in (r[1] or "") for r in got if r[0] != 20)
+
+
+def test_every_repeat_of_fifty_words_goes(spark):
+    """Alone on a line, inside a sentence, without any punctuation, over line ends, in any white space."""
+    passage = fresh(0, 50)
+    broken = passage.replace(" ", "\n", 10).replace(" ", " \t", 10)
+    rows = [(0, f"{fresh(1, 40)} {passage} {fresh(2, 40)}", "en", "a")]
+    rows += [
+        (i, f"{fresh(10 + i, 3 * i)}{before}{middle}{after}{fresh(50 + i, 2 * i)}", "en", "a")
+        for i, (before, middle, after) in enumerate(
+            [("\n", passage, "\n"), (" and ", passage, " but "), (" ", broken, " "), ("\n\n", broken, ".\n\n"), ("", " " + passage, "")], 1
+        )
+    ]
+    got = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.clean_lines(documents(spark, rows)).collect()}
+    assert got[0] == (rows[0][1], 0)
+    assert got[1] == (f"{fresh(11, 3)}\n{fresh(51, 2)}", 50)
+    assert got[2] == (f"{fresh(12, 6)} and but {fresh(52, 4)}", 50)
+    assert got[3] == (f"{fresh(13, 9)} {fresh(53, 6)}", 50)
+    assert got[4] == (f"{fresh(14, 12)} w0x49.\n\n{fresh(54, 8)}", 49)
+    assert got[5][1] == 49 and "w0x10" not in got[5][0]
+
+
+def test_short_repeats_stay(spark):
+    rows = [(i, f"{fresh(10 + i, 30)} {fresh(0, 29)} {fresh(50 + i, 30)}", "en", "a") for i in range(6)]
+    got = line_dedup.clean_lines(documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [row[:2] for row in rows]
+
+
+def test_a_name_of_the_caller_is_kept(spark):
+    docs = documents(spark).withColumns({"row": F.lit(1), "ends": F.lit(2), "n_deleted": F.lit(77)})
+    kept = line_dedup.drop_repeated_lines(docs)
+    assert kept.columns == docs.columns
+    assert {(r.row, r.ends, r.n_deleted) for r in kept.collect()} == {(1, 2, 77)}
 
 
 def test_drop_repeated_lines_drops_what_is_emptied(spark):
