@@ -12,7 +12,6 @@ its own. Runs of at least MIN_WORDS words are deleted, so only their first place
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,33 +28,54 @@ MIN_WORDS = 30
 #: Words compared beyond each end of a run.
 REACH = WINDOW - 1
 
-#: Fixed values of the order of line hashes: a multiplier and a prime modulus.
-SPREAD, MODULUS = 1_000_003, 2_147_483_647
-WEIGHTS = np.cumprod(np.full(LINE, 0x9E3779B97F4A7C15, np.uint64))
-LAST = np.uint64(2**32 - 1)
-KNOWN_WORDS, KNOWN_BYTES = 200_000, 64
+#: The base of word values (modulo 2 ** 64), a multiplier and a prime modulus that
+#: order lines, and an odd number that tells lines apart.
+BASE, SPREAD, MODULUS, MIX = 0x2545F4914F6CDD1D, 1_000_003, 2_147_483_647, np.uint64(0x9E3779B97F4A7C15)
+HALF, LAST = np.uint64(32), np.uint64(2**32 - 1)
+#: Bytes whose prefix sums are formed at once, and bytes of texts that are winnowed together.
+BLOCK, BATCH = 1 << 16, 1 << 22
 
 
-def word_value(word: bytes) -> int:
-    """The first 8 bytes of a word's MD5, as a number."""
-    return int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:8], "big")
+def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** (i + 1) and BASE ** -i of all places of a block, modulo 2 ** 64."""
+    powers = np.cumprod(np.full(size, BASE, np.uint64))
+    inverses = np.full(size, pow(BASE, -1, 2**64), np.uint64)
+    inverses[:1] = 1
+    return powers, np.cumprod(inverses)
 
 
-class WordValues(dict):
-    """Values of words; at most KNOWN_WORDS words of at most KNOWN_BYTES bytes are remembered."""
+TABLES = power_tables(BLOCK)
 
-    def __missing__(self, word: bytes) -> int:
-        value = word_value(word)
-        if len(word) <= KNOWN_BYTES:
-            if len(self) >= KNOWN_WORDS:
-                self.clear()
-            self[word] = value
-        return value
+
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text in UTF-8 start and end."""
+    codes = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(codes) + 2, np.int8)
+    inside[1:-1] = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
+    edges = np.diff(inside)
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def word_values(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The value of each word, the sum of byte i times BASE ** (i + 1), from prefix sums."""
+    codes = np.frombuffer(data, np.uint8)
+    values = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        until = max(int(np.searchsorted(ends, low + BLOCK, "right")), at + 1)
+        size = int(ends[until - 1] - low)
+        powers, inverses = TABLES if size <= BLOCK else power_tables(size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(codes[low : low + size] * powers[:size], out=sums[1:])
+        first, last = starts[at:until] - low, ends[at:until] - low
+        values[at:until] = (sums[last] - sums[first]) * inverses[first]
+        at = until
+    return values
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of every ``width`` successive values; of all where there are fewer."""
-    width = min(width, len(values))
+    """The minimum of every ``width`` successive values."""
     done = 1
     while done < width:
         step = min(done, width - done)
@@ -64,39 +84,67 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def winnow(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the fingerprints among the lines of a text's word values."""
-    n = len(values) - LINE + 1
-    if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    high = values >> np.uint64(32)
-    at = np.arange(len(values), dtype=np.uint64)
-    zero = np.zeros(1, np.uint64)
-    plain, placed = (np.concatenate([zero, np.cumsum(x)]) for x in (high, high * at))
-    plain, placed = plain[LINE:] - plain[:-LINE], placed[LINE:] - placed[:-LINE]
-    order = (np.uint64(2) * (placed - at[:n] * plain) + plain) * np.uint64(SPREAD) % np.uint64(MODULUS)
-    least = sliding_minimum(order << np.uint64(32) | (LAST - at[:n]), WINDOW)
-    places = np.unique(LAST - (least & LAST)).astype(np.int64)
-    hashes = (values[places[:, None] + np.arange(LINE)] * WEIGHTS).sum(1, dtype=np.uint64)
-    return places, hashes.view(np.int64)
+def winnow(values: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the fingerprints among the lines of several texts.
+
+    ``opens`` holds where each text's word values begin, and where the last one ends. Lines
+    never reach over the end of a text; a text of fewer than WINDOW lines has one window.
+    """
+    n = len(values)
+    room = LINE + WINDOW
+    # Behind a text's last line stand LINE - 1 places without one: no window reaches the next text.
+    behind = np.repeat(opens[1:], np.diff(opens))
+    at = np.arange(n, dtype=np.int64)
+    has_line = at + LINE <= behind
+    high = np.concatenate([values, np.zeros(room, np.uint64)]) >> HALF
+    place = np.arange(n + room, dtype=np.uint64)
+    plain, placed = np.zeros(n + room + 1, np.uint64), np.zeros(n + room + 1, np.uint64)
+    np.cumsum(high, out=plain[1:])
+    np.cumsum(high * place, out=placed[1:])
+    plain, placed = plain[LINE : LINE + n] - plain[:n], placed[LINE : LINE + n] - placed[:n]
+    order = (np.uint64(2) * (placed - place[:n] * plain) + plain) * np.uint64(SPREAD) % np.uint64(MODULUS)
+    keys = np.full(n + WINDOW - 1, np.iinfo(np.uint64).max, np.uint64)
+    keys[:n][has_line] = (order << HALF | (LAST - place[:n]))[has_line]
+    counts = has_line & (at + (LINE + WINDOW - 1) <= behind)
+    counts[opens[:-1][np.diff(opens) >= LINE]] = True
+    least = sliding_minimum(keys, WINDOW)[counts]
+    picked = (LAST - (least & LAST)).astype(np.int64)
+    picked = picked[np.diff(picked, prepend=-1) > 0]
+    mixed = (values ^ (values >> HALF)) * MIX
+    hashes = np.zeros(len(picked), np.uint64)
+    for step in range(LINE):
+        hashes = hashes * np.uint64(BASE) + mixed[picked + step]
+    return picked, hashes.view(np.int64)
+
+
+def text_batches(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts): successive texts of about BATCH bytes together, or one longer text."""
+    first, texts, size = 0, [], 0
+    for row, text in enumerate(column):
+        data = text.as_buffer().to_pybytes()
+        if texts and size + len(data) > BATCH:
+            yield first, texts
+            first, texts, size = row, [], 0
+        texts.append(data)
+        size += len(data)
+    if texts:
+        yield first, texts
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(line, rank_id, digest, place) of every fingerprint; places are words before it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordValues()
         for batch in batches:
-            places, lines, counts = [], [], []
-            for text in batch.column(2):
-                found = text.as_buffer().to_pybytes().split()
-                place, line = winnow(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
-                places.append(place)
-                lines.append(line)
-                counts.append(len(place))
-            rows = np.repeat(np.arange(len(counts)), counts)
-            if len(rows):
-                columns = [np.concatenate(lines), *(batch.column(i).to_numpy()[rows] for i in (0, 1)), np.concatenate(places)]
+            keys = [batch.column(i).to_numpy() for i in (0, 1)]
+            for first, texts in text_batches(batch.column(2)):
+                data = b"\n".join(texts)
+                starts, ends = word_bounds(data)
+                limits = np.cumsum([0] + [len(text) + 1 for text in texts])
+                opens = np.searchsorted(starts, limits)
+                places, lines = winnow(word_values(data, starts, ends), opens)
+                rows = np.searchsorted(opens, places, "right") - 1
+                columns = [lines, *(key[first + rows] for key in keys), places - opens[rows]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["line", "rank_id", "digest", "place"])
 
     let_workers_import(docs.sparkSession)
@@ -105,20 +153,11 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return keyed.mapInArrow(find, "line long, rank_id long, digest long, place long")
 
 
-def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a text in UTF-8 start and end."""
-    codes = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(codes) + 2, np.int8)
-    inside[1:-1] = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
-    edges = np.diff(inside)
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-
-
-def words_around(data: bytes, bounds: tuple[np.ndarray, np.ndarray], spot: int, after: bool) -> list[int]:
+def words_around(data: bytes, bounds: tuple[np.ndarray, np.ndarray], spot: int, after: bool) -> np.ndarray:
     """Values of the REACH words from ``spot`` on, or before it, nearest first."""
-    starts, ends = bounds
-    near = range(spot, min(spot + REACH, len(starts))) if after else range(spot - 1, max(spot - REACH, 0) - 1, -1)
-    return [word_value(data[starts[i] : ends[i]]) for i in near]
+    near = slice(spot, spot + REACH) if after else slice(max(spot - REACH, 0), spot)
+    values = word_values(data, bounds[0][near], bounds[1][near])
+    return values if after else values[::-1]
 
 
 def surroundings(docs: DataFrame, asked: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -134,7 +173,7 @@ def surroundings(docs: DataFrame, asked: DataFrame, id_column: str, text_column:
                     rows.append(row)
                     spots.append(ask["spot"])
                     sides.append(ask["after"])
-                    around.append(np.array(words_around(data, bounds, ask["spot"], ask["after"]), np.uint64).tobytes())
+                    around.append(words_around(data, bounds, ask["spot"], ask["after"]).tobytes())
             keys = [pa.array(batch.column(i).to_numpy()[rows]) for i in (0, 1)] if rows else [pa.array([], pa.int64())] * 2
             arrays = [*keys, pa.array(spots, pa.int64()), pa.array(sides, pa.bool_()), pa.array(around, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["first_id", "first_digest", "spot", "after", "around"])
@@ -199,8 +238,9 @@ def repeated_runs(data: bytes, bounds: tuple[np.ndarray, np.ndarray], ends: list
 
     def agreeing(end: dict) -> int:
         own = words_around(data, bounds, end["at"], end["after"])
-        theirs = np.frombuffer(end["around"], np.uint64).tolist()
-        return next((i for i, (a, b) in enumerate(zip(own, theirs)) if a != b), min(len(own), len(theirs)))
+        theirs = np.frombuffer(end["around"], np.uint64)
+        both = min(len(own), len(theirs))
+        return int(np.logical_and.accumulate(own[:both] == theirs[:both]).sum())
 
     heads = [end["at"] - agreeing(end) for end in ends if not end["after"]]
     tails = [end["at"] + agreeing(end) for end in ends if end["after"]]

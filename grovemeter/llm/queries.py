@@ -140,10 +140,14 @@ WITH whole AS (
   SELECT doc_id, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS pieces
   FROM documents
+), split AS MATERIALIZED (
+  SELECT doc_id, generate_subscripts(pieces, 1) - 1 AS pos, regexp_replace(unnest(pieces), '^[\x20\x09-\x0D]+', '') AS word FROM whole
+), value AS (
+  SELECT word, list_reduce(list_prepend(0::HUGEINT, list_reverse(list_transform(regexp_extract_all(hex(word), '..'),
+    lambda p: ('0x' || p)::BIGINT::HUGEINT))), lambda h, c: (h + c) * 2685821657736338717 % 18446744073709551616) // 4294967296 AS v
+  FROM (SELECT DISTINCT word FROM split)
 ), word AS MATERIALIZED (
-  SELECT doc_id, pos, word, ('0x' || substr(md5(word), 1, 8))::BIGINT AS v FROM (
-    SELECT doc_id, generate_subscripts(pieces, 1) - 1 AS pos,
-      regexp_replace(unnest(pieces), '^[\x20\x09-\x0D]+', '') AS word FROM whole)
+  SELECT doc_id, pos, word, v::BIGINT AS v FROM split JOIN value USING (word)
 ), line AS (
   SELECT doc_id, pos, list(word) OVER ahead AS line,
     (2 * (sum(v * pos) OVER ahead - pos * sum(v) OVER ahead) + sum(v) OVER ahead) * 1000003 % 2147483647 AS h,

@@ -139,7 +139,7 @@ PIECE = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 
 def plain_prints(found, line=25, window=24):
     """Places of fingerprints: every window of lines, one after the other."""
-    value = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in found]
+    value = [sum(c * pow(line_dedup.BASE, j, 2**64) for j, c in enumerate(w.encode(), 1)) % 2**64 >> 32 for w in found]
     order = [
         sum((2 * j + 1) * value[i + j] for j in range(line)) * 1000003 % 2147483647 for i in range(len(found) - line + 1)
     ]
