@@ -260,3 +260,32 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_duplicates(empty(spark)).count() == 0
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
     assert line_dedup.clean_lines(empty(spark)).count() == 0
+
+
+def test_word_values_over_block_bounds():
+    """Words that begin in one block and end in the next, and one longer than a block."""
+    found = [b"a", b"x" * (line_dedup.BLOCK + 10), *(f"w{i}é".encode() for i in range(30_000)), b"z" * 300]
+    data = b" \n".join(found)
+    got = line_dedup.word_values(data, *line_dedup.word_bounds(data))
+    for at in [0, *range(1, len(found), 997), len(found) - 1]:
+        value, power = 0, 1
+        for c in found[at]:
+            power = power * line_dedup.BASE % 2**64
+            value = (value + c * power) % 2**64
+        assert int(got[at]) == value
+
+
+def test_texts_winnowed_together_are_winnowed_alone():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sizes = [0, 3, 24, 25, 26, 47, 48, 49, 0, 200, 25, 1]
+    texts_values = [rng.integers(0, 2**63, n).astype(np.uint64) for n in sizes]
+    opens = np.cumsum([0, *sizes])
+    places, lines = line_dedup.winnow(np.concatenate(texts_values), opens)
+    want = []
+    for start, values in zip(opens, texts_values):
+        at, line = line_dedup.winnow(values, np.array([0, len(values)]))
+        want += [(int(start + a), int(h)) for a, h in zip(at, line)]
+    assert list(zip(places.tolist(), lines.tolist())) == want
+    assert all(places + line_dedup.LINE <= opens[-1])
