@@ -1,10 +1,11 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
-A section ends at a blank line, a paragraph at a line feed. A paragraph's node is the SHA-256
-of its text, a section's node that of its paragraphs' nodes, the root that of the sections'
-nodes. Equal roots mean equal texts. Where roots differ, one compares sections, then only the
-paragraphs of sections that differ. Below the paragraphs hang digests of runs of up to
-RUN_WORDS words, which say how alike two texts are.
+A section ends at a blank line, a paragraph at a line feed, a leaf behind a word whose hash says
+so, four words on average and LEAF_WORDS at most. A leaf's node is the SHA-256 of its text, that
+of a paragraph the hash of its leaves' nodes, and so on over sections up to the root. Equal roots
+mean equal texts. Where roots differ, one compares sections, then only the paragraphs of sections
+that differ. As leaves end where their own words say, a word put in or taken out changes the leaf
+it is in and the nodes above, and no other leaf: the share of equal leaves is the likeness.
 """
 
 from __future__ import annotations
@@ -14,15 +15,33 @@ from pyspark.sql import functions as F
 
 from grovemeter.llm.common import id_order, partitions, range_bucket, splitters, whole
 
-RUN_WORDS = 4
-#: Words of one line and the white space between them, at most RUN_WORDS words a match.
-RUN = rf"[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){{0,{RUN_WORDS - 1}}}"
+LEAF_WORDS = 32
+#: A word with the white space behind it; above U+2E80, where scripts have no spaces, a character.
+PIECE = r"(?:[^\x20\x09-\x0D\x{2E80}-\x{10FFFF}]+|[\x{2E80}-\x{10FFFF}])[\x20\x09\x0B-\x0D]*|[\x20\x09\x0B-\x0D]+"
+#: Pieces up to a cut, marked by a line feed.
+LEAF = rf"(?:{PIECE}){{1,{LEAF_WORDS}}}\n?"
 
 
-def paragraph_nodes(text: Column) -> Column:
+def leaves(paragraph: Column) -> Column:
+    """The leaves of a paragraph in order; together they are its text. Each cut keeps its mark."""
+    pieces = F.regexp_extract_all(paragraph, F.lit(PIECE), F.lit(0))
+    marked = F.transform(pieces, lambda piece: F.when(F.md5(piece) < "4", F.concat(piece, F.lit("\n"))).otherwise(piece))
+    return F.regexp_extract_all(F.array_join(marked, ""), F.lit(LEAF), F.lit(0))
+
+
+def leaf_nodes(text: Column) -> Column:
+    """For each section and paragraph the nodes of its leaves: array<array<array<string>>>."""
+    return F.transform(
+        F.split(text, "\n\n"),
+        lambda section: F.transform(F.split(section, "\n"), lambda part: F.transform(leaves(part), lambda leaf: F.sha2(leaf, 256))),
+    )
+
+
+def paragraph_nodes(nodes: Column) -> Column:
     """For each section the nodes of its paragraphs: array<array<string>>."""
     return F.transform(
-        F.split(text, "\n\n"), lambda section: F.transform(F.split(section, "\n"), lambda part: F.sha2(part, 256))
+        nodes,
+        lambda section: F.transform(section, lambda part: F.sha2(F.concat(F.lit("paragraph:"), F.array_join(part, ",")), 256)),
     )
 
 
@@ -34,17 +53,18 @@ def root_node(sections: Column) -> Column:
     return F.sha2(F.concat(F.lit("root:"), F.array_join(sections, ",")), 256)
 
 
-def fingerprint(text: Column) -> Column:
-    return root_node(section_nodes(paragraph_nodes(text)))
+def fingerprint(nodes: Column) -> Column:
+    """The root above the leaf nodes of a text."""
+    return root_node(section_nodes(paragraph_nodes(nodes)))
 
 
-def run_digests(text: Column) -> Column:
-    """Distinct digests of the runs of words below a text's paragraphs."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda run: F.xxhash64(run)))
+def leaf_digests(nodes: Column) -> Column:
+    """The distinct leaf nodes of a tree, each as 64 bits of its hash."""
+    return F.array_distinct(F.transform(F.flatten(F.flatten(nodes)), lambda node: F.xxhash64(node)))
 
 
 def likeness(root: Column, digests: Column, other_root: Column, other_digests: Column) -> Column:
-    """1 for equal roots, else the share of run digests that two trees have in common."""
+    """1 for equal roots, else the share of leaves that two trees have in common."""
     both = F.size(digests) + F.size(other_digests)
     common = F.size(F.array_intersect(digests, other_digests))
     return F.when(root == other_root, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(F.lit(2.0) * common / both)
@@ -57,7 +77,7 @@ def merkle_trees(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     they come. Columns other than the two named are not read.
     """
     return (
-        docs.select(id_column, paragraph_nodes(whole(text_column)).alias("paragraphs"))
+        docs.select(id_column, paragraph_nodes(leaf_nodes(whole(text_column))).alias("paragraphs"))
         .withColumn("sections", section_nodes(F.col("paragraphs")))
         .select(id_column, root_node(F.col("sections")).alias("fingerprint"), "sections", "paragraphs")
     )
@@ -93,13 +113,13 @@ def locate_edits(before: DataFrame, after: DataFrame, id_column: str = "doc_id")
     )
 
 
-def with_next_text(docs: DataFrame, id_column: str, text_column: str, *lead: str) -> DataFrame:
-    """id, text and next_text of each row: the text of the next id, after the last the first.
+def with_next_text(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Each row's id, text, root and leaf digests, and with ``next_`` those of the next id.
 
-    Ids are cut into ranges at sampled ids. The rows at a cut also go to the range before it,
-    the smallest also to the last one, so every row finds its successor in its own range and
-    each text is shuffled once. Rows with the same id follow in the order of a hash of the
-    text; a NULL id comes last.
+    After the last id comes the first. Ids are cut into ranges at sampled ids. The rows at a cut
+    also go to the range before it, the smallest also to the last one, so every row finds its
+    successor in its own range and each text is shuffled once. Rows with the same id follow in
+    the order of a hash of the text; a NULL id comes last.
     """
     rows = docs.select(F.col(id_column).alias("id"), id_order(id_column).alias("rank_id"), whole(text_column).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
@@ -117,13 +137,14 @@ def with_next_text(docs: DataFrame, id_column: str, text_column: str, *lead: str
         .select("id", "rank_id", "tie", "text", F.explode(places).alias("place"))
         .select("id", "rank_id", "tie", "text", "place.*")
         .repartitionById(len(cuts) + 1, F.col("bucket"))
-        .withColumn("digests", run_digests(F.col("text")))
+        .withColumn("nodes", leaf_nodes(F.col("text")))
+        .withColumns({"root": fingerprint(F.col("nodes")), "digests": leaf_digests(F.col("nodes"))})
+        .drop("nodes")
     )
     in_order = Window.partitionBy("bucket").orderBy("turn", "rank_id", "tie")
     return placed.select(
-        "id", "text", "digests", "mine",
-        F.lead("text").over(in_order).alias("next_text"),
-        F.lead("digests").over(in_order).alias("next_digests"),
+        "id", "text", "root", "digests", "mine",
+        *[F.lead(name).over(in_order).alias(f"next_{name}") for name in ("text", "root", "digests")],
     ).where("mine").drop("mine")
 
 
@@ -140,15 +161,16 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
     rows = (
         with_next_text(docs, id_column, text_column)
         .withColumn("edited", edited)
+        .withColumn("edited_nodes", leaf_nodes(F.col("edited")))
         .select(
             F.col("id").alias(id_column),
             size.cast("long").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"),
-            fingerprint(F.col("text")).alias("fingerprint"),
-            fingerprint(F.col("edited")).alias("edited_fingerprint"),
-            (F.col("text") == F.col("next_text")).alias("same_next"),
+            F.col("root").alias("fingerprint"),
+            fingerprint(F.col("edited_nodes")).alias("edited_fingerprint"),
+            "next_root",
             "digests",
-            run_digests(F.col("edited")).alias("edited_digests"),
+            leaf_digests(F.col("edited_nodes")).alias("edited_digests"),
             "next_digests",
         )
     )
@@ -159,5 +181,5 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("digests"), F.col("edited_fingerprint"), F.col("edited_digests")).alias("near_edited"),
-        likeness(F.lit(True), F.col("digests"), F.col("same_next"), F.col("next_digests")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("digests"), F.col("next_root"), F.col("next_digests")).alias("near_next"),
     )

@@ -257,6 +257,21 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM normal WINDOW same AS (PARTITION BY norm)
 """
 
+def _leaf_nodes(text: str) -> str:
+    """For each section and paragraph of ``text`` the SHA-256 of its leaves."""
+    marked = f"list_transform(regexp_extract_all(p, '{merkle.PIECE}'), lambda w: CASE WHEN md5(w) < '4' THEN w || chr(10) ELSE w END)"
+    leaves = f"list_transform(regexp_extract_all(array_to_string({marked}, ''), '{merkle.LEAF}'), lambda leaf: sha256(leaf))"
+    sections = f"list_transform(string_split(s, chr(10)), lambda p: {leaves})"
+    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda s: {sections})"
+
+
+def _root(nodes: str) -> str:
+    """The root above leaf nodes."""
+    parts = "list_transform(s, lambda p: sha256('paragraph:' || array_to_string(p, ',')))"
+    sections = f"list_transform({nodes}, lambda s: sha256('section:' || array_to_string({parts}, ',')))"
+    return f"sha256('root:' || array_to_string({sections}, ','))"
+
+
 MERKLE_FINGERPRINTS = rf"""
 WITH whole AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
@@ -267,23 +282,24 @@ WITH whole AS (
 ), edits AS (
   SELECT *, left(text, (length(text) - length(text) // 4)::BIGINT) || left(next_text, (length(text) // 4)::BIGINT) AS edited
   FROM followed
-), trees AS (
-  SELECT *,
-    sha256('root:' || array_to_string(list_transform(string_split(text, chr(10) || chr(10)), lambda s:
-      sha256('section:' || array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ','))), ',')) AS fingerprint,
-    sha256('root:' || array_to_string(list_transform(string_split(edited, chr(10) || chr(10)), lambda s:
-      sha256('section:' || array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ','))), ',')) AS edited_fingerprint,
-    list_distinct(regexp_extract_all(text, '{merkle.RUN}')) AS runs,
-    list_distinct(regexp_extract_all(edited, '{merkle.RUN}')) AS edited_runs,
-    list_distinct(regexp_extract_all(next_text, '{merkle.RUN}')) AS next_runs
+), nodes AS (
+  SELECT doc_id, text, edited, {_leaf_nodes("text")} AS own_nodes, {_leaf_nodes("edited")} AS edited_nodes
   FROM edits
+), trees AS (
+  SELECT doc_id, text, edited, {_root("own_nodes")} AS fingerprint, {_root("edited_nodes")} AS edited_fingerprint,
+    list_distinct(flatten(flatten(own_nodes))) AS leaves, list_distinct(flatten(flatten(edited_nodes))) AS edited_leaves
+  FROM nodes
+), pairs AS (
+  SELECT *, coalesce(lead(fingerprint) OVER (ORDER BY doc_id), first_value(fingerprint) OVER (ORDER BY doc_id)) AS next_fingerprint,
+    coalesce(lead(leaves) OVER (ORDER BY doc_id), first_value(leaves) OVER (ORDER BY doc_id)) AS next_leaves
+  FROM trees
 )
 SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
-  CASE WHEN text = edited THEN 1.0::DOUBLE WHEN len(runs) + len(edited_runs) = 0 THEN 0.0::DOUBLE
-       ELSE 2.0::DOUBLE * len(list_intersect(runs, edited_runs)) / (len(runs) + len(edited_runs)) END AS near_edited,
-  CASE WHEN text = next_text THEN 1.0::DOUBLE WHEN len(runs) + len(next_runs) = 0 THEN 0.0::DOUBLE
-       ELSE 2.0::DOUBLE * len(list_intersect(runs, next_runs)) / (len(runs) + len(next_runs)) END AS near_next
-FROM trees
+  CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE WHEN len(leaves) + len(edited_leaves) = 0 THEN 0.0::DOUBLE
+       ELSE 2.0::DOUBLE * len(list_intersect(leaves, edited_leaves)) / (len(leaves) + len(edited_leaves)) END AS near_edited,
+  CASE WHEN fingerprint = next_fingerprint THEN 1.0::DOUBLE WHEN len(leaves) + len(next_leaves) = 0 THEN 0.0::DOUBLE
+       ELSE 2.0::DOUBLE * len(list_intersect(leaves, next_leaves)) / (len(leaves) + len(next_leaves)) END AS near_next
+FROM pairs
 """
 
 FILTER_INTERACTIONS = r"""

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 from odd import documents, empty, texts
+from pyspark.sql import functions as F
 
 from grovemeter.llm import merkle
 
@@ -12,18 +13,55 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+PIECE = re.compile(merkle.PIECE.replace(r"\x{2E80}-\x{10FFFF}", "\u2e80-\U0010ffff"))
+
+
+def plain_leaves(paragraph):
+    found, last = [], []
+    for piece in PIECE.findall(paragraph):
+        ends = hashlib.md5(piece.encode()).hexdigest() < "4"
+        last.append(piece + "\n" * ends)
+        if ends or len(last) == merkle.LEAF_WORDS:
+            found.append("".join(last))
+            last = []
+    return found + ["".join(last)] * bool(last)
+
+
+def plain_tree(text):
+    nodes = [[[sha(leaf) for leaf in plain_leaves(p)] for p in s.split("\n")] for s in text.split("\n\n")]
+    sections = [sha("section:" + ",".join(sha("paragraph:" + ",".join(p)) for p in s)) for s in nodes]
+    return sha("root:" + ",".join(sections)), {leaf for s in nodes for p in s for leaf in p}
+
+
 def plain_root(text):
-    sections = [sha("section:" + ",".join(sha(p) for p in s.split("\n"))) for s in text.split("\n\n")]
-    return sha("root:" + ",".join(sections))
+    return plain_tree(text)[0]
 
 
 def plain_like(a, b):
     if a == b:
         return 1.0
-    x, y = ({m.group(0) for m in re.finditer(merkle.RUN, t)} for t in (a, b))
+    x, y = plain_tree(a)[1], plain_tree(b)[1]
     return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
 
 
+def test_leaves_make_up_the_text(spark):
+    words = ["a" * 50, "日本語の文章です。" * 9, " \t lead", "same " * 100, "x", "", "é\x0b\u3000mark"]
+    found = spark.createDataFrame([(w,) for w in words], "t string").select("t", merkle.leaves(F.col("t")).alias("leaves")).collect()
+    for row in found:
+        assert row.leaves == plain_leaves(row.t)
+        assert "".join(row.leaves).replace("\n", "") == row.t
+        assert all(len(PIECE.findall(leaf)) <= merkle.LEAF_WORDS for leaf in row.leaves)
+
+
+def test_a_word_put_in_or_out_changes_one_leaf(spark):
+    long = " ".join(f"word{i * i % 9973}" for i in range(200))
+    wide = "".join(chr(0x4E00 + i * i % 9973) for i in range(200))
+    rows = [(1, long), (2, long.split(" ", 1)[1]), (3, long), (4, long.replace(" ", " new ", 1)), (5, wide), (6, wide[1:]), (7, "other")]
+    docs = documents(spark, [(i, text, "en", "a") for i, text in rows])
+    near = {r.doc_id: r.near_next for r in merkle.compare_with_edits(docs).collect()}
+    assert min(near[1], near[2], near[3], near[5]) > 0.9 and near[6] == 0.0
+
+
 def test_comparison_equals_the_plain_version(spark):
     rows = [row for row in texts() if row[0] is not None and row[0] != 4] + [(-3, "first of all", "en", "a"), (90, "last", "en", "a")]
     found = {r.doc_id: r for r in merkle.compare_with_edits(documents(spark, rows)).collect()}
