@@ -1,20 +1,19 @@
 """URL filters: rules first, then trust and distrust over the graph of hosts.
 
 A rule names a host and the start of a path and holds for subdomains too; the longest rule
-that fits a page decides it. Every other page is judged by its host. Pages that rules allow
-make their hosts trusted, pages that rules block make them blocked, each by their number.
-Trust flows along links (personalised PageRank from the trusted hosts), distrust against them
-(from the blocked hosts to whoever links there). Both grow with the pages that rules decide, so
-verdicts use shares, which no number of pages or of other linkers changes: the bad share of a
-host is that of its pages that rules block and, for each undecided page, ``damping`` of the mean
-bad share of the hosts it links to; the good share is that of its allowed pages and, for the
-undecided, ``damping`` of how good the pages are that link to the host. A host is blocked where
-its bad share exceeds its good share by more than ``threshold``.
+that fits a page decides it. Every other page is judged by its host. Seeds are the shares of a
+host's pages that rules allow (trusted) and block, so no number of pages outweighs another host.
+Trust is personalised PageRank from the trusted seeds along links, each host passing on
+``damping`` of its trust by its shares of links. Distrust is the same propagation from the blocked
+seeds against the links, to whoever links there: a host receives ``damping`` of what it links
+to, by its own shares of links, so other linkers take nothing from it and links of
+pages that rules decide say nothing. A host is blocked where its distrust exceeds its trust by
+more than ``threshold``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +23,6 @@ from grovemeter.llm.common import lower_ascii
 from grovemeter.scratch import stage, unstage
 
 DAMPING = 0.85
-MAX_ROUNDS = 100
 TOLERANCE = 1e-5
 
 
@@ -71,12 +69,11 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> C
 def host_edges(
     pages: DataFrame, url_column: str = "url", html_column: str = "html", rules: Sequence[Rule] = RULES
 ) -> DataFrame:
-    """(src, dst, links, open, allowed, parts): the number of pages of one host that link to another.
+    """(src, dst, links, parts): the number of pages of one host that link to another.
 
-    ``open`` of them no rule decides, ``allowed`` a rule allows. An open page is one part, split
-    evenly over its targets. Links within a host say nothing
-    about others and are left out, as are links from pages without a host. Each page counts a
-    target once.
+    ``parts`` counts pages that no rule decides, each split evenly over its targets. Links within
+    a host say nothing about others and are left out, as are links from pages without a host.
+    Each page counts a target once.
     """
     host = host_of(F.col(url_column))
     verdict = longest_rule(host, path_of(F.col(url_column)), rules)["verdict"]
@@ -91,36 +88,27 @@ def host_edges(
     is_open = F.col("verdict").isNull()
     return found.select("src", "verdict", F.size("all").alias("degree"), F.explode("all").alias("dst")).groupBy("src", "dst").agg(
         F.count(F.lit(1)).alias("links"),
-        F.count_if(is_open).alias("open"),
         F.sum(F.when(is_open, 1 / F.col("degree")).otherwise(0.0)).alias("parts"),
-        F.count_if(F.col("verdict") == "allow").alias("allowed"),
     )
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING) -> DataFrame:
-    """(host, score) after personalised PageRank from ``seeds`` (host, seed) along ``edges``.
+def spread(seeds: DataFrame, weighted: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """(host, score): the seed and ``damping`` of what other hosts pass on, as a fixed point.
 
-    A score is the seed and ``damping`` of what linking hosts pass on, each by its share of
-    links (PageRank divided by 1 - damping); what has nowhere to go is lost. Rounds are sums over edges, written to shared tables, and stop when all scores
-    together change by less than TOLERANCE of the seeds, MAX_ROUNDS at the latest.
+    ``seeds`` is (host, seed), ``weighted`` (src, dst, share) in rows or columns that sum to 1 at
+    most, so that every round shrinks the changes by ``damping`` and the loop ends. What has
+    nowhere to go is lost (PageRank divided by 1 - damping). Rounds are sums over edges, written
+    to shared tables, and stop when no score changes by TOLERANCE. Seeds of 0 give no score.
     """
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be at least 0 and below 1")
     start = stage(seeds.where("seed > 0"), "url-seeds")
-    if edges.isEmpty() or start.isEmpty():
-        return start.select("host", F.col("seed").alias("score"))
-    mass = start.agg(F.sum("seed")).first()[0]
-    out = edges.groupBy("src").agg(F.sum("links").alias("all_links"))
-    weighted = stage(edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("all_links")).alias("share")), "url-shares")
-    return _settle(start, weighted, damping, F.sum, TOLERANCE * mass)
-
-
-def _settle(start: DataFrame, weighted: DataFrame, damping: float, gather: Callable[[Column], Column], tolerance: float) -> DataFrame:
-    """(host, score) with score = seed + damping * sum of share * score over edges (src, dst, share).
-
-    Ends when the changes of all scores, put together by ``gather``, are below ``tolerance``.
-    Deletes ``weighted``.
-    """
-    scores = stage(start.select("host", F.col("seed").alias("score")), "url-scores")
-    for _ in range(MAX_ROUNDS):
+    scores = start.select("host", F.col("seed").alias("score"))
+    if weighted.isEmpty() or start.isEmpty():
+        return scores
+    weighted = stage(weighted, "url-shares")
+    previous = None
+    while True:
         sent = weighted.join(scores.withColumnRenamed("host", "src"), "src").select(
             F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"), F.lit(0.0).alias("old")
         )
@@ -129,44 +117,27 @@ def _settle(start: DataFrame, weighted: DataFrame, damping: float, gather: Calla
         following = stage(
             sent.union(given).union(held).groupBy("host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")), "url-scores"
         )
-        unstage(scores)
-        scores = following.select("host", "score")
-        if following.agg(gather(F.abs(F.col("score") - F.col("old")))).first()[0] < tolerance:
+        if previous is not None:
+            unstage(previous)
+        scores, previous = following.select("host", "score"), following
+        if following.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] < TOLERANCE:
             break
     unstage(weighted)
+    unstage(start)
     return scores
 
 
-def shares(judged: DataFrame, edges: DataFrame, damping: float = DAMPING) -> tuple[DataFrame, DataFrame]:
-    """The bad and the good shares, each (host, score) from 0 to 1; missing hosts have 0.
+def trust_shares(edges: DataFrame) -> DataFrame:
+    """(src, dst, share): the shares of a host's links, for trust to follow."""
+    out = edges.groupBy("src").agg(F.sum("links").alias("all_links"))
+    return edges.join(out, "src").select("src", "dst", (F.col("links") / F.col("all_links")).alias("share"))
+
 
-    ``judged`` is (host, pages, allowed, blocked), ``edges`` what ``host_edges`` returns. Links
-    of decided pages say nothing bad of their host. Hosts without pages are neither bad nor good
-    and pass nothing on.
-    """
-    is_open = judged.select("host", (1 - (F.col("allowed") + F.col("blocked")) / F.col("pages")).alias("undecided"))
-    bad = stage(judged.where("blocked > 0").select("host", (F.col("blocked") / F.col("pages")).alias("seed")), "url-seeds")
-    against = edges.where("open > 0").withColumnRenamed("src", "host").join(judged, "host").select(
-        F.col("dst").alias("src"), F.col("host").alias("dst"), (F.col("parts") / F.col("pages")).alias("share")
-    )
-    # Pages that rules allow are good in full, so their links count at once.
-    into = edges.groupBy(F.col("dst").alias("host")).agg(F.sum("links").alias("all_links"), F.sum("allowed").alias("allowed_links"))
-    into = is_open.join(into, "host", "left").select("host", "undecided", "all_links", F.coalesce(F.col("allowed_links") / F.col("all_links"), F.lit(0.0)).alias("at_once"))
-    into = stage(into, "url-into")
-    good = judged.join(into, "host").select(
-        "host", (F.col("allowed") / F.col("pages") + damping * F.col("undecided") * F.col("at_once")).alias("seed")
+def distrust_shares(judged: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, share) against the links: how much of all pages of ``dst`` links to ``src``, where no rule decides."""
+    return edges.where("parts > 0").join(judged.select(F.col("host").alias("src"), "pages"), "src").select(
+        F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("parts") / F.col("pages")).alias("share")
     )
-    good = stage(good.where("seed > 0"), "url-seeds")
-    along = edges.where("open > 0").withColumnRenamed("dst", "host").join(into, "host").select(
-        "src", F.col("host").alias("dst"), (F.col("undecided") * F.col("open") / F.col("all_links")).alias("share")
-    )
-    found = []
-    for start, weighted in ((bad, against), (good, along)):
-        if edges.isEmpty() or start.isEmpty():
-            found.append(start.select("host", F.col("seed").alias("score")))
-        else:
-            found.append(_settle(start, stage(weighted, "url-shares"), damping, F.max, TOLERANCE))
-    return found[0], found[1]
 
 
 def judge_urls(
@@ -193,21 +164,12 @@ def judge_urls(
     )
     judged = stage(judged, "url-judged")
     edges = stage(host_edges(pages, url_column, html_column, rules), "url-edges")
-    trust = spread(judged.select("host", F.col("allowed").alias("seed")), edges)
-    distrust = spread(
-        judged.select("host", F.col("blocked").alias("seed")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
-    )
-    bad, good = shares(judged, edges)
+    trust = spread(judged.select("host", (F.col("allowed") / F.col("pages")).alias("seed")), trust_shares(edges))
+    distrust = spread(judged.select("host", (F.col("blocked") / F.col("pages")).alias("seed")), distrust_shares(judged, edges))
     none = F.lit(0.0)
-    scores = (
-        trust.select("host", F.col("score").alias("trust"), none.alias("distrust"), none.alias("excess"))
-        .union(distrust.select("host", none, F.col("score"), none))
-        .union(bad.select("host", none, none, F.col("score")))
-        .union(good.select("host", none, none, -F.col("score")))
-    )
-    scores = scores.groupBy("host").agg(*[F.sum(name).alias(name) for name in ("trust", "distrust", "excess")])
-    scores = stage(scores, "url-hosts")
-    by_host = F.when(F.col("excess") > threshold, "block").otherwise("allow")
+    scores = trust.select("host", F.col("score").alias("trust"), none.alias("distrust")).union(distrust.select("host", none, "score"))
+    scores = stage(scores.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "url-hosts")
+    by_host = F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")
     return parts.join(judged.select("host").join(scores, "host"), "host", "left").select(
         F.col("id").alias(id_column),
         "host",
