@@ -30,9 +30,11 @@ LONGEST = 64
 UNKNOWN = 0
 ROUNDS = 3
 SMOOTHING = 0.1
-#: Labelled rows of each language that the probabilities are fitted on, at most. The shares of
-#: the languages are counted over all labelled rows.
+#: Labelled rows of each language that the probabilities are fitted on: all where there are no
+#: more, else as many in expectation. The shares of the languages are counted over all labelled rows.
 TRAIN_ROWS = 5000
+#: Training words above this are learned from in stretches of as many letters, none left out.
+STRETCH = 200
 CACHE_WORDS = 150_000
 UNDETERMINED = "und"
 MARK = "▁"
@@ -146,7 +148,7 @@ def expected_counts(
 ) -> np.ndarray:
     """Expected count (pieces, languages) of each piece in words that count ``weights`` times.
 
-    Words are at most a few hundred characters here, so plain sums are scaled once a position.
+    Words are at most STRETCH characters and a mark here, so plain sums are scaled once a position.
     """
     languages = probabilities.shape[1]
     padded = np.vstack([probabilities, np.zeros(languages)])
@@ -175,6 +177,16 @@ def expected_counts(
     return counts[:-1]
 
 
+def stretches(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Marked words, those above STRETCH letters in several parts, and the word each belongs to."""
+    parts, origin = [], []
+    for i, word in enumerate(words):
+        for low in range(0, len(word), STRETCH):
+            parts.append((MARK if low == 0 else "") + word[low : low + STRETCH])
+            origin.append(i)
+    return parts, np.array(origin, np.int64)
+
+
 def held_out(id_column: str = "doc_id", modulus: int = 4, part: int = 2) -> Column:
     """Whether the checksum of the identifier as text has the remainder of the held-out part."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus == part, F.lit(False))
@@ -186,14 +198,17 @@ class Model:
     pieces: Pieces
     probabilities: np.ndarray
     priors: np.ndarray
+    #: Log probability of a letter drawn evenly from those of the vocabulary.
+    noise: float
 
 
 def fit(labelled: DataFrame, pieces: list[str], text_column: str = "text", language_column: str = "lang") -> Model | None:
     """A model from the rows of ``labelled`` that have a language; None if there are none.
 
-    Word counts are taken by Spark on at most TRAIN_ROWS rows of each language, chosen by a
-    hash of the text; each round reads them, and only sums by piece and language reach the
-    driver, a table as large as the vocabulary.
+    Word counts are taken by Spark on TRAIN_ROWS rows of each language, each row drawn on its own
+    by a seeded generator, so copies of one text are no more and no less likely together; each
+    round reads them, and only sums by piece and language reach the driver, a table as large as
+    the vocabulary.
     """
     rows = labelled.where(F.col(language_column).isNotNull()).select(
         F.col(language_column).cast("string").alias("language"), F.coalesce(F.col(text_column), F.lit("")).alias("text")
@@ -205,7 +220,7 @@ def fit(labelled: DataFrame, pieces: list[str], text_column: str = "text", langu
     let_workers_import(labelled.sparkSession)
     place = F.create_map(*[F.lit(x) for i, language in enumerate(languages) for x in (language, i)])[F.col("language")]
     part = F.create_map(*[F.lit(x) for language, n in shares for x in (language, min(1.0, TRAIN_ROWS / n))])[F.col("language")]
-    drawn = F.pmod(F.xxhash64(F.lit("language"), "text"), F.lit(1_000_003)) < part * 1_000_003
+    drawn = F.rand(7) < part
     found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     words = stage(
         rows.where(drawn).select(place.alias("place"), found.alias("word")).groupBy("place", "word").agg(F.count(F.lit(1)).alias("n")),
@@ -218,10 +233,9 @@ def fit(labelled: DataFrame, pieces: list[str], text_column: str = "text", langu
         total = np.zeros((size, count))
         for batch in batches:
             places = batch.column(0).to_numpy()
-            # a run of hundreds of letters is no word to learn from; scoring reads it whole
-            marked = [MARK + w[:200] for w in batch.column(1).to_pylist()]
+            marked, origin = stretches(batch.column(1).to_pylist())
             weights = np.zeros((len(marked), count))
-            weights[np.arange(len(marked)), places] = batch.column(2).to_numpy()
+            weights[np.arange(len(marked)), places[origin]] = batch.column(2).to_numpy()[origin]
             for low in range(0, len(marked), 20_000):
                 part = slice(low, low + 20_000)
                 numbers, offsets, lengths = lattice(marked[part], table)
@@ -239,7 +253,8 @@ def fit(labelled: DataFrame, pieces: list[str], text_column: str = "text", langu
         probabilities = counts / counts.sum(axis=0)
     unstage(words)
     priors = np.array([n for _, n in shares], float)
-    return Model(languages, table, probabilities, np.log(priors / priors.sum()))
+    letters = sum(len(p) == 1 and p != MARK for p in pieces)
+    return Model(languages, table, probabilities, np.log(priors / priors.sum()), -np.log(max(letters, 2)))
 
 
 class Scorer:
@@ -263,7 +278,7 @@ class Scorer:
         self.scores = np.vstack([self.scores, *new])
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Log scores (texts, languages) with priors, and the number of words of each text."""
+        """Log scores (texts, languages) with priors, and the number of letters of each text."""
         found = [LETTERS.findall(text.lower()) if text else [] for text in texts]
         unknown = dict.fromkeys(w for words in found for w in words if w not in self.rows)
         if unknown:
@@ -275,15 +290,23 @@ class Scorer:
         for i, words in enumerate(found):
             if words:
                 out[i] += self.scores[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        return out, np.fromiter(map(len, found), np.int64, len(found))
+        return out, np.fromiter((sum(map(len, words)) for words in found), np.int64, len(found))
 
 
 def predict(docs: DataFrame, model: Model | None, text_column: str = "text", batch: int = 500) -> DataFrame:
-    """``docs`` with the columns lang_pred and score, in place of any of that name."""
-    docs = docs.drop("lang_pred", "score")
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    """``docs`` with the columns lang_pred, score and explained, in place of any of that name.
+
+    A text is explained if the language predicted gives it a higher probability than letters
+    drawn evenly from those of the vocabulary would have.
+    """
+    docs = docs.drop("lang_pred", "score", "explained")
+    fields = [
+        T.StructField("lang_pred", T.StringType()),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("explained", T.BooleanType()),
+    ]
     position = docs.columns.index(text_column)
-    names = [*docs.columns, "lang_pred", "score"]
+    names = [*docs.columns, "lang_pred", "score", "explained"]
     let_workers_import(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,13 +315,16 @@ def predict(docs: DataFrame, model: Model | None, text_column: str = "text", bat
             for low in range(0, whole.num_rows, batch):
                 part = whole.slice(low, batch)
                 predicted, score = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows)
+                explained = np.zeros(part.num_rows, bool)
                 if scorer:
-                    logs, words = scorer.score(part.column(position).to_pylist())
+                    logs, letters = scorer.score(part.column(position).to_pylist())
                     best = logs.argmax(axis=1)
                     likely = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-                    score = np.where(words > 0, likely, 0.0)
-                    predicted = [model.languages[b] if n else UNDETERMINED for b, n in zip(best, words)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(predicted, pa.string()), pa.array(score)], names)
+                    score = np.where(letters > 0, likely, 0.0)
+                    predicted = [model.languages[b] if n else UNDETERMINED for b, n in zip(best, letters)]
+                    explained = (letters > 0) & (logs.max(axis=1) - model.priors[best] > letters * model.noise)
+                added = [pa.array(predicted, pa.string()), pa.array(score), pa.array(explained)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
@@ -330,15 +356,18 @@ def keep_identified(
     text_column: str = "text",
     language_column: str = "lang",
 ) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with all their columns, unchanged.
+    """The rows of ``docs`` whose text is in a learned language, a NULL language filled with it.
 
-    Rejected are texts that are NULL or have no letter. Where no row has a label nothing can be
-    learned, and only those texts are rejected.
+    Rejected are texts that are NULL or have no letter, and those that even the likeliest
+    language explains worse than letters drawn evenly from the vocabulary: other scripts and
+    noise. Other columns and given languages stay as they are. Where no row has a label nothing
+    can be learned: texts without a letter are rejected and no language is filled in.
     """
     model = fit(docs.where(~held_out(id_column)), vocabulary(vocabulary_path), text_column, language_column)
     if model is None:
         return docs.where(F.col(text_column).rlike(r"\p{L}"))
     plain = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    text = f"c{docs.columns.index(text_column)}"
-    kept = predict(plain, model, text).where(F.col("lang_pred") != UNDETERMINED).drop("lang_pred", "score")
-    return kept.toDF(*docs.columns)
+    text, language = (f"c{docs.columns.index(c)}" for c in (text_column, language_column))
+    filled = F.coalesce(F.col(language), F.col("lang_pred").cast(docs.schema[language_column].dataType))
+    kept = predict(plain, model, text).where("explained").withColumn(language, filled)
+    return kept.select(*plain.columns).toDF(*docs.columns)

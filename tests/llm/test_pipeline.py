@@ -5,7 +5,7 @@ import pytest
 from odd import documents, empty, texts
 from pyspark.sql import functions as F
 from test_dedup import plain_components, plain_lines, words
-from test_tokens import library_ids
+from test_tokens import library_ids, plain_identified
 
 import __spark_entry__
 from grovemeter.llm import queries as llm
@@ -26,8 +26,9 @@ def test_stages_equal_plain_versions(spark, tmp_path):
             assert docs.columns == COLUMNS
             assert docs.where(F.col("n_chars") != F.char_length("text")).count() == 0
 
-    known = [row for row in rows if any(c.isalpha() for c in row[1] or "")]
-    assert sorted(r.doc_id for r in seen["language ID"].collect()) == sorted(row[0] for row in known)
+    languages = dict(plain_identified(documents(spark, rows)))
+    assert sorted((r.doc_id, r.lang) for r in seen["language ID"].collect()) == sorted(languages.items())
+    known = [row for row in rows if row[0] in languages]
     cleaned = [(row[0], text, *row[2:]) for row, (text, gone) in zip(known, plain_lines(known)) if not gone or words(text)]
     assert sorted((r.doc_id, r.text) for r in seen["line dedup"].collect()) == sorted(row[:2] for row in cleaned)
     least = [doc_id for doc_id, _, component in plain_components(cleaned, 5) if doc_id == component]

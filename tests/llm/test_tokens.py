@@ -144,18 +144,77 @@ def test_languages_are_told_apart_on_held_out_rows(spark):
     assert found[None].lang_pred == "en" and found[None].held_out is False
 
 
-def test_language_stage_keeps_rows_as_they_are(spark):
-    docs = documents(spark)
+def plain_identified(docs):
+    """doc_id and language of the rows the stage keeps, word by word and sum by sum."""
+    pieces = language_id.vocabulary(PIECES)
+    model = language_id.fit(docs.where(~language_id.held_out()), pieces)
+    number = {piece: i + 1 for i, piece in enumerate(pieces)}
+    letters = sum(len(p) == 1 and p.isalpha() for p in pieces)
+
+    def log_sum(word, column):
+        word = language_id.MARK + word
+        ahead = [0.0]
+        for end in range(1, len(word) + 1):
+            ways = []
+            for start in range(max(0, end - 16), end):
+                code = number.get(word[start:end], 0 if end - start == 1 else None)
+                if code is not None:
+                    ways.append(ahead[start] + math.log(model.probabilities[code, column]))
+            top = max(ways)
+            ahead.append(top + math.log(sum(math.exp(way - top) for way in ways)))
+        return ahead[-1]
+
+    kept = []
+    for row in docs.collect():
+        found = collections.Counter(language_id.LETTERS.findall((row.text or "").lower()))
+        sums = [sum(n * log_sum(w, k) for w, n in found.items()) for k in range(len(model.languages))]
+        best = max(range(len(sums)), key=lambda k: sums[k] + model.priors[k])
+        if found and sums[best] > -sum(n * len(w) for w, n in found.items()) * math.log(letters):
+            kept.append((row.doc_id, row.lang if row.lang is not None else model.languages[best]))
+    return kept
+
+
+def test_language_stage_keeps_what_a_language_explains(spark):
+    say = {"en": "the house and that with some thing", "de": "das haus und die mit einem über"}
+    rows = [(i, f"{text} {i}", language, "a") for i, (language, text) in enumerate(list(say.items()) * 20)]
+    rows += [(100, "the thing and the house", None, "b"), (101, "die mit das haus", None, "b"), (102, "qxzjv wqxj zzqv xjkq", "en", "b")]
+    rows += [(103, "ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺ", None, "b"), (104, "12 3", "en", "b"), (105, None, "en", "b"), (106, "das haus", "en", "b")]
+    docs = documents(spark, rows)
     kept = language_id.keep_identified(docs, PIECES)
-    assert kept.columns == docs.columns
-    want = sorted((str(r) for r in docs.collect() if r.doc_id not in (5, 6, 7, 11)))
-    assert sorted(map(str, kept.collect())) == want
+    assert kept.columns == docs.columns and kept.schema["lang"].dataType == docs.schema["lang"].dataType
+    found = {r.doc_id: r.lang for r in kept.collect()}
+    assert set(found) == {*range(40), 100, 101, 106}
+    assert (found[100], found[101], found[106]) == ("en", "de", "en")
+    assert sorted(found.items()) == sorted(plain_identified(docs))
+
+
+def test_language_stage_on_odd_rows(spark):
+    docs = documents(spark)
+    kept = language_id.keep_identified(docs, PIECES).collect()
+    key = lambda pair: (pair[0] is None, *map(str, pair))
+    assert sorted(((r.doc_id, r.lang) for r in kept), key=key) == sorted(plain_identified(docs), key=key)
+    as_they_were = {str(r.asDict() | {"lang": None}) for r in docs.collect()}
+    assert all(str(r.asDict() | {"lang": None}) in as_they_were for r in kept)
     nothing = documents(spark, [(1, "abc", None, "a"), (2, "12", None, "a"), (3, None, None, "a")])
     assert [r.doc_id for r in language_id.keep_identified(nothing, PIECES).collect()] == [1]
     assert {r.lang_pred for r in language_id.identify(nothing, PIECES).collect()} == {"und"}
     assert language_id.identify(empty(spark), PIECES).count() == 0
 
 
+def test_a_language_of_one_text_is_drawn_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_ROWS", 30)
+    say = {"en": "the house and that with some thing", "de": "das haus und die mit einem über", "fr": "la maison et les avec une chose où"}
+    rows = [(3 * i + k, text if k else f"{text} {i}", language, "a") for k, (language, text) in enumerate(say.items()) for i in range(300)]
+    found = language_id.identify(documents(spark, rows), PIECES).select("doc_id", "lang_pred").collect()
+    assert all(r.lang_pred == list(say)[r.doc_id % 3] for r in found)
+
+
+def test_long_training_words_are_learned_whole():
+    words = ["ab", "x" * 450, "", "y" * 200]
+    parts, origin = language_id.stretches(words)
+    assert parts == ["▁ab", "▁" + "x" * 200, "x" * 200, "x" * 50, "▁" + "y" * 200] and origin.tolist() == [0, 1, 1, 1, 3]
+
+
 def plain_base(rows):
     """Unigram scores as stated: end counted as a token."""
     tokens = [(text or "").encode().lower().split() + [None] for _, text, *_ in rows]
