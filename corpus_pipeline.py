@@ -19,7 +19,11 @@ PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter go."""
+    """Documents in a learned language, a NULL language filled in; the others go.
+
+    Those are texts that are NULL or without a letter, and other scripts or noise. Repeated rows
+    stay; an empty table stays empty.
+    """
     return language_id.keep_identified(docs, PIECES_FILE)
 
 
