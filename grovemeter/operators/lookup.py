@@ -10,7 +10,7 @@ sends each row to the same place, and equal rows from different partitions still
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +21,9 @@ from grovemeter.scratch import stage
 # Estimated bytes. Parquet files grow about threefold in memory.
 BROADCAST_BYTES = 32 * 1024**2
 ROWS_PER_PIECE = 1_000_000
-# No row takes less in a table on disk, so a table below a bound of bytes has no hot key.
-LEAST_ROW_BYTES = 1
+# Tables estimated below this are counted before hot keys are looked for: equal rows may take far
+# less than a byte each in parquet, so bytes alone say nothing about rows.
+COUNTED_BYTES = 1_000_000
 
 UNKNOWN = object()
 
@@ -87,12 +88,46 @@ def salted_join(
 
 def find_hot_keys(facts: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """The hot keys of ``facts`` as a staged table, or None if there are none."""
-    if estimated_bytes(facts) <= ROWS_PER_PIECE * LEAST_ROW_BYTES:
+    if estimated_bytes(facts) <= COUNTED_BYTES and facts.count() <= ROWS_PER_PIECE:
         return None  # no key can hold more rows than there are
     hot = stage(hot_keys(facts, keys), "hot")
     return None if hot.isEmpty() else hot
 
 
+def hot_values(facts: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame | None]:
+    """The hot keys of ``facts`` for joins on each of ``columns`` alone, found in one scan.
+
+    All columns are counted in one aggregation, reduced on the map side, and what is hot is
+    staged once. Joins to lookups with one row a key never add rows, so the hot keys of a fact
+    table hold for all joins of a star.
+    """
+    if estimated_bytes(facts) <= COUNTED_BYTES and facts.count() <= ROWS_PER_PIECE:
+        return dict.fromkeys(columns)
+    place = sum(F.when(F.grouping(c) == 0, i).otherwise(0) for i, c in enumerate(columns))
+    counts = facts.select(*columns).groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns])
+    counts = counts.agg(F.count(F.lit(1)).alias("rows"), place.alias("place"))
+    known = F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()
+    staged = stage(limit_hot(counts.where(known), ["place", *columns], "rows"), "hot")
+    found = {row["place"] for row in staged.select("place").distinct().collect()}
+    return {c: staged.where(F.col("place") == i).select(c, "pieces") if i in found else None for i, c in enumerate(columns)}
+
+
+def join_star(
+    facts: DataFrame, lookups: Sequence[tuple[DataFrame, str]], small: Mapping[str, bool] | None = None
+) -> DataFrame:
+    """Inner joins of ``facts`` to lookups, each on a key column of its own that is unique in the lookup.
+
+    If any lookup is too large for a broadcast, ``facts`` is scanned once more for the hot values of
+    all their keys; the joins themselves are never run for it.
+    """
+    small = [is_small(lookup) for lookup, _ in lookups]
+    large = list(dict.fromkeys(key for (_, key), fits in zip(lookups, small) if not fits))
+    hot = hot_values(facts, large) if large else {}
+    for (lookup, key), fits in zip(lookups, small):
+        facts = join_lookup(facts, lookup, [key], hot=hot.get(key), small=fits)
+    return facts
+
+
 def join_lookup(
     facts: DataFrame,
     lookup: DataFrame,

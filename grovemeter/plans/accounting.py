@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovemeter.operators.lookup import join_lookup
+from grovemeter.operators.lookup import is_small, join_star
 
 # Base tables of the accounting model.
 TABLES = (
@@ -48,28 +48,42 @@ class Accounting:
             source = self._sources[name] = source()
         return source
 
-    def _with(self, facts: DataFrame, name: str, key: str, *columns: str) -> DataFrame:
-        """Inner join ``facts.key`` to ``name.id``, keeping ``columns`` and not the key."""
-        dimension = self.table(name)
-        chosen = dimension.select(F.col("id").alias(key), *columns)
-        return join_lookup(facts, chosen, [key]).drop(key)
+    def _named(
+        self, facts: DataFrame, *dimensions: tuple[DataFrame | str, ...], small: dict[str, bool] | None = None
+    ) -> DataFrame:
+        """Inner joins of ``facts`` to dimensions, each (table or its name, key, columns to add).
+
+        The key of the facts is the dimension's id; it is dropped.
+        """
+        star = []
+        for source, key, *columns in dimensions:
+            dimension = self.table(source) if isinstance(source, str) else source
+            star.append((dimension.select(F.col("id").alias(key), *columns), key))
+        return join_star(facts, star, small).drop(*[key for _, key in star])
 
     def project_usage(self) -> DataFrame:
         """Compute usage with project, queue and system; zero and unknown usage left out."""
         facts = self.table("project_usage").where(~(F.col("usage_cpu") == F.lit(0.0)))
-        facts = self._with(facts, "projects", "project_id", "project")
-        facts = self._with(facts, "system_queues", "systemqueue_id", "system_id", "queue")
-        facts = self._with(facts, "systems", "system_id", "system")
+        queues = self.table("system_queues").select("id", "system_id", "queue")
+        # a queue with its system's name is one row still, whatever the planner expects of a join
+        small = {"systemqueue_id": is_small(queues)}
+        queues = self._named(queues, ("systems", "system_id", "system"))
+        facts = self._named(
+            facts, ("projects", "project_id", "project"), (queues, "systemqueue_id", "system", "queue"), small=small
+        )
         return facts.select(
             "project", "system", "queue", "date", "usage_cpu", "usage_wall", "usage_su"
         )
 
     def _storage_grants(self, grants: DataFrame) -> DataFrame:
-        grants = self._with(grants, "projects", "project_id", "project")
-        grants = self._with(grants, "systems", "system_id", "system")
-        grants = self._with(grants, "schemes", "scheme_id", "scheme")
-        grants = self._with(grants, "quarters", "quarter_id", "year", "quarter")
-        grants = self._with(grants, "storage_points", "storagepoint_id", "storagepoint")
+        grants = self._named(
+            grants,
+            ("projects", "project_id", "project"),
+            ("systems", "system_id", "system"),
+            ("schemes", "scheme_id", "scheme"),
+            ("quarters", "quarter_id", "year", "quarter"),
+            ("storage_points", "storagepoint_id", "storagepoint"),
+        )
         return grants.select(
             "id",
             "project",
@@ -97,14 +111,17 @@ class Accounting:
 
     def system_queues(self) -> DataFrame:
         """Queues with their system and charge weight."""
-        queues = self._with(self.table("system_queues"), "systems", "system_id", "system")
+        queues = self._named(self.table("system_queues"), ("systems", "system_id", "system"))
         return queues.select("system", "queue", "chargeweight")
 
     def user_storage(self) -> DataFrame:
         """Storage use per folder with project, user and storage point."""
-        facts = self._with(self.table("user_storage"), "projects", "project_id", "project")
-        facts = self._with(facts, "users", "user_id", "user", "fullname")
-        facts = self._with(facts, "storage_points", "storagepoint_id", "storagepoint")
+        facts = self._named(
+            self.table("user_storage"),
+            ("projects", "project_id", "project"),
+            ("users", "user_id", "user", "fullname"),
+            ("storage_points", "storagepoint_id", "storagepoint"),
+        )
         return facts.select(
             "project", "user", "fullname", "storagepoint", "folder", "scandate", "inodes", "size"
         )
@@ -114,16 +131,22 @@ class Accounting:
         ids = ["project_id", "user_id", "storagepoint_id", "scandate"]
         sums = [F.sum("inodes").alias("inodes"), F.sum("size").alias("size")]
         facts = self.table("user_storage").groupBy(*ids).agg(*sums)
-        facts = self._with(facts, "projects", "project_id", "project")
-        facts = self._with(facts, "users", "user_id", "user", "fullname")
-        facts = self._with(facts, "storage_points", "storagepoint_id", "storagepoint")
+        facts = self._named(
+            facts,
+            ("projects", "project_id", "project"),
+            ("users", "user_id", "user", "fullname"),
+            ("storage_points", "storagepoint_id", "storagepoint"),
+        )
         return facts.groupBy("project", "user", "fullname", "storagepoint", "scandate").agg(*sums)
 
     def _usage_grants(self, grants: DataFrame) -> DataFrame:
-        grants = self._with(grants, "projects", "project_id", "project")
-        grants = self._with(grants, "systems", "system_id", "system")
-        grants = self._with(grants, "schemes", "scheme_id", "scheme")
-        grants = self._with(grants, "quarters", "quarter_id", "year", "quarter")
+        grants = self._named(
+            grants,
+            ("projects", "project_id", "project"),
+            ("systems", "system_id", "system"),
+            ("schemes", "scheme_id", "scheme"),
+            ("quarters", "quarter_id", "year", "quarter"),
+        )
         return grants.select(
             "id", "project", "system", "scheme", "year", "quarter", "date", "allocation"
         )
@@ -138,8 +161,11 @@ class Accounting:
 
     def user_usage(self) -> DataFrame:
         """Compute usage and efficiency per user."""
-        facts = self._with(self.table("user_usage"), "projects", "project_id", "project")
-        facts = self._with(facts, "users", "user_id", "user", "fullname")
+        facts = self._named(
+            self.table("user_usage"),
+            ("projects", "project_id", "project"),
+            ("users", "user_id", "user", "fullname"),
+        )
         return facts.select(
             "project",
             "user",

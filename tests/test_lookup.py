@@ -73,3 +73,35 @@ def test_size_checks_run_no_job(spark, tmp_path):
         assert not tracker.getJobIdsForGroup("size")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_equal_rows_that_take_no_space_are_counted(spark, monkeypatch, tmp_path):
+    """Far more rows than bytes: one key that must be split all the same."""
+    path = str(tmp_path / "alike")
+    spark.range(0, 400_000, 1, 2).select(F.lit(1).alias("k"), F.lit(2).alias("v")).write.parquet(path)
+    alike = spark.read.parquet(path)
+    assert lookup.estimated_bytes(alike) < 400_000
+    monkeypatch.setattr(lookup, "ROWS_PER_PIECE", 100_000)
+    assert [tuple(r) for r in lookup.find_hot_keys(alike, ["k"]).collect()] == [(1, 4)]
+    monkeypatch.setattr(lookup, "ROWS_PER_PIECE", 400_000)
+    assert lookup.find_hot_keys(alike, ["k"]) is None
+
+
+def test_a_star_finds_hot_values_of_all_keys_in_one_scan(spark, at_scale, monkeypatch):
+    facts, names = tables(spark)
+    facts = facts.withColumn("j", (F.col("v") == "same").cast("int")).withColumn("i", F.col("v"))
+    marks = spark.createDataFrame([(0, "other"), (1, "like")], "j int, mark string")
+    plain = facts.join(names, "k").join(marks, "j")
+    hot = lookup.hot_values(facts, ["k", "j", "i"])
+    for column, found in hot.items():
+        want = {tuple(r) for r in lookup.hot_keys(facts.where(F.col(column).isNotNull()), [column]).collect()}
+        assert {tuple(r) for r in found.collect()} == want
+    assert lookup.hot_values(facts.withColumn("own", F.monotonically_increasing_id()), ["own"]) == {"own": None}
+
+    scans = []
+    monkeypatch.setattr(lookup, "stage", lambda df, label, real=lookup.stage: scans.append(label) or real(df, label))
+    joined = lookup.join_star(facts, [(names, "k"), (marks, "j")])
+    assert scans == ["hot"]
+    assert "salt" in joined._jdf.queryExecution().optimizedPlan().toString()
+    columns = ["k", "j", "v", "w", "mark"]
+    assert sorted(map(str, joined.select(columns).collect())) == sorted(map(str, plain.select(columns).collect()))
