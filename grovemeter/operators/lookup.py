@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 
 from grovemeter.scratch import stage
 
-# Estimated bytes. Parquet files grow about threefold in memory.
-BROADCAST_BYTES = 32 * 1024**2
+# Estimated bytes. Packed files of sorted rows grow twentyfold and more in memory.
+BROADCAST_BYTES = 4 * 1024**2
 ROWS_PER_PIECE = 1_000_000
 # Tables estimated below this are counted before hot keys are looked for: equal rows may take far
 # less than a byte each in parquet, so bytes alone say nothing about rows.
 COUNTED_BYTES = 1_000_000
 
+# Bytes of a staged table that one task of a shuffle takes: about 200 MB once it is sorted in memory.
+TASK_BYTES = 8 * 1024**2
+
 UNKNOWN = object()
 
 
@@ -44,6 +47,11 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of a staged table: the session's number, more if tasks would grow large."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(df) // TASK_BYTES))
+
+
 def argument_table(spark: SparkSession, **columns: list) -> DataFrame:
     """A table of an argument's values (whole numbers or texts), of known size to the planner."""
     kinds = {name: pa.string() if values and isinstance(values[0], str) else pa.int64() for name, values in columns.items()}

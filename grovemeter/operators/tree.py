@@ -39,10 +39,11 @@ from grovemeter.operators.lookup import (
     is_small,
     join_lookup,
     limit_hot,
+    partitions_for,
     sized,
 )
 from grovemeter.schemas import ENTRY_COLUMNS
-from grovemeter.scratch import stage
+from grovemeter.scratch import stage_packed as stage
 
 KEY = ["device", "inode"]
 PARENT_KEY = ["device", "parent_inode"]
@@ -137,58 +138,48 @@ def build_directory_index(
     applications. Trees may be of any depth; raises ``ValueError`` for a cycle.
     """
     rows = stage(directory_rows(entries, by).select(*ENTRY_COLUMNS), "dir-rows")
-    inside = entries.where(F.col("parent_inode").isNotNull()).select(
-        "device",
-        F.col("parent_inode").alias("inode"),
-        F.lit(1).cast("long").alias("entries"),
-        F.col("size").alias("bytes"),
-        F.lit(0).cast("long").alias("copies"),
-    )
-    own = rows.select(
-        *KEY,
-        F.lit(0).cast("long").alias("entries"),
-        F.lit(None).cast("long").alias("bytes"),
-        F.lit(1).cast("long").alias("copies"),
-    )
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    nothing = {"entries": zero, "bytes": F.lit(None).cast("long"), "copies": zero, "subdirs": zero}
+
+    def counted(key: str, **known: Column) -> list:
+        return ["device", F.col(key).alias("inode"), *[value.alias(name) for name, value in (nothing | known).items()]]
+
+    inside = entries.where(F.col("parent_inode").isNotNull()).select(counted("parent_inode", entries=one, bytes=F.col("size")))
+    above = rows.where(F.col("parent_inode").isNotNull()).select(counted("parent_inode", subdirs=one))
     totals = (
-        inside.unionByName(own)
+        inside.unionByName(above)
+        .unionByName(rows.select(counted("inode", copies=one)))
         .groupBy(*KEY)
-        .agg(
-            F.sum("entries").alias("entries"),
-            F.sum("bytes").alias("bytes"),
-            F.sum("copies").alias("copies"),
-        )
+        .agg(*[F.sum(name).alias(name) for name in nothing])
         .where(F.col("copies") > 0)
     )
-    rows = stage(join_lookup(rows, totals, KEY, small=False), "dir-totals")
+    totals = stage(totals, "dir-counts")
+    hot = _hot(totals, "copies")
+    rows = stage(join_lookup(rows, totals, KEY, hot=hot, small=False), "dir-totals")
     single = rows.where(F.col("copies") > 1).isEmpty()
     rows = rows.withColumn("preferred", F.lit(True)) if single else _mark_preferred(rows)
 
-    nodes = rows.where("preferred").select(*KEY, "parent_inode", "basename", "entries", "bytes")
-    chains = _solve_chains(nodes if single else nodes.dropDuplicates(KEY))
-    if single:
-        table = rows.join(chains.select(*KEY, "path", "chain"), KEY).join(_ranks(chains), KEY)
-    else:
-        chains = chains.select(*KEY, "path", "chain")
-        kept = join_lookup(rows.where("preferred"), chains, KEY, small=False)
-        above = chains.select(
-            "device",
-            F.col("inode").alias("parent_inode"),
-            F.col("path").alias("up_path"),
-            F.col("chain").alias("up_chain"),
-        )
-        others = (
-            join_lookup(rows.where(~F.col("preferred")), above, PARENT_KEY, "left", small=False)
-            .withColumn("path", _joined_path("up_path", "basename"))
-            .withColumn("chain", _joined_chain("up_chain", F.array("inode")))
-            .drop("up_path", "up_chain")
-        )
-        table = _mark_tainted(stage(kept.unionByName(others), "dir-chains"))
-    if single:
-        table = table.withColumn("tainted", F.lit(False))
-    else:
-        table = table.withColumns({name: F.lit(None).cast("long") for name in RANK_COLUMNS})
-    table = table.select(
+    # Only directories that others lie in have their chains solved; all rows take over their parent's.
+    inner = rows.where(F.col("preferred") & (F.col("subdirs") > 0)).select(*KEY, "parent_inode", "basename", "copies")
+    chains = _solve_chains(stage(inner if single else inner.dropDuplicates(KEY), "dir-inner"))
+    up = chains.select(
+        "device",
+        F.col("inode").alias("parent_inode"),
+        *[F.col(name).alias(f"up_{name}") for name in ("path", "sort_key", "chain", "tainted")],
+    )
+    # Rows without a parent meet nothing, and as NULL keys would share one task.
+    tops = rows.where(F.col("parent_inode").isNull())
+    hot = _hot(totals, "subdirs")
+    hot = None if hot is None else hot.withColumnRenamed("inode", "parent_inode")
+    solved = join_lookup(rows.where(F.col("parent_inode").isNotNull()), up, PARENT_KEY, "left", hot)
+    table = solved.unionByName(tops, allowMissingColumns=True).select(
+        *rows.columns,
+        _joined_path("up_path", "basename").alias("path"),
+        _joined_chain("up_sort_key", _sort_key()).alias("sort_key"),
+        _joined_chain("up_chain", F.array("inode")).alias("chain"),
+        ((F.col("copies") > 1) | F.coalesce("up_tainted", F.lit(False))).alias("tainted"),
+    )
+    columns = [
         *ENTRY_COLUMNS,
         "path",
         (F.size("chain") - 1).alias("depth"),
@@ -199,16 +190,15 @@ def build_directory_index(
         "tainted",
         "preferred",
         *RANK_COLUMNS,
-    )
+    ]
     if single:
-        # the ranges of ranks are known to be even, so nothing need be sampled again
-        ranges = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        table = table.repartitionById(ranges, rank_range().cast("int")).sortWithinPartitions("rank")
+        table = _with_ranks(table, partitions_for(rows)).select(*columns)
     else:
+        table = table.withColumns({name: F.lit(None).cast("long") for name in RANK_COLUMNS}).select(*columns)
         table = table.repartitionByRange("device", "path").sortWithinPartitions("device", "path")
     if path is None:
         return _index_of(stage(table, "directory-index"), single)
-    table.write.parquet(path)
+    table.write.option("compression", "zstd").parquet(path)
     return open_directory_index(entries.sparkSession, path)
 
 
@@ -218,6 +208,12 @@ def open_directory_index(spark: SparkSession, path: str) -> DirectoryIndex:
     return _index_of(table, table.where(F.col("copies") > 1).isEmpty())
 
 
+def _hot(counts: DataFrame, count: str) -> DataFrame | None:
+    """The hot keys of a table that knows the row count of each key, staged; None if there are none."""
+    hot = stage(limit_hot(counts, KEY, count), "hot")
+    return None if hot.isEmpty() else hot
+
+
 def _index_of(table: DataFrame, single: bool) -> DirectoryIndex:
     hot = limit_hot(table.where("preferred"), KEY, "entries")
     hot = stage(hot.withColumnRenamed("inode", "parent_inode"), "hot-directories")
@@ -239,21 +235,21 @@ def range_starts(rows: DataFrame, **totals: Column) -> DataFrame:
     return sums.select("range", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in totals])
 
 
-def _ranks(chains: DataFrame) -> DataFrame:
-    """KEY and RANK_COLUMNS of directories that have one row each.
+def _with_ranks(dirs: DataFrame, ranges: int) -> DataFrame:
+    """``dirs``, directories that have one row each, with RANK_COLUMNS, in the order of ranks.
 
     In preorder a directory is followed by all below it. The rows above the last of them that
     do not lead to its successor end there, so a row closes as many directories as its chain
-    reaches beyond the successor's parent: each directory is closed once, however deep.
+    reaches beyond the successor's parent: each directory is closed once, however deep. One without
+    directories inside is closed by its own row, so only the others are looked up.
     """
     order = ["device", "sort_key"]
-    ranges = int(chains.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = chains.select(*KEY, "sort_key", "chain", "entries", "bytes").repartitionByRange(ranges, *order)
+    placed = dirs.repartitionByRange(ranges, *order)
     # numbered as sorted: by partition, then by row
     placed = placed.sortWithinPartitions(*order).drop("sort_key").withColumn("rank", F.monotonically_increasing_id())
     placed = stage(placed, "dir-ranks")
     narrow = placed.select(
-        *KEY, "chain", "rank", rank_range().alias("range"), "entries", F.coalesce("bytes", F.lit(0)).alias("bytes")
+        "device", "chain", "rank", rank_range().alias("range"), "entries", F.coalesce("bytes", F.lit(0)).alias("bytes"), "subdirs"
     )
     inside = Window.partitionBy("range").orderBy("rank")
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -261,6 +257,8 @@ def _ranks(chains: DataFrame) -> DataFrame:
     first = narrow.groupBy("range").agg(F.min_by(place, "rank").alias("opening"))
     following = first.select("range", F.lead("opening").over(Window.orderBy("range")).alias("opening"))
     starts = range_starts(narrow, start_entries=F.col("entries"), start_bytes=F.col("bytes"))
+    open_still = F.when(F.col("next.device") == F.col("device"), F.col("next.size") - 1).otherwise(0)
+    own = F.when(F.col("subdirs") > 0, 0).otherwise(1)
     summed = (
         narrow.withColumns(
             {
@@ -272,33 +270,48 @@ def _ranks(chains: DataFrame) -> DataFrame:
         .join(F.broadcast(starts), "range")
         .join(F.broadcast(following), "range", "left")
         .withColumn("next", F.coalesce("next", "opening"))
-        .withColumns(
-            {
-                "sum_entries": F.col("sum_entries") + F.col("start_entries"),
-                "sum_bytes": F.col("sum_bytes") + F.col("start_bytes"),
-            }
+        .select(
+            "device",
+            "chain",
+            "rank",
+            "entries",
+            "bytes",
+            "subdirs",
+            (F.col("sum_entries") + F.col("start_entries")).alias("sum_entries"),
+            (F.col("sum_bytes") + F.col("start_bytes")).alias("sum_bytes"),
+            (open_still + 1).alias("from"),
+            (F.size("chain") - open_still - own).alias("closes"),
         )
+        .where((F.col("subdirs") > 0) | (F.col("closes") > 0))
     )
-    summed = stage(summed.drop("opening", "start_entries", "start_bytes"), "dir-sums")
-    open_still = F.when(F.col("next.device") == F.col("device"), F.col("next.size") - 1).otherwise(0)
-    closed = F.slice("chain", open_still + 1, F.size("chain") - open_still)
+    summed = stage(summed, "dir-sums")
     ends = summed.select(
         "device",
-        F.explode(closed).alias("inode"),
+        F.explode(F.slice("chain", F.col("from"), F.col("closes"))).alias("inode"),
         F.col("rank").alias("last"),
         F.col("sum_entries").alias("end_entries"),
         F.col("sum_bytes").alias("end_bytes"),
     )
-    begins = summed.select(
-        *KEY, "rank", (F.col("sum_entries") - F.col("entries")).alias("up_to"), (F.col("sum_bytes") - F.col("bytes")).alias("bytes_up_to")
+    begins = summed.where(F.col("subdirs") > 0).select(
+        "device",
+        F.element_at("chain", -1).alias("inode"),
+        "rank",
+        (F.col("sum_entries") - F.col("entries")).alias("up_to"),
+        (F.col("sum_bytes") - F.col("bytes")).alias("bytes_up_to"),
     )
-    return begins.join(ends, KEY).select(
-        *KEY,
+    below = begins.join(ends, KEY).select(
         "rank",
         "last",
         (F.col("end_entries") - F.col("up_to")).alias("all_entries"),
         (F.col("end_bytes") - F.col("bytes_up_to")).alias("all_bytes"),
     )
+    inner = placed.where(F.col("subdirs") > 0).join(below, "rank")
+    # the ranges of ranks are known to be even, so nothing need be sampled again
+    inner = inner.repartitionById(ranges, rank_range().cast("int")).sortWithinPartitions("rank")
+    outer = placed.where(F.col("subdirs") == 0).withColumns(
+        {"last": F.col("rank"), "all_entries": F.col("entries"), "all_bytes": F.coalesce("bytes", F.lit(0).cast("long"))}
+    )
+    return inner.unionByName(outer.sortWithinPartitions("rank"))
 
 
 def lay_out_entries(entries: DataFrame, index: DirectoryIndex, path: str | None = None) -> DirectoryIndex:
@@ -318,7 +331,7 @@ def lay_out_entries(entries: DataFrame, index: DirectoryIndex, path: str | None
     laid = laid.repartitionByRange(*order).sortWithinPartitions(*order)
     if path is None:
         return replace(index, laid_out=stage(laid, "laid-out"))
-    laid.write.parquet(path)
+    laid.write.option("compression", "zstd").parquet(path)
     return open_layout(index, path)
 
 
@@ -363,18 +376,8 @@ def _mark_preferred(rows: DataFrame) -> DataFrame:
     return stage(singles.unionByName(marked), "dir-preferred")
 
 
-def _mark_tainted(rows: DataFrame) -> DataFrame:
-    """Add ``tainted``. Up to the first one with copies a chain is the only way there."""
-    copied = rows.where(F.col("copies") > 1).select("device", F.col("inode").alias("ancestor")).distinct()
-    steps = rows.select(*KEY, F.explode("chain").alias("ancestor"))
-    below = steps.join(sized(stage(copied, "dir-copied")), ["device", "ancestor"], "left_semi")
-    marks = stage(below.select(*KEY).distinct().withColumn("hit", F.lit(True)), "dir-tainted")
-    marked = join_lookup(rows, marks, KEY, "left")
-    return marked.withColumn("tainted", F.coalesce("hit", F.lit(False))).drop("hit")
-
-
 def _solve_chains(nodes: DataFrame) -> DataFrame:
-    """(device, inode, path, sort_key, chain, entries, bytes) of each directory, by pointer doubling.
+    """(device, inode, path, sort_key, chain, tainted) of each of ``nodes``, by pointer doubling.
 
     ``up`` is the inode of the next ancestor not yet in ``chain``; NULL means the chain is
     complete. Completed rows are set aside and only serve as targets from then on. A directory
@@ -387,8 +390,7 @@ def _solve_chains(nodes: DataFrame) -> DataFrame:
         F.col("basename").alias("path"),
         _sort_key().alias("sort_key"),
         F.array("inode").alias("chain"),
-        "entries",
-        "bytes",
+        (F.col("copies") > 1).alias("tainted"),
     )
     done = [active.where(F.col("up").isNull())]
     active = active.where(F.col("up").isNotNull())
@@ -401,6 +403,7 @@ def _solve_chains(nodes: DataFrame) -> DataFrame:
             F.col("path").alias("up_path"),
             F.col("sort_key").alias("up_key"),
             F.col("chain").alias("up_chain"),
+            F.col("tainted").alias("up_tainted"),
         )
         hot = None if remaining <= lookup.ROWS_PER_PIECE else UNKNOWN
         solved = join_lookup(active, targets, ["device", "up"], "left", hot, small).select(
@@ -409,8 +412,7 @@ def _solve_chains(nodes: DataFrame) -> DataFrame:
             _joined_path("up_path", "path").alias("path"),
             _joined_chain("up_key", F.col("sort_key")).alias("sort_key"),
             _joined_chain("up_chain", F.col("chain")).alias("chain"),
-            "entries",
-            "bytes",
+            (F.col("tainted") | F.coalesce("up_tainted", F.lit(False))).alias("tainted"),
             F.coalesce(F.array_contains("up_chain", F.col("inode")), F.lit(False)).alias("loop"),
         )
         solved = stage(solved, "chains")

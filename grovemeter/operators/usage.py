@@ -31,7 +31,7 @@ from grovemeter.operators.tree import (
     select_roots,
     subtree_directories,
 )
-from grovemeter.scratch import stage
+from grovemeter.scratch import stage_packed as stage
 
 
 def _sum_or_zero(name: str) -> Column:

@@ -11,16 +11,21 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grovemeter.operators.lookup import estimated_bytes
 from grovemeter.operators.tree import DirectoryIndex, build_directory_index, lay_out_entries
 from grovemeter.plans.accounting import Accounting
 from grovemeter.schemas import ENTRY_COLUMNS, ENTRY_SCHEMA
-from grovemeter.scratch import new_scratch_path, stage
+from grovemeter.scratch import new_scratch_path
+from grovemeter.scratch import stage_packed as stage
 from grovemeter.sources.snapshots import publish_snapshot, read_snapshot
 
 DIRECTORY_MODE = 16877
 FILE_MODE = 33188
 ROOT_INODE = 2
 TMP_NATION = 7
+LARGE_TABLES = ("customer", "orders", "lineitem")
+# Bytes of the large tables for which a shuffle starts with one more partition.
+PARTITION_BYTES = 4 * 1024**2
 
 
 def epoch(moment: Column) -> Column:
@@ -32,6 +37,10 @@ class Sample:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.folder = folder
+        # Shuffles start with as many partitions as the tables need; adaptive execution joins small ones.
+        needed = sum(estimated_bytes(self.table(name)) for name in LARGE_TABLES) // PARTITION_BYTES
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), needed)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", partitions)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -41,7 +50,7 @@ class Sample:
     @cached_property
     def entries(self) -> DataFrame:
         base = new_scratch_path(self.spark, "sample")
-        publish_snapshot(stage(self.mapped_entries(), "mapped"), base, "1")
+        publish_snapshot(self.mapped_entries(), base, "1")
         return read_snapshot(self.spark, base)
 
     @cached_property

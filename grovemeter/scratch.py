@@ -40,14 +40,22 @@ def new_scratch_path(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` to a new shared table and return a scan of it."""
+def stage(df: DataFrame, label: str = "stage", codec: str | None = None) -> DataFrame:
+    """Write ``df`` to a new shared table and return a scan of it.
+
+    ``codec`` is the compression of its files, by default the session's.
+    """
     spark = df.sparkSession
     path = new_scratch_path(spark, label)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_packed(df: DataFrame, label: str = "stage") -> DataFrame:
+    """:func:`stage` for rows of a snapshot, of which Zstandard files take a third less."""
+    return stage(df, label, "zstd")
+
+
 def unstage(staged: DataFrame) -> None:
     """Delete the table behind a scan that ``stage`` returned."""
     spark = staged.sparkSession

@@ -100,7 +100,8 @@ def publish_snapshot(
         entries.select(*ENTRY_COLUMNS)
         .repartitionByRange(*([files] if files else []), "device", "parent_inode", "basename")
         .sortWithinPartitions("device", "parent_inode", "basename")
-        .write.parquet(f"{base}/{folder}")
+        .write.option("compression", "zstd")
+        .parquet(f"{base}/{folder}")
     )
     commit = {"snapshot": snapshot, "committed": datetime.now(timezone.utc).isoformat(), "folder": folder}
     if not _put_if_absent(spark, f"{base}/commits/snapshot-{name}.json", json.dumps(commit)):
