@@ -154,31 +154,35 @@ def build_directory_index(
         .where(F.col("copies") > 0)
     )
     totals = stage(totals, "dir-counts")
-    hot = _hot(totals, "copies")
-    rows = stage(join_lookup(rows, totals, KEY, hot=hot, small=False), "dir-totals")
-    single = rows.where(F.col("copies") > 1).isEmpty()
-    rows = rows.withColumn("preferred", F.lit(True)) if single else _mark_preferred(rows)
+    single = totals.where(F.col("copies") > 1).isEmpty()
+    known = totals if single else totals.join(_preferred_rows(rows, totals), KEY, "left")
+    rows = join_lookup(rows, known, KEY, hot=_hot(totals, "copies"), small=False)
+    chosen = F.lit(True) if single else (F.col("copies") == 1) | (_row_hash() == F.col("best_hash"))
+    rows = stage(rows.withColumn("preferred", chosen).drop("best_hash"), "dir-totals")
 
     # Only directories that others lie in have their chains solved; all rows take over their parent's.
-    inner = rows.where(F.col("preferred") & (F.col("subdirs") > 0)).select(*KEY, "parent_inode", "basename", "copies")
+    # Where one of them has no name its paths skip it by its place in the chain, so all are solved.
+    nodes = rows.where("preferred")
+    holding = nodes.where(F.col("subdirs") > 0)
+    named = holding.where(F.col("basename").isNull()).isEmpty()
+    inner = (holding if named else nodes).select(*KEY, "parent_inode", "basename", "copies")
     chains = _solve_chains(stage(inner if single else inner.dropDuplicates(KEY), "dir-inner"))
-    up = chains.select(
-        "device",
-        F.col("inode").alias("parent_inode"),
-        *[F.col(name).alias(f"up_{name}") for name in ("path", "sort_key", "chain", "tainted")],
-    )
+    solved = ["path", "sort_key", "chain", "tainted"]
+    up = chains.select("device", F.col("inode").alias("parent_inode"), *[F.col(name).alias(f"up_{name}") for name in solved])
+    loose = rows if named else rows.where(~F.col("preferred"))
     # Rows without a parent meet nothing, and as NULL keys would share one task.
-    tops = rows.where(F.col("parent_inode").isNull())
-    hot = _hot(totals, "subdirs")
-    hot = None if hot is None else hot.withColumnRenamed("inode", "parent_inode")
-    solved = join_lookup(rows.where(F.col("parent_inode").isNotNull()), up, PARENT_KEY, "left", hot)
-    table = solved.unionByName(tops, allowMissingColumns=True).select(
+    tops = loose.where(F.col("parent_inode").isNull())
+    table = join_lookup(loose.where(F.col("parent_inode").isNotNull()), up, PARENT_KEY, "left", _hot_parents(totals))
+    table = table.unionByName(tops, allowMissingColumns=True).select(
         *rows.columns,
         _joined_path("up_path", "basename").alias("path"),
         _joined_chain("up_sort_key", _sort_key()).alias("sort_key"),
         _joined_chain("up_chain", F.array("inode")).alias("chain"),
         ((F.col("copies") > 1) | F.coalesce("up_tainted", F.lit(False))).alias("tainted"),
     )
+    if not named:
+        own = join_lookup(nodes, chains.select(*KEY, *solved), KEY, hot=_hot(totals, "copies"), small=False)
+        table = own.select(*table.columns).unionByName(table)
     columns = [
         *ENTRY_COLUMNS,
         "path",
@@ -214,6 +218,12 @@ def _hot(counts: DataFrame, count: str) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
+def _hot_parents(totals: DataFrame) -> DataFrame | None:
+    """The directories with so many directories inside that joins of these to them are split."""
+    hot = _hot(totals, "subdirs")
+    return None if hot is None else hot.withColumnRenamed("inode", "parent_inode")
+
+
 def _index_of(table: DataFrame, single: bool) -> DirectoryIndex:
     hot = limit_hot(table.where("preferred"), KEY, "entries")
     hot = stage(hot.withColumnRenamed("inode", "parent_inode"), "hot-directories")
@@ -349,15 +359,24 @@ def _joined_chain(above, below):
     return F.coalesce(F.concat(F.col(above), below), below)
 
 
-def _mark_preferred(rows: DataFrame) -> DataFrame:
-    """Pick one row per (device, inode): one whose parent exists, then a scan root.
+def _row_hash() -> Column:
+    return F.xxhash64(*ENTRY_COLUMNS)
+
+
+def _preferred_rows(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """``best_hash`` of the row to prefer for each (device, inode): one whose parent exists, then a scan root.
 
-    Only rows that have a twin take part, and the choice is a minimum, so a directory with
-    very many rows is reduced before the shuffle.
+    The choice is a minimum, so a directory with very many rows is reduced before the shuffle. Few
+    keys with twins are sought out first.
     """
-    twins = rows.where(F.col("copies") > 1).withColumn("row_hash", F.xxhash64(*ENTRY_COLUMNS))
-    parents = rows.select("device", F.col("inode").alias("parent_inode")).distinct()
-    known = twins.join(parents.withColumn("known", F.lit(True)), PARENT_KEY, "left")
+    twins = totals.where(F.col("copies") > 1).select(*KEY)
+    if is_small(twins):
+        rows = rows.join(F.broadcast(twins), KEY, "left_semi")
+    parents = totals.select("device", F.col("inode").alias("parent_inode"), F.lit(True).alias("known"))
+    rows = rows.select(*KEY, "parent_inode", "basename", _row_hash().alias("row_hash"))
+    # Rows without a parent meet nothing, and as NULL keys would share one task.
+    inside = join_lookup(rows.where(F.col("parent_inode").isNotNull()), parents, PARENT_KEY, "left", _hot_parents(totals))
+    known = inside.unionByName(rows.where(F.col("parent_inode").isNull()), allowMissingColumns=True)
     rank = F.struct(
         F.coalesce(~F.col("known"), F.lit(True)).alias("orphan"),
         F.col("parent_inode").isNotNull().alias("inner"),
@@ -366,14 +385,7 @@ def _mark_preferred(rows: DataFrame) -> DataFrame:
         F.col("row_hash"),
     )
     best = known.groupBy(*KEY).agg(F.min(rank).alias("best"))
-    picked = best.select(*KEY, F.col("best.row_hash").alias("row_hash"), F.lit(True).alias("hit"))
-    marked = (
-        join_lookup(twins, picked, [*KEY, "row_hash"], "left")
-        .withColumn("preferred", F.coalesce("hit", F.lit(False)))
-        .drop("row_hash", "hit")
-    )
-    singles = rows.where(F.col("copies") == 1).withColumn("preferred", F.lit(True))
-    return stage(singles.unionByName(marked), "dir-preferred")
+    return best.select(*KEY, F.col("best.row_hash").alias("best_hash"))
 
 
 def _solve_chains(nodes: DataFrame) -> DataFrame:
@@ -430,7 +442,8 @@ def _sort_key() -> Column:
     One after another along a chain they sort in preorder, siblings by name: whatever begins
     with a directory's is below it. Negative inodes are but numbers that sort last.
     """
-    name = F.translate("basename", "\0", "\1")  # the end mark, that no file system allows in names
+    # "\0" is the end mark, that no file system allows in names; what has no name sorts first
+    name = F.translate(F.coalesce("basename", F.lit("")), "\0", "\1")
     return F.concat(name, F.lit("\0"), F.lpad(F.hex("inode"), 16, "0"))
 
 

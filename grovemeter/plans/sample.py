@@ -70,15 +70,13 @@ class Sample:
     def overlapping(self) -> DataFrame:
         """The snapshot as left by a second scan of every nation directory."""
         nations = (F.col("parent_inode") == ROOT_INODE) & F.col("inode").isNotNull()
-        second_root = self.index.table.where(nations).select(
+        second_root = self.bare_index.table.where(nations).select(
             *[F.col("path") if c == "basename" else F.col(c) for c in ENTRY_COLUMNS if c != "parent_inode"],
             F.lit(None).cast("long").alias("parent_inode"),
         )
         second_root = second_root.withColumnRenamed("path", "basename").select(*ENTRY_COLUMNS)
         below = self.entries.where(F.col("parent_inode") != ROOT_INODE)
-        return stage(
-            self.entries.unionByName(second_root).unionByName(below), "overlapping"
-        )
+        return self.entries.unionByName(stage(second_root, "second-roots")).unionByName(below)
 
     @cached_property
     def overlapping_index(self) -> DirectoryIndex:
@@ -87,11 +85,11 @@ class Sample:
     @cached_property
     def shared_keys(self) -> DataFrame:
         """The snapshot with a file beside every nation directory that has the same number."""
-        files = self.index.table.where(F.col("parent_inode") == ROOT_INODE).select(*ENTRY_COLUMNS)
+        files = self.bare_index.table.where(F.col("parent_inode") == ROOT_INODE).select(*ENTRY_COLUMNS)
         files = files.withColumns(
             {"basename": F.concat("basename", F.lit(".lnk")), "mode": F.lit(33188), "size": F.lit(100).cast("long")}
         )
-        return stage(self.entries.unionByName(files), "shared-keys")
+        return self.entries.unionByName(stage(files, "shared-keys"))
 
     @cached_property
     def shared_keys_index(self) -> DirectoryIndex:
@@ -100,7 +98,7 @@ class Sample:
     @cached_property
     def mounted(self) -> DataFrame:
         """The snapshot with a scan of /data, where each region is seen as a mount point."""
-        roots = self.index.table.where(F.col("inode") == ROOT_INODE).select(*ENTRY_COLUMNS)
+        roots = self.bare_index.table.where(F.col("inode") == ROOT_INODE).select(*ENTRY_COLUMNS)
         outer = roots.withColumns(
             {"device": F.lit(900).cast("long"), "size": F.lit(10).cast("long"), "root_inode": F.lit(1).cast("long")}
         )
@@ -108,7 +106,7 @@ class Sample:
             {"basename": F.element_at(F.split("basename", "/"), -1), "parent_inode": F.lit(1).cast("long")}
         )
         top = outer.limit(1).withColumns({"basename": F.lit("/data"), "inode": F.lit(1).cast("long")})
-        return stage(self.entries.unionByName(points).unionByName(top), "mounted")
+        return self.entries.unionByName(stage(points.unionByName(top), "mounts"))
 
     @cached_property
     def mounted_index(self) -> DirectoryIndex:
