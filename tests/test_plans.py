@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from grovemeter.operators import history, tree, usage
 from grovemeter.operators.filters import EntryFilter
 from grovemeter.plans import catalog
-from grovemeter.plans.sample import sample
+from grovemeter.plans.sample import Sample, sample
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -117,3 +117,19 @@ def test_pushdown_of_the_unreadable_mark(loaded):
     from grovemeter.operators.filters import unreadable
 
     assert "IsNull(mode)" in plan(unreadable(loaded.entries).select(F.col("device")))
+
+
+def test_copies_are_built_without_a_layout_or_a_second_snapshot(spark):
+    fresh = Sample(spark, FOLDER)
+    for name in ("overlapping", "shared_keys", "mounted"):
+        assert "snapshot=" in plan(getattr(fresh, name))
+    assert "index" not in vars(fresh) and "bare_index" in vars(fresh)
+
+
+def test_shuffles_start_with_partitions_for_the_size_of_the_tables(spark, monkeypatch):
+    setting = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(setting, None)
+    monkeypatch.setattr("grovemeter.plans.sample.PARTITION_BYTES", 1024)
+    Sample(spark, FOLDER)
+    assert int(spark.conf.get(setting)) > 50
+    spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)

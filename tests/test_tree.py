@@ -287,3 +287,29 @@ def test_roots_from_a_table(spark, at_scale):
         for r in usage.usage_by_root(entries, table, index).collect()
     }
     assert [got[n] for n in range(len(roots))] == account.du(roots)
+
+
+def test_only_directories_that_hold_directories_are_solved(spark, monkeypatch):
+    rows = [directory("/data", 1, None), directory("a", 2, 1), directory("b", 3, 2)]
+    rows += [directory(f"leaf{n}", 100 + n, 3) for n in range(20)] + [row("f", 500, 105)]
+    solved = []
+    solve = tree._solve_chains
+    monkeypatch.setattr(tree, "_solve_chains", lambda nodes: (solved.append(nodes.count()), solve(nodes))[1])
+    index = tree.build_directory_index(frame(spark, rows))
+    assert solved == [3]
+    found = {r.inode: r for r in index.table.collect()}
+    assert len(found) == 23 and found[105].path == "/data/a/b/leaf5" and found[105].chain == [1, 2, 3, 105]
+    assert (found[105].rank, found[105].all_entries) == (found[105].last, 1) and found[1].all_entries == 23
+
+
+def test_directories_without_a_name_keep_their_place(spark):
+    rows = [directory("/data", 1, None)]
+    for n in range(2, 8):
+        rows += [directory("?" if n % 2 else f"d{n}", n, 1, size=0)]
+        rows += [directory(f"e{m}", 100 * n + m, n, size=0) for m in range(4)]
+        rows += [row("f", 1000 * n + m, 100 * n + m, size=5) for m in range(4)]
+    entries = frame(spark, rows).withColumn("basename", F.nullif("basename", F.lit("?")))
+    found = {r.inode: r for r in tree.build_directory_index(entries).table.collect()}
+    assert len(found) == 31 and (found[1].all_entries, found[1].all_bytes) == (54, 120)
+    assert all((found[n].all_entries, found[n].all_bytes) == (8, 20) for n in range(2, 8))
+    assert all(r["last"] >= r["rank"] for r in found.values())
