@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from datetime import datetime, timezone
 from pathlib import Path
 from urllib.parse import quote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grovemeter.operators.lookup import estimated_bytes
@@ -76,8 +78,36 @@ def layout_files(df: DataFrame) -> int:
     return max(1, min(MAX_LAYOUT_FILES, -(-estimated_bytes(df) // LAYOUT_BYTES)))
 
 
+@contextmanager
+def _files_apart(spark: SparkSession) -> Iterator[None]:
+    """Have each file, or split of a large one, read by a task of its own."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def in_ranges(entries: DataFrame) -> bool:
+    """True if no two tasks that read ``entries`` hold overlapping ranges of directories.
+
+    A directory may reach from one task into others. One scan of two columns; what is shuffled and
+    compared is a row for each task and device.
+    """
+    parent = F.coalesce("parent_inode", F.lit(-(2**63)))
+    places = entries.select(F.spark_partition_id().alias("task"), "device", parent.alias("parent"))
+    places = places.groupBy("task", "device").agg(F.min("parent").alias("low"), F.max("parent").alias("high"))
+    ranges = places.groupBy("task").agg(
+        F.min(F.struct("device", "low")).alias("first"), F.max(F.struct("device", "high")).alias("last")
+    )
+    before = F.lag("last").over(Window.orderBy("first", "last"))
+    return ranges.select((F.col("first") < before).alias("overlaps")).where("overlaps").isEmpty()
+
+
 def publish_snapshot(
-    entries: DataFrame, base: str, snapshot: str, files: int | None = None
+    entries: DataFrame, base: str, snapshot: str, files: int | None = None, from_files: bool = False
 ) -> None:
     """Write ``entries`` as ``snapshot`` and make it the current one.
 
@@ -86,6 +116,10 @@ def publish_snapshot(
     a directory's entries skips most row groups. ``files`` is their number, by default that of
     the shuffle partitions; ``layout_files`` works it out for a staged table.
 
+    ``from_files`` says that ``entries`` are read from files without a shuffle, as those of another
+    snapshot are. Their ranges are then looked at first, and where the files (splits of large ones)
+    hold ranges of directories already, each is sorted and written without shuffling its rows.
+
     Raises ``ValueError`` if a snapshot of that name is committed, by then or meanwhile; what
     this load wrote is then deleted. A commit file without content is of a load that died while
     it committed: it is never read, and must be deleted before the name can be used.
@@ -96,13 +130,11 @@ def publish_snapshot(
         raise taken
     name = quote(snapshot, safe="")
     folder = f"data/snapshot={name}/attempt-{uuid.uuid4().hex}"
-    (
-        entries.select(*ENTRY_COLUMNS)
-        .repartitionByRange(*([files] if files else []), "device", "parent_inode", "basename")
-        .sortWithinPartitions("device", "parent_inode", "basename")
-        .write.option("compression", "zstd")
-        .parquet(f"{base}/{folder}")
-    )
+    rows, place = entries.select(*ENTRY_COLUMNS), ["device", "parent_inode", "basename"]
+    with _files_apart(spark) if from_files else nullcontext():
+        if not (from_files and in_ranges(rows)):
+            rows = rows.repartitionByRange(*([files] if files else []), *place)
+        rows.sortWithinPartitions(*place).write.option("compression", "zstd").parquet(f"{base}/{folder}")
     commit = {"snapshot": snapshot, "committed": datetime.now(timezone.utc).isoformat(), "folder": folder}
     if not _put_if_absent(spark, f"{base}/commits/snapshot-{name}.json", json.dumps(commit)):
         _delete(spark, f"{base}/{folder}")

@@ -1,5 +1,6 @@
 import csv
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from grovemeter.schemas import ENTRY_COLUMNS, SCAN_COLUMNS
 from grovemeter.scratch import scratch_root
 from grovemeter.sources.listings import entries_from_listing, url_names, url_root
 from grovemeter.sources.scan_csv import load_scan, read_scan_csv, write_scan_csv
-from grovemeter.sources.snapshots import publish_snapshot, read_snapshot
+from grovemeter.sources.snapshots import in_ranges, publish_snapshot, read_snapshot
 from tests.trees import directory, frame, row, unreadable
 
 ODD_NAMES = [
@@ -166,6 +167,32 @@ def test_snapshot_spreads_a_hot_directory(spark, tmp_path):
     assert len(sizes) == 4 and max(r[0] for r in sizes) < 10000
 
 
+def test_a_snapshot_of_files_in_ranges_is_written_without_a_shuffle(spark, tmp_path):
+    rows = [directory("/data/r", 1, None)] + [row(f"f{n * 7 % 300:03}", 1000 + n, 1 + n % 40) for n in range(300)]
+    published, mixed = str(tmp_path / "published"), str(tmp_path / "mixed")
+    publish_snapshot(frame(spark, rows), published, "1", 6)
+    laid_out = read_snapshot(spark, published)
+    frame(spark, rows).repartition(5, "basename").write.parquet(mixed)
+    setting = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(setting)
+    for source, ranged in ((laid_out, True), (laid_out.withColumn("size", F.col("size") + 1), True), (spark.read.parquet(mixed), False)):
+        to = f"{tmp_path}/{uuid.uuid4().hex}"
+        publish_snapshot(source, to, "2", from_files=True)
+        again = read_snapshot(spark, to)
+        assert as_set(again) == as_set(source)
+        # six files stay six; the shuffle of these few rows makes one
+        assert len(again.inputFiles()) == (len(laid_out.inputFiles()) if ranged else 1)
+        spans = []
+        for file in again.inputFiles():
+            keys = [(r.device, r.parent_inode or -1, r.basename) for r in spark.read.parquet(file).collect()]
+            assert keys == sorted(keys)
+            spans.append((keys[0], keys[-1]))
+        spans.sort()
+        assert all(last <= first for (_, last), (first, _) in zip(spans, spans[1:]))
+    assert spark.conf.get(setting) == before
+    assert in_ranges(laid_out.limit(0)) and not in_ranges(laid_out.unionByName(laid_out))
+
+
 def test_an_unclosed_quote_is_refused(spark, tmp_path):
     lines = [f'f{n},{n},1,33188,1,1,1,0.0,0.0,0.0,1,1' for n in range(1000)]
     lines[1] = 'f"' + lines[1][1:]
