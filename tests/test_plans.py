@@ -133,3 +133,10 @@ def test_shuffles_start_with_partitions_for_the_size_of_the_tables(spark, monkey
     Sample(spark, FOLDER)
     assert int(spark.conf.get(setting)) > 50
     spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
+def test_tasks_of_a_sample_stay_small(spark):
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(setting, "64m")
+    Sample(spark, FOLDER)
+    assert int(spark.conf.get(setting).removesuffix("b")) <= 16 * 1024**2
