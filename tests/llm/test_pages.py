@@ -3,6 +3,8 @@
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +192,58 @@ def test_runs_over_buckets_equal_the_suffix_array(spark, monkeypatch):
     assert texts[0] == texts[1] and len(set(texts[0].values())) > 5
 
 
+def by(tables, column):
+    whole = pa.concat_tables(tables)
+    return {key: whole.filter(pc.equal(whole.column(column), key)) for key in set(whole.column(column).to_pylist())}
+
+
+def in_rounds(pages, hosts, size, buckets):
+    """The texts of pages in batches of ``size``, and how many runs the second round sends."""
+    held = {"zones": pa.array([z for z, _ in pages], pa.list_(pa.int32())), "blocks": pa.array([b for _, b in pages], pa.list_(pa.string()))}
+    rows = pa.table({"batch": [i // size for i in range(len(pages))], "host": hosts, "id": range(len(pages)), "url": hosts, **held})
+    batches, rounds = [rows.slice(at, size) for at in range(0, len(pages), size)], html_text._Rounds(buckets)
+    answers = [html_text._answer_marks(t) for t in by([rounds.marks(b) for b in batches], "bucket").values()]
+
+    def back(n):
+        return pa.concat_tables(answers).filter(pc.equal(pa.concat_tables(answers).column("batch"), n))
+
+    sent = [rounds.runs(b, back(n)) for n, b in enumerate(batches)]
+    answers += [html_text._answer_runs(t) for t in by(sent, "bucket").values()]
+    texts = [text for n, b in enumerate(batches) for text in rounds.texts(b, back(n)).column("text").to_pylist()]
+    return texts, sum(len(html_text.unpacked(cell)) for cell in pa.concat_tables(sent).column("sent").to_pylist())
+
+
+def test_rounds_equal_whole_hosts_and_send_only_what_others_have(monkeypatch):
+    rng = np.random.default_rng(7)
+    pages = [
+        (rng.choice([0, 1, 2], 4).tolist(), [" ".join(f"wörd{n}" for n in rng.integers(0, 4, rng.integers(1, 30))) for _ in range(4)])
+        for _ in range(300)
+    ]
+    pages[7], pages[8], pages[9] = ([], []), ([2], ["only this stands here"]), pages[19]
+    hosts = [f"h{i % 3}" for i in range(300)]
+    want = [""] * 300
+    for host in range(3):
+        want[host::3] = html_text.choose(pages[host::3])
+    assert in_rounds(pages, hosts, 7, 5)[0] == want and len(set(want)) > 250
+    monkeypatch.setattr(html_text, "HASHED_BYTES", 50)
+    assert in_rounds(pages, hosts, 300, 1)[0] == want
+
+    shared = "Read all our other stories about gardens today"
+    pages = [([0, 0], [" ".join(f"w{rng.integers(0, 10**9)}" for _ in range(200)), shared + (" too" if i < 2 else "")]) for i in range(40)]
+    texts, sent = in_rounds(pages, ["h"] * 40, 4, 3)
+    assert texts == [blocks[0] for _, blocks in pages]
+    # of 200 runs a page only the common one goes on, at most with its neighbours of the same mark
+    assert 0 < sent <= 40 * 5
+
+
+def test_packed_numbers_come_back():
+    numbers = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
+    assert html_text.unpacked(html_text.packed(numbers)).tolist() == numbers.tolist()
+    assert html_text.unpacked(html_text.packed(numbers[:0])).tolist() == []
+    cells = html_text.cells_of(numbers, 64, 7)
+    assert [a for _, a, _ in cells] == [0, *[b for _, _, b in cells[:-1]]] and cells[-1][2] == len(numbers)
+
+
 @pytest.mark.parametrize("shelf", [2, 200])
 def test_repeats_decide_in_the_article_and_beside_it(spark, monkeypatch, shelf):
     monkeypatch.setattr(html_text, "SHELF", shelf)
