@@ -40,6 +40,8 @@ ROUNDS = 5
 #: Training cuts texts into runs of this many tokens, so that many are handled at once; the
 #: likelihood of a text is always over the whole of it.
 RUN = 256
+#: Tokens whose probabilities by state are held at once, however many a block or a text has.
+AT_ONCE = 1 << 17
 BLOCK_CHARS = 8_000_000
 #: Weight of the unigram distribution in the distribution of each state, in tokens.
 PRIOR = 200.0
@@ -152,10 +154,33 @@ def _by_step(begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(order) if order else np.empty(0, np.int64), np.concatenate([[0], np.cumsum(live)])
 
 
+def _stretches(counts: np.ndarray) -> Iterator[slice]:
+    """Cuts a list into stretches of at most AT_ONCE tokens, or of one item that has more."""
+    ends = np.cumsum(counts)
+    low = 0
+    while low < len(counts):
+        high = max(int(np.searchsorted(ends, ends[low] - counts[low] + AT_ONCE, side="right")), low + 1)
+        yield slice(low, high)
+        low = high
+
+
 def expect(classes: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of classes by state, of moves, and of states at the start of texts."""
     begins, lengths, opens = _runs(classes, sizes)
     states = len(model.start)
+    counts, moved, opened = np.zeros((states, len(model.ratio))), np.zeros((states, states)), np.zeros(states)
+    for part in _stretches(lengths):
+        found = _expect_runs(classes, begins[part], lengths[part], opens[part], model)
+        for total, more in zip((counts, moved, opened), found):
+            total += more
+    return counts.T, moved * model.moves, opened
+
+
+def _expect_runs(
+    classes: np.ndarray, begins: np.ndarray, lengths: np.ndarray, opens: np.ndarray, model: Model
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The counts by state and class, the moves not yet weighed by their probability, the starts of some runs."""
+    states = len(model.start)
     order, steps = _by_step(begins, lengths)
     classes = classes[order]
     emitted = model.ratio[classes]
@@ -181,23 +206,27 @@ def expect(classes: np.ndarray, sizes: np.ndarray, model: Model) -> tuple[np.nda
             before = steps[at - 1]
             moved += ahead[before : before + live].T @ weighted
             behind[:live] = weighted @ back
-    counts = np.stack([np.bincount(classes, ahead[:, s], minlength=len(model.ratio)) for s in range(states)], axis=1)
-    return counts, moved * model.moves, ahead[: len(begins)][opens].sum(axis=0)
+    counts = np.stack([np.bincount(classes, ahead[:, s], minlength=len(model.ratio)) for s in range(states)])
+    return counts, moved, ahead[: len(begins)][opens].sum(axis=0)
 
 
 def log_ratio(classes: np.ndarray, sizes: np.ndarray, model: Model, known: np.ndarray) -> np.ndarray:
     """log10 of the sum over state paths for each text, by the scaled forward recursion."""
     longest_first = np.argsort(-sizes, kind="stable")
     order, steps = _by_step((np.cumsum(sizes) - sizes)[longest_first], sizes[longest_first])
-    emitted = model.ratio[classes[order]]
-    emitted[~known[order]] = 1.0
     out = np.zeros(len(sizes))
     now = np.tile(model.start, (len(sizes), 1))
-    for at, (low, high) in enumerate(zip(steps, steps[1:])):
-        now = (now[: high - low] @ model.moves if at else now) * emitted[low:high]
-        total = now.sum(axis=1, keepdims=True)
-        now /= total
-        out[: high - low] += np.log10(total[:, 0])
+    for part in _stretches(np.diff(steps)):
+        first = steps[part.start]
+        tokens = order[first : steps[part.stop]]
+        emitted = model.ratio[classes[tokens]]
+        emitted[~known[tokens]] = 1.0
+        for at in range(part.start, part.stop):
+            low, high = steps[at] - first, steps[at + 1] - first
+            now = (now[: high - low] @ model.moves if at else now) * emitted[low:high]
+            total = now.sum(axis=1, keepdims=True)
+            now /= total
+            out[: high - low] += np.log10(total[:, 0])
     result = np.empty_like(out)
     result[longest_first] = out
     return result

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -284,6 +285,23 @@ def test_expected_counts_equal_the_posterior_of_all_paths():
     assert np.allclose(counts, want) and np.allclose(moved, want_moved) and np.allclose(opened, want_opened)
 
 
+def test_blocks_are_learned_from_and_scored_in_bounded_memory(monkeypatch):
+    """Arrays by state are held for AT_ONCE tokens, not for a block; the sums stay the same."""
+    rng = np.random.default_rng(4)
+    sizes = np.concatenate([rng.integers(1, 700, 400), [9000]])
+    classes, known = rng.integers(0, 50, sizes.sum()), rng.random(sizes.sum()) < 0.9
+    model = small_model(8, 50)
+    whole = hmm.expect(classes, sizes, model), hmm.log_ratio(classes, sizes, model, known)
+    monkeypatch.setattr(hmm, "AT_ONCE", 5000)
+    for work, want in zip((lambda: hmm.expect(classes, sizes, model), lambda: (hmm.log_ratio(classes, sizes, model, known),)), (whole[0], whole[1:])):
+        tracemalloc.start()
+        got = work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert all(np.allclose(a, b, rtol=1e-10) for a, b in zip(got, want))
+        assert peak < 45 * len(classes)  # a token by state alone takes 64 bytes
+
+
 def test_the_model_beats_unigrams_on_held_out_texts(spark):
     rng = np.random.default_rng(2)
     kinds = [[f"{letter}{i}" for i in range(40)] for letter in ("aa", "bb", "cc")]
