@@ -36,6 +36,8 @@ TRAIN_ROWS = 5000
 #: Training words above this are learned from in stretches of as many letters, none left out.
 STRETCH = 200
 CACHE_WORDS = 150_000
+#: New words scored at once.
+SCORED_WORDS = 4_000
 UNDETERMINED = "und"
 MARK = "▁"
 
@@ -270,8 +272,8 @@ class Scorer:
             self.rows.clear()
             self.scores = self.scores[:0]
         new = []
-        for low in range(0, len(words), 20_000):
-            part = [MARK + w for w in words[low : low + 20_000]]
+        for low in range(0, len(words), SCORED_WORDS):
+            part = [MARK + w for w in words[low : low + SCORED_WORDS]]
             new.append(forward(*lattice(part, self.model.pieces), self.model.probabilities))
         for word in words:
             self.rows[word] = len(self.rows)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ REACH = WINDOW - 1
 #: order lines, and an odd number that tells lines apart.
 BASE, SPREAD, MODULUS, MIX = 0x2545F4914F6CDD1D, 1_000_003, 2_147_483_647, np.uint64(0x9E3779B97F4A7C15)
 HALF, LAST = np.uint64(32), np.uint64(2**32 - 1)
-#: Bytes whose prefix sums are formed at once, and bytes of texts that are winnowed together.
-BLOCK, BATCH = 1 << 16, 1 << 22
+#: Bytes whose prefix sums are formed at once, and bytes of texts that are handled together.
+BLOCK, BATCH = 1 << 16, 1 << 20
 
 
 def power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +132,18 @@ def text_batches(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts
 
 
+def row_batches(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Successive rows with about BATCH bytes of texts together, or one row of a longer text."""
+    first, size = 0, 0
+    for row, length in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if row > first and size + (length or 0) > BATCH:
+            yield batch.slice(first, row - first)
+            first, size = row, 0
+        size += length or 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(line, rank_id, digest, place) of every fingerprint; places are words before it."""
 
@@ -164,7 +177,7 @@ def surroundings(docs: DataFrame, asked: DataFrame, id_column: str, text_column:
     """(first_id, first_digest, spot, after, around): the words next to the places asked for."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in row_batches(whole_batch, 2)):
             rows, spots, sides, around = [], [], [], []
             for row, (text, asks) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
                 data = text.as_buffer().to_pybytes()
@@ -278,7 +291,7 @@ def clean_lines(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in row_batches(whole_batch, 1)):
             texts, counts = [], []
             for text, ends in zip(batch.column(1), batch.column(2)):
                 left, gone = without_runs(text.as_py(), ends.as_py()) if ends.is_valid else (text, 0)

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from odd import documents, empty, sentences, texts
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from grovemeter.llm import exact_dedup, line_dedup, near_dedup
 
@@ -275,6 +277,27 @@ def test_word_values_over_block_bounds():
         assert int(got[at]) == value
 
 
+def test_rows_are_handled_by_bytes_of_text(monkeypatch):
+    monkeypatch.setattr(line_dedup, "BATCH", 10)
+    texts = ["a" * 6, None, "b" * 4, "c", "d" * 30, "", "é" * 4]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["row", "text"])
+    parts = [part.column(1).to_pylist() for part in line_dedup.row_batches(batch, 1)]
+    assert parts == [["a" * 6, None, "b" * 4], ["c"], ["d" * 30], ["", "é" * 4]]
+    assert not list(line_dedup.row_batches(batch.slice(0, 0), 1))
+
+
+def test_large_batches_are_cleaned_in_small_ones(spark, monkeypatch):
+    """What goes back to Spark at once does not grow with the batch that came."""
+    steps, apply = [], DataFrame.mapInArrow
+    monkeypatch.setattr(line_dedup, "BATCH", 2000)
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, step, schema: steps.append(step) or apply(self, step, schema))
+    line_dedup.clean_lines(documents(spark, [(1, "a b c", "en", "a")]))
+    row = pa.array([{"doc_id": i} for i in range(100)])
+    batch = pa.RecordBatch.from_arrays([row, pa.array(["w " * 200] * 100), pa.nulls(100, pa.list_(pa.int64()))], ["row", "text", "ends"])
+    sent = list(steps[-1](iter([batch])))
+    assert len(sent) == 20 and sum(part.num_rows for part in sent) == 100
+
+
 def test_texts_winnowed_together_are_winnowed_alone():
     import numpy as np
 

@@ -210,6 +210,19 @@ def test_a_language_of_one_text_is_drawn_row_by_row(spark, monkeypatch):
     assert all(r.lang_pred == list(say)[r.doc_id % 3] for r in found)
 
 
+def test_new_words_are_scored_in_small_parts(monkeypatch):
+    pieces = ["▁", *"abcdef", "▁ab", "cd"]
+    rng = np.random.default_rng(6)
+    model = language_id.Model(["x", "y"], language_id.Pieces.of(pieces), rng.dirichlet(np.ones(len(pieces) + 1), 2).T, np.zeros(2), 0.0)
+    words = ["".join(letters) for letters in itertools.product("abcdef", repeat=3)]
+    want = language_id.Scorer(model).score([" ".join(words), words[5]])
+    handled = []
+    monkeypatch.setattr(language_id, "SCORED_WORDS", 50)
+    monkeypatch.setattr(language_id, "lattice", lambda part, table, own=language_id.lattice: handled.append(len(part)) or own(part, table))
+    got = language_id.Scorer(model).score([" ".join(words), words[5]])
+    assert handled == [50, 50, 50, 50, 16] and np.allclose(got[0], want[0], rtol=1e-12) and (got[1] == want[1]).all()
+
+
 def test_long_training_words_are_learned_whole():
     words = ["ab", "x" * 450, "", "y" * 200]
     parts, origin = language_id.stretches(words)
